@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import content_hash, exact_dedup
+from .simhash import simhash_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,7 +18,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs.withColumn("text_sha256", content_hash(docs.text))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup(read(spark, sf_dir, "documents"), shingle=3, blocks=1, segments=2, most=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+
+
+QUERIES = {
+    "op7_exact_dedup": op7_exact_dedup,
+    "op10_simhash": op10_simhash,
+}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
