@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode
 from .exact_dedup import content_hash, exact_dedup
+from .packing import pack, tokenise_and_cut
 from .simhash import simhash_dedup
 
 
+#: Where the public tokenizers lie; the files are never copied.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
+    ids = ids.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+    return decode(ids, RANKS, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs.withColumn("text_sha256", content_hash(docs.text))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = tokenise_and_cut(read(spark, sf_dir, "documents"), WORDS, end_id=2, capacity=4096)
+    return pack(pieces, capacity=4096)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup(read(spark, sf_dir, "documents"), shingle=3, blocks=1, segments=2, most=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
 QUERIES = {
+    "op5_bpe": op5_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_packing": op8_packing,
     "op10_simhash": op10_simhash,
 }
 
