@@ -10,6 +10,7 @@ from .bpe import decode, encode
 from .exact_dedup import content_hash, exact_dedup
 from .packing import pack, tokenise_and_cut
 from .simhash import simhash_dedup
+from .substring_dedup import substring_dedup
 
 
 #: Where the public tokenizers lie; the files are never copied.
@@ -21,6 +22,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(read(spark, sf_dir, "documents"), width=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
     ids = ids.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
@@ -43,6 +49,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_bpe": op5_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
@@ -50,6 +57,25 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_substring_dedup": """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+),
+s AS (SELECT r, words, unnest(generate_series(1, len(words) - 34)) AS i FROM d WHERE len(words) >= 35),
+h AS (SELECT r, i, sha256(array_to_string(words[i : i + 34], ' ')) AS h FROM s),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS p FROM again),
+w AS (SELECT r, unnest(words) AS word, unnest(generate_series(1, len(words))) AS p FROM d),
+k AS (
+  SELECT w.r, count(*) AS n, count(gone.p) AS gone,
+         coalesce(string_agg(word, ' ' ORDER BY w.p) FILTER (gone.p IS NULL), '') AS kept
+  FROM w LEFT JOIN gone ON gone.r = w.r AND gone.p = w.p GROUP BY w.r
+)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r
+""",
     "op7_exact_dedup": """
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
