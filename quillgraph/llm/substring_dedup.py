@@ -151,8 +151,8 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """Places (key, at) of a bucket whose hash repeats, grouped by key."""
+def _answer(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places (key, at) of a bucket whose hash repeats."""
     hashes = np.frombuffer(b"".join(table.column("hash").to_pylist()), np.uint64)
     more = np.concatenate([_from_planes(x) for x in table.column("more").to_pylist()])
     parts = [(np.frombuffer(k, np.uint8), np.frombuffer(w, np.int64), _from_planes(a)) for k, w, a in zip(*(table.column(c).to_pylist() for c in ("known", "key", "at")), strict=True)]
@@ -166,21 +166,40 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     total = np.bincount(group, weights=1.0 + (kind[asked[order]] == 1))
     repeats[asked[order]] = total[group] > 1
     doc, at = doc[repeats], at[repeats]
-    order = np.argsort(doc, kind="stable")
-    doc, at = doc[order], at[order]
-    cuts = np.flatnonzero(np.diff(doc)) + 1 if len(doc) else np.zeros(0, np.int64)
-    keys = doc[np.concatenate(([0], cuts))] if len(doc) else doc
-    return pa.table({"key": pa.array(keys, pa.int64()), "places": pa.array([x.tobytes() for x in np.split(at, cuts)] if len(doc) else [], pa.binary())})
+    return doc, at
 
 
-def _repeated(asked: DataFrame) -> DataFrame:
+#: Rows of answers: the places found to repeat of the keys of one share.
+ANSWERED = T.StructType([T.StructField("share", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("at", T.BinaryType())])
+
+
+def _repeated(asked: DataFrame, shares: int) -> DataFrame:
     """(key, places): for each document the places whose hash occurs more than once anywhere."""
-    found = asked.groupBy("bucket").applyInArrow(_answer, "key long, places binary")
-    return found.groupBy("key").agg(F.collect_list("places").alias("places"))
+
+    def answer(table: pa.Table) -> pa.Table:
+        """Places of a bucket whose hash repeats, dealt by the shares of their keys."""
+        key, at = _answer(table)
+        share = key.view(np.uint64) % np.uint64(shares)
+        by = np.argsort(share, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(share[by], prepend=np.uint64(shares))), len(by))
+        rows = [by[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        return pa.table({"share": pa.array([int(share[r[0]]) for r in rows], pa.int32()), "key": pa.array([key[r].tobytes() for r in rows], pa.binary()), "at": pa.array([_planes(at[r]) for r in rows], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        """One row for each key of a share."""
+        key = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("key").to_pylist()])
+        at = np.concatenate([_from_planes(x) for x in table.column("at").to_pylist()])
+        by = np.argsort(key, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(key[by], prepend=~key[by[:1]])), len(by))
+        rows = [by[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        return pa.table({"key": pa.array([int(key[r[0]]) for r in rows], pa.int64()), "places": pa.array([_planes(np.sort(at[r])) for r in rows], pa.binary())})
+
+    found = asked.groupBy("bucket").applyInArrow(answer, ANSWERED)
+    return found.groupBy("share").applyInArrow(gather, "key long, places binary")
 
 
 def _places(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(x), np.uint32).astype(np.int64) if x else np.zeros(0, np.int64) for x in column.to_pylist()]
+    return [_from_planes(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in column.to_pylist()]
 
 
 def _numbers(words: Words, places: list[np.ndarray]) -> np.ndarray:
@@ -211,7 +230,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield from _ask(key, words.at[word], [words.hashes(word, width - PERIOD + 1, 0)], n_buckets)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             small = [packer.compress(t.encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary()), batch.column(2)], ["id", "text", "key"])
@@ -235,7 +254,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words.n_words), pa.array(n_removed), pa.array(words.kept(gone), pa.binary())], [id_col, "n_words", "n_removed", "kept"])
 
     squeezed = rows.select("id", "text", "key").mapInArrow(squeeze, T.StructType([id_field, T.StructField("text", T.BinaryType()), T.StructField("key", T.LongType())]))
-    near = _repeated(rows.select("text", "key").mapInArrow(ask_anchors, ASKED))
-    far = _repeated(squeezed.join(near, "key").select("key", "text", "places").mapInArrow(ask_windows, ASKED))
+    near = _repeated(rows.select("text", "key").mapInArrow(ask_anchors, ASKED), n_buckets)
+    far = _repeated(squeezed.join(near, "key").select("key", "text", "places").mapInArrow(ask_windows, ASKED), n_buckets)
     schema = T.StructType([T.StructField(id_col, id_field.dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
     return squeezed.join(far, "key", "left").select("id", "text", "places").mapInArrow(finish, schema)
