@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .exact_dedup import content_hash, exact_dedup
 from .packing import pack, tokenise_and_cut
+from .pii import find_spans, labelled_table, train_field
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
 from .toxicity import held_out, score, train
@@ -34,6 +35,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_spans(read(spark, sf_dir, "documents").select("doc_id", "text"), train_field(labelled_table(spark)))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
     ids = ids.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
@@ -58,6 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,

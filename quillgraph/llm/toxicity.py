@@ -28,7 +28,7 @@ SYMBOLS = 28
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: Log-probabilities of the channel: writing a letter in leetspeak, putting a mark or a digit between letters, a true
 #: word's end, a letter repeated.
-SUBSTITUTE, INSERT, DIGIT, BREAK, REPEAT = -1.0, -1.0, -6.0, -4.0, -0.5
+SUBSTITUTE, INSERT, DIGIT, BREAK, REPEAT = -1.0, -1.0, -12.0, -4.0, -0.5
 #: At most so many labelled documents are learned from, those with the least hashes of their ids.
 MOST_LABELLED = 20_000
 #: At most so many units are in the lexicon, those with the largest weights; each is in at least LEAST_SEEN toxic texts.
