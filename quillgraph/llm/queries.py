@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .exact_dedup import content_hash, exact_dedup
+from .media import media_features, resolve, sequences, store_media
 from .packing import pack, tokenise_and_cut
 from .pii import find_spans, labelled_table, train_field
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
 from .toxicity import held_out, score, train
+from .warc import plan_records, read_archives, write_archives
 
 
 #: Where the public tokenizers lie; the files are never copied.
@@ -24,6 +26,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest"))
+    html = F.concat(F.lit('<article><figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit("</figcaption></figure></article>"))
+    items = sequences(docs.select("doc_id", "n_bytes", html.alias("html")))
+    found = resolve(items, media_features(store_media(docs, "digest", "text")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(read(spark, sf_dir, "documents"), width=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -58,18 +69,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces, capacity=4096)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_archives(plan_records(read(spark, sf_dir, "pages")))
+    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup(read(spark, sf_dir, "documents"), shingle=3, blocks=1, segments=2, most=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
 QUERIES = {
+    "op1_media": op1_media,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
 
@@ -92,6 +110,17 @@ k AS (
 )
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON k.r = d.r
+""",
+    "op9_warc": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+  FROM pages
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM p
 """,
     "op7_exact_dedup": """
 WITH t AS (
