@@ -2,46 +2,55 @@
 
 from __future__ import annotations
 
-import os
+import json
 import re
+import unicodedata
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
-#: Words encoded in one call.
-TOGETHER = 20_000
+REMEMBERED = 400_000
 #: White space of str.split() that is none for the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[^\\S\x1c-\x1f]+")
 
 
+def _byte_characters() -> dict[int, int]:
+    """The printable character that byte-level BPE writes for each byte: itself, or the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class WordEncoder:
-    """Remembers the ids of words; unknown ones are encoded many at a time and dealt out by their offsets."""
+    """Remembers the ids of words. A new one is normalised and pre-tokenised as the file says, and the file's BPE model
+    gives the ids of its pieces."""
 
     def __init__(self, tokenizer_file: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(tokenizer_file, encoding="utf-8") as f:
+            found = json.load(f)
+        kinds = [n["type"] for n in found["normalizer"]["normalizers"]], [p["type"] for p in found["pre_tokenizer"]["pretokenizers"]]
+        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+            raise ValueError(f"words are not normalised and split as this encoder does: {kinds}")
+        pattern = found["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = regex.compile(pattern.replace(r"\s", ""))  # words hold no white space
+        self.model = Tokenizer.from_file(tokenizer_file).model
+        self.characters = _byte_characters()
         self.known: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         return [w for w in SPACE.split(text) if w] if ODD_SPACE.search(text) else text.split()
 
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), TOGETHER):
-            some = words[at : at + TOGETHER]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = np.cumsum([len(w) + 1 for w in some])
-            starts = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-            cuts = np.searchsorted(starts, ends[:-1]).tolist() if len(ids) else [0] * (len(some) - 1)
-            raw = ids.tobytes()
-            for word, i, j in zip(some, [0, *cuts], [*cuts, len(ids)], strict=True):
-                self.known[word] = raw[4 * i : 4 * j]
+    def _learn(self, word: str) -> bytes:
+        low = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        ids = array("I")
+        for piece in (low,) if low.isalpha() else self.pattern.findall(low):
+            if not piece.isascii():
+                piece = piece.encode().decode("latin-1").translate(self.characters)
+            ids.extend([t.id for t in self.model.tokenize(piece)])
+        return ids.tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -51,7 +60,8 @@ class WordEncoder:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = every
-        self.learn(sorted(new))
+        for word in new:
+            self.known[word] = self._learn(word)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
