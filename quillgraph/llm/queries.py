@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode
+from .chat import format_chat
 from .exact_dedup import content_hash, exact_dedup
 from .media import media_features, resolve, sequences, store_media
 from .packing import pack, tokenise_and_cut
@@ -59,6 +60,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(ids, RANKS, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chat(read(spark, sf_dir, "conversations"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs.withColumn("text_sha256", content_hash(docs.text))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -85,6 +90,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
+    "op6_chat": op6_chat,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
