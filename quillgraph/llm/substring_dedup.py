@@ -129,13 +129,12 @@ def _ask(key: np.ndarray, at: np.ndarray, hashes: list[np.ndarray], buckets: int
     # places already known to repeat are dealt evenly, as they need no answer; one for each hash is asked about for the others' sake
     bucket = np.where(new, hashes[0] >> np.uint64(33), key.view(np.uint64) ^ at.astype(np.uint64)) % np.uint64(buckets)
     kind = np.where(new, many.astype(np.uint8), np.uint8(2))
-    by = np.argsort(bucket, kind="stable")
+    by = np.lexsort((at, key, kind == 2, bucket))  # keys side by side compress well
     cuts = np.flatnonzero(np.diff(bucket[by], prepend=np.uint64(buckets)))
     rows = [[], [], [], [], [], []]
     more = (hashes[1] >> np.uint64(32)).astype(np.uint32) if len(hashes) > 1 else np.zeros(len(at), np.uint32)
     for some in np.split(by, cuts[1:]):
         ask = some[kind[some] < 2]
-        some = np.concatenate((ask, some[kind[some] == 2]))
         rows[0].append(int(bucket[some[0]]))
         for column, values in zip(rows[1:], (hashes[0][ask], more[ask] if len(hashes) > 1 else more[:0], kind[some], key[some], at[some].astype(np.uint32)), strict=True):
             column.append(values.tobytes() if values.dtype != np.uint32 else _planes(values))
@@ -217,7 +216,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if width < PERIOD:
         raise ValueError(f"windows have at least {PERIOD} words")
-    n_buckets = buckets or 4 * partitions(docs.sparkSession)
+    n_buckets = buckets or partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     id_field = T.StructField("id", docs.schema[id_col].dataType)
 
