@@ -1,12 +1,33 @@
-"""A corpus pipeline over documents; each stage calls one operator of quillgraph.llm."""
+"""A corpus pipeline over documents; each stage calls one operator of quillgraph.llm.
+
+Each stage takes all that its predecessor kept, written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import stage as write_and_read
 from quillgraph.llm.exact_dedup import exact_dedup
+from quillgraph.llm.packing import pack, tokenise_and_cut
+from quillgraph.llm.pii import labelled_table, redact, train_field
+from quillgraph.llm.simhash import simhash_dedup
+from quillgraph.llm.toxicity import score, train
+
+#: Documents that score this much or more are rejected.
+TOXIC = 0.3
+#: Near copies: 5-word shingles and fingerprints of 128 bits; a similarity of 0.8 shows as 19 differing bits
+#: (128 * acos(2 * 0.8 / 1.8) / pi = 19.4). Six segments of 21 or 22 bits, each indexed under one-wildcard variants.
+NEAR = {"shingle": 5, "blocks": 2, "segments": 6, "most": 19}
+CAPACITY, END_ID = 4096, 2
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under TOXIC."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score(docs, train(docs, labels), out="__toxicity").where(F.col("__toxicity") < TOXIC).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +35,29 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup(docs).where("kept").select(*docs.columns)
 
 
-STAGES = [("exact_dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least doc_id stays; rows without an id stay."""
+    gone = simhash_dedup(docs, **NEAR).where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind; n_chars follows the text."""
+    return redact(docs, train_field(labelled_table(spark))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most CAPACITY ids."""
+    return pack(tokenise_and_cut(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, CAPACITY), CAPACITY)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("pii", redact_personal_data),
+    ("packing", pack_sequences),
+]
 
 #: The toxicity model, the fingerprint graph, the tagger and the packer have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
