@@ -37,8 +37,8 @@ MOST_UNITS, LEAST_SEEN = 20_000, 3
 LEAST_WEIGHT = 2.5
 #: A text's evidence is the sum of its TOP largest weights, each counted up to CAP.
 TOP, CAP = 3, 4.0
-#: Tokens that a worker remembers.
-REMEMBERED = 300_000
+#: Tokens that a worker remembers, and units that it counts before it hands the counts on.
+REMEMBERED, COUNTED = 150_000, 100_000
 
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
 THRICE = re.compile(r"(.)\1\1", re.DOTALL)
@@ -194,20 +194,24 @@ def held_out(id_col: Column) -> Column:
 def _unit_counts(counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(counts)
-        known: dict[str, tuple[str, ...]] = {}
         found: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def flush() -> pa.RecordBatch:
+            keys = list(found[0].keys() | found[1].keys())
+            columns = [pa.array(keys, pa.string()), *(pa.array([found[y][k] for k in keys], pa.int64()) for y in (1, 0))]
+            found[0].clear()
+            found[1].clear()
+            return pa.RecordBatch.from_arrays(columns, ["unit", "toxic", "clean"])
+
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                have: set[str] = set()
+            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
+                text, have = text.as_py(), set()
                 for token in {*text.split(), *SPACED.findall(text)}:
-                    if token not in known:
-                        known[token] = tuple(units(restorer.words(token)))
-                    have.update(known[token])
-                found[toxic].update(have)
-        keys = list(found[0].keys() | found[1].keys())
-        for at in range(0, len(keys), 50_000):
-            some = keys[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([found[y][k] for k in some], pa.int64()) for y in (1, 0))], ["unit", "toxic", "clean"])
+                    have.update(units(restorer.words(token)))
+                found[toxic.as_py()].update(have)
+                if len(found[0]) + len(found[1]) > COUNTED:
+                    yield flush()
+        yield flush()
 
     return run
 
@@ -235,8 +239,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(scorer.evidence(batch.column(0).to_pylist()), pa.float64()), batch.column(1)], ["x", "y"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
+                yield pa.RecordBatch.from_arrays([pa.array(scorer.evidence(batch.column(0).to_pylist()), pa.float64()), batch.column(1)], ["x", "y"])
 
     rows = texts.mapInArrow(run, "x double, y int").groupBy(F.round("x", 2).alias("x")).agg(F.sum("y").alias("ones"), F.count("*").alias("all")).orderBy("x").collect()
     model.bias, model.slope = _logistic(np.array([r.x for r in rows]), np.array([r.ones for r in rows], float), np.array([r["all"] for r in rows], float))
@@ -267,8 +273,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
                 found = scorer.score([t or "" for t in batch.column(text_col).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, out])
 
