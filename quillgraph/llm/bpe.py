@@ -128,6 +128,7 @@ def _encode_whole(rank_file: str, pattern: str):
             for batch in rebatch([whole], whole.schema.names[-1]):
                 texts = batch.column(batch.num_columns - 1).to_pylist()
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([coder.ids(coder.pattern.findall(t or "")) for t in texts], pa.binary())], [*batch.schema.names[:-1], f"{P}ids"])
+        coder.known.clear()  # workers outlive their tasks
 
     return run
 

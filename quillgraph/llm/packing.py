@@ -90,6 +90,7 @@ def tokenise_and_cut(docs: DataFrame, tokenizer_file: str, end_id: int, capacity
                         crc.append(zlib.crc32(ids[4 * at : 4 * (at + capacity)]))
                         total.append(n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names)
+        coder.known.clear()  # workers outlive their tasks
 
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in names[1:])])
