@@ -47,7 +47,7 @@ class WordEncoder:
         low = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
         ids = array("I")
         for piece in (low,) if low.isalpha() else self.pattern.findall(low):
-            if not piece.isascii():
+            if not (piece.isascii() and piece.isprintable()):
                 piece = piece.encode().decode("latin-1").translate(self.characters)
             ids.extend([t.id for t in self.model.tokenize(piece)])
         return ids.tobytes()
