@@ -142,7 +142,9 @@ def test_wide_fingerprints_link_near_copies(spark):
 def test_spanning_connects_what_all_pairs_connect():
     rng = np.random.default_rng(1)
     f = rng.integers(0, 1 << 16, (300, 1), np.uint64)
-    joined = np.concatenate([np.stack(p, axis=1) for p in simhash.spanning(f, 3)])
+    label = rng.integers(0, 250, 300)
+    joined = list(simhash.spanning(f, 3, label)) + [(i, j) for i in range(300) for j in range(i) if label[i] == label[j]]
+    assert all(bin(int(f[a, 0] ^ f[b, 0])).count("1") <= 3 for a, b in simhash.spanning(f, 3))
     root = {i: i for i in range(300)}
 
     def find(x):
@@ -150,9 +152,23 @@ def test_spanning_connects_what_all_pairs_connect():
             x = root[x]
         return x
 
-    for a, b in joined.tolist():
+    for a, b in joined:
         root[find(a)] = find(b)
-    want = brute.components([int(x) for x in f[:, 0]], 3)
+    want = list(range(300))
+    near = brute.components([int(x) for x in f[:, 0]], 3)
+    groups = {i: i for i in range(300)}
+
+    def top(x):
+        while groups[x] != x:
+            x = groups[x]
+        return x
+
+    for i in range(300):
+        groups[top(i)] = top(near[i])
+        for j in range(i):
+            if label[i] == label[j]:
+                groups[top(i)] = top(j)
+    want = [top(i) for i in range(300)]
     have = collections.defaultdict(set)
     for i in range(300):
         have[find(i)].add(i)
