@@ -31,7 +31,7 @@ def mentioned(question: str, nodes: DataFrame) -> DataFrame:
     terms = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))) if "aliases" in nodes.columns else F.array("label")
     rows = nodes.select("id", "type", "label", F.explode(terms).alias("term")).where(F.length("term") > 2)
     low = F.lit(question.lower())
-    hit = low.rlike(F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.lower("term"), F.lit(r"\E(?!\w)")))
+    hit = F.rlike(low, F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.lower("term"), F.lit(r"\E(?!\w)")))
     return rows.where(F.lit(question.lower()).contains(F.lower("term")) & hit).groupBy("id", "type", "label").agg(F.max(F.length("term")).alias("length")).orderBy(F.desc("length"), "id")
 
 

@@ -220,9 +220,9 @@ def jats_units(articles: DataFrame, id_col: str, xml_col: str) -> DataFrame:
 
     def expand(xml: str) -> Iterator[tuple[str, str, str]]:
         root = ElementTree.fromstring(xml)
-        for abstract in root.iter("{*}abstract"):
+        for abstract in root.findall(".//{*}abstract"):
             yield from walk(abstract, ("Abstract",))
-        for body in root.iter("{*}body"):
+        for body in root.findall(".//{*}body"):
             yield from walk(body, ())
 
     return _flat(articles, id_col, [xml_col], expand, "kind string, section string, text string")
