@@ -101,18 +101,14 @@ def first_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id").agg(F.min("event_id").alias("event_id"), F.min_by("event_type", "event_id").alias("event_type"))
 
 
-def users(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return events(spark, sf_dir).where(F.col("event_type") == kind).select("user_id")
-
-
-TYPES = "WITH t AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events), x AS (SELECT user_id FROM events, t WHERE event_type = a), y AS (SELECT user_id FROM events, t WHERE event_type = b)"
+TYPES = "WITH t AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events), x AS (SELECT user_id FROM events, t WHERE event_type = a AND json_extract_string(props, '$.k') = '1'), y AS (SELECT user_id FROM events, t WHERE event_type = b AND json_extract_string(props, '$.k') = '2')"
 
 
 def first_and_last(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = events(spark, sf_dir)
     ends = F.broadcast(rows.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")))  # one row
     joined = rows.join(ends)
-    return joined.where("event_type = a").select("user_id"), joined.where("event_type = b").select("user_id")
+    return joined.where("event_type = a AND k = 1").select("user_id"), joined.where("event_type = b AND k = 2").select("user_id")
 
 
 @query("st01_union", f"{TYPES} SELECT user_id FROM x UNION SELECT user_id FROM y")
