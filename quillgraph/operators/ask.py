@@ -13,7 +13,7 @@ RULES = (
     ("evidence", r"\b(evidence|source|sources|support|proof|paper|papers)\b"),
     ("connections", r"\b(connect|connected|connection|connections|related|why|similar)\b"),
     ("describe", r"\b(what|tell|describe|about|show|who)\b"),
-    ("overview", r"\b(overview|graph|atlas|start|here|explore)\b"),
+    ("overview", r"\b(overview|graph|start|here|explore)\b"),
 )
 
 

@@ -296,7 +296,7 @@ SELECT conv_id, turn, CASE
   WHEN regexp_matches(lower(text), '\b(evidence|source|sources|support|proof|paper|papers)\b') THEN 'evidence'
   WHEN regexp_matches(lower(text), '\b(connect|connected|connection|connections|related|why|similar)\b') THEN 'connections'
   WHEN regexp_matches(lower(text), '\b(what|tell|describe|about|show|who)\b') THEN 'describe'
-  WHEN regexp_matches(lower(text), '\b(overview|graph|atlas|start|here|explore)\b') THEN 'overview'
+  WHEN regexp_matches(lower(text), '\b(overview|graph|start|here|explore)\b') THEN 'overview'
   ELSE 'missing' END AS intent, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations""")
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "conversations")

@@ -53,7 +53,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     A line that is not strict JSON (a repeated key, NaN) is an error.
     """
     rows = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).where(~blank("value"))
-    checked = F.when(F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not strict JSON: "), F.left("value", F.lit(80)))))
+    checked = F.when(blank("value") | F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not strict JSON: "), F.left("value", F.lit(80)))))
     return rows.select(F.from_json(checked.cast("string"), schema).alias("r")).select("r.*")
 
 
@@ -100,12 +100,14 @@ def after_preamble(spark: SparkSession, path: str, skip: int, sep: str = ",", se
         raise ValueError(f"{path} has no line {skip + 1}")
     names = [n.strip().strip('"') for n in header.value.split(sep)]
     body = rows.where((F.col("line") > skip + 1 + separators) & ~blank("value"))
+    end = None
     if footer is not None:
         end = body.where(F.col("value").startswith(footer)).agg(F.min("line")).first()[0]
         body = body if end is None else body.where(F.col("line") < end)
     fields = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": sep, "mode": "PERMISSIVE"})
     width = F.size(F.split(F.regexp_replace("value", '"[^"]*"', ""), f"\\Q{sep}\\E", -1))
-    checked = F.when(width == len(names), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(f" does not have {len(names)} fields"))))
+    outside = (F.col("line") <= skip + 1 + separators) | blank("value") | (F.lit(False) if end is None else F.col("line") >= end)
+    checked = F.when(outside | (width == len(names)), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(f" does not have {len(names)} fields"))))
     return body.withColumn("value", checked.cast("string")).select(fields.alias("r")).select("r.*")
 
 
@@ -122,7 +124,7 @@ def positional(spark: SparkSession, path: str, names: Sequence[str]) -> DataFram
     """
     parts = F.split("value", "\t", -1)
     good = (F.size(parts) >= len(names)) & F.forall(F.slice(parts, len(names) + 1, 10_000), lambda x: x == "")
-    checked = F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" does not fit the declared columns"))))
+    checked = F.when(good | blank("value"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" does not fit the declared columns"))))
     rows = lines(spark, path).where(~blank("value")).withColumn("value", checked.cast("string"))
     return rows.select(*_columns(F.col("value"), names), F.slice(parts, 1, len(names)).alias("native_columns"), F.col("line").alias("source_line"))
 
@@ -178,7 +180,7 @@ def phenotype_annotations(spark: SparkSession, path: str) -> DataFrame:
     body = rows.where(F.col("line") > header.line)
     wide = body.select("line", F.col("value").alias("__raw"), *_columns(F.col("value"), names))
     good = wide["hpo_id"].rlike(r"^HP:\d+$") & wide["qualifier"].isin("", "NOT") & (F.size(F.split("__raw", "\t", -1)) == len(names))
-    checked = F.when(good, F.col("hpo_id")).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" is malformed"))))
+    checked = F.when(good | (F.col("line") <= header.line), F.col("hpo_id")).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" is malformed"))))
     wide = wide.withColumns({"hpo_id": checked.cast("string"), "negated": F.col("qualifier") == "NOT", "record_id": F.sha2("__raw", 256)})
     first = wide.groupBy("record_id").agg(F.min("line").alias("line"))
     return wide.join(first, ["record_id", "line"]).drop("__raw")
