@@ -159,8 +159,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     good = parts.join(stitches.drop("last"), ["key", "chunk"]).join(torn, "key", "left_anti").select("key", "chunk", "start", "text", "since", "until")
     ids = good.mapInArrow(_encode_parts(rank_file, pattern), "key long, chunk int, ids binary").groupBy("key")
     joined = F.aggregate(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), F.lit(b""), lambda so_far, part: F.concat(so_far, part.ids))
-    stitched = long.drop(f"{P}text").join(ids.agg(joined.alias(f"{P}ids")), F.col(f"{P}key") == F.col("key")).select(*rest, f"{P}ids")
-    whole = long.join(torn, F.col(f"{P}key") == F.col("key"), "left_semi").select(*rest, f"{P}text")
+    stitched = long.drop(f"{P}text").join(ids.agg(joined.alias(f"{P}ids")).withColumnRenamed("key", f"{P}key"), f"{P}key").select(*rest, f"{P}ids")
+    whole = long.join(torn.withColumnRenamed("key", f"{P}key"), f"{P}key", "left_semi").select(*rest, f"{P}text")
     whole = whole.mapInArrow(_encode_whole(rank_file, pattern), schema)
     return done.union(stitched).union(whole).withColumnRenamed(f"{P}ids", out)
 

@@ -199,9 +199,10 @@ def resolve(documents: DataFrame, media: DataFrame, items_col: str = "items", pr
     """A row for each item of each document, with the columns of `media` (one row for each digest) where it refers to one.
 
     Position and caption stay with their item. References that media lacks, and text items, have nulls there. A hot
-    digest's references are spread over all tasks. Documents without items give no row.
+    digest's references are spread over all tasks. Documents without items give no row. Columns of the documents that are
+    named like an item's fields or like columns of `media` are left out.
     """
-    rest = [c for c in documents.columns if c != items_col]
+    rest = [c for c in documents.columns if c not in (items_col, *ITEM.names, *media.columns)]
     items = documents.select(*rest, F.explode(items_col).alias(f"{P}item")).select(*rest, f"{P}item.*")
     items = items.withColumn(f"{P}digest", F.when(F.col("ref").startswith(prefix), F.substring("ref", len(prefix) + 1, 64)))
     sizes = items.where(F.col(f"{P}digest").isNotNull()).groupBy(f"{P}digest").agg(F.count("*").alias(f"{P}size"))

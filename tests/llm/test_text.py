@@ -132,7 +132,7 @@ def reference():
 @pytest.mark.parametrize("chunk", [40, 20_000])
 def test_bpe_by_chunks_is_that_of_the_whole(spark, reference, chunk):
     texts = [*ODD, "it's 'r" * 40, "x'r" + "e" * 50, "ab\n\n\n cd " * 60, None]
-    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], SCHEMA + ", ids string")
+    docs = spark.createDataFrame([(i, t, "c", i, i) for i, t in enumerate(texts)], SCHEMA + ", ids string, key int, chunk int")
     ids = bpe.encode(docs, RANKS, PATTERN, chunk=chunk, overlap=15 if chunk < 100 else 1000)
     got = {r.doc_id: r for r in bpe.decode(ids, RANKS, PATTERN).collect()}
     assert len(got) == len(texts)
@@ -217,7 +217,7 @@ def test_references_are_resolved_in_place(spark):
     texts = {1: "same", 2: "same", 3: "other", 4: ""}
     rows = [(i, hashlib.sha256(t.encode()).hexdigest(), t) for i, t in texts.items()]
     payloads = spark.createDataFrame(rows, "doc_id long, digest string, text string")
-    pages = spark.createDataFrame([(i, f'<p>a</p><figure><img src="sha256:{d}"><figcaption>c{i}</figcaption></figure><img src="sha256:{"0" * 64}">') for i, d, _ in rows] + [(9, None)], "page long, html string")
+    pages = spark.createDataFrame([(*r, "clash", "clash") for r in [(i, f'<p>a</p><figure><img src="sha256:{d}"><figcaption>c{i}</figcaption></figure><img src="sha256:{"0" * 64}">') for i, d, _ in rows] + [(9, None)]], "page long, html string, position string, feature string")
     store = media.store_media(payloads, "digest", "text")
     got = media.resolve(media.sequences(pages), media.media_features(store)).collect()
     assert len(got) == 12 and all(r.position in (0, 1, 2) for r in got)
