@@ -53,10 +53,11 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     Hot keys (over total / HOT_SHARE rows, so fewer than HOT_SHARE of them) are broadcast; their rows and rows
     with a null key are then dealt by `spread` instead of the key, so no task of the shuffled join gets a hot group.
     """
+    # the cold side's salt is 0 but no literal: a literal would drop out of the join's keys, and hot rows meet again
     values = [c for c in groups.columns if c != key]
     most = max(total // HOT_SHARE, 100)
     hot = groups.where(F.col(size) > most).select(key, *[F.col(c).alias(f"{P}hot_{c}") for c in values])
-    cold = groups.where(F.col(size) <= most).select(key, *[F.col(c).alias(f"{P}cold_{c}") for c in values], F.lit(0).cast("long").alias(f"{P}salt"))
+    cold = groups.where(F.col(size) <= most).select(key, *[F.col(c).alias(f"{P}cold_{c}") for c in values], F.pmod(F.col(size).cast("long"), F.lit(1)).alias(f"{P}salt"))
     salt = F.when(F.col(f"{P}hot_{size}").isNotNull() | F.col(key).isNull(), F.xxhash64(spread).bitwiseOR(1)).otherwise(0)
     joined = rows.join(F.broadcast(hot), key, "left").withColumn(f"{P}salt", salt).join(cold, [key, f"{P}salt"], "left")
     kept = [c for c in rows.columns if c not in values]
