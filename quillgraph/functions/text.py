@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -197,3 +199,18 @@ def descriptive_ratio(variant: Column, control: Column, inverted: Column) -> Col
     and variant >= 0."""
     good = (control > 0) & (variant >= 0)
     return F.when(good, F.when(inverted, ratio(control, variant)).otherwise(ratio(variant, control)))
+
+
+def casefold(x: ColumnOrName) -> Column:
+    """Full case folding (ß as ss), which no built-in function does; Arrow batches."""
+
+    @F.pandas_udf("string")
+    def fold(values: pd.Series) -> pd.Series:
+        return values.str.casefold()
+
+    return fold(_col(x))
+
+
+def has_keys(x: ColumnOrName, names: Sequence[str]) -> Column:
+    """Whether a JSON object has just these keys."""
+    return F.coalesce(F.array_sort(F.json_object_keys(_col(x))) == F.array(*[F.lit(n) for n in sorted(names)]), F.lit(False))
