@@ -29,14 +29,14 @@ class WordEncoder:
         import regex
         from tokenizers import Tokenizer
 
-        with open(tokenizer_file, encoding="utf-8") as f:
-            found = json.load(f)
-        kinds = [n["type"] for n in found["normalizer"]["normalizers"]], [p["type"] for p in found["pre_tokenizer"]["pretokenizers"]]
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        steps = json.loads(tokenizer.normalizer.__getstate__())["normalizers"], json.loads(tokenizer.pre_tokenizer.__getstate__())["pretokenizers"]
+        kinds = tuple([s["type"] for s in some] for some in steps)
         if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
             raise ValueError(f"words are not normalised and split as this encoder does: {kinds}")
-        pattern = found["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        pattern = steps[1][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern.replace(r"\s", ""))  # words hold no white space
-        self.model = Tokenizer.from_file(tokenizer_file).model
+        self.model = tokenizer.model
         self.characters = _byte_characters()
         self.known: dict[str, bytes] = {}
 
