@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, partitions, rebatch, stage
+from .common import P, partitions, rebatch, stage, tidy
 
 #: Characters of a chunk, and characters that it shares with the next one.
 CHUNK, OVERLAP = 20_000, 1_000
@@ -145,10 +145,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     short = docs.where(F.length(text) <= chunk).select(*rest, text.alias(f"{P}text"))
     schema = T.StructType([*short.schema.fields[:-1], T.StructField(f"{P}ids", T.BinaryType())])
-    done = short.mapInArrow(_encode_whole(rank_file, pattern), schema)
+    done = short.mapInArrow(tidy(_encode_whole(rank_file, pattern)), schema)
     long = stage(docs.where(F.length(text) > chunk).select(*rest, text.alias(f"{P}text"), F.monotonically_increasing_id().alias(f"{P}key")), "long")
-    parts = long.select(f"{P}key", f"{P}text").mapInArrow(_cut_rows(chunk, overlap), "key long, chunk int, start long, text string, last boolean")
-    parts = parts.repartition(partitions(docs.sparkSession), "key", "chunk").mapInArrow(_pretokenise(rank_file, pattern, chunk), "key long, chunk int, start long, text string, last boolean, head array<long>, tail array<long>")
+    parts = long.select(f"{P}key", f"{P}text").mapInArrow(tidy(_cut_rows(chunk, overlap)), "key long, chunk int, start long, text string, last boolean")
+    parts = parts.repartition(partitions(docs.sparkSession), "key", "chunk").mapInArrow(tidy(_pretokenise(rank_file, pattern, chunk)), "key long, chunk int, start long, text string, last boolean, head array<long>, tail array<long>")
     parts = stage(parts, "parts")
     order = Window.partitionBy("key").orderBy("chunk")
     common = F.array_min(F.array_intersect("head", F.lag("tail").over(order)))
@@ -157,11 +157,11 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     stitches = stage(stitches, "stitches")
     torn = stitches.where(F.col("since").isNull()).select("key").distinct()
     good = parts.join(stitches.drop("last"), ["key", "chunk"]).join(torn, "key", "left_anti").select("key", "chunk", "start", "text", "since", "until")
-    ids = good.mapInArrow(_encode_parts(rank_file, pattern), "key long, chunk int, ids binary").groupBy("key")
+    ids = good.mapInArrow(tidy(_encode_parts(rank_file, pattern)), "key long, chunk int, ids binary").groupBy("key")
     joined = F.aggregate(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), F.lit(b""), lambda so_far, part: F.concat(so_far, part.ids))
     stitched = long.drop(f"{P}text").join(ids.agg(joined.alias(f"{P}ids")).withColumnRenamed("key", f"{P}key"), f"{P}key").select(*rest, f"{P}ids")
     whole = long.join(torn.withColumnRenamed("key", f"{P}key"), f"{P}key", "left_semi").select(*rest, f"{P}text")
-    whole = whole.mapInArrow(_encode_whole(rank_file, pattern), schema)
+    whole = whole.mapInArrow(tidy(_encode_whole(rank_file, pattern)), schema)
     return done.union(stitched).union(whole).withColumnRenamed(f"{P}ids", out)
 
 
@@ -176,4 +176,4 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids"
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, out])
 
     rows = tokens.drop(out)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())]))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -64,6 +67,24 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     return joined.select(*kept, *[F.coalesce(f"{P}hot_{c}", f"{P}cold_{c}").alias(c) for c in values])
 
 
+def tidy(run: Callable) -> Callable:
+    """A batch function that gives memory back to the system when its task ends, as workers go on to other tasks."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return tidied
+
+
 def rebatch(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that `column` holds about most_bytes at most (a single longer row is a batch of its own)."""
     for batch in batches:

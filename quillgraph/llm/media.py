@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, attach, rebatch, stage
+from .common import P, attach, rebatch, stage, tidy
 
 WIDTH = 64
 #: Fixed values of the image format.
@@ -107,7 +107,7 @@ def sequences(pages: DataFrame, html_col: str = "html", out: str = "items") -> D
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(items, item)], [*kept, out])
 
     rows = pages.select(*kept, html_col)
-    return rows.mapInArrow(run, T.StructType([*rows.drop(html_col).schema.fields, T.StructField(out, T.ArrayType(ITEM))]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.drop(html_col).schema.fields, T.StructField(out, T.ArrayType(ITEM))]))
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -173,7 +173,7 @@ def store_media(payloads: DataFrame, digest_col: str, payload_col: str) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
 
     rows = payloads.select(F.col(digest_col).alias("digest"), F.col(payload_col).cast("binary").alias("payload"))
-    return stage(rows.mapInArrow(run, "digest string, media binary"), "media", compression="none")
+    return stage(rows.mapInArrow(tidy(run), "digest string, media binary"), "media", compression="none")
 
 
 def media_features(store: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def media_features(store: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names)
 
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    rows = store.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    rows = store.mapInArrow(tidy(run), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return rows.groupBy("digest").agg(*[F.min(c).alias(c) for c in names[1:]])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, rebatch, stage
+from .common import P, rebatch, stage, tidy
 from .words import word_encoder
 
 #: Tails that are packed together: enough of them that best fit leaves little open, few enough for any task.
@@ -94,7 +94,7 @@ def tokenise_and_cut(docs: DataFrame, tokenizer_file: str, end_id: int, capacity
 
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in names[1:])])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def pack(pieces: DataFrame, capacity: int, length_col: str = "length", shards: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import tidy
 from .crf import Crf, luhn, train
 
 #: Kinds, in the order in which spans of one start are listed. The field alone finds the last.
@@ -207,7 +208,7 @@ def find_spans(docs: DataFrame, field: Crf, text_col: str = "text") -> DataFrame
                 every.append(as_rows(sorted(found + added_spans(text, found, field), key=lambda x: (x[0], x[2]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, kind), pa.array(every, kind)], [*batch.schema.names, "base_spans", "spans"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *T._parse_datatype_string(f"base_spans {SPAN}, spans {SPAN}").fields]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, *T._parse_datatype_string(f"base_spans {SPAN}, spans {SPAN}").fields]))
 
 
 def redact(docs: DataFrame, field: Crf, text_col: str = "text") -> DataFrame:
@@ -222,7 +223,7 @@ def redact(docs: DataFrame, field: Crf, text_col: str = "text") -> DataFrame:
             texts = [t if t is None or not MARK.search(t) else _redacted(t, field) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def _redacted(text: str, field: Crf) -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, rebatch
+from .common import partitions, rebatch, tidy
 
 #: A perfect difference cover: every difference modulo 21 is one of two of its members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -252,8 +252,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             n_removed = np.bincount(words.doc[gone], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words.n_words), pa.array(n_removed), pa.array(words.kept(gone), pa.binary())], [id_col, "n_words", "n_removed", "kept"])
 
-    squeezed = rows.select("id", "text", "key").mapInArrow(squeeze, T.StructType([id_field, T.StructField("text", T.BinaryType()), T.StructField("key", T.LongType())]))
-    near = _repeated(rows.select("text", "key").mapInArrow(ask_anchors, ASKED), n_buckets)
-    far = _repeated(squeezed.join(near, "key").select("key", "text", "places").mapInArrow(ask_windows, ASKED), n_buckets)
+    squeezed = rows.select("id", "text", "key").mapInArrow(tidy(squeeze), T.StructType([id_field, T.StructField("text", T.BinaryType()), T.StructField("key", T.LongType())]))
+    near = _repeated(rows.select("text", "key").mapInArrow(tidy(ask_anchors), ASKED), n_buckets)
+    far = _repeated(squeezed.join(near, "key").select("key", "text", "places").mapInArrow(tidy(ask_windows), ASKED), n_buckets)
     schema = T.StructType([T.StructField(id_col, id_field.dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
-    return squeezed.join(far, "key", "left").select("id", "text", "places").mapInArrow(finish, schema)
+    return squeezed.join(far, "key", "left").select("id", "text", "places").mapInArrow(tidy(finish), schema)

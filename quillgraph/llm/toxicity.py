@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, stage
+from .common import P, stage, tidy
 
 #: Symbols of the model: 0 a word's end, 1-26 a-z, 27 any other letter.
 SYMBOLS = 28
@@ -38,7 +38,7 @@ LEAST_WEIGHT = 2.5
 #: A text's evidence is the sum of its TOP largest weights, each counted up to CAP.
 TOP, CAP = 3, 4.0
 #: Tokens that a worker remembers, and units that it counts before it hands the counts on.
-REMEMBERED, COUNTED = 150_000, 100_000
+REMEMBERED, COUNTED = 100_000, 60_000
 
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
 THRICE = re.compile(r"(.)\1\1", re.DOTALL)
@@ -69,7 +69,7 @@ def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["trigram", "n"])
 
     counts = np.zeros(SYMBOLS**3)
-    for row in docs.select(text_col).mapInArrow(run, "trigram int, n long").groupBy("trigram").agg(F.sum("n").alias("n")).collect():
+    for row in docs.select(text_col).mapInArrow(tidy(run), "trigram int, n long").groupBy("trigram").agg(F.sum("n").alias("n")).collect():
         counts[row.trigram] = row.n
     return counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
 
@@ -230,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return Model(counts, {}, -30.0, 0.0)
-    found = texts.mapInArrow(_unit_counts(counts), "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    found = texts.mapInArrow(tidy(_unit_counts(counts)), "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     weight = F.log(t / c) - F.lit(math.log((n[1] + 1) / (n[0] + 1))) - F.sqrt(1 / t + 1 / c)
     found = found.where(F.col("t") >= LEAST_SEEN).select("unit", weight.alias("weight")).where(F.col("weight") > LEAST_WEIGHT)
@@ -244,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 batch = whole.slice(at, 250)
                 yield pa.RecordBatch.from_arrays([pa.array(scorer.evidence(batch.column(0).to_pylist()), pa.float64()), batch.column(1)], ["x", "y"])
 
-    rows = texts.mapInArrow(run, "x double, y int").groupBy(F.round("x", 2).alias("x")).agg(F.sum("y").alias("ones"), F.count("*").alias("all")).orderBy("x").collect()
+    rows = texts.mapInArrow(tidy(run), "x double, y int").groupBy(F.round("x", 2).alias("x")).agg(F.sum("y").alias("ones"), F.count("*").alias("all")).orderBy("x").collect()
     model.bias, model.slope = _logistic(np.array([r.x for r in rows]), np.array([r.ones for r in rows], float), np.array([r["all"] for r in rows], float))
     return model
 
@@ -278,4 +278,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
                 found = scorer.score([t or "" for t in batch.column(text_col).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, out])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, attach, stage
+from .common import P, attach, stage, tidy
 
 #: Fixed values of the formats: the skippable frame that holds a dictionary, and a date, as records carry one.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -103,7 +103,7 @@ def write_archives(records: DataFrame, id_col: str = "page_id", url_col: str = "
             yield flush()
 
     columns = [F.col(id_col), F.col(url_col), F.when(F.col("refers_to").isNull(), payload(F.col(html_col))).alias("body"), "payload_digest", "payload_bytes", "refers_to"]
-    return stage(records.select(*columns).mapInArrow(run, "path string, content binary"), "archives", compression="none")
+    return stage(records.select(*columns).mapInArrow(tidy(run), "path string, content binary"), "archives", compression="none")
 
 
 def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
@@ -207,4 +207,4 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    return archives.select("path", "content").mapInArrow(run, RECORDS)
+    return archives.select("path", "content").mapInArrow(tidy(run), RECORDS)

@@ -9,7 +9,7 @@ from array import array
 from functools import lru_cache
 
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: White space of str.split() that is none for the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[^\\S\x1c-\x1f]+")
