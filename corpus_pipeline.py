@@ -18,9 +18,10 @@ from quillgraph.llm.toxicity import score, train
 
 #: Documents that score this much or more are rejected.
 TOXIC = 0.3
-#: Near copies: 5-word shingles and fingerprints of 128 bits; a similarity of 0.8 shows as 19 differing bits
-#: (128 * acos(2 * 0.8 / 1.8) / pi = 19.4). Six segments of 21 or 22 bits, each indexed under one-wildcard variants.
-NEAR = {"shingle": 5, "blocks": 2, "segments": 6, "most": 19}
+#: Near copies: a Jaccard similarity of 0.8 or more of 5-word shingles, verified for the candidates that fingerprints of
+#: 128 bits give. At 0.8 these differ in 19.4 bits on average (128 * acos(2 * 0.8 / 1.8) / pi), with a deviation of 4.1,
+#: so candidates may differ in 28. Ten segments have one with at most one differing bit for sure at up to 19 bits.
+NEAR = {"shingle": 5, "blocks": 2, "segments": 10, "most": 28, "similar": 0.8}
 CAPACITY, END_ID = 4096, 2
 
 

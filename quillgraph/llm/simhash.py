@@ -30,35 +30,45 @@ CHUNK = 1 << 16
 SHORT = 8
 
 
-def fingerprint(text: str | None, shingle: int, blocks: int) -> list[int]:
-    """Blocks of 64 bits; bit i is 1 if it is set in over half the hashes of the word shingles."""
+def fingerprint(text: str | None, shingle: int, blocks: int, sets: list[bytes] | None = None) -> list[int]:
+    """Blocks of 64 bits; bit i is 1 if it is set in over half the hashes of the word shingles.
+
+    The set of shingles, as sorted hashes of 32 bits, is added to sets if there is such a list.
+    """
     words = (text or "").encode().lower().split()
     if not words:
+        if sets is not None:
+            sets.append(b"")
         return [0] * blocks
     n = max(1, len(words) - shingle + 1)
     data, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
     ends = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    out = []
+    out, seen = [], []
     for seed in SEEDS[:blocks]:
         counts = np.zeros(64, np.int64)
         for at in range(0, n, CHUNK):
             hashes = np.fromiter((xxhash.xxh64_intdigest(data[s:e], seed) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)), np.uint64)
             counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            if sets is not None and seed == SEEDS[0]:
+                seen.append(np.unique(hashes.astype("<u4")))
         out.append(int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0]))
+    if sets is not None:
+        sets.append(np.unique(np.concatenate(seen)).tobytes())
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, blocks: int) -> DataFrame:
-    """(id, f0, ...) of all rows. Null text counts as empty, whose fingerprint is zero."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, blocks: int, with_sets: bool = False) -> DataFrame:
+    """(id, f0, ...) of all rows, and their sets of shingles if asked. Null text counts as empty, whose fingerprint is zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(text.as_py(), shingle, blocks) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], pa.int64()) for i in range(blocks))], names)
+            sets = [] if with_sets else None
+            found = [fingerprint(text.as_py(), shingle, blocks, sets) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], pa.int64()) for i in range(blocks)), *([pa.array(sets, pa.binary())] if with_sets else [])], [*names, *more])
 
-    names = [id_col, *(f"f{i}" for i in range(blocks))]
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in names[1:])])
+    names, more = [id_col, *(f"f{i}" for i in range(blocks))], [f"{P}set"] if with_sets else []
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in names[1:]), *(T.StructField(n, T.BinaryType()) for n in more)])
     return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
@@ -135,8 +145,27 @@ def spanning(f: np.ndarray, most: int, label: np.ndarray | None = None) -> Itera
             return
 
 
-def _match(blocks: int, most: int, labelled: bool):
-    """Verified links from rows sorted by kind and value, where equal ones stand together."""
+def across(f: np.ndarray, most: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs at a distance of at most `most` bits whose labels differ.
+
+    One end of each is outside the commonest label, so only those members are compared with everyone.
+    """
+    labels, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(inverse != count.argmax())
+    step = max(1, (1 << 20) // len(f))
+    for at in range(0, len(rows), step):
+        mine = rows[at : at + step]
+        apart = sum(np.bitwise_count(f[mine, b][:, None] ^ f[None, :, b]).astype(np.uint16) for b in range(f.shape[1]))
+        i, j = np.nonzero((apart <= most) & (inverse[mine][:, None] != inverse[None, :]))
+        if len(i):
+            yield mine[i], j
+
+
+def _match(blocks: int, most: int, labelled: bool, every: bool = False):
+    """Verified links from rows sorted by kind and value, where equal ones stand together.
+
+    every: all links between labels are given, also in long runs.
+    """
     names = [f"{side}{i}" for side in "ab" for i in range(blocks)]
 
     def linked(kind: np.ndarray, value: np.ndarray, f: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -148,7 +177,9 @@ def _match(blocks: int, most: int, labelled: bool):
             pairs.append((np.full(n - 1, at), np.arange(at + 1, at + n)))
         large = ~ball & (length > SHORT)
         for at, n in zip(first[large], length[large], strict=True):
-            if found := list(spanning(f[at : at + n], most, label[at : at + n] if labelled else None)):
+            if every:
+                pairs += [(i + at, j + at) for i, j in across(f[at : at + n], most, label[at : at + n])]
+            elif found := list(spanning(f[at : at + n], most, label[at : at + n] if labelled else None)):
                 pairs.append(tuple(np.array(found).T + at))
         first, length = first[~ball & ~large], length[~ball & ~large]
         for gap in range(1, int(length.max(initial=0))):
@@ -161,7 +192,11 @@ def _match(blocks: int, most: int, labelled: bool):
             good = _distance(f[i], f[j]) <= most
             if labelled:
                 good &= label[i] != label[j]
-            ends = np.unique(np.concatenate([f[i[good]], f[j[good]]], axis=1), axis=0).view(np.int64)
+            i, j = i[good], j[good]
+            if every:  # each pair one way round, as it is given by many runs
+                turn = f[i, 0] > f[j, 0]
+                i, j = np.where(turn, j, i), np.where(turn, i, j)
+            ends = np.unique(np.concatenate([f[i], f[j]], axis=1), axis=0).view(np.int64)
             if len(ends):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, c])) for c in range(2 * blocks)], names)
 
@@ -208,7 +243,7 @@ def _crowded(classes: DataFrame, blocks: int, segments: int) -> DataFrame:
     return stage(classes.repartition(partitions(spark), F.xxhash64("f0")), "flagged")
 
 
-def links(classes: DataFrame, blocks: int = 1, segments: int = 2, most: int = 2, exact: bool = False) -> DataFrame:
+def links(classes: DataFrame, blocks: int = 1, segments: int = 2, most: int = 2, exact: bool = False, every: bool = False) -> DataFrame:
     """Links (a0.., b0..) between distinct fingerprints (f0..) at a distance of at most `most` bits that share a variant.
 
     They connect all that such pairs connect. With 64 bits, 2 segments and at most 2 bits no pair within the distance
@@ -218,7 +253,7 @@ def links(classes: DataFrame, blocks: int = 1, segments: int = 2, most: int = 2,
     and linking each to the first is enough.
 
     If classes have a column `label`, fingerprints of one label count as connected already. exact: plain segments are
-    shared instead of variants.
+    shared instead of variants. every: all links between labels are given, not only such that connect.
     """
     flagged = _crowded(classes, blocks, segments)
     labelled = "label" in classes.columns
@@ -226,7 +261,7 @@ def links(classes: DataFrame, blocks: int = 1, segments: int = 2, most: int = 2,
     names = [*(f"f{i}" for i in range(blocks)), *extra]
     index = flagged.select(*names[:blocks], F.col(f"{P}crowded").cast("int"), *extra)
     index = index.mapInArrow(tidy(_variants(blocks, segments, exact, extra)), T.StructType([T.StructField("kind", T.ShortType()), T.StructField("value", T.LongType()), *(T.StructField(n, T.LongType()) for n in names)]))
-    match, ends = _match(blocks, most, labelled)
+    match, ends = _match(blocks, most, labelled, every)
     dealt = index.repartition(partitions(classes.sparkSession), "kind", "value").sortWithinPartitions("kind", "value", *names[:blocks])
     return dealt.mapInArrow(tidy(match), T.StructType([T.StructField(n, T.LongType()) for n in ends])).distinct()
 
@@ -237,30 +272,59 @@ def _edges(found: DataFrame, blocks: int) -> DataFrame:
     return found.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, blocks: int = 1, segments: int = 2, most: int = 2) -> DataFrame:
+def _similar(edges: DataFrame, marked: DataFrame, least: float) -> DataFrame:
+    """Edges whose ends have sets of shingles with a Jaccard similarity of at least `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+                good.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    edges = stage(edges, "candidates")
+    total = edges.count()
+    ends = edges.select(F.explode(F.array("a", "b")).alias(f"{P}node")).groupBy(f"{P}node").agg(F.count("*").alias(f"{P}edges"))
+    one = marked.join(ends, f"{P}node").groupBy(f"{P}node").agg(F.first(f"{P}set").alias(f"{P}set"), F.first(f"{P}edges").alias(f"{P}edges"))
+    one = stage(one, "sets")
+    for side in "ab":
+        mine = one.select(F.col(f"{P}node").alias(side), F.col(f"{P}set").alias(f"{P}set_{side}"), F.col(f"{P}edges").alias(f"{P}edges_{side}"))
+        edges = attach(edges, mine, side, f"{P}edges_{side}", total, F.xxhash64("a", "b")).drop(f"{P}edges_{side}")
+    edges = edges.select("a", "b", f"{P}set_a", f"{P}set_b")
+    return stage(edges.mapInArrow(tidy(run), "a long, b long"), "similar")
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, blocks: int = 1, segments: int = 2, most: int = 2, similar: float | None = None) -> DataFrame:
     """(id, f0.., component_id) of every row; component_id is the least id that links reach.
 
     Wide fingerprints (blocks > 1) are first connected over whole segments that they share; the variants then only
     have to connect what is still apart, which keeps the links of large groups of near copies few.
 
+    similar (wide fingerprints only): links are candidates, and those count whose sets of shingles have at least this
+    Jaccard similarity. As a candidate may fail, all candidates between what is still apart are then verified. Equal
+    fingerprints are one class, of which one text is compared.
+
     Null text counts as empty; texts without words have fingerprint zero and link like others. Equal fingerprints are
     one class, which keeps copies from being compared. Null ids take part; a component of null ids alone has a null
     component_id. Repeated rows stay. An empty table gives an empty table.
     """
     f = [f"f{i}" for i in range(blocks)]
     node = F.col("f0") if blocks == 1 else F.xxhash64(*f)
-    marked = stage(fingerprints(docs, id_col, text_col, shingle, blocks).withColumn(f"{P}node", node), "fingerprints")
+    marked = stage(fingerprints(docs, id_col, text_col, shingle, blocks, similar is not None).withColumn(f"{P}node", node), "fingerprints")
     classes = stage(marked.groupBy(f"{P}node", *f).agg(F.min(id_col).alias(f"{P}least"), F.count("*").alias(f"{P}size")), "classes")
     if blocks == 1:
         edges = _edges(links(classes.select(*f), blocks, segments, most), blocks)
     else:
-        settled = stage(_edges(links(classes.select(*f), blocks, segments, most, exact=True), blocks), "settled")
+        verified = (lambda edges: edges) if similar is None else (lambda edges: _similar(edges, marked, similar))
+        settled = stage(verified(_edges(links(classes.select(*f), blocks, segments, most, exact=True), blocks)), "settled")
         known = components(settled).select(F.col("node").alias(f"{P}node"), F.col("root").alias("label"))
         labelled = classes.join(known, f"{P}node", "left").select(*f, F.coalesce("label", f"{P}node").alias("label"))
-        edges = settled.union(_edges(links(stage(labelled, "settled_classes"), blocks, segments, most), blocks))
+        edges = settled.union(verified(_edges(links(stage(labelled, "settled_classes"), blocks, segments, most, every=similar is not None), blocks)))
     roots = components(edges).withColumnsRenamed({"node": f"{P}node", "root": f"{P}root"})
     labelled = stage(classes.join(roots, f"{P}node", "left").withColumn(f"{P}root", F.coalesce(f"{P}root", f"{P}node")), "labelled")
     first = labelled.groupBy(f"{P}root").agg(F.min(f"{P}least").alias("component_id"), F.count("*").alias(f"{P}classes"))
     owners = attach(labelled, first, f"{P}root", f"{P}classes", classes.count(), F.col(f"{P}node"))
     owners = stage(owners.select(f"{P}node", "component_id", f"{P}size"), "owners")
-    return attach(marked, owners, f"{P}node", f"{P}size", marked.count(), F.col(id_col)).select(id_col, *f, "component_id")
+    return attach(marked.drop(f"{P}set"), owners, f"{P}node", f"{P}size", marked.count(), F.col(id_col)).select(id_col, *f, "component_id")

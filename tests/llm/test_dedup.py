@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from quillgraph.llm import simhash, substring_dedup
 from quillgraph.llm.components import components
 from quillgraph.llm.exact_dedup import exact_dedup
@@ -139,6 +140,28 @@ def test_wide_fingerprints_link_near_copies(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+@pytest.mark.parametrize(("low", "high", "found"), [(0.6, 0.79, 0), (0.8, 0.85, 0.9), (0.85, 0.95, 0.97)])
+def test_near_copies_against_their_true_similarity(spark, low, high, found):
+    """Single pairs of the pipeline's near copies: all linked have the similarity, and few that have it are missed."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    docs = []
+    while len(docs) < 600:
+        base = [word() for _ in range(300)]
+        near = base.copy()
+        for _ in range(rng.randint(1, 20)):
+            near[rng.randrange(300)] = word()
+        a, b = shingles(base), shingles(near)
+        if low <= len(a & b) / len(a | b) <= high:
+            docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(near))]
+    got = {r.doc_id: r.component_id for r in simhash_dedup(spark.createDataFrame(docs, SCHEMA), **corpus_pipeline.NEAR).collect()}
+    assert all(c in (i, i - i % 2) for i, c in got.items())
+    linked = sum(got[i] == got[i + 1] for i in range(0, 600, 2)) / 300
+    print(f"linked {linked:.3f} of pairs at {low} to {high}")
+    assert linked >= found if found else linked == 0
+
+
 def test_spanning_connects_what_all_pairs_connect():
     rng = np.random.default_rng(1)
     f = rng.integers(0, 1 << 16, (300, 1), np.uint64)
