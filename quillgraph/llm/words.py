@@ -23,9 +23,9 @@ def _byte_characters() -> dict[int, int]:
 
 class WordEncoder:
     """Remembers the ids of words. A new one is normalised and pre-tokenised as the file says, and the file's BPE model
-    gives the ids of its pieces."""
+    gives the ids of its pieces. added: the file's added tokens are found in texts before these are split into words."""
 
-    def __init__(self, tokenizer_file: str) -> None:
+    def __init__(self, tokenizer_file: str, added: bool = False) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -39,6 +39,11 @@ class WordEncoder:
         self.model = tokenizer.model
         self.characters = _byte_characters()
         self.known: dict[str, bytes] = {}
+        tokens = tokenizer.get_added_tokens_decoder() if added else {}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in tokens.values()):
+            raise ValueError(f"added tokens are not taken from the raw text as they stand: {tokens}")
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in tokens.items()}
+        self.around = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
 
     def words(self, text: str) -> list[str]:
         return [w for w in SPACE.split(text) if w] if ODD_SPACE.search(text) else text.split()
@@ -54,6 +59,18 @@ class WordEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        found = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        plain = texts.copy()
+        for i in found:
+            plain[i] = ""
+        out = self._word_ids(plain)
+        for i in found:
+            between, tokens = self.around.split(texts[i]), self.around.findall(texts[i])
+            parts = self._word_ids(between)
+            out[i] = b"".join([parts[0], *(self.added[a] + part for a, part in zip(tokens, parts[1:], strict=True))])
+        return out
+
+    def _word_ids(self, texts: list[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
         every = set().union(*split)
         new = every.difference(self.known)
@@ -68,4 +85,4 @@ class WordEncoder:
 @lru_cache(maxsize=2)
 def word_encoder(tokenizer_file: str) -> WordEncoder:
     """One for each worker process."""
-    return WordEncoder(tokenizer_file)
+    return WordEncoder(tokenizer_file, added=True)

@@ -156,6 +156,15 @@ def test_words_are_those_of_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_are_those_of_the_tokenizer(spark):
+    theirs = Tokenizer.from_file(WORDS)
+    texts = [*ODD, "a<|endoftext|>b", "<|startoftext|><|endoftext|>", "x <|endoftext|> é<|endoftext|>\u0301 'S<|startoftext|>'s", "<|ENDOFTEXT|> <|endoftext|", "<|<|endoftext|>|>"]
+    for text, ids in zip(texts, WordEncoder(WORDS, added=True).ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
+    rows = packing.tokenise_and_cut(spark.createDataFrame(list(enumerate(texts)), SCHEMA), WORDS, 2, 64).where("start = 0").collect()
+    assert all(r.doc_tokens == len(theirs.encode(texts[r.doc_id], add_special_tokens=False).ids) + 1 for r in rows) and len(rows) == len(texts)
+
+
 def test_best_fit_decreasing_against_a_plain_version():
     rng = np.random.default_rng(1)
     for capacity in (1, 7, 64):
