@@ -93,8 +93,8 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _variants(blocks: int, segments: int, exact: bool, extra: list[str]):
     """Each fingerprint under its one-wildcard variants, or, if exact, under its plain segments.
 
-    Fingerprints with a crowded segment value are under the points at distance 0 and 1 instead of that segment's
-    variants. The columns named in extra go along.
+    Bits of the crowded column from `segments` on put a fingerprint under the points at distance 0 and 1 as well; the
+    lower ones leave out that segment's variants. The columns named in extra go along.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,7 @@ def _variants(blocks: int, segments: int, exact: bool, extra: list[str]):
                         kinds.append(np.full(len(rows), start + bit, np.int16))
                         values.append(segment & ~np.uint64(1 << bit))
                         of.append(rows)
-                if len(rows := np.flatnonzero(crowded)) and not exact:
+                if len(rows := np.flatnonzero(crowded >> segments)) and not exact:
                     for flip in (0, *(1 << i for i in range(64))):
                         kinds.append(np.full(len(rows), -1, np.int16))
                         values.append(f[rows, 0] ^ np.uint64(flip))
@@ -220,7 +220,11 @@ def _match(blocks: int, most: int, labelled: bool, every: bool = False):
 
 
 def _crowded(classes: DataFrame, blocks: int, segments: int) -> DataFrame:
-    """Adds __qg_crowded, whose bit s says that segment s is within one bit of a value that over CROWDED fingerprints have."""
+    """Adds __qg_crowded, whose bit s says that segment s is within one bit of a value that over CROWDED fingerprints have.
+
+    The bit above these says that some segment is within two bits of such a value: a neighbour that differs there in one
+    bit may have left out its variants.
+    """
     spark, bounds = classes.sparkSession, segment_bounds(64 * blocks, segments)
     none = classes.withColumn(f"{P}crowded", F.lit(0))
     if blocks > 1 or segments != 2:
@@ -231,15 +235,18 @@ def _crowded(classes: DataFrame, blocks: int, segments: int) -> DataFrame:
     full = stage(counts.where(F.col("size") > CROWDED), "crowded")
     if full.isEmpty():
         return none
-    flips = F.array(*[F.lit(0).cast("long"), *[F.lit(1 << i) for i in range(32)]])
-    around = full.select(F.explode(F.transform(flips, lambda x: F.col("half").bitwiseXOR(x))).alias("half"), F.lit(1).cast("long").alias("size"))
-    around = stage(around.unionByName(full).groupBy("half").agg(F.max("size").alias("size")), "around")
+    ones = [1 << i for i in range(32)]
+    twos = [a | b for a in ones for b in ones if a < b]
+    flips = spark.createDataFrame([(0, 1), *((x, 1) for x in ones), *((x, 2) for x in twos)], "flip long, level int")
+    around = full.crossJoin(F.broadcast(flips)).select(F.col("half").bitwiseXOR(F.col("flip")).alias("half"), F.when(F.col("flip") == 0, F.col("size")).otherwise(1).alias("size"), "level")
+    around = stage(around.groupBy("half").agg(F.max("size").alias("size"), F.min("level").alias("level")), "around")
     total = classes.count()
     for s, key in enumerate(keys):
-        mine = around.withColumnsRenamed({"half": f"{P}half", "size": f"{P}size{s}"})
+        mine = around.withColumnsRenamed({"half": f"{P}half", "size": f"{P}size{s}", "level": f"{P}level{s}"})
         classes = attach(classes.withColumn(f"{P}half", key), mine, f"{P}half", f"{P}size{s}", total, F.xxhash64("f0")).drop(f"{P}half")
-    flag = sum((F.when(F.col(f"{P}size{s}").isNotNull(), 1 << s).otherwise(0) for s in range(2)), F.lit(0))
-    classes = classes.withColumn(f"{P}crowded", flag).drop(f"{P}size0", f"{P}size1")
+    ball = F.when(F.coalesce(*[F.col(f"{P}level{s}") for s in range(2)]).isNotNull(), 1 << segments).otherwise(0)
+    flag = sum((F.when(F.col(f"{P}level{s}") == 1, 1 << s).otherwise(0) for s in range(2)), ball)
+    classes = classes.withColumn(f"{P}crowded", flag).drop(*[f"{P}{c}{s}" for c in ("size", "level") for s in range(2)])
     return stage(classes.repartition(partitions(spark), F.xxhash64("f0")), "flagged")
 
 
@@ -248,7 +255,8 @@ def links(classes: DataFrame, blocks: int = 1, segments: int = 2, most: int = 2,
 
     They connect all that such pairs connect. With 64 bits, 2 segments and at most 2 bits no pair within the distance
     is without a shared variant, and no large group is ever compared pair by pair: a fingerprint whose segment is
-    (within one bit of) a crowded value is indexed for that segment under the 65 points at distance 0 or 1 of itself.
+    (within one bit of) a crowded value is indexed for that segment under the 65 points at distance 0 or 1 of itself, and
+    one whose segment is two bits off such a value is under these points besides its variants, as it may have links to both.
     Two fingerprints share such a point just when they differ in at most two bits, so a point has at most 65 of them
     and linking each to the first is enough.
 

@@ -129,6 +129,16 @@ def test_links_in_crowded_segments(spark, crowd):
     assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values()))
 
 
+def test_links_between_two_crowded_halves(spark):
+    """One fingerprint is a bit off both crowded halves, the other two bits further on: linked."""
+    rng = random.Random(8)
+    high, low = rng.getrandbits(31), rng.getrandbits(31)
+    crowd = {high << 32 | rng.getrandbits(32) for _ in range(100)} | {rng.getrandbits(31) << 32 | low for _ in range(100)}
+    a, b = (high ^ 1) << 32 | (low ^ 1), (high ^ 3) << 32 | (low ^ 3)
+    found = simhash.links(spark.createDataFrame([(v,) for v in sorted(crowd | {a, b})], "f0 long"))
+    assert {frozenset((r.a0, r.b0)) for r in found.collect()} >= {frozenset((a, b))}
+
+
 def test_wide_fingerprints_link_near_copies(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
