@@ -11,6 +11,7 @@ import base64
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,11 @@ def boundaries(pattern: regex.Pattern, text: str, last: bool) -> list[int]:
     return [*starts, len(text)] if last else starts[:-2]
 
 
+def part(pattern: regex.Pattern, text: str, since: int, until: int | None) -> list[str]:
+    """Pre-tokens of a chunk between two boundaries; what follows is seen, as white space is split by what comes next."""
+    return [m[0] for m in takewhile(lambda m: until is None or m.start() < until, pattern.finditer(text, since))]
+
+
 def _cut_rows(chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +121,7 @@ def _encode_parts(rank_file: str, pattern: str):
         coder = encoder(rank_file, pattern)
         for batch in batches:
             rows = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
-            ids = [coder.ids(coder.pattern.findall(text[since - start : None if until < 0 else until - start])) for _, _, start, text, since, until in rows]
+            ids = [coder.ids(part(coder.pattern, text, since - start, None if until < 0 else until - start)) for _, _, start, text, since, until in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["key", "chunk", "ids"])
 
     return run

@@ -143,6 +143,13 @@ def test_bpe_by_chunks_is_that_of_the_whole(spark, reference, chunk):
     assert bpe.decode(empty, RANKS, PATTERN).collect() == []
 
 
+def test_chunks_that_start_after_blank_lines(spark, reference):
+    texts = [("ab cd ef " * 4 + end) * 12 for end in ("gh\n\n", "gh\r\n", "gh\t\t", "g\n \n")]
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), SCHEMA), RANKS, PATTERN, chunk=40, overlap=15).collect()
+    assert len(got) == len(texts)
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == reference.encode_ordinary(texts[r.doc_id]) for r in got)
+
+
 def test_repeated_long_rows_stay(spark, reference):
     docs = spark.createDataFrame([(1, "ab cd " * 30)] * 3, SCHEMA)
     got = bpe.encode(docs, RANKS, PATTERN, chunk=40, overlap=15).collect()
