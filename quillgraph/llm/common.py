@@ -16,8 +16,15 @@ from pyspark.sql import functions as F
 
 #: Prefix of every internal column, so that columns of the input never clash with them.
 P = "__qg_"
-#: A key is hot when it holds more than one row in HOT_SHARE; so there are fewer than HOT_SHARE hot keys.
-HOT_SHARE = 1000
+#: A key is hot when it holds more than one row in HOT_SHARE, or more than HOT_ROWS rows; so there are at most
+#: HOT_SHARE + rows / HOT_ROWS hot keys.
+HOT_SHARE, HOT_ROWS = 1000, 1_000_000
+#: Rows of a key that share one copy of what is attached to it, where that is large.
+COPY_ROWS = 2000
+#: Bits of a key filter: so many for each key, and at most so many (32 MB).
+KEY_BITS, MOST_BITS = 32, 1 << 28
+#: Bits of one bitmap of Spark's bitmap functions.
+BITMAP = 32_768
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -53,12 +60,12 @@ def ascii_lower(text: Column) -> Column:
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column) -> DataFrame:
     """Left join rows with groups, which has one row for each key and the number of its rows in `size`.
 
-    Hot keys (over total / HOT_SHARE rows, so fewer than HOT_SHARE of them) are broadcast; their rows and rows
-    with a null key are then dealt by `spread` instead of the key, so no task of the shuffled join gets a hot group.
+    Hot keys (see HOT_SHARE) are broadcast, so what groups hold should be small; their rows and rows with a null key are
+    then dealt by `spread` instead of the key, so no task of the shuffled join gets a hot group.
     """
     # the cold side's salt is 0 but no literal: a literal would drop out of the join's keys, and hot rows meet again
     values = [c for c in groups.columns if c != key]
-    most = max(total // HOT_SHARE, 100)
+    most = max(min(total // HOT_SHARE, HOT_ROWS), 100)
     hot = groups.where(F.col(size) > most).select(key, *[F.col(c).alias(f"{P}hot_{c}") for c in values])
     cold = groups.where(F.col(size) <= most).select(key, *[F.col(c).alias(f"{P}cold_{c}") for c in values], F.pmod(F.col(size).cast("long"), F.lit(1)).alias(f"{P}salt"))
     salt = F.when(F.col(f"{P}hot_{size}").isNotNull() | F.col(key).isNull(), F.xxhash64(spread).bitwiseOR(1)).otherwise(0)
@@ -67,6 +74,41 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     return joined.select(*kept, *[F.coalesce(f"{P}hot_{c}", f"{P}cold_{c}").alias(c) for c in values])
 
 
+def attach_copies(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column) -> DataFrame:
+    """Inner join of rows with groups as in attach, without `size`, for groups that hold much: nothing of them is broadcast.
+
+    A group goes out in a copy for each COPY_ROWS of its rows, which are dealt to the copies by `spread`.
+    """
+    copies, salt = F.ceil(F.col(size) / COPY_ROWS).cast("int"), f"{P}copy"
+    counted = attach(rows, groups.select(key, size), key, size, rows.count(), spread)
+    dealt = counted.withColumn(salt, F.pmod(F.xxhash64(spread), copies).cast("int")).drop(size)
+    return dealt.join(groups.withColumn(salt, F.explode(F.sequence(F.lit(0), copies - 1))).drop(size), [key, salt]).drop(salt)
+
+
+def key_filter(keys: DataFrame) -> tuple[DataFrame, int]:
+    """Bitmaps of a table of 64-bit hashes `h`, and their number of bits, for may_hold.
+
+    They take KEY_BITS bits a key and at most MOST_BITS, whatever the number of keys; with very many keys more rows that
+    are none of them pass, but never fewer that are.
+    """
+    bits = BITMAP
+    while bits < min(keys.count() * KEY_BITS, MOST_BITS):
+        bits *= 2
+    at = F.pmod(F.col("h"), F.lit(bits)) + 1
+    maps = keys.select(F.bitmap_bucket_number(at).alias(f"{P}bucket"), F.bitmap_bit_position(at).alias("bit"))
+    return stage(maps.groupBy(f"{P}bucket").agg(F.bitmap_construct_agg("bit").alias(f"{P}map")), "key_filter"), bits
+
+
+def may_hold(rows: DataFrame, keys: tuple[DataFrame, int], h: Column, flag: str) -> DataFrame:
+    """rows with a boolean `flag`: true for all whose hash h is in the key filter, and for a few others."""
+    at = F.pmod(h, F.lit(keys[1])) + 1
+    rows = rows.withColumn(f"{P}bucket", F.bitmap_bucket_number(at)).join(F.broadcast(keys[0]), f"{P}bucket", "left")
+    bit = F.bitmap_bit_position(at)
+    byte = F.ascii(F.decode(F.substring(f"{P}map", F.floor(bit / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+    held = F.getbit(byte.cast("long"), F.pmod(bit, F.lit(8)).cast("int")) == 1
+    return rows.withColumn(flag, F.coalesce(held, F.lit(False))).drop(f"{P}bucket", f"{P}map")
+
+
 def tidy(run: Callable) -> Callable:
     """A batch function that gives memory back to the system when its task ends, as workers go on to other tasks."""
 

@@ -1,8 +1,8 @@
 """SimHash near-duplicates found by deletion variants of fingerprint segments.
 
 Two fingerprints that differ in at most k bits, cut into m > k // 2 segments, have a segment that differs in at most
-one bit. Each segment is therefore indexed under all its variants with one bit wildcarded; an equality join on the
-variants gives candidates, which are verified on all bits.
+one bit. With 64 bits and k = 2 there are two segments, each half of the fingerprint. Each is indexed under all its
+variants with one bit wildcarded; an equality join on the variants gives candidates, which are verified on all bits.
 """
 
 from __future__ import annotations
@@ -16,60 +16,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, attach, partitions, stage, tidy
+from .common import P, attach, partitions, rebatch, stage, tidy
 from .components import components
 
-#: XXH64 seeds of the 64-bit blocks of a fingerprint.
-SEEDS = (42, 43)
+SEED = 42
+BITS, SEGMENTS, MOST = 64, 2, 2
 #: A segment value held by more distinct fingerprints than this is crowded, see links().
 CROWDED = 64
-#: Shingles hashed at once, which bounds memory for very long texts.
-CHUNK = 1 << 16
-#: Runs of equal variants of up to so many members are compared pair by pair; of longer ones only links that connect
-#: what is not yet connected are given.
-SHORT = 8
+#: Shingles taken at once, which bounds memory for very long texts.
+CHUNK = 1 << 14
 
 
-def fingerprint(text: str | None, shingle: int, blocks: int, sets: list[bytes] | None = None) -> list[int]:
-    """Blocks of 64 bits; bit i is 1 if it is set in over half the hashes of the word shingles.
-
-    The set of shingles, as sorted hashes of 32 bits, is added to sets if there is such a list.
-    """
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each word shingle of a text in lower case (A-Z), repeats included; of a shorter text's words as a whole."""
     words = (text or "").encode().lower().split()
     if not words:
-        if sets is not None:
-            sets.append(b"")
-        return [0] * blocks
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     data, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
     ends = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    out, seen = [], []
-    for seed in SEEDS[:blocks]:
-        counts = np.zeros(64, np.int64)
-        for at in range(0, n, CHUNK):
-            hashes = np.fromiter((xxhash.xxh64_intdigest(data[s:e], seed) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)), np.uint64)
-            counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            if sets is not None and seed == SEEDS[0]:
-                seen.append(np.unique(hashes.astype("<u4")))
-        out.append(int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0]))
-    if sets is not None:
-        sets.append(np.unique(np.concatenate(seen)).tobytes())
-    return out
-
-
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, blocks: int, with_sets: bool = False) -> DataFrame:
-    """(id, f0, ...) of all rows, and their sets of shingles if asked. Null text counts as empty, whose fingerprint is zero."""
+    return np.fromiter((xxhash.xxh64_intdigest(data[s:e], seed) for s, e in zip(starts, ends, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Signed 64 bits; bit i is 1 if it is set in over half the hashes of the word shingles."""
+    hashes, counts = shingle_hashes(text, shingle, SEED), np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, f0) of all rows, repeated ones too, whatever other columns there are. Null text counts as empty, whose
+    fingerprint is zero; an empty table gives an empty table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [] if with_sets else None
-            found = [fingerprint(text.as_py(), shingle, blocks, sets) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], pa.int64()) for i in range(blocks)), *([pa.array(sets, pa.binary())] if with_sets else [])], [*names, *more])
+        for whole in batches:
+            for batch in rebatch([whole], f"{P}body"):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.int64())], [id_col, "f0"])
 
-    names, more = [id_col, *(f"f{i}" for i in range(blocks))], [f"{P}set"] if with_sets else []
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in names[1:]), *(T.StructField(n, T.BinaryType()) for n in more)])
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
+    schema = T.StructType([docs.schema[id_col], T.StructField("f0", T.LongType())])
+    return docs.select(id_col, F.col(text_col).alias(f"{P}body")).mapInArrow(tidy(run), schema)
 
 
 def segment_bounds(bits: int, segments: int) -> list[tuple[int, int]]:
@@ -77,7 +65,7 @@ def segment_bounds(bits: int, segments: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def _segment(f: np.ndarray, start: int, end: int) -> np.ndarray:
+def segment(f: np.ndarray, start: int, end: int) -> np.ndarray:
     """Bits start to end of fingerprints given as rows of 64-bit blocks."""
     block, shift, width = start // 64, start % 64, end - start
     value = f[:, block] >> np.uint64(shift)
@@ -86,149 +74,76 @@ def _segment(f: np.ndarray, start: int, end: int) -> np.ndarray:
     return value & np.uint64((1 << width) - 1)
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint under the one-wildcard variants of its segments: kind names the segment and the bit.
 
-
-def _variants(blocks: int, segments: int, exact: bool, extra: list[str]):
-    """Each fingerprint under its one-wildcard variants, or, if exact, under its plain segments.
-
-    Bits of the crowded column from `segments` on put a fingerprint under the points at distance 0 and 1 as well; the
-    lower ones leave out that segment's variants. The columns named in extra go along.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                f = np.stack([part.column(i).to_numpy().view(np.uint64) for i in range(blocks)], axis=1)
-                crowded = part.column(blocks).to_numpy()
-                kinds, values, of = [], [], []
-                for s, (start, end) in enumerate(segment_bounds(64 * blocks, segments)):
-                    rows = np.flatnonzero(crowded >> s & 1 == 0)
-                    segment = _segment(f[rows], start, end)
-                    for bit in [end - start] if exact else range(end - start):
-                        kinds.append(np.full(len(rows), start + bit, np.int16))
-                        values.append(segment & ~np.uint64(1 << bit))
-                        of.append(rows)
-                if len(rows := np.flatnonzero(crowded >> segments)) and not exact:
-                    for flip in (0, *(1 << i for i in range(64))):
-                        kinds.append(np.full(len(rows), -1, np.int16))
-                        values.append(f[rows, 0] ^ np.uint64(flip))
-                        of.append(rows)
-                of = np.concatenate(of)
-                more = [part.column(blocks + 1 + i).take(pa.array(of)) for i in range(len(extra))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(values).view(np.int64)), *(pa.array(f[of, i].view(np.int64)) for i in range(blocks)), *more], ["kind", "value", *(f"f{i}" for i in range(blocks)), *extra])
-
-    return run
-
-
-def spanning(f: np.ndarray, most: int, label: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-    """Index pairs at a distance of at most `most` that connect whatever all such pairs connect.
-
-    Members of one label count as connected from the start. All near the first are joined to it; only the others are
-    compared with everyone, and only until all are connected.
-    """
-    label = np.arange(len(f)) if label is None else np.unique(label, return_inverse=True)[1]
-    near = np.flatnonzero(_distance(f, f[0]) <= most)
-    queue = [0, *np.setdiff1d(np.arange(len(f)), near).tolist()]
-    for i in queue:
-        if i:
-            near = np.flatnonzero(_distance(f, f[i]) <= most)
-        found, first = np.unique(label[near], return_index=True)
-        for mine, j in zip(found.tolist(), near[first].tolist(), strict=True):
-            if mine != label[i]:
-                yield i, j
-        if len(found) > 1:
-            label = np.where(np.isin(label, found), found[0], label)
-        if (label == label[0]).all():
-            return
-
-
-def across(f: np.ndarray, most: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All index pairs at a distance of at most `most` bits whose labels differ.
-
-    One end of each is outside the commonest label, so only those members are compared with everyone.
+    Bit SEGMENTS of the crowded column puts a fingerprint under the points at distance 0 and 1 as well, of kind -1; the
+    lower bits leave out that segment's variants.
     """
-    labels, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
-    rows = np.flatnonzero(inverse != count.argmax())
-    step = max(1, (1 << 20) // len(f))
-    for at in range(0, len(rows), step):
-        mine = rows[at : at + step]
-        apart = sum(np.bitwise_count(f[mine, b][:, None] ^ f[None, :, b]).astype(np.uint16) for b in range(f.shape[1]))
-        i, j = np.nonzero((apart <= most) & (inverse[mine][:, None] != inverse[None, :]))
-        if len(i):
-            yield mine[i], j
-
-
-def _match(blocks: int, most: int, labelled: bool, every: bool = False):
-    """Verified links from rows sorted by kind and value, where equal ones stand together.
-
-    every: all links between labels are given, also in long runs.
-    """
-    names = [f"{side}{i}" for side in "ab" for i in range(blocks)]
-
-    def linked(kind: np.ndarray, value: np.ndarray, f: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.concatenate(([True], (kind[1:] != kind[:-1]) | (value[1:] != value[:-1]))))
-        length = np.diff(np.append(first, len(kind)))
-        pairs = []
-        ball = kind[first] < 0
-        for at, n in zip(first[ball & (length > 1)], length[ball & (length > 1)], strict=True):
-            pairs.append((np.full(n - 1, at), np.arange(at + 1, at + n)))
-        large = ~ball & (length > SHORT)
-        for at, n in zip(first[large], length[large], strict=True):
-            if every:
-                pairs += [(i + at, j + at) for i, j in across(f[at : at + n], most, label[at : at + n])]
-            elif found := list(spanning(f[at : at + n], most, label[at : at + n] if labelled else None)):
-                pairs.append(tuple(np.array(found).T + at))
-        first, length = first[~ball & ~large], length[~ball & ~large]
-        for gap in range(1, int(length.max(initial=0))):
-            first, length = first[length > gap], length[length > gap]
-            count = length - gap
-            left = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-            pairs.append((left, left + gap))
-        if pairs:
-            i, j = (np.concatenate([p[side] for p in pairs]) for side in (0, 1))
-            good = _distance(f[i], f[j]) <= most
-            if labelled:
-                good &= label[i] != label[j]
-            i, j = i[good], j[good]
-            if every:  # each pair one way round, as it is given by many runs
-                turn = f[i, 0] > f[j, 0]
-                i, j = np.where(turn, j, i), np.where(turn, i, j)
-            ends = np.unique(np.concatenate([f[i], f[j]], axis=1), axis=0).view(np.int64)
-            if len(ends):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, c])) for c in range(2 * blocks)], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
-            f = np.stack([c.view(np.uint64) for c in columns[2 : 2 + blocks]], axis=1)
-            columns = [columns[0], columns[1], f, columns[-1]]
-            if rest is not None:
-                columns = [np.concatenate(c) for c in zip(rest, columns, strict=True)]
-            last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
-            cut = int(np.argmax(last)) if len(last) else 0
-            rest = [c[cut:] for c in columns]
-            if cut:
-                yield from linked(*(c[:cut] for c in columns))
-        if rest is not None and len(rest[0]):
-            yield from linked(*rest)
-
-    return run, names
-
-
-def _crowded(classes: DataFrame, blocks: int, segments: int) -> DataFrame:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            f, crowded = batch.column(0).to_numpy()[at : at + 4096].view(np.uint64), batch.column(1).to_numpy()[at : at + 4096]
+            kinds, values, of = [], [], []
+            for s, (start, end) in enumerate(segment_bounds(BITS, SEGMENTS)):
+                rows = np.flatnonzero(crowded >> s & 1 == 0)
+                value = segment(f[rows, None], start, end)
+                for bit in range(end - start):
+                    kinds.append(np.full(len(rows), start + bit, np.int16))
+                    values.append(value & ~np.uint64(1 << bit))
+                    of.append(rows)
+            if len(rows := np.flatnonzero(crowded >> SEGMENTS)):
+                for flip in (0, *(1 << i for i in range(BITS))):
+                    kinds.append(np.full(len(rows), -1, np.int16))
+                    values.append(f[rows] ^ np.uint64(flip))
+                    of.append(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(values).view(np.int64)), pa.array(f[np.concatenate(of)].view(np.int64))], ["kind", "value", "f0"])
+
+
+def _verified(kind: np.ndarray, value: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links within runs of equal kind and value, none of which is long: over points each to the first, else all pairs."""
+    first = np.flatnonzero(np.concatenate(([True], (kind[1:] != kind[:-1]) | (value[1:] != value[:-1]))))
+    length = np.diff(np.append(first, len(kind)))
+    ball = (kind[first] < 0) & (length > 1)
+    count = length[ball] - 1
+    left = np.repeat(first[ball], count)
+    pairs = [(left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count))]
+    first, length = first[kind[first] >= 0], length[kind[first] >= 0]
+    for gap in range(1, int(length.max(initial=0))):
+        first, length = first[length > gap], length[length > gap]
+        count = length - gap
+        left = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        pairs.append((left, left + gap))
+    i, j = (np.concatenate([p[side] for p in pairs]) for side in (0, 1))
+    good = np.bitwise_count(f[i] ^ f[j]) <= MOST
+    if good.any():
+        ends = np.unique(np.stack([f[i[good]], f[j[good]]], axis=1), axis=0).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, c])) for c in (0, 1)], ["a0", "b0"])
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links from rows sorted by kind and value, where equal ones stand together."""
+    rest = None
+    for batch in batches:
+        columns = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
+        if rest is not None:
+            columns = [np.concatenate(c) for c in zip(rest, columns, strict=True)]
+        last = (columns[0] == columns[0][-1:]) & (columns[1] == columns[1][-1:])
+        cut = int(np.argmax(last)) if len(last) else 0
+        rest = [c[cut:] for c in columns]
+        if cut:
+            yield from _verified(*(c[:cut] for c in columns))
+    if rest is not None and len(rest[0]):
+        yield from _verified(*rest)
+
+
+def _crowded(classes: DataFrame) -> DataFrame:
     """Adds __qg_crowded, whose bit s says that segment s is within one bit of a value that over CROWDED fingerprints have.
 
     The bit above these says that some segment is within two bits of such a value: a neighbour that differs there in one
     bit may have left out its variants.
     """
-    spark, bounds = classes.sparkSession, segment_bounds(64 * blocks, segments)
+    spark, bounds = classes.sparkSession, segment_bounds(BITS, SEGMENTS)
     none = classes.withColumn(f"{P}crowded", F.lit(0))
-    if blocks > 1 or segments != 2:
-        return none
     halves = [F.shiftrightunsigned("f0", start).bitwiseAND(F.lit((1 << (end - start)) - 1)) for start, end in bounds]
     keys = [h.bitwiseOR(F.lit(s << 40)) for s, h in enumerate(halves)]
     counts = classes.select(F.explode(F.array(*keys)).alias("half")).groupBy("half").agg(F.count("*").alias("size"))
@@ -244,95 +159,44 @@ def _crowded(classes: DataFrame, blocks: int, segments: int) -> DataFrame:
     for s, key in enumerate(keys):
         mine = around.withColumnsRenamed({"half": f"{P}half", "size": f"{P}size{s}", "level": f"{P}level{s}"})
         classes = attach(classes.withColumn(f"{P}half", key), mine, f"{P}half", f"{P}size{s}", total, F.xxhash64("f0")).drop(f"{P}half")
-    ball = F.when(F.coalesce(*[F.col(f"{P}level{s}") for s in range(2)]).isNotNull(), 1 << segments).otherwise(0)
+    ball = F.when(F.coalesce(*[F.col(f"{P}level{s}") for s in range(2)]).isNotNull(), 1 << SEGMENTS).otherwise(0)
     flag = sum((F.when(F.col(f"{P}level{s}") == 1, 1 << s).otherwise(0) for s in range(2)), ball)
     classes = classes.withColumn(f"{P}crowded", flag).drop(*[f"{P}{c}{s}" for c in ("size", "level") for s in range(2)])
     return stage(classes.repartition(partitions(spark), F.xxhash64("f0")), "flagged")
 
 
-def links(classes: DataFrame, blocks: int = 1, segments: int = 2, most: int = 2, exact: bool = False, every: bool = False) -> DataFrame:
-    """Links (a0.., b0..) between distinct fingerprints (f0..) at a distance of at most `most` bits that share a variant.
+def links(classes: DataFrame) -> DataFrame:
+    """Links (a0, b0) between distinct fingerprints f0 at a distance of at most MOST bits; they connect all that such pairs
+    connect.
 
-    They connect all that such pairs connect. With 64 bits, 2 segments and at most 2 bits no pair within the distance
-    is without a shared variant, and no large group is ever compared pair by pair: a fingerprint whose segment is
-    (within one bit of) a crowded value is indexed for that segment under the 65 points at distance 0 or 1 of itself, and
-    one whose segment is two bits off such a value is under these points besides its variants, as it may have links to both.
-    Two fingerprints share such a point just when they differ in at most two bits, so a point has at most 65 of them
-    and linking each to the first is enough.
+    No pair within the distance is without a shared variant, and no large group is ever compared pair by pair: a
+    fingerprint whose segment is (within one bit of) a crowded value is indexed for that segment under the 65 points at
+    distance 0 or 1 of itself, and one whose segment is two bits off such a value is under these points besides its
+    variants. So if two are linked over a segment and one has left out its variants there, the other is under the points
+    too. Two fingerprints share such a point just when they differ in at most two bits, so a point has at most 65 of them
+    and linking each to the first is enough. A variant has at most 2 * CROWDED fingerprints.
 
-    If classes have a column `label`, fingerprints of one label count as connected already. exact: plain segments are
-    shared instead of variants. every: all links between labels are given, not only such that connect.
+    Repeated fingerprints link to themselves, which connects nothing; nulls are not allowed. Columns other than f0 play no
+    part, and an empty table gives an empty table.
     """
-    flagged = _crowded(classes, blocks, segments)
-    labelled = "label" in classes.columns
-    extra = ["label"] if labelled else []
-    names = [*(f"f{i}" for i in range(blocks)), *extra]
-    index = flagged.select(*names[:blocks], F.col(f"{P}crowded").cast("int"), *extra)
-    index = index.mapInArrow(tidy(_variants(blocks, segments, exact, extra)), T.StructType([T.StructField("kind", T.ShortType()), T.StructField("value", T.LongType()), *(T.StructField(n, T.LongType()) for n in names)]))
-    match, ends = _match(blocks, most, labelled, every)
-    dealt = index.repartition(partitions(classes.sparkSession), "kind", "value").sortWithinPartitions("kind", "value", *names[:blocks])
-    return dealt.mapInArrow(tidy(match), T.StructType([T.StructField(n, T.LongType()) for n in ends])).distinct()
-
-
-def _edges(found: DataFrame, blocks: int) -> DataFrame:
-    """Links between fingerprints as edges between their nodes."""
-    ends = [F.col(f"{side}0") if blocks == 1 else F.xxhash64(*[f"{side}{i}" for i in range(blocks)]) for side in "ab"]
-    return found.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
+    flagged = _crowded(classes.select("f0"))
+    index = flagged.select("f0", F.col(f"{P}crowded").cast("int")).mapInArrow(tidy(_variants), "kind short, value long, f0 long")
+    dealt = index.repartition(partitions(classes.sparkSession), "kind", "value").sortWithinPartitions("kind", "value", "f0")
+    return dealt.mapInArrow(tidy(_match), "a0 long, b0 long").distinct()
 
 
-def _similar(edges: DataFrame, marked: DataFrame, least: float) -> DataFrame:
-    """Edges whose ends have sets of shingles with a Jaccard similarity of at least `least`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
-                good.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    edges = stage(edges, "candidates")
-    total = edges.count()
-    ends = edges.select(F.explode(F.array("a", "b")).alias(f"{P}node")).groupBy(f"{P}node").agg(F.count("*").alias(f"{P}edges"))
-    one = marked.join(ends, f"{P}node").groupBy(f"{P}node").agg(F.first(f"{P}set").alias(f"{P}set"), F.first(f"{P}edges").alias(f"{P}edges"))
-    one = stage(one, "sets")
-    for side in "ab":
-        mine = one.select(F.col(f"{P}node").alias(side), F.col(f"{P}set").alias(f"{P}set_{side}"), F.col(f"{P}edges").alias(f"{P}edges_{side}"))
-        edges = attach(edges, mine, side, f"{P}edges_{side}", total, F.xxhash64("a", "b")).drop(f"{P}edges_{side}")
-    edges = edges.select("a", "b", f"{P}set_a", f"{P}set_b")
-    return stage(edges.mapInArrow(tidy(run), "a long, b long"), "similar")
-
-
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, blocks: int = 1, segments: int = 2, most: int = 2, similar: float | None = None) -> DataFrame:
-    """(id, f0.., component_id) of every row; component_id is the least id that links reach.
-
-    Wide fingerprints (blocks > 1) are first connected over whole segments that they share; the variants then only
-    have to connect what is still apart, which keeps the links of large groups of near copies few.
-
-    similar (wide fingerprints only): links are candidates, and those count whose sets of shingles have at least this
-    Jaccard similarity. As a candidate may fail, all candidates between what is still apart are then verified. Equal
-    fingerprints are one class, of which one text is compared.
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(id, f0, component_id) of every row; component_id is the least id that links reach.
 
     Null text counts as empty; texts without words have fingerprint zero and link like others. Equal fingerprints are
     one class, which keeps copies from being compared. Null ids take part; a component of null ids alone has a null
-    component_id. Repeated rows stay. An empty table gives an empty table.
+    component_id. Repeated rows stay. An empty table gives an empty table. Other columns play no part.
     """
-    f = [f"f{i}" for i in range(blocks)]
-    node = F.col("f0") if blocks == 1 else F.xxhash64(*f)
-    marked = stage(fingerprints(docs, id_col, text_col, shingle, blocks, similar is not None).withColumn(f"{P}node", node), "fingerprints")
-    classes = stage(marked.groupBy(f"{P}node", *f).agg(F.min(id_col).alias(f"{P}least"), F.count("*").alias(f"{P}size")), "classes")
-    if blocks == 1:
-        edges = _edges(links(classes.select(*f), blocks, segments, most), blocks)
-    else:
-        verified = (lambda edges: edges) if similar is None else (lambda edges: _similar(edges, marked, similar))
-        settled = stage(verified(_edges(links(classes.select(*f), blocks, segments, most, exact=True), blocks)), "settled")
-        known = components(settled).select(F.col("node").alias(f"{P}node"), F.col("root").alias("label"))
-        labelled = classes.join(known, f"{P}node", "left").select(*f, F.coalesce("label", f"{P}node").alias("label"))
-        edges = settled.union(verified(_edges(links(stage(labelled, "settled_classes"), blocks, segments, most, every=similar is not None), blocks)))
-    roots = components(edges).withColumnsRenamed({"node": f"{P}node", "root": f"{P}root"})
-    labelled = stage(classes.join(roots, f"{P}node", "left").withColumn(f"{P}root", F.coalesce(f"{P}root", f"{P}node")), "labelled")
+    marked = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    classes = stage(marked.groupBy("f0").agg(F.min(id_col).alias(f"{P}least"), F.count("*").alias(f"{P}size")), "classes")
+    roots = components(links(classes), "a0", "b0").withColumnsRenamed({"node": "f0", "root": f"{P}root"})
+    labelled = stage(classes.join(roots, "f0", "left").withColumn(f"{P}root", F.coalesce(f"{P}root", "f0")), "labelled")
     first = labelled.groupBy(f"{P}root").agg(F.min(f"{P}least").alias("component_id"), F.count("*").alias(f"{P}classes"))
-    owners = attach(labelled, first, f"{P}root", f"{P}classes", classes.count(), F.col(f"{P}node"))
-    owners = stage(owners.select(f"{P}node", "component_id", f"{P}size"), "owners")
-    return attach(marked.drop(f"{P}set"), owners, f"{P}node", f"{P}size", marked.count(), F.col(id_col)).select(id_col, *f, "component_id")
+    owners = attach(labelled, first, f"{P}root", f"{P}classes", classes.count(), F.col("f0"))
+    owners = stage(owners.select("f0", "component_id", f"{P}size"), "owners")
+    return attach(marked, owners, "f0", f"{P}size", marked.count(), F.col(id_col)).select(id_col, "f0", "component_id")

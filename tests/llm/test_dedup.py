@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from quillgraph.llm import simhash, substring_dedup
+from quillgraph.llm import near, simhash, substring_dedup
 from quillgraph.llm.components import components
 from quillgraph.llm.exact_dedup import exact_dedup
 from quillgraph.llm.simhash import simhash_dedup
@@ -139,18 +139,96 @@ def test_links_between_two_crowded_halves(spark):
     assert {frozenset((r.a0, r.b0)) for r in found.collect()} >= {frozenset((a, b))}
 
 
-def test_wide_fingerprints_link_near_copies(spark):
-    rng = random.Random(9)
+def test_links_of_random_fingerprints_around_crowds(spark):
+    """Ten thousand fingerprints around crowded values of both halves: components as by brute force."""
+    rng = random.Random(21)
+    high, low = [rng.getrandbits(32) for _ in range(3)], [rng.getrandbits(32) for _ in range(3)]
+    flipped = lambda x, most: x ^ sum(1 << i for i in rng.sample(range(32), rng.randint(0, most)))
+    values = {rng.choice(high) << 32 | rng.getrandbits(32) for _ in range(2000)} | {rng.getrandbits(32) << 32 | rng.choice(low) for _ in range(2000)}
+    while len(values) < 10_000:
+        values.add(flipped(rng.choice(high), 4) << 32 | flipped(rng.choice(low), 4))
+    f = np.array(sorted(values), np.uint64)
+    found = simhash.links(spark.createDataFrame([(int(v),) for v in f.view(np.int64)], "f0 long"))
+    groups = {r.node: r.root for r in components(found, "a0", "b0").collect()}
+    root = np.arange(len(f))
+    near = [np.flatnonzero(np.bitwise_count(f ^ x) <= 2) for x in f]
+    for _ in range(len(f)):
+        new = np.array([root[n].min() for n in near])
+        if (new == root).all():
+            break
+        root = new
+    want, have = collections.defaultdict(set), collections.defaultdict(set)
+    for v, r in zip(f.view(np.int64).tolist(), root.tolist(), strict=True):
+        want[r].add(v)
+        have[groups.get(v, v)].add(v)
+    assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values()))
+
+
+def near_groups(docs, similar=0.8, n=5):
+    """Of each index the least index that links of this similarity reach, by comparing all pairs."""
+    words = [brute.lower(t).split() for _, t in docs]
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set() for w in words]
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similar * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(docs))]
+
+
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    """Families of clear near copies, short, empty and null texts, repeated ids and rows; groups cut into many parts."""
+    monkeypatch.setattr("quillgraph.llm.near.LEAST_PART", 10)
+    monkeypatch.setattr("quillgraph.llm.near.HOT_SHARE", 20)
+    monkeypatch.setattr("quillgraph.llm.common.HOT_SHARE", 20)
+    monkeypatch.setattr("quillgraph.llm.common.COPY_ROWS", 5)
+    rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
-    base = [word() for _ in range(400)]
-    near = base.copy()
-    near[200] = "changed"
-    docs = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(word() for _ in range(400)))]
-    got = {r.doc_id: r.component_id for r in simhash_dedup(spark.createDataFrame(docs, SCHEMA), shingle=5, blocks=2, segments=6, most=19).collect()}
-    assert got == {1: 1, 2: 1, 3: 3}
+    docs = []
+    for size in (150, 150, 40, 5, 5, 2, 2, 2):
+        base = [word() for _ in range(300)]
+        for _ in range(size):
+            words = base.copy()
+            words[rng.randrange(300)] = word()
+            docs.append((len(docs), " ".join(words).upper() if rng.random() < 0.3 else " ".join(words)))
+    docs += [(400 + i, " ".join(word() for _ in range(100))) for i in range(60)]
+    docs += [(500, None), (501, ""), (502, " \n"), (503, "one"), (504, "ONE"), (505, "one two"), (3, "unique words of a row with a used id"), (None, docs[0][1] + " x"), (3, docs[3][1])]
+    roots = near_groups(docs)
+    best = {}
+    for (i, _), r in zip(docs, roots, strict=True):
+        best[r] = min(best.get(r, 1 << 60), 1 << 60 if i is None else i)
+    df = spark.createDataFrame(docs, SCHEMA).repartition(5)
+    got = near.near_copies(df).collect()
+    assert collections.Counter((r.doc_id, r.component_id) for r in got) == collections.Counter((i, best[r]) for (i, _), r in zip(docs, roots, strict=True))
+    stay = near.drop_near_copies(df.withColumn("kept", df.doc_id)).collect()
+    assert collections.Counter(r.doc_id for r in stay) == collections.Counter(best[r] for r in set(roots))
+    assert all(r.kept == r.doc_id for r in stay) and {r.text for r in stay if r.doc_id == 3} == {"unique words of a row with a used id"}
+
 
+def test_near_copies_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, f0 string, kept int")
+    assert near.near_copies(df).collect() == [] and near.drop_near_copies(df).collect() == []
 
-@pytest.mark.parametrize(("low", "high", "found"), [(0.6, 0.79, 0), (0.8, 0.85, 0.9), (0.85, 0.95, 0.97)])
+
+def test_runs_that_share_a_variant():
+    rng = np.random.default_rng(2)
+    code = np.sort(rng.integers(0, 1 << 7, 90))
+    found = collections.Counter()
+    for some in near.runs_joined(code, 7):
+        for i, j in near.products(*some):
+            found.update((min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a != b)
+    assert set(found) == {(i, j) for j in range(90) for i in range(j) if bin(int(code[i] ^ code[j])).count("1") <= 1}
+
+
+@pytest.mark.parametrize(("low", "high", "found"), [(0.6, 0.79, 0), (0.8, 0.82, 0.9), (0.82, 0.85, 0.95), (0.85, 0.95, 0.98)])
 def test_near_copies_against_their_true_similarity(spark, low, high, found):
     """Single pairs of the pipeline's near copies: all linked have the similarity, and few that have it are missed."""
     rng = random.Random(13)
@@ -159,58 +237,19 @@ def test_near_copies_against_their_true_similarity(spark, low, high, found):
     docs = []
     while len(docs) < 600:
         base = [word() for _ in range(300)]
-        near = base.copy()
+        copy = base.copy()
         for _ in range(rng.randint(1, 20)):
-            near[rng.randrange(300)] = word()
-        a, b = shingles(base), shingles(near)
+            copy[rng.randrange(300)] = word()
+        a, b = shingles(base), shingles(copy)
         if low <= len(a & b) / len(a | b) <= high:
-            docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(near))]
-    got = {r.doc_id: r.component_id for r in simhash_dedup(spark.createDataFrame(docs, SCHEMA), **corpus_pipeline.NEAR).collect()}
+            docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(copy))]
+    got = {r.doc_id: r.component_id for r in near.near_copies(spark.createDataFrame(docs, SCHEMA), **corpus_pipeline.NEAR).collect()}
     assert all(c in (i, i - i % 2) for i, c in got.items())
     linked = sum(got[i] == got[i + 1] for i in range(0, 600, 2)) / 300
     print(f"linked {linked:.3f} of pairs at {low} to {high}")
     assert linked >= found if found else linked == 0
 
 
-def test_spanning_connects_what_all_pairs_connect():
-    rng = np.random.default_rng(1)
-    f = rng.integers(0, 1 << 16, (300, 1), np.uint64)
-    label = rng.integers(0, 250, 300)
-    joined = list(simhash.spanning(f, 3, label)) + [(i, j) for i in range(300) for j in range(i) if label[i] == label[j]]
-    assert all(bin(int(f[a, 0] ^ f[b, 0])).count("1") <= 3 for a, b in simhash.spanning(f, 3))
-    root = {i: i for i in range(300)}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in joined:
-        root[find(a)] = find(b)
-    want = list(range(300))
-    near = brute.components([int(x) for x in f[:, 0]], 3)
-    groups = {i: i for i in range(300)}
-
-    def top(x):
-        while groups[x] != x:
-            x = groups[x]
-        return x
-
-    for i in range(300):
-        groups[top(i)] = top(near[i])
-        for j in range(i):
-            if label[i] == label[j]:
-                groups[top(i)] = top(j)
-    want = [top(i) for i in range(300)]
-    have = collections.defaultdict(set)
-    for i in range(300):
-        have[find(i)].add(i)
-    expected = collections.defaultdict(set)
-    for i, r in enumerate(want):
-        expected[r].add(i)
-    assert sorted(map(sorted, have.values())) == sorted(map(sorted, expected.values()))
-
-
 def test_simhash_of_an_empty_table(spark):
     assert simhash_dedup(spark.createDataFrame([], "doc_id long, text string, f0 string, component_id int")).collect() == []
 
