@@ -11,17 +11,16 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import stage as write_and_read
 from quillgraph.llm.exact_dedup import exact_dedup
+from quillgraph.llm.near import drop_near_copies as drop_near
 from quillgraph.llm.packing import pack, tokenise_and_cut
 from quillgraph.llm.pii import labelled_table, redact, train_field
-from quillgraph.llm.simhash import simhash_dedup
 from quillgraph.llm.toxicity import score, train
 
 #: Documents that score this much or more are rejected.
 TOXIC = 0.3
-#: Near copies: a Jaccard similarity of 0.8 or more of 5-word shingles, verified for the candidates that fingerprints of
-#: 128 bits give. At 0.8 these differ in 19.4 bits on average (128 * acos(2 * 0.8 / 1.8) / pi), with a deviation of 4.1,
-#: so candidates may differ in 28. Ten segments have one with at most one differing bit for sure at up to 19 bits.
-NEAR = {"shingle": 5, "blocks": 2, "segments": 10, "most": 28, "similar": 0.8}
+#: Near copies: a Jaccard similarity of 0.8 or more of 5-word shingles. Candidates come from fingerprints of 6 blocks of
+#: 64 bits in 20 segments (see quillgraph.llm.near for what these find).
+NEAR = {"shingle": 5, "similar": 0.8, "blocks": 6, "segments": 20}
 CAPACITY, END_ID = 4096, 2
 
 
@@ -37,9 +36,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id stays; rows without an id stay."""
-    gone = simhash_dedup(docs, **NEAR).where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies the document with the least doc_id stays."""
+    return drop_near(docs, **NEAR)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
