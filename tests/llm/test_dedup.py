@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillgraph.llm import near, simhash, substring_dedup
+from quillgraph.llm.common import key_filter, may_hold
 from quillgraph.llm.components import components
 from quillgraph.llm.exact_dedup import exact_dedup
 from quillgraph.llm.simhash import simhash_dedup
@@ -27,12 +29,23 @@ def test_exact_against_brute_force(spark):
     assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == brute.exact(docs)
 
 
-def test_exact_without_key_filters(spark, monkeypatch):
-    monkeypatch.setattr("quillgraph.llm.exact_dedup.MOST_KEYS", 0)
+def test_exact_with_full_key_filters(spark, monkeypatch):
+    """A filter too small for its keys lets more rows pass and loses none."""
+    monkeypatch.setattr("quillgraph.llm.common.BITMAP", 1)
+    monkeypatch.setattr("quillgraph.llm.common.MOST_BITS", 4)
     got = exact_dedup(spark.createDataFrame(EDGES, SCHEMA)).collect()
     assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == brute.exact(EDGES)
 
 
+def test_key_filter_holds_its_keys(spark):
+    keys = spark.range(0, 5000).select(F.xxhash64("id").alias("h"))
+    rows = may_hold(spark.range(0, 20_000), key_filter(keys), F.xxhash64("id"), "held")
+    held = {r.id for r in rows.where("held").collect()}
+    assert held >= set(range(5000)) and len(held) < 6500
+    nothing = may_hold(spark.range(0, 5), key_filter(keys.limit(0)), F.xxhash64("id"), "held")
+    assert nothing.where("held").count() == 0 and nothing.columns == ["id", "held"]
+
+
 def test_exact_hot_group(spark, monkeypatch):
     monkeypatch.setattr("quillgraph.llm.common.HOT_SHARE", 3)
     docs = [(i, "hot") for i in range(400)] + [(1000 + i, f"cold {i % 150}") for i in range(300)]
