@@ -9,6 +9,8 @@ import numpy as np
 
 #: Fixed words that are features of their own.
 CUES = frozenset("token key api_key apikey secret password passwd pwd pass = : at dot (at) [at] (dot) [dot] call tel phone mobile fax card visa email mail contact version page vol isbn".split())
+#: Cells of words that a batch of sequences is decoded in, and words whose scores are remembered.
+CELLS, REMEMBERED = 1 << 16, 50_000
 HEX = re.compile(r"^[\"'=:]*[0-9a-fA-F]{16,}[\"'.,;]*$")
 
 
@@ -22,7 +24,7 @@ def luhn(digits: str) -> bool:
 
 def features(word: str) -> list[str]:
     """Word-shape features of one token."""
-    shape = "".join("d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:80])
+    shape = "".join("d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word)
     short = re.sub(r"([Xx])[Xx]*", "x", shape)
     digits = shape.count("d")
     low = word.lower().strip(".,;")
@@ -55,52 +57,64 @@ class Crf:
     weights: np.ndarray
     transitions: np.ndarray
     start: np.ndarray
-    _known: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    _known: dict[str, int] = field(default_factory=dict, repr=False)
+    _scores: list[np.ndarray] = field(default_factory=list, repr=False)
+
+    def _number(self, word: str) -> int:
+        at = [self.index[f] for f in features(word) if f in self.index]
+        self._scores.append(self.weights[:, at].sum(axis=1))
+        self._known[word] = len(self._scores) - 1
+        return len(self._scores) - 1
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        own = np.zeros((len(words), 3, len(self.tags)))
-        for i, word in enumerate(words):
-            if word not in self._known:
-                if len(self._known) > 50_000:
-                    self._known.clear()
-                at = [self.index[f] for f in features(word) if f in self.index]
-                self._known[word] = self.weights[:, at].sum(axis=1)
-            own[i] = self._known[word]
+        """Scores of each tag of each word, from its own features and its neighbours'; remembers words' scores."""
+        if len(self._scores) > REMEMBERED:
+            self._known.clear()
+            self._scores.clear()
+        known = self._known
+        numbers = [known[w] if w in known else self._number(w) for w in words]
+        used, at = np.unique(numbers, return_inverse=True)
+        own = np.stack([self._scores[i] for i in used])[at]
         out = own[:, 0].copy()
         out[1:] += own[:-1, 1]
         out[:-1] += own[1:, 2]
         return out
 
-    def decode(self, sequences: list[list[str]]) -> list[list[str]]:
-        """The likeliest tags of each sequence, by Viterbi over padded batches of sequences of like length."""
-        out: list[list[str]] = [[] for _ in sequences]
-        order = sorted((i for i in range(len(sequences)) if sequences[i]), key=lambda i: len(sequences[i]))
-        for at in range(0, len(order), 256):
-            some = order[at : at + 256]
+    def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
+        """Numbers in `tags` of the likeliest tags of each sequence, by Viterbi over padded batches of like length."""
+        out = [np.zeros(0, np.int8)] * len(sequences)
+        order = sorted((i for i in range(len(sequences)) if sequences[i]), key=lambda i: -len(sequences[i]))
+        while order:
+            longest = len(sequences[order[0]])
+            some, order = order[: max(1, CELLS // longest)], order[max(1, CELLS // longest) :]
             lengths = np.array([len(sequences[i]) for i in some])
-            scores = np.zeros((len(some), lengths.max(), len(self.tags)))
+            scores = np.zeros((longest, len(some), len(self.tags)))
             for row, i in enumerate(some):
-                scores[row, : lengths[row]] = self.emissions(sequences[i])
-            best, back = self.start + scores[:, 0], np.zeros(scores.shape, np.int64)
-            for t in range(1, scores.shape[1]):
-                paths = best[:, :, None] + self.transitions
-                back[:, t] = paths.argmax(axis=1)
-                best = np.where((t < lengths)[:, None], paths.max(axis=1) + scores[:, t], best)
-            last = best.argmax(axis=1)
+                scores[: lengths[row], row] = self.emissions(sequences[i])
+            best, back = self.start + scores[0], np.zeros(scores.shape, np.int8)
+            for t in range(1, longest):
+                n = int(np.searchsorted(-lengths, -t))  # sequences longer than t stand first
+                paths = best[:n, :, None] + self.transitions
+                back[t, :n] = paths.argmax(axis=1)
+                best[:n] = paths.max(axis=1) + scores[t, :n]
+            tags = np.zeros((longest, len(some)), np.int8)
+            now, rows = best.argmax(axis=1), np.arange(len(some))
+            for t in range(longest - 1, -1, -1):
+                tags[t] = now
+                now = np.where(t < lengths, back[t, rows, now], now)
             for row, i in enumerate(some):
-                path = [int(last[row])]
-                for t in range(lengths[row] - 1, 0, -1):
-                    path.append(int(back[row, t, path[-1]]))
-                out[i] = [self.tags[y] for y in reversed(path)]
+                out[i] = tags[: lengths[row], row]
         return out
 
 
 def train(rows: list[tuple[list[str], list[str]]], steps: int = 100, rate: float = 0.1, decay: float = 0.002) -> Crf:
     """The field of greatest penalised likelihood on labelled rows, by gradient ascent with adaptive steps.
 
-    rows: words and their tags, O for none. Empty rows are left out.
+    rows: words and their tags, O for none. Empty rows are left out; without any row the field tags everything O.
     """
     rows = [r for r in rows if r[0]]
+    if not rows:
+        return Crf(["O"], {}, np.zeros((3, 0, 1)), np.zeros((1, 1)), np.zeros(1))
     tags = ["O", *sorted({t for _, ys in rows for t in ys} - {"O"})]
     index: dict[str, int] = {}
     for words, _ in rows:

@@ -6,6 +6,7 @@ import random
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -20,9 +21,10 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Only what has one of these can be personal data of these kinds; the field decodes the REACH words around each.
+#: Every span has one of these, so texts without any have no span.
 MARK = re.compile(r"[0-9@]|[\[(](?:at|AT|dot|DOT)[\])]")
-REACH = 6
+#: Characters of texts that are decoded together.
+TOGETHER = 4_000_000
 #: At most so many rows of a labelled table are trained on.
 MOST_ROWS = 2_000
 SPAN = "array<struct<kind:string,start:int,end:int>>"
@@ -55,48 +57,43 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
-def windows(text: str) -> Iterator[list[re.Match]]:
-    """Runs of words within REACH of one that has a mark."""
-    words = list(re.finditer(r"\S+", text))
-    run: list[re.Match] = []
-    until = -1
-    for i, word in enumerate(words):
-        if MARK.search(word[0]):
-            first = max(i - REACH, until + 1)
-            if run and first > until + 1:
-                yield run
-                run = []
-            run += words[first : i + 1] if first <= i else []
-            until = max(until, i)
-            more = words[until + 1 : i + REACH + 1]
-            run += more
-            until += len(more)
-    if run:
-        yield run
-
-
-def added_spans(text: str, base: list[Span], field: Crf) -> list[Span]:
-    """Spans that the field finds and that meet no base span; without the marks of a sentence around them."""
-    runs = list(windows(text))
-    found = []
-    for run, tags in zip(runs, field.decode([[w[0] for w in r] for r in runs]), strict=True):
-        at = 0
-        while at < len(tags):
-            kind, end = tags[at][2:], at + 1
-            if tags[at] != "O":
-                while end < len(tags) and tags[end] == "I-" + kind:
-                    end += 1
-                start, stop = run[at].start(), run[end - 1].end()
-                while start < stop and text[start] in "\"'<[,;:=":
-                    start += 1
-                while stop > start and text[stop - 1] in "\"'>],;:.!?*#%&$":
-                    stop -= 1
-                if start < stop and MARK.search(text, start, stop) and not any(s < stop and start < e for s, e, _ in base):
-                    found.append((start, stop, KINDS.index(kind)))
-            at = end
+def tagged_spans(text: str, tags: np.ndarray, names: list[str], base: list[Span]) -> list[Span]:
+    """Spans of the tags of a text's words that have a mark and meet no base span; without a sentence's marks around them."""
+    if not tags.any():
+        return []
+    words, found = list(re.finditer(r"\S+", text)), []
+    at = -1
+    for i in np.flatnonzero(tags).tolist():
+        if i < at:
+            continue
+        kind, at = names[tags[i]][2:], i + 1
+        while at < len(tags) and names[tags[at]] == "I-" + kind:
+            at += 1
+        start, stop = words[i].start(), words[at - 1].end()
+        while start < stop and text[start] in "\"'<[,;:=":
+            start += 1
+        while stop > start and text[stop - 1] in "\"'>],;:.!?*#%&$":
+            stop -= 1
+        if start < stop and MARK.search(text, start, stop) and not any(s < stop and start < e for s, e, _ in base):
+            found.append((start, stop, KINDS.index(kind)))
     return found
 
 
+def all_spans(texts: list[str], field: Crf) -> Iterator[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans sorted) of each text; the field decodes the words of whole texts."""
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (held == 0 or held + len(texts[end]) <= TOGETHER):
+            held += len(texts[end])
+            end += 1
+        some = [t if MARK.search(t) else "" for t in texts[at:end]]
+        for text, tags in zip(some, field.decode([t.split() for t in some]), strict=True):
+            base = base_spans(text)
+            yield base, sorted(base + tagged_spans(text, tags, field.tags, base), key=lambda x: (x[0], x[2]))
+        at = end
+
+
 def labelled_table(spark: SparkSession, n: int = 300, seed: int = 7) -> DataFrame:
     """A small labelled table (words, tags), made by rule: invented sentences with and without personal data."""
     return spark.createDataFrame(labelled_rows(n, seed), "words array<string>, tags array<string>")
@@ -179,7 +176,8 @@ def labelled_rows(n: int = 300, seed: int = 7) -> list[tuple[list[str], list[str
 
 
 def train_field(labelled: DataFrame) -> Crf:
-    """A field from a small labelled table (words, tags) of at most MOST_ROWS rows."""
+    """A field from a small labelled table (words, tags) of at most MOST_ROWS rows; an empty one gives a field that finds
+    nothing. Rows without words are left out, repeated ones count each; null words or tags are not allowed."""
     return train([(list(r.words), list(r.tags)) for r in labelled.limit(MOST_ROWS).collect()])
 
 
@@ -187,8 +185,8 @@ def find_spans(docs: DataFrame, field: Crf, text_col: str = "text") -> DataFrame
     """All rows and columns of docs with base_spans and spans: (kind, start, end) in code points, end exclusive.
 
     base_spans are the matches of the fixed patterns, leftmost and not overlapping within a kind; spans has them and
-    those that the field adds, which overlap none of them. Both are sorted by start and kind. Null text counts as
-    empty. Columns of these names are replaced; repeated rows stay; an empty table gives an empty table.
+    those that the field adds, which overlap none of them and hold a digit, an @ or one spelled out. Both are sorted by
+    start and kind. Null text counts as empty. Columns of these names are replaced; repeated rows stay; an empty table gives an empty table.
     """
     rows = docs.drop("base_spans", "spans")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -196,17 +194,9 @@ def find_spans(docs: DataFrame, field: Crf, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, every = [], []
-            for text in batch.column(text_col):
-                text = text.as_py() or ""
-                if not MARK.search(text):
-                    base.append([])
-                    every.append([])
-                    continue
-                found = base_spans(text)
-                base.append(as_rows(found))
-                every.append(as_rows(sorted(found + added_spans(text, found, field), key=lambda x: (x[0], x[2]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, kind), pa.array(every, kind)], [*batch.schema.names, "base_spans", "spans"])
+            found = list(all_spans([t or "" for t in batch.column(text_col).to_pylist()], field))
+            columns = [pa.array([as_rows(spans[i]) for spans in found], kind) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "base_spans", "spans"])
 
     return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, *T._parse_datatype_string(f"base_spans {SPAN}, spans {SPAN}").fields]))
 
@@ -214,22 +204,24 @@ def find_spans(docs: DataFrame, field: Crf, text_col: str = "text") -> DataFrame
 def redact(docs: DataFrame, field: Crf, text_col: str = "text") -> DataFrame:
     """docs with each found span replaced by its kind in brackets; overlapping spans become one, of the first's kind.
 
-    Texts without spans, null ones too, stay as they are.
+    Texts without spans, null ones too, stay as they are. Repeated rows stay; other columns play no part; an empty table
+    gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = [t if t is None or not MARK.search(t) else _redacted(t, field) for t in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            found = all_spans([t or "" for t in texts], field)
+            texts = [_redacted(t, spans) if spans else t for t, (_, spans) in zip(texts, found, strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     return docs.mapInArrow(tidy(run), docs.schema)
 
 
-def _redacted(text: str, field: Crf) -> str:
-    base = base_spans(text)
+def _redacted(text: str, spans: list[Span]) -> str:
     out, done = [], 0
-    for start, end, kind in sorted(base + added_spans(text, base, field)):
+    for start, end, kind in sorted(spans):
         if start >= done:
             out += [text[done:start], f"[{KINDS[kind].upper()}]"]
         done = max(done, end)

@@ -8,6 +8,7 @@ gives the score.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -31,26 +32,32 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SUBSTITUTE, INSERT, DIGIT, BREAK, REPEAT = -1.0, -1.0, -12.0, -4.0, -0.5
 #: At most so many labelled documents are learned from, those with the least hashes of their ids.
 MOST_LABELLED = 20_000
-#: At most so many units are in the lexicon, those with the largest weights; each is in at least LEAST_SEEN toxic texts.
-MOST_UNITS, LEAST_SEEN = 20_000, 3
+#: Each unit of the lexicon is in at least so many toxic texts among the labelled ones, which bounds the lexicon.
+LEAST_SEEN = 3
 #: Smallest certain log-odds of a unit.
 LEAST_WEIGHT = 2.5
 #: A text's evidence is the sum of its TOP largest weights, each counted up to CAP.
 TOP, CAP = 3, 4.0
 #: Tokens that a worker remembers, and units that it counts before it hands the counts on.
 REMEMBERED, COUNTED = 100_000, 60_000
+#: Runs of characters after which a decoder settles on the best path so far, which bounds its memory on long tokens.
+SETTLED = 1024
 
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
 THRICE = re.compile(r"(.)\1\1", re.DOTALL)
 RUN = re.compile(r"(.)\1*", re.DOTALL)
+#: Tokens without letters that are left alone: numbers, prices, dates, times, shares.
+NUMBER = re.compile(r"[+$€£(|]?[0-9][0-9.,:;/()|-]*[%!$€£+|]*")
 
 
+@functools.cache
 def _symbol_table() -> np.ndarray:
-    table = np.zeros(256, np.int64)
-    for i in range(26):
-        table[ord("a") + i] = table[ord("A") + i] = i + 1
-    table[0x80:] = SYMBOLS - 1
-    return table
+    """The symbol of each code point, upper-case A-Z as lower-case, as _symbol gives it."""
+    return np.array([_symbol(chr(i).lower() if i < 128 else chr(i)) for i in range(0x110000)], np.uint8)
+
+
+def _symbol(c: str) -> int:
+    return ord(c) - 96 if "a" <= c <= "z" else SYMBOLS - 1 if c.isalpha() else 0
 
 
 def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -60,9 +67,9 @@ def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         table, total = _symbol_table(), np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                data = " ".join(t or "" for t in batch.column(0).slice(at, 256).to_pylist()).encode()
-                for cut in range(0, len(data), 1 << 22):
-                    s = table[np.frombuffer(data[max(0, cut - 2) : cut + (1 << 22)], np.uint8)]
+                data = " ".join(t or "" for t in batch.column(0).slice(at, 256).to_pylist())
+                for cut in range(0, len(data), 1 << 20):
+                    s = table[np.frombuffer(data[max(0, cut - 2) : cut + (1 << 20)].encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
                     if len(s) > 2:
                         total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
         found = np.flatnonzero(total)
@@ -74,10 +81,6 @@ def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
 
 
-def _symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else SYMBOLS - 1 if c.isalpha() else 0
-
-
 class Restorer:
     """Viterbi decoding of disguised tokens under a trigram model."""
 
@@ -95,9 +98,10 @@ class Restorer:
         return [*found, ("", min(n, 2) * (DIGIT if c.isdigit() else INSERT)), (" ", BREAK)]
 
     def restore(self, token: str) -> list[str]:
-        """The likeliest words behind a token."""
+        """The likeliest words behind a token. After SETTLED runs the best path so far is settled on."""
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for match in RUN.finditer(token):
+        done: list[str] = []
+        for n, match in enumerate(RUN.finditer(token), 1):
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             choices = self.options(match[0])
             for (a, b), (score, path) in states.items():
@@ -110,12 +114,20 @@ class Restorer:
                     if (x, y) not in after or after[x, y][0] < total:
                         after[x, y] = (total, (text, path))
             states = after
-        path = max((score + self.logp[a][b][0], i, path) for i, ((a, b), (score, path)) in enumerate(states.items()))[2]
+            if n % SETTLED == 0:
+                best = max(states, key=lambda state: states[state][0])
+                done += self.spelled(states[best][1])
+                states = {best: (states[best][0], None)}
+        best = max(states, key=lambda state: states[state][0] + self.logp[state[0]][state[1]][0])
+        return "".join(done + self.spelled(states[best][1])).split()
+
+    @staticmethod
+    def spelled(path: tuple | None) -> list[str]:
         parts = []
         while path is not None:
             text, path = path
             parts.append(text)
-        return "".join(reversed(parts)).split()
+        return parts[::-1]
 
     def words(self, token: str) -> list[str]:
         """The words of a token in lower case, restored if it looks disguised."""
@@ -123,7 +135,7 @@ class Restorer:
         if core.isalpha() and token[0] not in LEET and not THRICE.search(core):
             return [core.lower()]
         low = token.lower()
-        if not any(c.isalpha() for c in low):
+        if not any(c.isalpha() for c in low) and (NUMBER.fullmatch(low) or sum(c in LEET for c in low) < 3 or all(c.isdigit() or c.isspace() for c in low)):
             return []
         tail = low.rstrip(".,;:?\"'()[]{}<>*#%&~`^=_-/\\")
         return self.restore(tail if len(tail) - len(tail.rstrip("!$@|+")) < 2 else tail.rstrip("!$@|+"))
@@ -219,8 +231,9 @@ def _unit_counts(counts: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The model: trigram counts of all docs, lexicon and curve of at most MOST_LABELLED labelled texts.
 
-    Equal texts are learned from once. Labels other than 0 and 1, null ids and null texts are left out. Without
-    labels of both kinds every text scores 0.
+    Equal texts are learned from once, as toxic ones if their labels differ. Labels other than 0 and 1, null ids and null
+    texts are left out; rows with one id all take its label. Without labels of both kinds, as of empty tables, every text
+    scores 0. Other columns play no part.
     """
     counts = trigram_counts(docs, text_col)
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(id_col, F.col(label_col).cast("int").alias(f"{P}toxic"))
@@ -234,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     weight = F.log(t / c) - F.lit(math.log((n[1] + 1) / (n[0] + 1))) - F.sqrt(1 / t + 1 / c)
     found = found.where(F.col("t") >= LEAST_SEEN).select("unit", weight.alias("weight")).where(F.col("weight") > LEAST_WEIGHT)
-    weights = {r.unit: r.weight for r in found.orderBy(F.desc("weight"), "unit").limit(MOST_UNITS).collect()}
+    weights = {r.unit: r.weight for r in found.collect()}  # bounded by MOST_LABELLED and LEAST_SEEN
     model = Model(counts, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,16 +31,34 @@ def model():
     counts = np.zeros((28, 28, 28))
     text = " ".join(rng.choice([*words, "idiot", "moron", "scum", "stupid"]) for _ in range(4000))
     table = toxicity._symbol_table()
-    s = table[np.frombuffer(text.encode(), np.uint8)]
+    s = table[np.frombuffer(text.encode(), np.uint8)].astype(int)
     np.add.at(counts, (s[:-2], s[1:-1], s[2:]), 1)
     return toxicity.Model(counts, {"idiot": 6.0, "moron": 6.0, "scum": 6.0}, -4.0, 0.9)
 
 
-@pytest.mark.parametrize(("token", "words"), [("1d10t", ["idiot"]), ("i d i o t", ["idiot"]), ("i.d.i.o.t", ["idiot"]), ("idiooooot", ["idiot"]), ("M0R0N!!", ["moron"]), ("$cum", ["scum"]), ("there,", ["there"]), ("hand%%%", ["hand"]), ("12345", []), ("", []), ("|", [])])
+@pytest.mark.parametrize(("token", "words"), [("1d10t", ["idiot"]), ("i d i o t", ["idiot"]), ("i.d.i.o.t", ["idiot"]), ("idiooooot", ["idiot"]), ("M0R0N!!", ["moron"]), ("$cum", ["scum"]), ("there,", ["there"]), ("hand%%%", ["hand"]), ("12345", []), ("", []), ("|", []), ("$455", []), ("12/05/2024", []), ("4 5 5", []), ("#-#", [])])
 def test_disguised_words_are_restored(model, token, words):
     assert toxicity.Restorer(model.counts).words(token or "|") == words
 
 
+def test_letterless_tokens_are_decoded():
+    counts = np.zeros((28, 28, 28))
+    s = toxicity._symbol_table()[np.frombuffer(b"ass lot still also a lot is in it " * 50, np.uint8)].astype(int)
+    np.add.at(counts, (s[:-2], s[1:-1], s[2:]), 1)
+    assert [toxicity.Restorer(counts).words(t) for t in ("@$5", "455", "$5.50")] == [["ass"], [], []]
+
+
+def test_symbols_are_counted_by_characters(spark):
+    """As the decoder sees them: an accented letter is one letter, a dash is none."""
+    counts = toxicity.trigram_counts(spark.createDataFrame([(1, "Çé–a"), (2, None)], SCHEMA), "text")
+    assert counts.sum() == 3 and counts[27, 27, 0] == 1 and counts[27, 0, 1] == 1
+
+
+def test_long_tokens_are_settled_in_steps(model):
+    token = "1d10t.m0r0n." * 3000
+    assert toxicity.Restorer(model.counts).restore(token).count("idiot") > 2900
+
+
 def test_viterbi_finds_the_best_reading(model):
     """Against all readings of short tokens."""
     restorer = toxicity.Restorer(model.counts)
@@ -101,11 +119,27 @@ def test_field_learns_and_decodes_best_path():
     field = crf.train(pii.labelled_rows(200, 1))
     rows = pii.labelled_rows(150, 77)
     got = field.decode([w for w, _ in rows])
-    assert sum(a == b for a, (_, b) in zip(got, rows, strict=True)) >= 0.95 * len(rows)
+    assert sum([field.tags[y] for y in a] == b for a, (_, b) in zip(got, rows, strict=True)) >= 0.95 * len(rows)
     words = rows[1][0][:5]
     scores = field.emissions(words)
     best, path = max(((field.start[p[0]] + sum(scores[i, y] for i, y in enumerate(p)) + sum(field.transitions[a, b] for a, b in zip(p, p[1:], strict=False)), p) for p in np.ndindex(*[len(field.tags)] * len(words))), key=lambda x: x[0])
-    assert field.decode([words])[0] == [field.tags[y] for y in path]
+    assert field.decode([[], words, words * 3, []])[1].tolist() == list(path)
+    one_by_one = [field.decode([w])[0].tolist() for w, _ in rows]
+    assert one_by_one == [y.tolist() for y in got]
+
+
+def test_a_field_without_rows_finds_nothing():
+    field = crf.train([])
+    assert list(pii.all_spans(["call (743) 555-3824", ""], field)) == [([], []), ([], [])]
+
+
+def test_whole_texts_are_decoded_like_the_field_alone():
+    """Spans of texts decoded together are those of each text's best path, whatever is batched with it."""
+    field = crf.train(pii.labelled_rows(200, 1))
+    texts = [" ".join(w for words, _ in pii.labelled_rows(n, n) for w in words) for n in (1, 2, 30, 3, 0, 200)]
+    together = list(pii.all_spans(texts, field))
+    assert together == [next(pii.all_spans([t], field)) for t in texts]
+    assert sum(len(spans) for _, spans in together) > 60
 
 
 def test_spans_and_redaction(spark):
