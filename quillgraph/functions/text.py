@@ -49,17 +49,17 @@ RESIDUES = {
 
 
 def residue_code(name: ColumnOrName) -> Column:
-    """The one-letter code of a residue; a name that has none stays as it is."""
+    """The one-letter code of a residue, whatever the case of its letters; a name that has none stays as it is."""
     codes = F.create_map(*[F.lit(x) for pair in RESIDUES.items() for x in pair])
-    return F.coalesce(codes[_col(name)], _col(name))
+    return F.coalesce(codes[F.initcap(_col(name))], _col(name))
 
 
 def substitutions(text: ColumnOrName) -> Column:
-    """Sorted distinct protein substitutions (X123Y) that a text writes with one-letter or three-letter codes."""
+    """Sorted distinct protein substitutions (X123Y) that a text writes with one-letter or three-letter codes, in any case."""
     three, one = "|".join(RESIDUES), "".join(RESIDUES.values())
-    pattern = rf"(?<![A-Za-z0-9])(?:p\.)?(?:({three})(\d+)({three})|([{one}])(\d+)([{one}]))(?![A-Za-z0-9])"
-    part = lambda x, long, short: F.when(F.regexp_extract(x, pattern, long) != "", F.regexp_extract(x, pattern, long)).otherwise(F.regexp_extract(x, pattern, short))
-    found = F.transform(F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(0)), lambda x: F.concat(residue_code(part(x, 1, 4)), part(x, 2, 5), residue_code(part(x, 3, 6))))
+    pattern = rf"(?i)(?<![A-Za-z0-9])(?:p\.)?(?:({three})(\d+)({three})|([{one}])(\d+)([{one}]))(?![A-Za-z0-9])"
+    part = lambda x, long, short: F.when(F.regexp_extract(x, pattern, long) != "", residue_code(F.regexp_extract(x, pattern, long))).otherwise(F.upper(F.regexp_extract(x, pattern, short)))
+    found = F.transform(F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(0)), lambda x: F.concat(part(x, 1, 4), F.greatest(F.regexp_extract(x, pattern, 2), F.regexp_extract(x, pattern, 5)), part(x, 3, 6)))
     return F.array_sort(F.array_distinct(found))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,9 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import squeezed
+from ..storage import written
 
 #: Words whose hash a passage is looked up by.
 ANCHOR_WORDS = 6
+#: Passages of fewer words that a scan of the texts looks for.
+SHORT_PASSAGES = 1_000
 
 
 def strides(docs: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
@@ -25,27 +30,29 @@ def strides(docs: DataFrame, id_col: str, text_col: str, size: int, overlap: int
 
 
 def split_words(text: str, most: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """(start, end) of chunks of at most `most` characters that end between words where they can, each reaching back
-    about `overlap` characters."""
-    at, n = 0, len(text)
-    while at < n:
-        end = min(n, at + most)
-        if end < n and not text[end].isspace():
-            back = end
-            while back > at + most // 2 and not text[back - 1].isspace():
-                back -= 1
-            end = back if back > at + most // 2 else end
+    """(start, end) of chunks of at most `most` characters of a text with single spaces.
+
+    A chunk ends at the last space in its second half and the next one starts with the first word that begins in the
+    `overlap` characters before that end; where there is no such space, it is cut between characters.
+    """
+    spaces, n = [m.start() for m in re.finditer(" ", text)], len(text)
+    at = end = 0
+    while end < n:
+        end = at + most
+        if end < n:
+            last = bisect_left(spaces, end) - 1
+            end = spaces[last] if last >= 0 and spaces[last] >= at + most // 2 and spaces[last] > at else end
+        end = min(end, n)
         yield at, end
-        if end >= n:
-            return
-        following = max(at + 1, end - overlap)
-        while following < end and not text[following - 1].isspace():
-            following += 1
-        at = following
+        at = max(at + 1, end - overlap)
+        before = bisect_left(spaces, at - 1)
+        if before < len(spaces) and spaces[before] < end:
+            at = spaces[before] + 1
 
 
 def word_chunks(docs: DataFrame, id_col: str, text_col: str, most: int = 3600, overlap: int = 400) -> DataFrame:
-    """(id, chunk, start, end, content): chunks that end between words; blank texts have none."""
+    """(id, chunk, start, end, content): chunks that end between words, of the text with its white space squeezed, which
+    start and end count in; blank texts have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -53,7 +60,7 @@ def word_chunks(docs: DataFrame, id_col: str, text_col: str, most: int = 3600, o
             yield pd.DataFrame(rows, columns=["id", "chunk", "start", "end", "content"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("chunk int, start int, end int, content string").fields])
-    return docs.select(id_col, text_col).mapInPandas(run, schema)
+    return docs.select(id_col, squeezed(text_col)).mapInPandas(run, schema)
 
 
 def locate(passages: DataFrame, docs: DataFrame, passage_id: str, passage_text: str, id_col: str, text_col: str) -> DataFrame:
@@ -61,7 +68,7 @@ def locate(passages: DataFrame, docs: DataFrame, passage_id: str, passage_text:
 
     A text with a passage also has its inner words (all but the first and last) in a row, so an equality join on the
     hash of ANCHOR_WORDS of them finds every such text; the passage itself is then looked for. Passages of fewer words
-    are few short strings: they must be at most 1,000 and are looked for in every text.
+    are looked for in every text, SHORT_PASSAGES of them at a time.
     """
     words = F.filter(F.split(F.col(passage_text), r"\s+"), lambda w: w != "")
     asked = passages.select(F.col(passage_id).alias("passage"), F.col(passage_text).alias("quote"), words.alias("words")).where(F.col("quote") != "")
@@ -70,11 +77,13 @@ def locate(passages: DataFrame, docs: DataFrame, passage_id: str, passage_text:
     spread = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != "").alias("words"))
     grams = spread.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - ANCHOR_WORDS + 1)), lambda i: F.xxhash64(F.slice("words", i, ANCHOR_WORDS))))).alias("anchor"))
     near = grams.join(anchors, "anchor").select("passage", "quote", "id").distinct()
-    found = near.join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
-    if n := short.count():
-        if n > 1_000:
-            raise ValueError(f"{n} passages of under {ANCHOR_WORDS + 2} words; at most 1000")
-        found = found.unionByName(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(short.select("passage", "quote")), F.expr("contains(text, quote)")))
+    found = near.join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").select("passage", "quote", "id", "text")
+    parts = -(-short.count() // SHORT_PASSAGES)
+    if parts:
+        short = written(short.select("passage", "quote", F.pmod(F.xxhash64("quote"), F.lit(parts)).alias("part")), "short")
+    for part in range(parts):
+        some = short.where(F.col("part") == part).select("passage", "quote")
+        found = found.unionByName(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), F.expr("contains(text, quote)")).select("passage", "quote", "id", "text"))
     start = F.expr("locate(quote, text)") - 1
     return found.where(F.expr("contains(text, quote)")).select("passage", "id", start.alias("start"), (start + F.length("quote")).alias("end"))
 
@@ -90,23 +99,30 @@ def grounded(spans: DataFrame, units: DataFrame) -> DataFrame:
 def greedy_batches(rows: DataFrame, group: str, order: str, size: str, most_size: int, most_rows: int) -> DataFrame:
     """rows with `batch`: within each group, in order, a new batch starts when a row would exceed either bound.
 
-    Where a batch starts depends on all rows before it in its group; groups (a file's or a client's rows) are
-    independent. A row over most_size is an error. Only order and size move through Python.
+    Where a batch starts depends on all rows before it in its group, so a group's orders and sizes (and nothing else)
+    pass through one task, in chunks; groups are a file's or a client's rows. `order` is unique in a group. A row over
+    most_size is an error, null groups are one group.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        batch, held, n, out = 0, 0, 0, []
-        for s in pdf[size]:
-            if s > most_size:
-                raise ValueError(f"a row has size {s}; at most {most_size}")
-            if n and (held + s > most_size or n == most_rows):
-                batch, held, n = batch + 1, 0, 0
-            held, n = held + s, n + 1
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    return rows.groupBy(group).applyInPandas(run, T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())]))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, batch, held, n = None, 0, 0, 0
+        for pdf in batches:
+            out = []
+            for g, s in zip(pdf["g"], pdf["s"], strict=True):
+                if s > most_size:
+                    raise ValueError(f"a row has size {s}; at most {most_size}")
+                if g != now:
+                    now, batch, held, n = g, 0, 0, 0
+                elif n and (held + s > most_size or n == most_rows):
+                    batch, held, n = batch + 1, 0, 0
+                held, n = held + s, n + 1
+                out.append(batch)
+            yield pdf[["g", "o"]].assign(batch=out)
+
+    narrow = rows.select(F.to_json(F.struct(F.col(group).alias("g"))).alias("g"), F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
+    narrow = narrow.repartition("g").sortWithinPartitions("g", "o")
+    found = narrow.mapInPandas(run, T.StructType([T.StructField("g", T.StringType()), T.StructField("o", rows.schema[order].dataType), T.StructField("batch", T.LongType())]))
+    joined = rows.withColumn("__g", F.to_json(F.struct(F.col(group).alias("g")))).join(found.withColumnsRenamed({"g": "__g", "o": order}), ["__g", order])
+    return joined.select(*rows.columns, "batch")
 
 
 def manifest(docs: DataFrame, kind: str, source: str, text: str) -> DataFrame:

@@ -129,7 +129,7 @@ def bootstrap(clusters: DataFrame, draws: int = 2000, seed: int = 20261004) -> D
     """(metric, low, high, n_undefined): 95 % intervals of precision, recall and F1 by resampling clusters.
 
     clusters: (cluster, tp, fp, fn), at most MOST_CLUSTERS rows: sums for each cluster, not single observations. The
-    draws are those of one Mersenne Twister over the clusters in order. Percentiles are elements, not interpolated.
+    draws are those of one Mersenne Twister over the clusters in order, one stream that no two tasks can share. Percentiles are elements, not interpolated.
     Fewer than two clusters give nulls.
     """
     n = clusters.count()

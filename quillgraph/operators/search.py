@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 #: Parameters of keyword scores and of rank fusion.
 K1, B = 1.2, 0.75
 FUSION = 60
@@ -71,13 +73,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot, norm(a) * norm(b))
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, query_col: str = "query_id", query_vector: str = "vector", most_queries: int = 10_000) -> DataFrame:
-    """(query_id, id, score) of every vector for each of a stated, small set of queries (at most most_queries)."""
-    n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries; give at most {most_queries} at a time")
-    asked = F.broadcast(queries.select(query_col, F.col(query_vector).alias("__query")))
-    return vectors.join(asked).select(query_col, F.col(id_col).alias("id"), cosine(F.col(vector_col), F.col("__query")).alias("score"))
+def vector_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, query_col: str = "query_id", query_vector: str = "vector", block: int = 10_000) -> DataFrame:
+    """(query_id, id, score) of every vector for each of a stated set of queries, which go to all tasks in blocks."""
+    parts = -(-queries.count() // block)
+    asked = written(queries.select(query_col, F.col(query_vector).alias("__query"), F.pmod(F.xxhash64(query_col), F.lit(max(1, parts))).alias("__part")), "queries")
+    rows = None
+    for part in range(max(1, parts)):
+        some = F.broadcast(asked.where(F.col("__part") == part).select(query_col, "__query"))
+        found = vectors.join(some).select(query_col, F.col(id_col).alias("id"), cosine(F.col(vector_col), F.col("__query")).alias("score"))
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
 
 
 def best(scores: DataFrame, k: int, query_col: str = "query_id") -> DataFrame:
@@ -87,12 +92,13 @@ def best(scores: DataFrame, k: int, query_col: str = "query_id") -> DataFrame:
 
 
 def fused(channels: list[DataFrame], query_col: str = "query_id") -> DataFrame:
-    """(query_id, id, score, rank): reciprocal ranks summed over channels; an item counts once in each, at its best."""
+    """(query_id, id, score, n_channels, rank): reciprocal ranks summed over channels; an item counts once in each, at
+    its best."""
     rows = None
     for i, channel in enumerate(channels):
         one = channel.groupBy(query_col, "id").agg(F.min("rank").alias("rank")).withColumn("channel", F.lit(i))
         rows = one if rows is None else rows.unionByName(one)
-    scores = rows.groupBy(query_col, "id").agg(F.sum(1.0 / (FUSION + F.col("rank"))).alias("score"))
+    scores = rows.groupBy(query_col, "id").agg(F.sum(1.0 / (FUSION + F.col("rank"))).alias("score"), F.count("*").alias("n_channels"))
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("score"), "id")))
 
 

@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators import export, paths, routes, search, state, validate
 from ..schema import REVIEW_STATUSES, STANCES
+from ..storage import written
 from .registry import query
-from .star_graph import GRAPH_SQL, PATHS_SQL, star_graph, view
+from .star_graph import ASKED_SQL, GRAPH_SQL, PATHS_SQL, asked, star_graph, view
 
-#: The source diseases that the single-source queries start from: the entity asked about, as in an interactive lookup.
-ASKED = ("D:1", "D:2", "D:7", "D:100")
-ASKED_SQL = "('D:1', 'D:2', 'D:7', 'D:100')"
 
-
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in ASKED], "disease string")
+def written_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with their states as a table with a folder for each predicate: plans that follow several kinds of claims
+    read those folders instead of folding all evidence anew for each."""
+    return written(state.claim_states(star_graph(spark, sf_dir)), "states", by="predicate")
 
 
 @query("ag01_collection_counts", f"""
@@ -127,10 +126,15 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY disease ORDER BY best, scor
 
 
 def judged_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    states = state.claim_states(star_graph(spark, sf_dir))
+    """States, and the judged pairs of the asked diseases with all others.
+
+    The paths of the asked diseases come first; only mechanisms that they reach are followed on the other side.
+    """
+    states = written_states(spark, sf_dir)
     every = paths.mechanism_paths(states)
-    mine = every.where(F.col("disease").isin(*ASKED))
-    return states, paths.judge_pairs(paths.path_pairs(mine, every))
+    mine = written(every.join(asked(spark, sf_dir), "disease", "left_semi"), "mine")
+    reached = every.join(mine.select("mechanism").distinct(), "mechanism", "left_semi")
+    return states, written(paths.judge_pairs(paths.path_pairs(mine, reached)), "judged")
 
 
 @query("jn06_path_pairs", f"WITH {JUDGED_SQL} SELECT disease, other, mechanism, status, reasons, count(*) AS n FROM judged GROUP BY ALL")
@@ -141,13 +145,13 @@ def path_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jn07_shared_phenotypes", f"WITH {JUDGED_SQL} SELECT disease, other, phenotype, both_ok AS both FROM phenotypes")
 def phenotype_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.shared_phenotypes(state.claim_states(star_graph(spark, sf_dir)), asked(spark))
+    return paths.shared_phenotypes(written_states(spark, sf_dir), asked(spark, sf_dir))
 
 
 @query("gr02_explore", f"WITH {JUDGED_SQL} SELECT disease, other, status, n_mechanisms, n_phenotypes, \"only\", score, rank FROM ranked")
 def explore(spark: SparkSession, sf_dir: str) -> DataFrame:
     states, judged = judged_pairs(spark, sf_dir)
-    return paths.candidates(judged, paths.shared_phenotypes(states, asked(spark)))
+    return paths.candidates(judged, paths.shared_phenotypes(states, asked(spark, sf_dir)))
 
 
 ROUTES_SQL = (
@@ -174,7 +178,7 @@ routes AS (
 @query("gr03_asset_routes", f"WITH {ROUTES_SQL} SELECT * FROM routes")
 def asset_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     states, judged = judged_pairs(spark, sf_dir)
-    found = paths.candidates(judged, paths.shared_phenotypes(states, asked(spark)))
+    found = paths.candidates(judged, paths.shared_phenotypes(states, asked(spark, sf_dir)))
     return routes.asset_routes(states, found.select("disease", "other", "status"))
 
 
@@ -187,7 +191,7 @@ SELECT DISTINCT route_id, routes.disease, person, partner FROM routes JOIN rp ON
 JOIN st ON st.studied = routes.other OR EXISTS (FROM sm WHERE sm.disease = routes.disease AND sm.other = routes.other AND sm.mechanism = st.studied)""")
 def route_collaborators(spark: SparkSession, sf_dir: str) -> DataFrame:
     states, judged = judged_pairs(spark, sf_dir)
-    found = paths.candidates(judged, paths.shared_phenotypes(states, asked(spark)))
+    found = paths.candidates(judged, paths.shared_phenotypes(states, asked(spark, sf_dir)))
     open_routes = routes.asset_routes(states, found.select("disease", "other", "status"))
     shared = judged.select(F.col("left_disease").alias("disease"), F.col("right_disease").alias("other"), "mechanism")
     return routes.collaborators(states, open_routes, shared)
@@ -211,7 +215,7 @@ def unknown_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jn11_unbacked_claims", f"""
 WITH {GRAPH_SQL} SELECT id FROM claims WHERE assertion_type = 'reported'
-AND id NOT IN (SELECT claim_id FROM evidence WHERE stance = 'supports')""")
+AND NOT EXISTS (SELECT 1 FROM evidence WHERE claim_id = id AND stance = 'supports')""")
 def unbacked_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.unbacked(star_graph(spark, sf_dir)).select("id")
 
@@ -221,7 +225,7 @@ WITH {PATHS_SQL}, ids AS (SELECT DISTINCT disease, unnest([first_id, second_id])
 SELECT disease, claim_id, source_id, stance, review_status FROM ids JOIN evidence USING (claim_id)""")
 def evidence_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = star_graph(spark, sf_dir)
-    mine = paths.mechanism_paths(state.claim_states(g)).where(F.col("disease").isin(*ASKED))
+    mine = paths.mechanism_paths(state.claim_states(g)).join(asked(spark, sf_dir), "disease", "left_semi")
     return routes.evidence_closure(mine, g.evidence, "disease").select("disease", "claim_id", "source_id", "stance", "review_status")
 
 
@@ -240,14 +244,14 @@ def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gr08_entity_evidence", f"""
 WITH {GRAPH_SQL}, v AS (SELECT subject AS entity, object AS node FROM claims WHERE predicate = 'HAS_VARIANT' AND subject IN {ASKED_SQL}),
 ids AS (
-  SELECT d AS entity, id FROM claims, (SELECT unnest(['D:1', 'D:2', 'D:7', 'D:100']) AS d) WHERE d IN (subject, object)
+  SELECT d AS entity, id FROM claims, (SELECT concat('D:', c_custkey) AS d FROM customer WHERE c_custkey % 100 = 0) WHERE d IN (subject, object)
   UNION SELECT entity, id FROM claims JOIN v ON v.node = subject WHERE predicate = 'HAS_EFFECT'
 )
 SELECT entity, count(*) AS n_evidence, count(DISTINCT source_id) AS n_sources, count(*) FILTER (stance = 'contradicts') AS n_against
 FROM ids JOIN evidence ON claim_id = id GROUP BY entity""")
 def entity_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = star_graph(spark, sf_dir)
-    mine = asked(spark).withColumnRenamed("disease", "entity")
+    mine = asked(spark, sf_dir).withColumnRenamed("disease", "entity")
     ends = g.claims.select("id", F.explode(F.array_distinct(F.array("subject", "object"))).alias("entity"))
     direct = ends.join(mine, "entity").select("entity", "id")
     second = g.claims.where("predicate = 'HAS_EFFECT'").join(routes.with_variants(g.claims, mine).withColumnRenamed("node", "subject"), "subject").select("entity", "id")
@@ -258,11 +262,11 @@ def entity_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gr09_counter_evidence", f"""
 WITH {GRAPH_SQL}, v AS (
   SELECT subject AS entity, object AS node FROM claims WHERE predicate = 'HAS_VARIANT' AND subject IN {ASKED_SQL}
-  UNION SELECT d, d FROM (SELECT unnest(['D:1', 'D:2', 'D:7', 'D:100']) AS d))
+  UNION SELECT d, d FROM (SELECT concat('D:', c_custkey) AS d FROM customer WHERE c_custkey % 100 = 0))
 SELECT DISTINCT entity, id FROM claims JOIN v ON v.node IN (subject, object) WHERE id IN (SELECT claim_id FROM evidence WHERE stance = 'contradicts')""")
 def counter_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = star_graph(spark, sf_dir)
-    near = routes.with_variants(g.claims, asked(spark).withColumnRenamed("disease", "entity"))
+    near = routes.with_variants(g.claims, asked(spark, sf_dir).withColumnRenamed("disease", "entity"))
     ends = g.claims.select("id", F.explode(F.array_distinct(F.array("subject", "object"))).alias("node"))
     against = g.evidence.where("stance = 'contradicts'").select(F.col("claim_id").alias("id")).distinct()
     return ends.join(near, "node").join(against, "id", "left_semi").select("entity", "id").distinct()

@@ -104,21 +104,33 @@ def nested_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assays.where(F.exists("parts", lambda p: (p.l_returnflag == "R") & (p.l_quantity > 40))).select("l_orderkey")
 
 
-@query("jn13_cross_references", """
-WITH a AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part WHERE p_partkey <= 40), b AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part)
-SELECT DISTINCT a.p_partkey AS "left", b.p_partkey AS "right" FROM a JOIN b USING (w) WHERE w <> ''""")
+ALIASES_SQL = "SELECT p_partkey, unnest([concat(p_name, '/', p_brand, '/', p_size), concat(p_name, '/', p_brand, '/', p_type, '/', p_partkey // 7)]) AS w FROM part"
+
+
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part under two names, as a list that | separates."""
+    name = lambda *rest: F.concat_ws("/", "p_name", "p_brand", *rest)
+    return view(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", name("p_size"), name("p_type", F.floor(F.col("p_partkey") / 7).cast("string"))).alias("names"))
+
+
+@query("jn13_cross_references", f"""
+WITH w AS ({ALIASES_SQL}) SELECT DISTINCT a.p_partkey AS "left", b.p_partkey AS "right" FROM w a JOIN w b USING (w)""")
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 parts are the curated list that is looked up among all."""
-    rows = view(spark, sf_dir, "part")
-    return select.cross_references(rows.where("p_partkey <= 40"), rows, "p_partkey", "p_name", "p_partkey", "p_name")
+    rows = aliases(spark, sf_dir)
+    return select.cross_references(rows, rows, "p_partkey", "names", "p_partkey", "names", r"\|")
 
 
-@query("jn14_name_containment", "SELECT a.p_partkey AS part, count(*) AS n FROM part a JOIN part b ON a.p_brand = b.p_brand AND contains(b.p_name, string_split(a.p_name, ' ')[2]) WHERE a.p_partkey <= 40 GROUP BY a.p_partkey")
+@query("jn14_name_containment", "SELECT a.p_partkey AS part, count(*) AS n FROM part a JOIN part b ON a.p_brand = b.p_brand AND contains(b.p_name, string_split(a.p_name, ' ')[2]) GROUP BY a.p_partkey")
 def name_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equality on the brand, containment as what is left to check; the first 40 parts are looked up."""
-    parts = view(spark, sf_dir, "part")
-    a = parts.where("p_partkey <= 40").select("p_brand", F.col("p_partkey").alias("part"), F.get(F.split("p_name", " "), F.lit(1)).alias("word"))
-    return a.join(parts.select("p_brand", "p_name"), "p_brand").where(F.col("p_name").contains(F.col("word"))).groupBy("part").agg(F.count("*").alias("n"))
+    """Equality on the brand, containment as what is left to check.
+
+    Parts of one brand and name are counted first, so what is compared are the names of a brand, not its parts.
+    """
+    parts = view(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", F.get(F.split("p_name", " "), F.lit(1)).alias("word"))
+    names = parts.groupBy("p_brand", "p_name").agg(F.count("*").alias("size"))
+    asked = parts.select("p_brand", "word").distinct()
+    counts = asked.join(names, "p_brand").where(F.col("p_name").contains(F.col("word"))).groupBy("p_brand", "word").agg(F.sum("size").alias("n"))
+    return parts.join(counts, ["p_brand", "word"]).select(F.col("p_partkey").alias("part"), "n")
 
 
 @query("jn15_hits_to_claims", f"WITH {GRAPH_SQL} SELECT c.id, count(*) AS n FROM claims c JOIN evidence e ON e.claim_id = c.id AND e.stance = 'supports' WHERE c.predicate = 'HAS_EFFECT' AND c.effect <> 'unknown' GROUP BY c.id")
@@ -250,10 +262,14 @@ def descriptive_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.round(F.sum(value), 6).alias("ratio"))
 
 
-@query("sf32_same_number", "SELECT p_partkey, true AS same, p_partkey % 10 = 0 AS other FROM part")
+@query("sf32_same_number", """
+SELECT l_orderkey, l_linenumber, count(*) FILTER (CAST(l_quantity AS DECIMAL(18,2)) = CAST(p_size AS DECIMAL(18,2))) AS n_same, count(*) FILTER (l_tax = l_discount) AS n_rates
+FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
 def same_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("p_partkey").cast("string")
-    return view(spark, sf_dir, "part").select("p_partkey", fn.same_number(n, F.concat(n, F.lit(".00"))).alias("same"), fn.same_number(n, F.concat(F.regexp_replace(n, "0$", ""), F.when(F.col("p_partkey") % 10 == 0, "0.0").otherwise("1"))).alias("other"))
+    """Quantities (12.0) against sizes (12), and rates as they are written."""
+    rows = view(spark, sf_dir, "lineitem").join(view(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
+    same = lambda a, b: F.count_if(fn.same_number(F.col(a).cast("string"), F.col(b).cast("string")))
+    return rows.groupBy("l_orderkey", "l_linenumber").agg(same("l_quantity", "p_size").alias("n_same"), same("l_tax", "l_discount").alias("n_rates"))
 
 
 @query("va03_node_rules", f"WITH {GRAPH_SQL} SELECT 'label' AS rule, count(*) AS n FROM nodes WHERE trim(CASE WHEN id LIKE '%7' THEN ' ' ELSE label END) = '' HAVING count(*) > 0")

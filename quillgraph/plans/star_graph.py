@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import EvidenceGraph
 
@@ -42,7 +43,7 @@ SELECT concat('MT:', n_nationkey, ':', p_brand), concat('O:', n_nationkey), 'MAI
 FROM (SELECT DISTINCT p_brand FROM part) JOIN nation ON n_nationkey % 7 = CAST(right(p_brand, 1) AS INT)
 UNION ALL
 SELECT concat('ST:', s_suppkey, ':', p_partkey), concat('R:', s_suppkey), 'STUDIES', concat('M:', p_partkey), 'reported', NULL, false, NULL, NULL, NULL
-FROM supplier JOIN part ON p_partkey % 100 = s_suppkey % 100 AND p_partkey <= 1000
+FROM part JOIN supplier ON s_suppkey = 1 + p_partkey % 100
 """
 EVIDENCE = """
 SELECT concat('HE:', l_orderkey, ':', l_linenumber) AS claim_id, concat('S:', l_suppkey) AS source_id,
@@ -68,16 +69,16 @@ TABLES = ("customer", "lineitem", "nation", "orders", "part", "supplier")
 
 #: The graph as common table expressions, for DuckDB; state follows the order of the claim states.
 GRAPH_SQL = f"""
-claims AS ({CLAIMS}),
-evidence AS ({EVIDENCE}),
-sources AS ({SOURCES}),
-nodes AS ({NODES}),
-flags AS (
+claims AS MATERIALIZED ({CLAIMS}),
+evidence AS MATERIALIZED ({EVIDENCE}),
+sources AS MATERIALIZED ({SOURCES}),
+nodes AS MATERIALIZED ({NODES}),
+flags AS MATERIALIZED (
   SELECT claim_id, bool_or(stance = 'contradicts') AS against, bool_or(stance = 'supports') AS backed,
          bool_or(stance = 'supports' AND review_status <> 'unreviewed') AS reviewed
   FROM evidence WHERE source_id IN (SELECT id FROM sources) GROUP BY claim_id
 ),
-states AS (
+states AS MATERIALIZED (
   SELECT c.*, CASE WHEN negated THEN 'negated' WHEN against THEN 'contradicted'
     WHEN assertion_type <> 'reported' THEN CASE WHEN backed THEN 'inferred_only' ELSE 'unsupported' END
     WHEN reviewed THEN 'supported' WHEN backed THEN 'review_required' ELSE 'unsupported' END AS state
@@ -87,7 +88,7 @@ states AS (
 PATHS_SQL = (
     GRAPH_SQL
     + """,
-paths AS (
+paths AS MATERIALIZED (
   SELECT v.subject AS disease, e.object AS mechanism, v.id AS first_id, e.id AS second_id, e.effect,
          v.state AS s1, e.state AS s2, e.assertion_type, e.species, e.tissue, e.stage
   FROM states v JOIN states e ON v.predicate = 'HAS_VARIANT' AND e.predicate = 'HAS_EFFECT' AND v.object = e.subject
@@ -95,6 +96,14 @@ paths AS (
 )
 
 
+#: The diseases that the queries of a single source start from: a stated set, the ids divisible by 100.
+ASKED_SQL = "(SELECT concat('D:', c_custkey) FROM customer WHERE c_custkey % 100 = 0)"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("D:"), "c_custkey").alias("disease"))
+
+
 def view(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -31,11 +31,23 @@ def term_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).where(fn.mentions("text", "Licensed")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("sf05_pattern_mentions", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+\.[0-9]+'))), '|') AS found FROM documents")
+@query("sf38_pattern_mentions", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+\.[0-9]+'))), '|') AS found FROM documents")
 def pattern_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.array_join(fn.all_matches("text", r"[0-9]+\.[0-9]+"), "|").alias("found"))
 
 
+@query("sf05_substitutions", """
+WITH r AS (SELECT p_partkey, ['R', 'Q', 'W', 'S'][1 + p_partkey % 4] AS x, ['L', 'K'][1 + p_size % 2] AS y, p_size + 100 AS n FROM part)
+SELECT p_partkey, array_to_string(list_sort(CASE WHEN y = 'L' THEN [concat(x, n, y), concat(x, n + 1, y)] ELSE [concat(x, n + 1, y)] END), '|') AS found FROM r""")
+def substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-letter and one-letter codes in any case; a mixed one is none."""
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    i, j, n = F.col("p_partkey") % 4, F.col("p_size") % 2, F.col("p_size") + 100
+    long = F.concat(F.lit("seen: p."), pick(("Arg", "gln", "TRP", "Ser"), i), n, pick(("Leu", "k"), j), F.lit(", again; "))
+    short = F.concat(F.lower(pick(("R", "Q", "W", "S"), i)), n + 1, pick(("L", "K"), j), F.lit(" x"))
+    return view(spark, sf_dir, "part").select("p_partkey", F.array_join(fn.substitutions(F.concat(long, short)), "|").alias("found"))
+
+
 @query("sf08_leading_number", r"SELECT c_custkey, TRY_CAST(replace(regexp_extract(concat(' ', c_acctbal, ' ± 3'), '^\s*([+-]?\d[\d,]*(?:\.\d+)?)', 1), ',', '') AS DOUBLE) AS number FROM customer")
 def leading_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "customer").select("c_custkey", fn.leading_number(F.concat(F.lit(" "), F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit(" ± 3"))).alias("number"))
@@ -107,7 +119,7 @@ def grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KEYWORD_SQL = r"""
-q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda x: x <> ''))) AS term FROM benchmark WHERE item_id % 10 = 0),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda x: x <> ''))) AS term FROM benchmark),
 w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT count(*) AS n, avg(len(words)) AS m FROM w),
 tf AS (SELECT id, len(words) AS size, unnest(words) AS term FROM w),
@@ -117,13 +129,13 @@ k AS (
   SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / m))) AS score
   FROM c JOIN q USING (term) JOIN f USING (term), s GROUP BY ALL
 ),
-kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(score, 6) AS score FROM k))
+kr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(score, 6) AS score FROM k))
 """
 
 
 def keyword_ranks(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
-    """Benchmark items whose id ends in 0 are the stated queries."""
-    asked = view(spark, sf_dir, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    """The benchmark's items are the queries."""
+    asked = view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     scores = search.keyword_scores(docs(spark, sf_dir), asked, "doc_id", "text").withColumn("score", F.round("score", 6))
     return search.best(scores, k)
 
@@ -135,17 +147,23 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gr18_fused_search", f"""
 WITH {KEYWORD_SQL},
-n AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id DESC) AS rank FROM kr WHERE rank <= 50),
-u AS (SELECT query_id, id, rank FROM kr WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM n),
-x AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY ALL)
-SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x""")
+v AS (
+  SELECT item_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+  FROM benchmark JOIN embeddings a ON a.vec_id = item_id, embeddings b JOIN documents ON doc_id = b.vec_id
+),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v),
+u AS (SELECT query_id, id, rank FROM kr WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM vr WHERE rank <= 50),
+x AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score, count(*) AS n_channels FROM u GROUP BY ALL)
+SELECT query_id, id, n_channels, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x""")
 def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword ranks fused with a second channel: the same hits, the newest first."""
-    words = keyword_ranks(spark, sf_dir)
-    newest = words.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("id"))))
-    rows = search.fused([words, newest]).drop("rank").withColumn("score", F.round("score", 9))
+    """Keyword ranks fused with vector ranks. The vector of a document, and of a benchmark item, is that of its id."""
+    vectors = view(spark, sf_dir, "embeddings")
+    asked = view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    known = vectors.join(docs(spark, sf_dir).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    near = search.best(search.vector_scores(known, asked, "vec_id", "embedding").withColumn("score", F.round("score", 6)), 50)
+    rows = search.fused([keyword_ranks(spark, sf_dir), near]).withColumn("score", F.round("score", 9))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return rows.select("query_id", "id", F.round("score", 6).alias("score"), F.row_number().over(order).alias("rank"))
+    return rows.select("query_id", "id", "n_channels", F.round("score", 6).alias("score"), F.row_number().over(order).alias("rank"))
 
 
 VECTOR_SQL = """

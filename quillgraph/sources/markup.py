@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Most rows and columns that a cell of an HTML table may span.
+MOST_ROWS, MOST_COLUMNS = 1_000, 100
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 UNIT_KINDS = {"p": "paragraph", "li": "paragraph", "td": "table_cell", "th": "table_cell", "caption": "caption", "figcaption": "caption"}
@@ -98,48 +102,59 @@ class _Links(HTMLParser):
 
 
 class _Tables(HTMLParser):
-    """Cells (table, row, column, rowspan, colspan, header, text, images) with the grid places that spans take."""
+    """Cells at their places in the grids of tables, which may be nested; `problem` says what is wrong with a cell."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.cells: list[dict] = []
-        self.table = self.row = -1
-        self.taken: dict[tuple[int, int], bool] = {}
-        self.cell: dict | None = None
-        self.inside = False
+        self.n = 0
+        self.open: list[dict] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        found = dict(attrs)
         if tag == "table":
-            self.table, self.row, self.taken, self.inside = self.table + 1, -1, {}, True
-        elif tag == "tr" and self.inside:
-            self.row += 1
-        elif tag in ("td", "th") and self.inside:
+            self.open.append({"number": self.n, "row": 0, "taken": set(), "cell": None, "nested": bool(self.open)})
+            self.n += 1
+        elif not self.open:
+            return
+        elif tag == "tr":
+            self.finish()
+            self.open[-1]["row"] += 1
+        elif tag in ("td", "th"):
             self.finish()
-            span = lambda name: max(1, int(v)) if (v := found.get(name) or "").isdigit() else 1
-            column = 0
-            while (self.row, column) in self.taken:
-                column += 1
-            rows, columns = span("rowspan"), span("colspan")
-            self.taken.update({(self.row + i, column + j): True for i in range(rows) for j in range(columns)})
-            self.cell = {"table": self.table, "row": self.row + 1, "column": column + 1, "rowspan": rows, "colspan": columns, "header": tag == "th", "text": "", "images": 0}
-        elif tag == "img" and self.cell is not None:
-            self.cell["images"] += 1
+            self.start(tag, dict(attrs))
+        elif tag == "img" and self.open[-1]["cell"]:
+            self.open[-1]["cell"]["images"] += 1
+
+    def start(self, tag: str, found: dict[str, str | None]) -> None:
+        table, spans, wrong = self.open[-1], [], "nested" if self.open[-1]["nested"] else None
+        for name, most in (("rowspan", MOST_ROWS), ("colspan", MOST_COLUMNS)):
+            value = found.get(name) or "1"
+            good = re.fullmatch("[0-9]{1,9}", value) is not None and 1 <= int(value) <= most
+            spans.append(int(value) if good else 1)
+            wrong = wrong if good else "span"
+        row, column = max(1, table["row"]), 1
+        while (row, column) in table["taken"]:
+            column += 1
+        places = {(row + i, column + j) for i in range(spans[0]) for j in range(spans[1])}
+        if places & table["taken"]:
+            wrong = "overlap"
+        table["taken"] |= places
+        table["cell"] = {"table": table["number"], "row": row, "column": column, "rowspan": spans[0], "colspan": spans[1], "header": tag == "th", "text": "", "images": 0, "problem": wrong}
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th", "tr", "table"):
+        if self.open and tag in ("td", "th", "tr", "table"):
             self.finish()
-        if tag == "table":
-            self.inside = False
+            if tag == "table":
+                self.open.pop()
 
     def handle_data(self, data: str) -> None:
-        if self.cell is not None:
-            self.cell["text"] += data
+        if self.open and self.open[-1]["cell"]:
+            self.open[-1]["cell"]["text"] += data
 
     def finish(self) -> None:
-        if self.cell is not None:
-            self.cells.append(self.cell | {"text": " ".join(self.cell["text"].split())})
-        self.cell = None
+        if self.open and (cell := self.open[-1]["cell"]):
+            self.cells.append(cell | {"text": " ".join(cell["text"].split())})
+            self.open[-1]["cell"] = None
 
 
 def _flat(rows: DataFrame, id_col: str, columns: list[str], expand, schema: str) -> DataFrame:
@@ -173,15 +188,20 @@ def html_links(pages: DataFrame, id_col: str, html_col: str, url_col: str) -> Da
 
 
 def html_cells(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, position, table, row, column, rowspan, colspan, header, text, images): cells at their place in the grid."""
+    """(id, position, table, row, column, rowspan, colspan, header, text, images, problem): cells at their place in the grid.
+
+    problem is null, or 'span' (no number from 1 to MOST_ROWS or MOST_COLUMNS; taken as 1), 'overlap' (a place that
+    another cell spans) or 'nested' (a table inside a cell). Pages without tables give no rows.
+    """
 
     def expand(html: str) -> list[tuple]:
         reader = _Tables()
         reader.feed(html)
-        reader.finish()
+        while reader.open:
+            reader.handle_endtag("table")
         return [tuple(c.values()) for c in reader.cells]
 
-    return _flat(pages, id_col, [html_col], expand, "table int, row int, column int, rowspan int, colspan int, header boolean, text string, images int")
+    return _flat(pages, id_col, [html_col], expand, "table int, row int, column int, rowspan int, colspan int, header boolean, text string, images int, problem string")
 
 
 def xml_rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
