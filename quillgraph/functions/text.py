@@ -63,6 +63,20 @@ def substitutions(text: ColumnOrName) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
+# Spellings of a gene family before the letter of a member, and the name that members are given.
+FAMILY, MEMBER_OF = r"(?i)\b(?:GRIN2|GluN2)([AB])\b", "GRIN2"
+
+
+def gene_mentions(text: ColumnOrName) -> Column:
+    """Sorted distinct members of the gene family that a text names, in any spelling."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(_col(text), F.lit(FAMILY), F.lit(1)), lambda m: F.concat(F.lit(MEMBER_OF), F.upper(m)))))
+
+
+def decimal_text(x: ColumnOrName) -> Column:
+    """Whether a string is a decimal number with or without an exponent; true for null."""
+    return F.coalesce(_col(x).rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), _col(x).isNull())
+
+
 def leading_number(x: ColumnOrName) -> Column:
     """The number that a text starts with (thousands commas allowed), else null."""
     found = F.regexp_extract(_col(x), r"^\s*([+-]?\d[\d,]*(?:\.\d+)?)", 1)

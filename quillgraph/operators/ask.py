@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import gene_mentions, substitutions
+
 # The words that each rule looks for, in the order of the rules.
 RULES = (
     ("clinical", r"\b(treat|treatment|cure|dose|dosage|medication|diagnose|diagnosis|take a drug)\b"),
@@ -60,4 +62,17 @@ def route(question: str, nodes: DataFrame, selected: str | None = None, claim_co
     return {"intent": name, "about": about, "compare": []}
 
 
+def filters(questions: DataFrame, text: str, gene: str, protein: str) -> DataFrame:
+    """questions with `gene`, `protein` and `problem`: the filters that a search applies.
 
+    What is given (columns gene and protein, null if not) comes before what the text mentions; a single mention becomes a
+    filter. problem is null, 'gene' (given, but not of the family), 'protein' (given, but no single substitution) or
+    'protein_without_gene', as a substitution alone is ambiguous.
+    """
+    named, changed, given = gene_mentions(text), substitutions(text), substitutions(protein)
+    only = lambda found: F.when(F.size(found) == 1, found[0])
+    which = F.when(F.col(gene).isNotNull(), F.upper(gene)).otherwise(only(named))
+    what = F.when(F.col(protein).isNotNull(), only(given)).when(which.isNotNull(), only(changed))
+    problem = F.when(F.col(gene).isNotNull() & (F.size(gene_mentions(gene)) != 1), "gene").when(F.col(protein).isNotNull() & (F.size(given) != 1), "protein").when(what.isNotNull() & which.isNull(), "protein_without_gene")
+    rest = [c for c in questions.columns if c not in (gene, protein, "problem")]
+    return questions.select(*rest, which.alias("gene"), what.alias("protein"), problem.alias("problem"))

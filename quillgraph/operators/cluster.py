@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,13 @@ def measured_ratio() -> Column:
     return F.when(good, F.when(potency, ratio(b, a)).otherwise(ratio(a, b)))
 
 
+def channel() -> Column:
+    """What kind of evidence an observation (measurement_type, endpoint) is."""
+    # Names of the channels.
+    kind = F.col("measurement_type")
+    return F.when(kind == "secondary_summary", "secondary_summary").when(kind == "author_calculated", "calculated_function").when(F.col("endpoint").isin(*ENDPOINTS), "intrinsic_function").otherwise("pharmacology_or_other")
+
+
 def member_tiers(claims: DataFrame, observations: DataFrame) -> DataFrame:
     """(gene, protein, tier, n_ratios) of every variant with an observation or a claim.
 
@@ -72,3 +81,22 @@ def asked_variants(questions: DataFrame, members: DataFrame, id_col: str, text_c
     return asked.join(short, "variant", "left").select("id", "variant", F.coalesce("hit", F.lit(False)).alias("known"))
 
 
+def members(claims: DataFrame, observations: DataFrame, issues: DataFrame) -> DataFrame:
+    """The members of a cluster: (gene, protein, tier, n_ratios, n_observations, n_estimates, n_papers, n_issues).
+
+    claims as in member_tiers with document_id; observations as in measured_ratio with gene, protein, document_id;
+    issues: gene, protein, document_id, description.
+    """
+    key = ["gene", "protein"]
+    papers = claims.select(*key, "document_id").union(observations.select(*key, "document_id")).groupBy(*key).agg(F.count_distinct("document_id").alias("n_papers"))
+    seen = observations.groupBy(*key).agg(F.count("*").alias("n_observations"), F.count("measurement.estimate").alias("n_estimates"))
+    open_ = scoped_issues(issues, claims.select(*key, "document_id").union(observations.select(*key, "document_id"))).groupBy(*key).agg(F.count("*").alias("n_issues"))
+    rows = member_tiers(claims, observations).join(papers, key, "left").join(seen, key, "left").join(open_, key, "left")
+    return rows.na.fill(0, ["n_observations", "n_estimates", "n_papers", "n_issues"])
+
+
+def write_features(features: DataFrame, folder: str) -> str:
+    """A table as CSV files with a header in a new folder under `folder`, which it gives; sorted within each file."""
+    path = f"{folder}/{uuid.uuid4().hex}/features.csv"
+    features.sortWithinPartitions(*features.columns).write.csv(path, header=True)
+    return path

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.text import blank, iso_date, public_url
+from ..functions.text import blank, decimal_text, host_within, iso_date, public_url
 from ..schema import EvidenceGraph, predicate_rules
 
 
@@ -67,6 +67,7 @@ def source_violations(graph: EvidenceGraph, synthetic: bool | None = None) -> Da
         "retrieved_at": F.coalesce(iso_date("retrieved_at"), F.lit(False)),
         "synthetic": F.coalesce(F.col("synthetic") == fixture, F.lit(False)),
         "license": ~blank("license"),
+        "fixture_host": ~F.coalesce("synthetic", F.lit(False)) | host_within("url", schema.FIXTURE_HOST),
     }
     if synthetic is not None and not synthetic:
         rules["production"] = ~F.coalesce("synthetic", F.lit(False))
@@ -148,12 +149,53 @@ def measurement_violations(rows: DataFrame, key: str = "id") -> DataFrame:
     return _broken(rows, "measurements", rules, key)
 
 
-def split_violations(documents: DataFrame) -> DataFrame:
-    """Manifest rules: a study and a snapshot hash stay within one split; documents known from development are there."""
+def split_violations(documents: DataFrame, frozen: bool = False) -> DataFrame:
+    """Manifest rules: a study and a snapshot hash stay within one split; documents known from development are there.
+
+    frozen: every document's grouping is reviewed and its snapshot hash is given.
+    """
     leaks = []
     for key in ("study_id", "source_sha256"):
         groups = documents.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct("split").alias("n")).where("n > 1")
         leaks.append(groups.select(F.lit("documents").alias("path"), F.lit(f"{key}_in_two_splits").alias("rule"), F.col(key).cast("string").alias("key")))
-    known = documents.where("known_development AND split <> 'development'")
-    leaks.append(known.select(F.lit("documents").alias("path"), F.lit("known_development").alias("rule"), F.col("document_id").cast("string").alias("key")))
-    return reduce(DataFrame.union, leaks)
+    rules = {"split": F.coalesce(F.col("split").isin("development", "held_out"), F.lit(False)), "known_development": ~F.col("known_development") | (F.col("split") == "development"), "source_sha256": F.col("source_sha256").rlike("^[0-9a-f]{64}$")}
+    if frozen:
+        rules["frozen"] = F.coalesce("grouping_reviewed", F.lit(False)) & F.coalesce(F.col("source_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    return reduce(DataFrame.union, [*leaks, _broken(documents, "documents", rules, "document_id")])
+
+
+def observation_violations(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Shape of scalar observations: names, measurement types, decimal strings, sample sizes, evidence.
+
+    rows: id, gene, variant, assay, property, measurement_type, value, unit, comparator_value, uncertainty_value (strings),
+    sample_size (int), evidence_sets (arrays of spans), all of which may be null.
+    """
+    rules = {name: ~blank(name) for name in ("gene", "variant", "assay", "property")}
+    rules |= {name: ~(F.col(name).isNotNull() & blank(name)) for name in ("sequence_context", "unit") if name in rows.columns}
+    rules["measurement_type"] = F.coalesce(F.col("measurement_type").isin("measured", "author_calculated"), F.lit(False))
+    rules |= {name: decimal_text(name) for name in ("value", "comparator_value", "uncertainty_value")}
+    rules["sample_size"] = F.col("sample_size") > 0
+    rules["evidence"] = F.coalesce((F.size("evidence_sets") > 0) & F.forall("evidence_sets", lambda s: F.size(s) > 0), F.lit(False))
+    return _broken(rows, "observations", rules, key)
+
+
+def cell_violations(observations: DataFrame, documents: DataFrame, coverage: DataFrame, scope: DataFrame) -> DataFrame:
+    """Rules of annotated cells: known documents, variants in scope, one observation for a cell and variant, table
+    coordinates if and only if there is a table, each document covered once.
+
+    observations: id, document_id, gene, protein, endpoint, table_id, row, column; scope: gene, protein.
+    """
+    rows = observations.join(documents.select("document_id", F.lit(True).alias("__document")), "document_id", "left").join(scope.select("gene", "protein", F.lit(True).alias("__scope")), ["gene", "protein"], "left")
+    placed = F.coalesce((F.col("row") > 0) & (F.col("column") > 0), F.lit(False))
+    rules = {
+        "document": F.col("__document").isNotNull(),
+        "scope": F.col("__scope").isNotNull(),
+        "endpoint": F.coalesce(F.col("endpoint").rlike("^[a-z0-9_]+$"), F.lit(False)),
+        "coordinates": placed | F.col("table_id").isNull(),
+        "prose": F.col("table_id").isNotNull() | (F.col("row").isNull() & F.col("column").isNull()),
+    }
+    anchor = ["document_id", "table_id", "row", "column", "gene", "protein"]
+    twice = observations.where("table_id IS NOT NULL").groupBy(*anchor).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n > 1")
+    covered = documents.select("document_id").join(coverage.groupBy("document_id").agg(F.count("*").alias("n")), "document_id", "full").where("NOT n <=> 1")
+    named = lambda rows, rule, key: rows.select(F.lit("observations").alias("path"), F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
+    return reduce(DataFrame.union, [_broken(rows, "observations", rules), named(twice, "repeated_cell", "id"), named(covered, "coverage", "document_id")])

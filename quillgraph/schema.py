@@ -67,3 +67,6 @@ def predicate_rules(spark: SparkSession) -> DataFrame:
     """(predicate, subject_type, object_type) of every allowed combination: a fixed, small table."""
     rows = [(p, s, o) for p, (ss, os) in PREDICATES.items() for s in ss or NODE_TYPES for o in os or NODE_TYPES]
     return spark.createDataFrame(rows, "predicate string, subject_type string, object_type string")
+
+#: Synthetic sources have addresses at this host or below it.
+FIXTURE_HOST = "example.org"
