@@ -97,7 +97,7 @@ def _cut_rows(chunk: int, overlap: int):
     return run
 
 
-def _pretokenise(rank_file: str, pattern: str, chunk: int):
+def _pretokenise(rank_file: str, pattern: str, chunk: int, overlap: int):
     """Adds the boundaries (absolute) in the overlap with the chunk before (head) and with the one after (tail)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +106,8 @@ def _pretokenise(rank_file: str, pattern: str, chunk: int):
             head, tail = [], []
             for start, text, last in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 found = boundaries(coder.pattern, text, last)
-                overlap = max(0, len(text) - chunk)
-                head.append([start + b for b in found[: bisect_left(found, min(len(text), OVERLAP * 2) + 1)]])
-                tail.append([start + b for b in found[bisect_left(found, len(text) - overlap) :]])
+                head.append([start + b for b in found[: bisect_left(found, min(len(text), overlap) + 1)]])
+                tail.append([start + b for b in found[bisect_left(found, min(chunk, len(text))) :]])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], [*batch.schema.names, "head", "tail"])
 
     return run
@@ -154,7 +153,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     done = short.mapInArrow(tidy(_encode_whole(rank_file, pattern)), schema)
     long = stage(docs.where(F.length(text) > chunk).select(*rest, text.alias(f"{P}text"), F.monotonically_increasing_id().alias(f"{P}key")), "long")
     parts = long.select(f"{P}key", f"{P}text").mapInArrow(tidy(_cut_rows(chunk, overlap)), "key long, chunk int, start long, text string, last boolean")
-    parts = parts.repartition(partitions(docs.sparkSession), "key", "chunk").mapInArrow(tidy(_pretokenise(rank_file, pattern, chunk)), "key long, chunk int, start long, text string, last boolean, head array<long>, tail array<long>")
+    parts = parts.repartition(partitions(docs.sparkSession), "key", "chunk").mapInArrow(tidy(_pretokenise(rank_file, pattern, chunk, overlap)), "key long, chunk int, start long, text string, last boolean, head array<long>, tail array<long>")
     parts = stage(parts, "parts")
     order = Window.partitionBy("key").orderBy("chunk")
     common = F.array_min(F.array_intersect("head", F.lag("tail").over(order)))
@@ -164,7 +163,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     torn = stitches.where(F.col("since").isNull()).select("key").distinct()
     good = parts.join(stitches.drop("last"), ["key", "chunk"]).join(torn, "key", "left_anti").select("key", "chunk", "start", "text", "since", "until")
     ids = good.mapInArrow(tidy(_encode_parts(rank_file, pattern)), "key long, chunk int, ids binary").groupBy("key")
-    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), F.lit(b""), lambda so_far, part: F.concat(so_far, part.ids))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda part: part.ids.cast("string")), "").cast("binary")
     stitched = long.drop(f"{P}text").join(ids.agg(joined.alias(f"{P}ids")).withColumnRenamed("key", f"{P}key"), f"{P}key").select(*rest, f"{P}ids")
     whole = long.join(torn.withColumnRenamed("key", f"{P}key"), f"{P}key", "left_semi").select(*rest, f"{P}text")
     whole = whole.mapInArrow(tidy(_encode_whole(rank_file, pattern)), schema)
@@ -172,7 +171,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
 
 
 def decode(tokens: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """All columns of tokens with `out`: the raw bytes of the ids, joined (binary; null ids give no bytes)."""
+    """All columns of tokens with `out`: the raw bytes of the ids, joined (binary; null ids give no bytes). A column named
+    as `out` is replaced; repeated rows stay; an empty table gives an empty table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(rank_file, pattern)

@@ -24,7 +24,8 @@ def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     """messages with lines, an array of (level, passage, hash), and body, the text without quoted lines.
 
     The level is the number of > marks, 0 for the message's own words. The hash is of the passage in lower case with
-    white space squeezed, null if nothing is left. Null text counts as empty.
+    white space squeezed (128 bits), null if nothing is left. Null text counts as empty; columns named lines or body are
+    replaced; repeated rows stay; an empty table gives an empty table.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -32,7 +33,7 @@ def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
         marks = F.regexp_extract(x, QUOTED, 1)
         passage = F.when(marks != "", F.regexp_extract(x, QUOTED, 2)).otherwise(x)
         norm = _normalised(passage)
-        return F.struct(F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), passage.alias("passage"), F.when(norm != "", F.xxhash64(norm)).alias("hash"))
+        return F.struct(F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), passage.alias("passage"), F.when(norm != "", F.md5(norm)).alias("hash"))
 
     rows = messages.withColumn("lines", F.transform(F.split(text, r"\r?\n"), line))
     own = F.array_join(F.transform(F.filter("lines", lambda x: x.level == 0), lambda x: x.passage), "\n")
@@ -44,9 +45,11 @@ def link_quotes(parsed: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     The original of a passage is the first message of the conversation with the passage among its own words, if it
     comes before the quoting one; parent_turn is the latest original of the quotes of the lowest level that has any.
+    Messages without a conversation or turn quote nothing and are not quoted; those that repeat one conversation and turn
+    count as one. An empty table gives an empty table.
     """
     lines = parsed.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.explode("lines").alias("line")).select("conv", "turn", "line.level", "line.hash").where("hash IS NOT NULL AND conv IS NOT NULL AND turn IS NOT NULL")
-    key = F.xxhash64("conv", "hash")
+    key = F.struct("conv", "hash")
     quotes = stage(lines.where("level > 0").withColumn("key", key), "quotes")
     wanted = quotes.groupBy("key").agg(F.count("*").alias("uses"))
     said = lines.where("level = 0").groupBy(key.alias("key")).agg(F.min("turn").alias("original"))
@@ -58,11 +61,14 @@ def link_quotes(parsed: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def thread_roots(links: DataFrame) -> DataFrame:
-    """(conv, turn, root_turn) of the messages with a parent, by doubling pointers: steps grow with the log of the depth."""
+    """(conv, turn, root_turn) of the messages with a parent, by doubling pointers: steps grow with the log of the depth.
+
+    links have one row for each conversation and turn, without nulls in these; no links give an empty table.
+    """
     now = stage(links.where("parent_turn IS NOT NULL").select("conv", "turn", F.col("parent_turn").alias("up")), "pointers")
     while True:
-        asked = now.withColumn("key", F.xxhash64("conv", "up"))
-        known = now.select(F.xxhash64("conv", "turn").alias("key"), F.col("up").alias("further"))
+        asked = now.withColumn("key", F.struct("conv", F.col("up").alias("turn")))
+        known = now.select(F.struct("conv", "turn").alias("key"), F.col("up").alias("further"))
         wanted = asked.groupBy("key").agg(F.count("*").alias("uses")).join(known, "key")
         moved = attach(asked, stage(wanted, "steps"), "key", "uses", now.count(), F.xxhash64("turn"))
         moved = stage(moved.select("conv", "turn", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")), "pointers")
@@ -75,7 +81,8 @@ def number_in_order(rows: DataFrame, key: str, order: list[str], out: str) -> Da
     """rows with `out`, their number (from 0) within the key by `order`, with no task that gets a whole key.
 
     Rows are sorted by range over all tasks and counted within each sorted part; a key that goes on over parts gets
-    the sums of the parts before, of which there are fewer than two for each part.
+    the sums of the parts before, of which there are fewer than two for each part. Rows that tie are numbered in any
+    order, null keys are one key, nulls come first; a column named as `out` is replaced; an empty table gives an empty table.
     """
     part, local, first = f"{P}part", f"{P}local", f"{P}first"
     n = partitions(rows.sparkSession)
@@ -91,9 +98,9 @@ def number_in_order(rows: DataFrame, key: str, order: list[str], out: str) -> Da
         before = (edge.b.k,)
     offsets = rows.sparkSession.createDataFrame(offsets, f"{part} int, {P}key {rows.schema[key].dataType.simpleString()}, {P}offset long")
     runs = runs.join(F.broadcast(offsets), (runs[part] == offsets[part]) & runs[key].eqNullSafe(offsets[f"{P}key"]), "left").select(runs[part].alias(f"{P}p"), runs[key].alias(f"{P}k"), first, F.coalesce(f"{P}offset", F.lit(0)).alias(f"{P}offset"), "n")
-    runs = stage(runs.withColumn(f"{P}id", F.xxhash64(f"{P}p", f"{P}k")).select(f"{P}id", first, f"{P}offset", F.col("n").alias(f"{P}n")), "runs")
-    found = attach(dealt.withColumn(f"{P}id", F.xxhash64(part, key)), runs, f"{P}id", f"{P}n", dealt.count(), F.col(local))
-    return found.withColumn(out, F.col(local) - F.col(first) + F.col(f"{P}offset")).select(*rows.columns, out)
+    runs = stage(runs.withColumn(f"{P}id", F.struct(F.col(f"{P}p").alias("part"), F.col(f"{P}k").alias("key"))).select(f"{P}id", first, f"{P}offset", F.col("n").alias(f"{P}n")), "runs")
+    found = attach(dealt.withColumn(f"{P}id", F.struct(F.col(part).alias("part"), F.col(key).alias("key"))), runs, f"{P}id", f"{P}n", dealt.count(), F.col(local))
+    return found.withColumn(out, F.col(local) - F.col(first) + F.col(f"{P}offset")).select(*[c for c in rows.columns if c != out], out)
 
 
 def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -107,12 +114,12 @@ def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """
     parsed = parse_quotes(messages.select(conv_col, turn_col, role_col, text_col), text_col)
     links = stage(link_quotes(parsed, conv_col, turn_col), "links")
-    rows = parsed.select(conv_col, turn_col, F.coalesce(role_col, F.lit("unknown")).alias(role_col), "body", F.xxhash64(conv_col, turn_col).alias(f"{P}message"))
+    rows = parsed.select(conv_col, turn_col, F.coalesce(role_col, F.lit("unknown")).alias(role_col), "body", F.struct(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn")).alias(f"{P}message"))
     if links.isEmpty():
         none = F.lit(None).cast(messages.schema[turn_col].dataType)
         rows = rows.withColumns({"parent_turn": none, "root_turn": F.col(turn_col), "n_quoted": F.lit(0).cast("long"), "n_linked": F.lit(0).cast("long")})
     else:
-        known = links.join(thread_roots(links), ["conv", "turn"], "left").select(F.xxhash64("conv", "turn").alias(f"{P}message"), "parent_turn", "root_turn", "n_quoted", "n_linked")
+        known = links.join(thread_roots(links), ["conv", "turn"], "left").select(F.struct("conv", "turn").alias(f"{P}message"), "parent_turn", "root_turn", "n_quoted", "n_linked")
         sizes = rows.groupBy(f"{P}message").agg(F.count("*").alias(f"{P}size"))
         rows = attach(rows, stage(known.join(sizes, f"{P}message"), "answers"), f"{P}message", f"{P}size", messages.count(), F.xxhash64("body"))
         rows = rows.withColumns({"root_turn": F.coalesce("root_turn", turn_col), "n_quoted": F.coalesce("n_quoted", F.lit(0).cast("long")), "n_linked": F.coalesce("n_linked", F.lit(0).cast("long"))}).drop(f"{P}size")

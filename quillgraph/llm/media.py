@@ -29,21 +29,40 @@ ITEM = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("
 
 
 class _Sequence(HTMLParser):
-    """Items in document order: (kind, text, ref, caption)."""
+    """Items in document order: [kind, text, ref, caption, figure]; figures: captions of each, with where they stood."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.items: list[list[str | None]] = []
+        self.items: list[list] = []
         self.buffer: list[str] = []
         self.hidden = 0
-        self.figures: list[int] = []
-        self.caption: list[str] | None = None
+        self.open: list[int] = []
+        self.figures: list[list[tuple[int, str]]] = []
+        self.captions: list[tuple[int, int, list[str]]] = []
 
     def _flush(self) -> None:
         if text := " ".join("".join(self.buffer).split()):
-            self.items.append(["text", text, None, None])
+            self.items.append(["text", text, None, None, None])
         self.buffer = []
 
+    def _end_caption(self) -> None:
+        figure, at, parts = self.captions.pop()
+        if text := " ".join("".join(parts).split()):
+            self.figures[figure].append((at, text))
+
+    def _end_figure(self) -> None:
+        """Captions go to the figure's own media; a figure without any leaves them as text where they stood."""
+        self._flush()
+        while self.captions and self.captions[-1][0] == self.open[-1]:
+            self._end_caption()
+        figure = self.open.pop()
+        found, self.figures[figure] = self.figures[figure], []
+        media = [i for i in self.items if i[4] == figure]
+        for item in media if found else ():
+            item[3] = " ".join(text for _, text in found)
+        for at, text in () if media else reversed(found):
+            self.items.insert(at, ["text", text, None, None, None])
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in HIDDEN_TAGS:
             self.hidden += 1
@@ -51,51 +70,53 @@ class _Sequence(HTMLParser):
             found = dict(attrs)
             if ref := found.get("src"):
                 self._flush()
-                self.items.append([{"img": "image", "embed": "object"}.get(tag, tag), None, ref, found.get("alt") or None])
+                self.items.append([{"img": "image", "embed": "object"}.get(tag, tag), None, ref, found.get("alt") or None, self.open[-1] if self.open else None])
         elif tag == "figure":
             self._flush()
-            self.figures.append(len(self.items))
-        elif tag == "figcaption" and self.figures:
+            self.open.append(len(self.figures))
+            self.figures.append([])
+        elif tag == "figcaption" and self.open:
             self._flush()
-            self.caption = []
+            self.captions.append((self.open[-1], len(self.items), []))
         elif tag in BLOCK_TAGS:
-            self._flush()
+            self._break()
+
+    def _break(self) -> None:
+        self._flush()
+        if self.captions:
+            self.captions[-1][2].append(" ")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in HIDDEN_TAGS:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            media = [i for i in self.items[self.figures[-1] :] if i[0] != "text"] if self.figures else []
-            if text and media:
-                for item in media:
-                    item[3] = text
-            elif text:
-                self.items.append(["text", text, None, None])
-        elif tag == "figure" and self.figures:
-            self._flush()
-            self.figures.pop()
+        elif tag == "figcaption" and self.captions and self.captions[-1][0] == self.open[-1]:
+            self._end_caption()
+        elif tag == "figure" and self.open:
+            self._end_figure()
         elif tag in BLOCK_TAGS:
-            self._flush()
+            self._break()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            (self.buffer if self.caption is None else self.caption).append(data)
+            in_caption = self.captions and self.captions[-1][0] == self.open[-1]
+            (self.captions[-1][2] if in_caption else self.buffer).append(data)
 
 
 def sequence(html: str | None) -> list[dict]:
-    """Ordered text and media references of a page. A figure's caption goes to its media, else the alt text does."""
+    """Ordered text and media references of a page. A figure's caption goes to the media that are its own and not an inner
+    figure's, else the alt text does."""
     reader = _Sequence()
     reader.feed(html or "")
     reader.close()
-    if reader.caption:
-        reader.buffer += reader.caption
+    while reader.open:
+        reader._end_figure()
     reader._flush()
-    return [{"position": i, "kind": kind, "text": text, "ref": ref, "caption": caption} for i, (kind, text, ref, caption) in enumerate(reader.items)]
+    return [{"position": i, "kind": kind, "text": text, "ref": ref, "caption": caption} for i, (kind, text, ref, caption, _) in enumerate(reader.items)]
 
 
 def sequences(pages: DataFrame, html_col: str = "html", out: str = "items") -> DataFrame:
-    """All columns of pages but the html, with `out`: an array of ITEM in document order. Null html gives no items."""
+    """All columns of pages but the html, with `out`: an array of ITEM in document order. Null and empty html give no
+    items; a column named as `out` is replaced; repeated rows stay; an empty table gives an empty table."""
     rest = pages.drop(out).columns
     kept = [c for c in rest if c != html_col]
     item = pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "ref", "caption"))]))
@@ -162,7 +183,7 @@ def store_media(payloads: DataFrame, digest_col: str, payload_col: str) -> DataF
     """(digest, media): payloads as images, written to and read from the shared folder.
 
     Payload values are text or binary; null counts as empty. A task keeps one of equal payloads that meet in a batch;
-    a digest may still have several rows, which are equal.
+    a digest may still have several rows, which are equal. Other columns play no part; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +198,8 @@ def store_media(payloads: DataFrame, digest_col: str, payload_col: str) -> DataF
 
 
 def media_features(store: DataFrame) -> DataFrame:
-    """One row for each digest of a store, from the bytes read back: sizes, checksums and a feature."""
+    """One row for each digest of a store, however many it has there, from the bytes read back: sizes, checksums and a
+    feature. Null media are an error; an empty store gives an empty table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -72,7 +72,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def tokenise_and_cut(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (id, start, length, ids_crc32, doc_tokens) of at most `capacity` ids: full windows and a tail.
 
-    A document is the ids of its text and end_id. Null text counts as empty: a document of end_id alone.
+    A document is the ids of its text and end_id. Null text counts as empty: a document of end_id alone. Rows with a null
+    or the same id are documents each; other columns play no part; an empty table gives no pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,5 +121,5 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", shards: i
 
     schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     tails = rows.where(~whole)
-    shard = F.pmod(F.xxhash64(*tails.columns), F.lit(shards))
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))  # of a written table, so the same on every try
     return full.unionByName(tails.withColumn(f"{P}shard", shard).groupBy(f"{P}shard").applyInPandas(run, schema))

@@ -15,7 +15,7 @@ from .pii import find_spans, labelled_table, train_field
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
 from .toxicity import held_out, score, train
-from .warc import plan_records, read_archives, write_archives
+from .warc import archive_files, plan_records, read_archives, write_archives
 
 
 #: Where the public tokenizers lie; the files are never copied.
@@ -30,12 +30,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest"))
-    html = F.concat(F.lit('<article><figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit("</figcaption></figure></article>"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("without an id"))
+    html = F.concat(F.lit("<article><h1>document "), name, F.lit('</h1><figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>document '), name, F.lit("</figcaption></figure><p>Its payload has "), F.col("n_bytes"), F.lit(" bytes.</p></article>"))
     items = sequences(docs.select("doc_id", "n_bytes", html.alias("html")))
-    found = resolve(items, media_features(store_media(docs, "digest", "text")))
+    found = resolve(items, media_features(store_media(docs, "digest", "text"))).where("kind = 'image'")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op1_page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of every page, in document order."""
+    return sequences(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.inline("items"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(read(spark, sf_dir, "documents"), width=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -75,8 +81,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = write_archives(plan_records(read(spark, sf_dir, "pages")))
-    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    folder = write_archives(plan_records(read(spark, sf_dir, "pages")))
+    return read_archives(archive_files(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +92,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media": op1_media,
+    "op1_page_sequences": op1_page_sequences,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,

@@ -24,6 +24,9 @@ from .common import partitions, rebatch, tidy
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 #: Bytes of text hashed together in a task.
 BATCH_BYTES = 2_000_000
+#: Bytes of text for each bucket of hashes, which bounds what a task holds; there are as many buckets as shuffle
+#: partitions at least.
+BUCKET_BYTES = 32_000_000
 #: Fixed odd multipliers of the rolling hashes, and the values of bytes under them.
 _RANDOM = np.random.Generator(np.random.PCG64(20240901))
 RADIX = [int(x) | 1 for x in _RANDOM.integers(0, 1 << 63, 2, np.uint64)]
@@ -193,8 +196,8 @@ def _repeated(asked: DataFrame, shares: int) -> DataFrame:
         rows = [by[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
         return pa.table({"key": pa.array([int(key[r[0]]) for r in rows], pa.int64()), "places": pa.array([_planes(np.sort(at[r])) for r in rows], pa.binary())})
 
-    found = asked.groupBy("bucket").applyInArrow(answer, ANSWERED)
-    return found.groupBy("share").applyInArrow(gather, "key long, places binary")
+    found = asked.repartition(shares, "bucket").groupBy("bucket").applyInArrow(answer, ANSWERED)
+    return found.repartition(shares, "share").groupBy("share").applyInArrow(gather, "key long, places binary")
 
 
 def _places(column: pa.Array) -> list[np.ndarray]:
@@ -211,12 +214,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are maximal runs of anything but ASCII white space. A word goes if a window of `width` consecutive words of
     one text that covers it starts anywhere else too, be it in the same text; all occurrences go. Windows are judged
-    on the input. Null text counts as empty. Repeated rows are texts of their own, so all their windows repeat.
-    An empty table gives an empty table.
+    on the input. Null text counts as empty. Repeated rows are texts of their own, so all their windows repeat. Windows are
+    compared by 96 bits of hash, rows named by 64. An empty table gives an empty table; other columns play no part.
     """
     if width < PERIOD:
         raise ValueError(f"windows have at least {PERIOD} words")
-    n_buckets = buckets or partitions(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    n_buckets = buckets or max(partitions(docs.sparkSession), total // BUCKET_BYTES)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     id_field = T.StructField("id", docs.schema[id_col].dataType)
 

@@ -1,4 +1,8 @@
-"""WARC archives in Zstandard: one frame for each record, the dictionary in a leading skippable frame."""
+"""WARC archives in Zstandard: one frame for each record, the dictionary in a leading skippable frame.
+
+Archives are files in the shared folder. Spark's text sink writes them, as it writes the bytes of a value as they are,
+one value a file; what it puts behind each value is an empty skippable frame, which readers of Zstandard pass over.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +13,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, attach, stage, tidy
+from .common import P, attach, stage, tidy, work_dir
 
 #: Fixed values of the formats: the skippable frame that holds a dictionary, and a date, as records carry one.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -24,7 +28,11 @@ REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 #: Payloads shorter than this are never replaced by a revisit.
 LEAST_REVISIT = 1000
 #: Raw bytes of an archive, bytes of its dictionary, and records that the dictionary is trained on.
-ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLES = 4_000_000, 8_192, 64
+ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLES = 16_000_000, 8_192, 64
+#: A frame that decodes to more bytes than this is an error, which bounds a reader's memory.
+MOST_FRAME = 1 << 30
+#: An empty skippable frame: its magic number 0x184D2A50 and the length 0.
+EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"
 
 
 def payload(html: Column) -> Column:
@@ -78,18 +86,19 @@ def archive(records: list[bytes]) -> bytes:
     return struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained + b"".join(map(packer.compress, records))
 
 
-def write_archives(records: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(path, content) of the archives of planned records, as the shared folder has them, written by all tasks at once.
+def write_archives(records: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
+    """Write the archives of planned records, all tasks at once; the folder, a new one in the shared folder by default.
 
-    The columns are those of Spark's binaryFile source, so that read_archives reads files just the same.
+    An archive holds up to ARCHIVE_BYTES of records (a longer record is alone in its own). Spark names the files. Null
+    html counts as empty, a null url is left out, a null id gives an empty one; repeated rows are records each. An empty
+    table gives a folder without archives.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            content = archive(held)
-            return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(content).hexdigest() + ".warc.zst"]), pa.array([content], pa.binary())], ["path", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([archive(held)], pa.binary())], ["content"])
 
         for batch in batches:
             for row in range(batch.num_rows):
@@ -103,7 +112,15 @@ def write_archives(records: DataFrame, id_col: str = "page_id", url_col: str = "
             yield flush()
 
     columns = [F.col(id_col), F.col(url_col), F.when(F.col("refers_to").isNull(), payload(F.col(html_col))).alias("body"), "payload_digest", "payload_bytes", "refers_to"]
-    return stage(records.select(*columns).mapInArrow(tidy(run), "path string, content binary"), "archives", compression="none")
+    path = path or f"{work_dir(records.sparkSession)}/archives.warc.zst"
+    made = records.select(*columns).mapInArrow(tidy(run), "content binary").select(F.col("content").cast("string").alias("value"))
+    made.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of all archives of a folder."""
+    return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
 
 
 def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
@@ -118,14 +135,17 @@ def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
                 raise ValueError("a skippable frame is cut off")
             if at == 0 and magic == DICTIONARY_MAGIC:
                 raw = bytes(view[8 : 8 + size])
-                if raw[:4] == struct.pack("<I", FRAME_MAGIC):  # the dictionary itself may be packed
-                    raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 27)
-                opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+                try:
+                    if raw[:4] == struct.pack("<I", FRAME_MAGIC):  # the dictionary itself may be packed
+                        raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 27)
+                    opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+                except zstandard.ZstdError as e:
+                    raise ValueError(f"the dictionary does not decode: {e}") from e
             at += 8 + size
             continue
         if magic != FRAME_MAGIC:
             raise ValueError("not a Zstandard frame")
-        start, parts, reader, step = at, [], opener.decompressobj(), 1 << 13
+        start, parts, made, reader, step = at, [], 0, opener.decompressobj(), 1 << 13
         while not reader.eof:
             if at >= len(view):
                 raise ValueError("a frame is cut off")
@@ -133,6 +153,9 @@ def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
                 parts.append(reader.decompress(view[at : at + step]))
             except zstandard.ZstdError as e:
                 raise ValueError(f"a frame does not decode: {e}") from e
+            made += len(parts[-1])
+            if made > MOST_FRAME:
+                raise ValueError(f"a frame decodes to more than {MOST_FRAME} bytes")
             at += min(step, len(view) - at) - len(reader.unused_data)
             step = min(2 * step, 1 << 22)
         yield start, b"".join(parts)
@@ -169,8 +192,21 @@ def parse(raw: bytes) -> dict:
         raise ValueError("the payload is not what the headers say")
     if kind == "revisit" and (body or "warc-refers-to" not in fields):
         raise ValueError("a revisit has a payload or refers to nothing")
-    number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x or "")) else None
-    return {"page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": int(size), "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("warc-refers-to")), "payload": body if kind == "response" else None}
+    ids = [number(fields["warc-record-id"]), number(fields.get("warc-refers-to"))]
+    if kind == "revisit" and ids[1] is None:
+        raise ValueError("a revisit refers to no page")
+    if int(size) >> 63:
+        raise ValueError("a length of more than 63 bits")
+    return {"page_id": ids[0], "url": fields.get("warc-target-uri"), "payload_bytes": int(size), "payload_digest": digest, "record_type": kind, "refers_to": ids[1], "payload": body if kind == "response" else None}
+
+
+def number(urn: str | None) -> int | None:
+    """The page that a record id names, or None; ValueError if it has more than 64 bits."""
+    if not (m := re.fullmatch(r"<urn:page:(-?[0-9]+)>", urn or "")):
+        return None
+    if len(m[1]) > 20 or not -(1 << 63) <= int(m[1]) < 1 << 63:
+        raise ValueError("a record id of more than 64 bits")
+    return int(m[1])
 
 
 RECORDS = T.StructType([T.StructField("path", T.StringType()), T.StructField("at", T.LongType()), T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("error", T.StringType())])

@@ -67,6 +67,33 @@ def components(values, most):
     return [find(i) for i in range(len(values))]
 
 
+def chat(rows):
+    """{(conv, turn): (parent, root, n_quoted, n_linked, body)} of messages (conv, turn, role, text), one each."""
+    squeezed = lambda t: " ".join(t.lower().split())
+    first, quotes, bodies = {}, collections.defaultdict(list), {}
+    for conv, turn, _, text in sorted(rows):
+        own = []
+        for line in text.split("\n"):
+            level = len(line) - len(line.lstrip(">"))
+            if level:
+                quotes[conv, turn].append((level, squeezed(line.lstrip(">"))))
+            else:
+                own.append(line)
+                first.setdefault((conv, squeezed(line)), turn)
+        bodies[conv, turn] = "\n".join(own).strip()
+    out = {}
+    for key, body in bodies.items():
+        found = [(level, first[key[0], q]) for level, q in quotes[key] if first.get((key[0], q), key[1]) < key[1]]
+        parent = max((-level, turn) for level, turn in found)[1] if found else None
+        out[key] = [parent, None, len(quotes[key]), len(found), body]
+    for (conv, turn), row in out.items():
+        root = turn
+        while out[conv, root][0] is not None:
+            root = out[conv, root][0]
+        row[1] = root
+    return {k: tuple(v) for k, v in out.items()}
+
+
 def base_spans(text):
     found = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):

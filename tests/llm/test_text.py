@@ -50,7 +50,7 @@ def test_letterless_tokens_are_decoded():
 
 def test_symbols_are_counted_by_characters(spark):
     """As the decoder sees them: an accented letter is one letter, a dash is none."""
-    counts = toxicity.trigram_counts(spark.createDataFrame([(1, "Çé–a"), (2, None)], SCHEMA), "text")
+    counts = toxicity.trigram_counts(spark.createDataFrame([(1, "Çé–a"), (2, None)], SCHEMA).coalesce(1), "text")
     assert counts.sum() == 3 and counts[27, 27, 0] == 1 and counts[27, 0, 1] == 1
 
 
@@ -253,6 +253,16 @@ def test_page_sequences():
     assert media.sequence(None) == media.sequence("") == []
 
 
+def test_captions_of_nested_figures():
+    show = lambda html: [(i["kind"], i["text"] or i["ref"], i["caption"]) for i in media.sequence(html)]
+    nested = '<figure><img src="a"><figcaption>outer <figure><img src="b"><figcaption>inner</figcaption></figure> tail</figcaption></figure>end'
+    assert show(nested) == [("image", "a", "outer tail"), ("image", "b", "inner"), ("text", "end", None)]
+    assert show('<figure><figcaption>first<p>then</p></figcaption><img src="a" alt="x"></figure>') == [("image", "a", "first then")]
+    assert show('a<figure><figcaption>alone</figcaption><p>b</p></figure>c') == [("text", "a", None), ("text", "alone", None), ("text", "b", None), ("text", "c", None)]
+    assert show('<figure><img src="a"><figcaption>not closed') == [("image", "a", "not closed")]
+    assert show("</figure></figcaption>x") == [("text", "x", None)]
+
+
 @pytest.mark.parametrize("payload", [b"", b"a", b"x" * 64, bytes(range(256)) * 3 + b"z", "é😀".encode() * 999])
 def test_images_hold_payloads(payload):
     padded = media.pad(payload)
@@ -283,7 +293,8 @@ def test_archives_round_trip(spark):
     long = ["x" * 999, "y" * 1000, "é" * 500, "word " * 400]
     pages = [(i, f"http://h/{i}\r\nX", rng.choice(long)) for i in range(40)] + [(100, None, None), (101, "u", ""), (None, "n", "y" * 1000), (102, "u", "short"), (102, "u", "short")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = warc.read_archives(warc.write_archives(warc.plan_records(df))).collect()
+    folder = warc.write_archives(warc.plan_records(df.withColumn("refers_to", df.url)))
+    got = warc.read_archives(warc.archive_files(spark, folder)).collect()
     assert len(got) == len(pages) and all(r.error is None for r in got)
     last: dict[str, int] = {}
     for i, _, h in pages:
@@ -294,7 +305,10 @@ def test_archives_round_trip(spark):
         revisit = len(body) >= 1000 and last[h or ""] != i
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(body), hashlib.sha1(body).hexdigest(), "revisit" if revisit else "response", last[h] if revisit else None)
         assert (r.payload is None) == revisit and (revisit or bytes(r.payload) == body)
-    empty = warc.read_archives(warc.write_archives(warc.plan_records(spark.createDataFrame([], df.schema))))
+    files = [open(r.path.removeprefix("file:"), "rb").read() for r in warc.archive_files(spark, folder).select("path").collect()]
+    assert len(files) > 1 and all(struct.unpack_from("<I", f)[0] == warc.DICTIONARY_MAGIC for f in files)
+    assert sum(len(list(warc.frames(f))) for f in files) == len(pages)
+    empty = warc.read_archives(warc.archive_files(spark, warc.write_archives(warc.plan_records(spark.createDataFrame([], df.schema)))))
     assert empty.collect() == []
 
 
@@ -310,6 +324,47 @@ def test_broken_archives_are_reported(spark):
     assert [bool(r.error) for r in by["cut"]] == [False] * 4 + [True] and by["junk"][0].error and by["wrong"][0].error and by["none"] == by["null"] == []
 
 
+def test_records_that_are_not_valid_are_errors():
+    body = b"x" * 10
+    digest = hashlib.sha1(body).hexdigest()
+    good = warc.record(1, None, body, digest, 10, 2)
+    assert warc.parse(good)["refers_to"] == 2
+    for broken in (good.replace(b"<urn:page:2>", b"<page 2>"), good.replace(b"<urn:page:2>", b"<urn:page:99999999999999999999>"), warc.record(1 << 70, None, body, digest, 10, None)):
+        with pytest.raises(ValueError):
+            warc.parse(broken)
+    packed = struct.pack("<I", warc.FRAME_MAGIC) + b"broken"
+    with pytest.raises(ValueError):
+        list(warc.frames(struct.pack("<II", warc.DICTIONARY_MAGIC, len(packed)) + packed))
+
+
+def test_frames_are_bounded(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_FRAME", 1000)
+    with pytest.raises(ValueError):
+        list(warc.frames(zstandard.ZstdCompressor().compress(bytes(100_000))))
+
+
+def test_chat_against_brute_force(spark):
+    """Parents, threads and bodies of random conversations with nested quotes, some of them without an original."""
+    rng = random.Random(5)
+    rows = []
+    for conv in range(12):
+        said: list[str] = []
+        for turn in range(rng.randint(1, 12)):
+            lines = []
+            for _ in range(rng.randint(0, 2)):
+                quoted = rng.choice([*said, "never said"])
+                lines.append(">" * rng.randint(1, 3) + " " + (quoted.upper() if rng.random() < 0.3 else quoted.replace(" ", "   ")))
+            said.append(f"words {rng.randint(0, 6)} of {conv % 3}")
+            rows.append((conv, turn, "user", "\n".join([*lines, said[-1]])))
+    got = {(r.conv_id, r.turn): r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()}
+    want = brute.chat(rows)
+    assert {k: (r.parent_turn, r.root_turn, r.n_quoted, r.n_linked, r.body) for k, r in got.items()} == want
+    assert sum(w[0] is not None for w in want.values()) > 30
+    for conv in range(12):
+        order = sorted((r for k, r in got.items() if k[0] == conv), key=lambda r: r.position)
+        assert [r.position for r in order] == list(range(len(order))) and [(r.root_turn, r.turn) for r in order] == sorted((r.root_turn, r.turn) for r in order)
+
+
 def test_chat_links_quotes(spark):
     rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> How are you?\nFine, and you"), (1, 2, "user", ">> how  are YOU?\n> Fine, and you\n\nGood"), (1, 3, "user", "New topic"), (1, 4, "assistant", "> hello there\nhi"), (2, 0, None, None), (2, None, "user", "> nothing"), (None, 3, "user", "x"), (3, 0, "user", "> Fine, and you\nother conversation"), (3, 0, "user", "> Fine, and you\nother conversation")]
     got = chat.format_chat(spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, position int")).collect()
