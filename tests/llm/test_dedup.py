@@ -201,6 +201,8 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     """Families of clear near copies, short, empty and null texts, repeated ids and rows; groups cut into many parts."""
     monkeypatch.setattr("quillgraph.llm.near.LEAST_PART", 10)
     monkeypatch.setattr("quillgraph.llm.near.HOT_SHARE", 20)
+    monkeypatch.setattr("quillgraph.llm.near.TOGETHER", 50)
+    monkeypatch.setattr("quillgraph.llm.near.BLOCK_TEXTS", 6)
     monkeypatch.setattr("quillgraph.llm.common.HOT_SHARE", 20)
     monkeypatch.setattr("quillgraph.llm.common.COPY_ROWS", 5)
     rng = random.Random(4)
@@ -226,6 +228,22 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     assert all(r.kept == r.doc_id for r in stay) and {r.text for r in stay if r.doc_id == 3} == {"unique words of a row with a used id"}
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_candidates_are_verified_in_bundles(spark, monkeypatch, rounds):
+    """Without rounds of leaders all links come from bundles: chains of copies that each differ from the next."""
+    monkeypatch.setattr("quillgraph.llm.near.ROUNDS", rounds)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    docs = []
+    for _ in range(6):
+        words = [word() for _ in range(300)]
+        for _ in range(12):
+            docs.append((len(docs), " ".join(words)))
+            words = [word() if rng.random() < 0.008 else w for w in words]
+    got = near.near_copies(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(near_groups(docs)))
+
+
 def test_near_copies_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, f0 string, kept int")
     assert near.near_copies(df).collect() == [] and near.drop_near_copies(df).collect() == []
