@@ -10,7 +10,7 @@ from ..operators import annotations, ask, cluster, passages, scoring, validate
 from ..schema import CLAIMS, COVERAGE, EVIDENCE, NODES, SOURCES, EvidenceGraph
 from ..storage import shared_folder
 from .registry import query
-from .star_graph import view
+from .star_graph import GRAPH_SQL, star_graph, view
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -286,3 +286,26 @@ SELECT conv_id, turn, batch FROM b""")
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "conversations").select("conv_id", "turn", F.least(F.length(F.coalesce("text", F.lit(""))), F.lit(900)).alias("size"))
     return passages.greedy_batches(rows, "conv_id", "turn", "size", 1000, 3).select("conv_id", "turn", "batch")
+
+
+@query("gr10_answers", f"""
+WITH {GRAPH_SQL},
+q AS (SELECT c_custkey, concat('D:', c_custkey) AS d, c_custkey // 100 % 5 AS k FROM customer WHERE c_custkey % 100 = 0),
+v AS (SELECT subject AS d, object AS v FROM claims WHERE predicate = 'HAS_VARIANT'),
+against AS (SELECT DISTINCT claim_id FROM evidence WHERE stance = 'contradicts'),
+a AS (
+  SELECT c_custkey, id FROM q JOIN claims ON d = subject OR d = object WHERE k IN (1, 2, 3) OR (k = 0 AND id IN (FROM against))
+  UNION SELECT c_custkey, id FROM q JOIN v USING (d) JOIN claims ON v = subject AND predicate = 'HAS_EFFECT' WHERE k = 1
+  UNION SELECT c_custkey, id FROM q JOIN v USING (d) JOIN claims ON v = subject OR v = object WHERE k = 0 AND id IN (FROM against)
+)
+SELECT c_custkey AS id, ['conflict', 'evidence', 'connections', 'describe', 'clinical'][1 + k] AS intent, CASE WHEN k < 4 THEN d END AS about, count(a.id) AS n_claims, min(a.id) AS first
+FROM q LEFT JOIN a USING (c_custkey) GROUP BY ALL""")
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions about the customers of the stated set, of five kinds."""
+    g, kind = star_graph(spark, sf_dir), F.floor(F.col("c_custkey") / 100) % 5
+    ask_ = lambda before, after: F.concat(F.lit(before), F.upper("c_name"), F.lit(after))
+    text = F.when(kind == 0, ask_("Any conflicting evidence for ", "?")).when(kind == 1, ask_("Which papers back ", "?")).when(kind == 2, ask_("How is ", " connected?")).when(kind == 3, ask_("Tell me about ", ".")).otherwise(ask_("Which treatment helps ", "?"))
+    questions = view(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select("c_custkey", text.alias("text"))
+    routes = ask.routed(questions, g.nodes, "c_custkey", "text")
+    counts = ask.answer_claims(routes, g.claims, g.evidence).groupBy("id").agg(F.count("*").alias("n_claims"), F.min("claim_id").alias("first"))
+    return routes.join(counts, "id", "left").select("id", "intent", "about", F.coalesce("n_claims", F.lit(0).cast("long")).alias("n_claims"), "first")
