@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .operators import ask, paths, routes, search, state
 from .schema import EvidenceGraph
 
-MOST_NODES, MOST_CLAIMS, LONGEST = 40, 100, 1000
+MOST_NODES, MOST_CLAIMS, MOST_ANSWERS, LONGEST = 40, 100, 1000, 1000
 
 
 class GraphApi:
@@ -80,4 +80,13 @@ class GraphApi:
             return 400, {"error": "invalid_claim_context"}
         if node and self._node(node) is None:
             return 404, {"error": "node_not_found"}
-        return 200, ask.route(q, self.graph.nodes, node, tuple(claims))
+        found = ask.route(q, self.graph.nodes, node, tuple(claims))
+        if found["intent"] == "claim_evidence":
+            rows = self.graph.evidence.where(F.col("claim_id").isin(claims))
+        else:
+            routes_ = self.spark.createDataFrame([(0, found["intent"], found["about"])], "id int, intent string, about string")
+            answer = ask.answer_claims(routes_, self.graph.claims, self.graph.evidence).select("claim_id")
+            rows = self.graph.evidence.join(answer, "claim_id", "left_semi")
+            claims = [r.claim_id for r in answer.orderBy("claim_id").limit(MOST_ANSWERS).collect()]
+        count = rows.agg(F.count_if(F.col("stance") == "supports").alias("supporting"), F.count_if(F.col("stance") == "contradicts").alias("conflicting"), F.count_distinct("source_id").alias("sources")).first()
+        return 200, found | {"claim_ids": list(claims), "evidence": count.asDict()}

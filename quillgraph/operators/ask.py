@@ -28,40 +28,6 @@ def intent(text: str) -> Column:
     return out.otherwise("missing")
 
 
-def mentioned(question: str, nodes: DataFrame) -> DataFrame:
-    """Nodes whose label or an alias (over two characters) the question mentions, the longest mention first."""
-    terms = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))) if "aliases" in nodes.columns else F.array("label")
-    rows = nodes.select("id", "type", "label", F.explode(terms).alias("term")).where(F.length("term") > 2)
-    low = F.lit(question.lower())
-    hit = F.rlike(low, F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.lower("term"), F.lit(r"\E(?!\w)")))
-    return rows.where(F.lit(question.lower()).contains(F.lower("term")) & hit).groupBy("id", "type", "label").agg(F.max(F.length("term")).alias("length")).orderBy(F.desc("length"), "id")
-
-
-def route(question: str, nodes: DataFrame, selected: str | None = None, claim_context: tuple[str, ...] = ()) -> dict[str, object]:
-    """Which lookup answers a question: its intent, the entity it is about and the diseases it compares, if any.
-
-    Clinical questions come first and are refused; then evidence for the claims at hand, if no entity is named; then
-    two diseases are compared; then the rules in order. Only the few nodes that the question names reach the driver.
-    """
-    found = [r.asDict() for r in mentioned(question, nodes).limit(100).collect()]
-    about = found[0]["id"] if found else selected
-    diseases = [r["id"] for r in found if r["type"] == "Disease"]
-    if selected and selected not in diseases and not nodes.where((F.col("id") == selected) & (F.col("type") == "Disease")).isEmpty():
-        diseases.append(selected)
-    name = nodes.sparkSession.range(1).select(intent(F.lit(question))).first()[0]
-    if name == "clinical":
-        return {"intent": "clinical", "about": None, "compare": []}
-    if claim_context and not found and name == "evidence":
-        return {"intent": "claim_evidence", "about": None, "compare": []}
-    if len(diseases) >= 2:
-        return {"intent": "compare", "about": about, "compare": diseases[:2]}
-    if name in ("evidence", "connections", "describe") and about is None:
-        name = "missing"
-    if name == "overview" and about is not None:
-        name = "missing"
-    return {"intent": name, "about": about, "compare": []}
-
-
 def filters(questions: DataFrame, text: str, gene: str, protein: str) -> DataFrame:
     """questions with `gene`, `protein` and `problem`: the filters that a search applies.
 
@@ -97,13 +63,16 @@ def mentions(questions: DataFrame, nodes: DataFrame, id_col: str, text_col: str)
     return asked.join(rows, "word").where(F.contains("low", "term") & whole).groupBy("id", "node", "type").agg(F.max(F.length("term")).alias("length"))
 
 
-def routed(questions: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def routed(questions: DataFrame, nodes: DataFrame, id_col: str, text_col: str, context: DataFrame | None = None) -> DataFrame:
     """(id, intent, about, other) of every question: which lookup answers it and about which node.
 
-    about is the longest mention (then the least id). Clinical questions are refused; two diseases are compared (about and
+    about is the longest mention (then the least id), else the node of `context` (id, node), if that is given. Clinical questions are refused; two diseases are compared (about and
     other); then the rules of intent() hold, of which some need a node and the overview needs none.
     """
     found = mentions(questions, nodes, id_col, text_col)
+    if context is not None:
+        given = context.join(nodes.select(F.col("id").alias("node"), "type"), "node").join(found, ["id", "node"], "left_anti")
+        found = found.unionByName(given.select("id", "node", "type", F.lit(0).alias("length")))
     order = F.struct((-F.col("length")).alias("n"), "node")
     best = found.groupBy("id").agg(F.min(order).alias("first"), F.array_sort(F.collect_list(F.when(F.col("type") == "Disease", order))).alias("diseases"))
     rows = questions.select(F.col(id_col).alias("id"), intent(text_col).alias("rule")).join(best, "id", "left")
@@ -133,3 +102,14 @@ def answer_claims(routes: DataFrame, claims: DataFrame, evidence: DataFrame) ->
     # a question about no node gets all contradicted claims
     every = asked.where("intent = 'conflict' AND about IS NULL").select("id").join(against)
     return plain.select("id", "claim_id").union(disputed.select("id", "claim_id")).union(every.select("id", "claim_id"))
+
+
+def route(question: str, nodes: DataFrame, selected: str | None = None, claim_context: tuple[str, ...] = ()) -> dict[str, object]:
+    """One question by the rules of routed(); a question for evidence that names no node is about the claims at hand."""
+    spark = nodes.sparkSession
+    one = spark.createDataFrame([(0, question)], "id int, text string")
+    context = spark.createDataFrame([(0, selected)], "id int, node string") if selected else None
+    if claim_context and spark.range(1).select(intent(F.lit(question))).first()[0] == "evidence" and mentions(one, nodes, "id", "text").isEmpty():
+        return {"intent": "claim_evidence", "about": None, "compare": []}
+    found = routed(one, nodes, "id", "text", context).first()
+    return {"intent": found.intent, "about": found.about, "compare": [found.about, found.other] if found.other else []}
