@@ -1,6 +1,8 @@
 """A corpus pipeline over documents; each stage calls one operator of quillgraph.llm.
 
-Each stage takes all that its predecessor kept, written as Parquet and read again.
+Each stage takes all that its predecessor kept, written as Parquet and read again. In all stages null texts count as
+empty, null ids are kept like others unless said otherwise, and an empty table gives an empty table; the columns of
+documents are given as they came, and further columns with them.
 """
 
 from __future__ import annotations
@@ -25,28 +27,30 @@ CAPACITY, END_ID = 4096, 2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under TOXIC."""
+    """Documents that score under TOXIC; repeated rows score alike. Without labels of both kinds all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score(docs, train(docs, labels), out="__toxicity").where(F.col("__toxicity") < TOXIC).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays; null ids are the smallest, and rows that repeat the largest stay
+    together."""
     return exact_dedup(docs).where("kept").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id stays."""
+    """Of each group of near copies the document with the least doc_id stays; null ids are the largest, and rows that repeat
+    the document stay together. Rows that only share its id are documents of their own."""
     return drop_near(docs, **NEAR)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars follows the text."""
+    """All documents, with personal data replaced by its kind; n_chars follows the text. Null texts stay null."""
     return redact(docs, train_field(labelled_table(spark))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most CAPACITY ids."""
+    """Pieces of all documents, repeated ones too, in sequences of at most CAPACITY ids; an empty text is its end id alone."""
     return pack(tokenise_and_cut(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, CAPACITY), CAPACITY)
 
 
