@@ -74,3 +74,49 @@ def split_ranges(first: date, last: date, count: Callable[[date, date], int], mo
             middle = a + (b - a) // 2
         pending += [(middle + timedelta(days=1), b), (a, middle)]
     return out
+
+
+def split_prefixes(count: Callable[[str], int], most: int, alphabet: str = "0123456789", prefix: str = "") -> list[tuple[str, int]]:
+    """Disjoint prefixes of ids that have at most `most` items each, in order, with their counts; empty ones are left out.
+
+    A prefix whose parts do not add up to it is an error: items would be missing or ids repeat.
+    """
+    n = count(prefix)
+    if n <= most:
+        return [(prefix, n)] if n else []
+    out = [part for letter in alphabet for part in split_prefixes(count, most, alphabet, prefix + letter)]
+    if sum(k for _, k in out) != n:
+        raise ValueError(f"the parts of {prefix!r} have {sum(k for _, k in out)} items, not {n}")
+    return out
+
+
+class Refused(ValueError):
+    """Raised by a fetch function for a query that a provider finds too long or too complicated."""
+
+
+def fetch_batches(batches: DataFrame, fetch: Callable[[list[str]], list[str]], terms_col: str = "terms") -> DataFrame:
+    """(terms, position, payload, error): what fetch gives for each batch of terms (an array), each batch in one task.
+
+    A refused batch is halved until its parts are answered; a single refused term, and any other failure of a part, is a
+    row with the error. A batch without payloads has one row with neither, so audits see it.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for terms in pdf[terms_col]:
+                pending = [list(terms)]
+                while pending:
+                    some, error = pending.pop(), None
+                    try:
+                        payloads = fetch(some)
+                    except Refused as e:
+                        if len(some) > 1:
+                            pending += [some[len(some) // 2 :], some[: len(some) // 2]]
+                            continue
+                        payloads, error = [], str(e)
+                    except OSError as e:
+                        payloads, error = [], str(e)
+                    rows = payloads or [None]
+                    yield pd.DataFrame({"terms": [some] * len(rows), "position": range(len(rows)), "payload": rows, "error": error})
+
+    return batches.select(terms_col).mapInPandas(run, "terms array<string>, position int, payload string, error string")

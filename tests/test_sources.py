@@ -131,3 +131,27 @@ def test_streams(spark, tmp_path):
     query = stream().writeStream.foreachBatch(inbox.upsert(str(tmp_path / "up"), "req", "ord")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {r.req: r.body for r in spark.read.parquet(str(tmp_path / "up/v=0")).collect()} == {"r": "z", "q": "y"}
+
+
+def test_prefixes_are_split():
+    ids = [f"{i:04d}" for i in range(0, 3000, 3)]
+    parts = paging.split_prefixes(lambda p: sum(i.startswith(p) for i in ids), 100)
+    assert sum(n for _, n in parts) == 1000 and max(n for _, n in parts) <= 100 and len({p for p, _ in parts}) == len(parts)
+    assert paging.split_prefixes(lambda p: 0, 10) == []
+    with pytest.raises(ValueError):
+        paging.split_prefixes(lambda p: 500 if not p else 1, 100)
+
+
+def test_refused_batches_are_halved(spark):
+    def fetch(terms):
+        if len(terms) > 2 or "bad" in terms:
+            raise paging.Refused("too complicated")
+        if "down" in terms:
+            raise OSError("no answer")
+        return [t for t in terms if t != "none"]
+
+    batches = spark.createDataFrame([(["a", "b", "c", "bad", "d"],), (["none"],), (["down", "e"],)], "terms array<string>")
+    got = paging.fetch_batches(batches, fetch).collect()
+    assert sorted(r.payload for r in got if r.payload) == ["a", "b", "c", "d"]
+    assert {(tuple(r.terms), r.error) for r in got if r.error} == {(("bad",), "too complicated"), (("down", "e"), "no answer")}
+    assert [r.terms for r in got if not r.payload and not r.error] == [["none"]]
