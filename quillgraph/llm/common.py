@@ -30,12 +30,14 @@ BITMAP = 32_768
 def work_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which the driver and all executors share.
 
-    Only where the session names none (as in tests) a folder of this machine is set.
+    Only where a local session names none (as in tests) a folder of this machine is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quillgraph/{uuid.uuid4().hex}"
