@@ -10,7 +10,7 @@ import numpy as np
 #: Fixed words that are features of their own.
 CUES = frozenset("token key api_key apikey secret password passwd pwd pass = : at dot (at) [at] (dot) [dot] call tel phone mobile fax card visa email mail contact version page vol isbn".split())
 #: Cells of words that a batch of sequences is decoded in, and words whose scores are remembered.
-CELLS, REMEMBERED = 1 << 16, 50_000
+CELLS, REMEMBERED = 1 << 15, 30_000
 HEX = re.compile(r"^[\"'=:]*[0-9a-fA-F]{16,}[\"'.,;]*$")
 
 

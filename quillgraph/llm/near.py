@@ -35,11 +35,11 @@ MOST_BITS, LEADER_BITS, LEADER_BLOCKS = 0.184, 0.25, 2
 #: Rounds of links to leaders before all candidates are looked at.
 ROUNDS = 2
 #: Texts and bytes of sets of which two blocks make up a bundle, and pairs after which bundles are handed on.
-BLOCK_TEXTS, BLOCK_BYTES, HELD_PAIRS = 512, 8_000_000, 1 << 22
+BLOCK_TEXTS, BLOCK_BYTES, HELD_PAIRS = 512, 8_000_000, 1 << 20
 #: Rows of the index that are matched together at least, if a task has so many.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 16
 #: Pairs looked at together, and the size from which a product of two runs is taken label by label.
-PAIRS, LARGE = 1 << 20, 4096
+PAIRS, LARGE = 1 << 18, 4096
 #: Rows of a part of a group that holds many: a thousandth of all rows, within these bounds.
 LEAST_PART, MOST_PART = 20_000, 1_000_000
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import rebatch, tidy
 from .crf import Crf, luhn, train
 
 #: Kinds, in the order in which spans of one start are listed. The field alone finds the last.
@@ -23,8 +23,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Every span has one of these, so texts without any have no span.
 MARK = re.compile(r"[0-9@]|[\[(](?:at|AT|dot|DOT)[\])]")
-#: Characters of texts that are decoded together.
-TOGETHER = 4_000_000
+#: Characters of texts that are decoded together, and bytes of texts that a worker takes from a batch at once.
+TOGETHER, BATCH_BYTES = 1_000_000, 2_000_000
 #: At most so many rows of a labelled table are trained on.
 MOST_ROWS = 2_000
 SPAN = "array<struct<kind:string,start:int,end:int>>"
@@ -193,10 +193,11 @@ def find_spans(docs: DataFrame, field: Crf, text_col: str = "text") -> DataFrame
     as_rows = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for s, e, k in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(all_spans([t or "" for t in batch.column(text_col).to_pylist()], field))
-            columns = [pa.array([as_rows(spans[i]) for spans in found], kind) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "base_spans", "spans"])
+        for whole in batches:
+            for batch in rebatch([whole], text_col, BATCH_BYTES):
+                found = list(all_spans([t or "" for t in batch.column(text_col).to_pylist()], field))
+                columns = [pa.array([as_rows(spans[i]) for spans in found], kind) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "base_spans", "spans"])
 
     return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, *T._parse_datatype_string(f"base_spans {SPAN}, spans {SPAN}").fields]))
 
@@ -209,12 +210,13 @@ def redact(docs: DataFrame, field: Crf, text_col: str = "text") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            texts = batch.column(at).to_pylist()
-            found = all_spans([t or "" for t in texts], field)
-            texts = [_redacted(t, spans) if spans else t for t, (_, spans) in zip(texts, found, strict=True)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        for whole in batches:
+            for batch in rebatch([whole], text_col, BATCH_BYTES):
+                at = batch.schema.get_field_index(text_col)
+                texts = batch.column(at).to_pylist()
+                found = all_spans([t or "" for t in texts], field)
+                texts = [_redacted(t, spans) if spans else t for t, (_, spans) in zip(texts, found, strict=True)]
+                yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     return docs.mapInArrow(tidy(run), docs.schema)
 
