@@ -1,7 +1,6 @@
 """The registered queries, as they are, on a whole small table: columns, types and values of their contracts."""
 
 import collections
-import hashlib
 import zlib
 
 import duckdb
@@ -143,7 +142,3 @@ def test_toxicity_of_held_out_documents(spark):
     print(f"caught {sum(toxic)} of {len(toxic)}, called toxic {sum(clean)} of {len(clean)} others")
     assert len(toxic) > 50 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
-
-def test_hashes_are_lower_case_hex(spark, docs):
-    _, rows = run(spark, "op7_exact_dedup")
-    assert all(r.text_sha256 == hashlib.sha256(brute.lower(docs[r.doc_id]).encode()).hexdigest() for r in rows)
