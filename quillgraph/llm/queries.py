@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .chat import format_chat
+from .divergence import divergence
 from .exact_dedup import content_hash, exact_dedup
 from .media import media_features, resolve, sequences, store_media
 from .packing import pack, tokenise_and_cut
@@ -90,6 +91,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op1_page_sequences": op1_page_sequences,
@@ -102,6 +107,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
+    "op11_divergence": op11_divergence,
 }
 
 ORACLE_SQL = {
@@ -134,6 +140,49 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
        CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to, CAST(NULL AS VARCHAR) AS error
 FROM p
+""",
+    "op11_divergence": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents
+),
+w AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+n AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+g AS (
+  SELECT s.lang, s.source, CAST(coalesce(n.n, 0) + 2 * coalesce(v.v, 0) AS HUGEINT) AS t
+  FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN v USING (lang) LEFT JOIN n USING (lang, source)
+),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+         1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // g.t AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+),
+whole AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY ALL),
+q AS (
+  SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (n + 2)) // CAST(sum(n) OVER (PARTITION BY lang) + 2 * v AS HUGEINT) AS q
+  FROM whole JOIN v USING (lang)
+),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT)
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q
+),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """,
     "op7_exact_dedup": """
 WITH t AS (
