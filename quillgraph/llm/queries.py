@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .chat import format_chat
+from .collocations import collocations
 from .divergence import divergence
 from .exact_dedup import content_hash, exact_dedup
 from .media import media_features, resolve, sequences, store_media
@@ -95,6 +96,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(read(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op1_page_sequences": op1_page_sequences,
@@ -108,6 +113,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
     "op11_divergence": op11_divergence,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLE_SQL = {
@@ -183,6 +189,50 @@ ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
 )
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+""",
+    "op12_collocations": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                               '[.,;:!?\\x0A-\\x0D]') AS pieces
+  FROM documents
+),
+p AS (SELECT r, lang, unnest(pieces) AS piece, unnest(generate_series(1, len(pieces))) AS q FROM d),
+s AS (SELECT r, q, lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS words FROM p),
+w AS (SELECT r, q, lang, unnest(words) AS word, unnest(generate_series(1, len(words))) AS i FROM s),
+t AS (
+  SELECT lang, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3
+  FROM w WINDOW o AS (PARTITION BY r, q ORDER BY i)
+),
+f1 AS (SELECT lang, w1, CAST(count(*) AS HUGEINT) AS f FROM t GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, CAST(count(*) AS HUGEINT) AS f FROM t WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, CAST(count(*) AS HUGEINT) AS f FROM t WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang),
+cuts AS (
+  SELECT f2.lang, f2.w1, f2.w2, NULL AS w3, f2.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+  UNION ALL
+  SELECT f3.lang, f3.w1, f3.w2, f3.w3, f3.f, 1, x.f, y.f
+  FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+  UNION ALL
+  SELECT f3.lang, f3.w1, f3.w2, f3.w3, f3.f, 2, x.f, y.f
+  FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3
+),
+scored AS (SELECT *, (1000000 * a * a) // (l * r) AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w1, w2, w3 ORDER BY score, k) = 1),
+held AS (
+  SELECT lang, w1, w2, max(f) AS longer
+  FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL
+),
+kept AS (
+  SELECT b.lang, concat_ws(' ', b.w1, b.w2, b.w3) AS phrase, b.a, b.l, b.r, b.score
+  FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.w1 = b.w1 AND h.w2 = b.w2 AND b.w3 IS NULL
+  WHERE h.longer IS NULL OR 100 * h.longer < 50 * b.a
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n,
+       CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """,
     "op7_exact_dedup": """
 WITH t AS (
