@@ -11,6 +11,7 @@ from .chat import format_chat
 from .collocations import collocations
 from .divergence import divergence
 from .exact_dedup import content_hash, exact_dedup
+from .lexicon import decode_words, encode_words
 from .media import media_features, resolve, sequences, store_media
 from .packing import pack, tokenise_and_cut
 from .pii import find_spans, labelled_table, train_field
@@ -100,6 +101,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents"))
 
 
+def op13_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = encode_words(read(spark, sf_dir, "documents").select("doc_id", "text"), WORDS)
+    ids = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
+    return decode_words(ids, WORDS).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op1_page_sequences": op1_page_sequences,
@@ -114,6 +121,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_divergence": op11_divergence,
     "op12_collocations": op12_collocations,
+    "op13_lexicon": op13_lexicon,
 }
 
 ORACLE_SQL = {

@@ -33,8 +33,10 @@ class Words:
     piece: np.ndarray
 
 
-def words(texts: pa.Array, classes: np.ndarray) -> Words:
-    """The words of texts in order, A-Z lower-cased. Null texts have none. Memory is some twenty times the texts'."""
+def words(texts: pa.Array, classes: np.ndarray, written: np.ndarray = LOWER) -> Words:
+    """The words of texts in order, A-Z lower-cased or as `written` says. Null texts have none.
+
+    Memory is some twenty times the texts'."""
     texts = texts.fill_null("").cast(pa.large_binary())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     empty = Words(np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -54,7 +56,7 @@ def words(texts: pa.Array, classes: np.ndarray) -> Words:
         return empty
     held = np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
     offsets = np.append(held[starts] - 1, held[-1])
-    spelled = LOWER[data[inside]]
+    spelled = written[data[inside]]
     wide = len(spelled) >= 1 << 31
     kind, width = (pa.large_binary(), np.int64) if wide else (pa.binary(), np.int32)
     found = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(spelled)]).dictionary_encode()

@@ -1,85 +1,124 @@
-"""Ids of whole texts under a tokenizers file whose pre-tokenizer never joins what white space parts."""
+"""Ids of texts under a tokenizers file whose pre-tokenizer never joins what white space parts: word by word."""
 
 from __future__ import annotations
 
+import heapq
 import json
-import re
-import unicodedata
-from array import array
 from functools import lru_cache
 
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 200_000
-#: White space of str.split() that is none for the tokenizer.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-SPACE = re.compile("[^\\S\x1c-\x1f]+")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from .tokens import Words, byte_classes, words
 
-def _byte_characters() -> dict[int, int]:
-    """The printable character that byte-level BPE writes for each byte: itself, or the next one from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+#: Distinct words whose ids a worker remembers.
+REMEMBERED = 200_000
+#: White space of the pre-tokenizer: ASCII, and a pattern for the rest.
+WHITE = byte_classes(b" \t\n\v\f\r")
+FURTHER = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+AS_WRITTEN = np.arange(256, dtype=np.uint8)
 
 
-class WordEncoder:
-    """Remembers the ids of words. A new one is normalised and pre-tokenised as the file says, and the file's BPE model
-    gives the ids of its pieces. added: the file's added tokens are found in texts before these are split into words."""
+class Merges:
+    """Ids of single words, found by the merges of a tokenizers file; what normalises and splits a word is the file's own."""
 
-    def __init__(self, tokenizer_file: str, added: bool = False) -> None:
-        import regex
+    def __init__(self, tokenizer_file: str) -> None:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        steps = json.loads(tokenizer.normalizer.__getstate__())["normalizers"], json.loads(tokenizer.pre_tokenizer.__getstate__())["pretokenizers"]
-        kinds = tuple([s["type"] for s in some] for some in steps)
-        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
-            raise ValueError(f"words are not normalised and split as this encoder does: {kinds}")
-        pattern = steps[1][0]["pattern"]["Regex"]
-        self.pattern = regex.compile(pattern.replace(r"\s", ""))  # words hold no white space
-        self.model = tokenizer.model
-        self.characters = _byte_characters()
-        self.known: dict[str, bytes] = {}
-        tokens = tokenizer.get_added_tokens_decoder() if added else {}
-        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in tokens.values()):
+        with open(tokenizer_file, encoding="utf-8") as file:
+            said = json.load(file)
+        model = said["model"]
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        kinds = [[s["type"] for s in said[part][steps]] for part, steps in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        if odd or kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or said["normalizer"]["normalizers"][1] != {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} or said["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"]:
+            raise ValueError(f"words of this file may depend on what stands around them: {kinds} {odd}")
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        tokens = self.tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized or t.content.split() != [t.content] for t in tokens.values()):
             raise ValueError(f"added tokens are not taken from the raw text as they stand: {tokens}")
-        self.added = {t.content: array("I", [i]).tobytes() for i, t in tokens.items()}
-        self.around = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
+        self.added = {t.content: i for i, t in tokens.items()}
+        self.vocabulary: dict[str, int] = model["vocab"]
+        self.suffix = model["end_of_word_suffix"] or ""
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        self.ranks = {(self.vocabulary[a], self.vocabulary[b]): (rank, self.vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+
+    def tokens(self) -> list[str | None]:
+        """The token of each id."""
+        named = {**{i: t for t, i in self.vocabulary.items()}, **{i: t for t, i in self.added.items()}}
+        return [named.get(i) for i in range(max(named) + 1)]
+
+    def merged(self, piece: str) -> list[int]:
+        """Ids of a pre-token: the pair of least rank, of equal ones the first, is merged until none is left."""
+        if (whole := self.vocabulary.get(piece + self.suffix)) is not None and len(piece) == 1:
+            return [whole]
+        ids = [self.vocabulary[c] for c in piece[:-1]] + [self.vocabulary[piece[-1] + self.suffix]]
+        after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
+        found = [(*self.ranks[pair], i, pair) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if pair in self.ranks]
+        found = [(rank, i, new, pair) for rank, new, i, pair in found]
+        heapq.heapify(found)
+        while found:
+            _, i, new, (a, b) = heapq.heappop(found)
+            j = after[i]
+            if ids[i] != a or j < 0 or ids[j] != b:
+                continue
+            ids[i], ids[j] = new, -1
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for x in (before[i], i):
+                if x >= 0 and after[x] >= 0 and (pair := (ids[x], ids[after[x]])) in self.ranks:
+                    rank, made = self.ranks[pair]
+                    heapq.heappush(found, (rank, x, made, pair))
+        return [i for i in ids if i >= 0]
 
-    def words(self, text: str) -> list[str]:
-        return [w for w in SPACE.split(text) if w] if ODD_SPACE.search(text) else text.split()
+    def ids(self, word: str) -> list[int]:
+        """Ids of what stands between two white spaces, which may be an added token."""
+        if word in self.added:
+            return [self.added[word]]
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))
+        return [i for piece, _ in pieces for i in self.merged(piece)]
 
-    def _learn(self, word: str) -> bytes:
-        low = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        ids = array("I")
-        for piece in (low,) if low.isalpha() else self.pattern.findall(low):
-            if not (piece.isascii() and piece.isprintable()):
-                piece = piece.encode().decode("latin-1").translate(self.characters)
-            ids.extend([t.id for t in self.model.tokenize(piece)])
-        return ids.tobytes()
+    def split(self, texts: pa.Array) -> Words:
+        """The words of texts as written. Added tokens are words of their own."""
+        for token in sorted(self.added, key=len, reverse=True):
+            texts = pc.replace_substring(texts, token, f" {token} ")
+        return words(pc.replace_substring_regex(texts, FURTHER, " "), WHITE, AS_WRITTEN)
+
+
+def laid_out(split: Words, lists: pa.ListArray, rows: int) -> pa.ListArray:
+    """The ids of each text, given those of each distinct word."""
+    lengths = lists.value_lengths().to_numpy()[split.codes].astype(np.int64)
+    ends = np.append(0, np.cumsum(lengths))
+    offsets = ends[np.searchsorted(split.row, np.arange(rows + 1))]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), lists.take(pa.array(split.codes)).flatten())
+
+
+class WordEncoder:
+    """Ids of texts; remembers those of words. added: whether the file's added tokens are found in texts."""
+
+    def __init__(self, tokenizer_file: str, added: bool = False) -> None:
+        self.merges = Merges(tokenizer_file)
+        if not added:
+            self.merges.added = {}
+        self.known: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        found = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        plain = texts.copy()
-        for i in found:
-            plain[i] = ""
-        out = self._word_ids(plain)
-        for i in found:
-            between, tokens = self.around.split(texts[i]), self.around.findall(texts[i])
-            parts = self._word_ids(between)
-            out[i] = b"".join([parts[0], *(self.added[a] + part for a, part in zip(tokens, parts[1:], strict=True))])
-        return out
-
-    def _word_ids(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        every = set().union(*split)
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = every
+        split = self.merges.split(pa.array(texts, pa.string()))
+        distinct, known = split.distinct.to_pylist(), self.known
+        new = [w for w in distinct if w not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = distinct
         for word in new:
-            self.known[word] = self._learn(word)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            known[word] = np.array(self.merges.ids(word.decode()), "<u4").tobytes()
+        of_words = [known[w] for w in distinct]
+        offsets = np.cumsum([0, *(len(x) // 4 for x in of_words)])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(of_words), "<u4")))
+        out = laid_out(split, lists, len(texts))
+        ends, flat = out.offsets.to_numpy(), out.values.to_numpy()
+        return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)

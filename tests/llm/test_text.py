@@ -197,6 +197,16 @@ def test_words_are_those_of_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_of_every_character_are_the_librarys():
+    theirs, ours = Tokenizer.from_file(WORDS), WordEncoder(WORDS, added=True)
+    texts = [f"a{chr(c)}b {chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    differ = 0
+    for at in range(0, len(texts), 100_000):
+        some = texts[at : at + 100_000]
+        differ += sum(np.frombuffer(a, "<u4").tolist() != b.ids for a, b in zip(ours.ids(some), theirs.encode_batch(some, add_special_tokens=False), strict=True))
+    assert differ == 0
+
+
 def test_added_tokens_are_those_of_the_tokenizer(spark):
     theirs = Tokenizer.from_file(WORDS)
     texts = [*ODD, "a<|endoftext|>b", "<|startoftext|><|endoftext|>", "x <|endoftext|> é<|endoftext|>\u0301 'S<|startoftext|>'s", "<|ENDOFTEXT|> <|endoftext|", "<|<|endoftext|>|>"]
