@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, partitions, rebatch, stage, tidy
+from .common import P, any_names, partitions, rebatch, stage, tidy
 
 #: Characters of a chunk, and characters that it shares with the next one.
 CHUNK, OVERLAP = 20_000, 1_000
@@ -138,6 +138,7 @@ def _encode_whole(rank_file: str, pattern: str):
     return run
 
 
+@any_names
 def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """All columns of docs but the text, with `out`: the ids as little-endian unsigned 32-bit integers (binary).
 
@@ -170,6 +171,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     return done.union(stitched).union(whole).withColumnRenamed(f"{P}ids", out)
 
 
+@any_names
 def decode(tokens: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns of tokens with `out`: the raw bytes of the ids, joined (binary; null ids give no bytes). A column named
     as `out` is replaced; repeated rows stay; an empty table gives an empty table."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, attach, partitions, stage
+from .common import P, any_names, attach, partitions, stage
 
 #: A quoted line: its marks, then the passage.
 QUOTED = r"^[ \t]*((?:>[ \t]?)+)(.*)$"
@@ -103,6 +103,7 @@ def number_in_order(rows: DataFrame, key: str, order: list[str], out: str) -> Da
     return found.withColumn(out, F.col(local) - F.col(first) + F.col(f"{P}offset")).select(*[c for c in rows.columns if c != out], out)
 
 
+@any_names
 def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv, turn, role, parent_turn, root_turn, position, n_quoted, n_linked, body, formatted) of every message.
 

@@ -13,7 +13,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Prefix of every internal column, so that columns of the input never clash with them.
 P = "__qg_"
@@ -130,22 +129,19 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
-def quoted(names: list[str]) -> list[str]:
-    """Names as column expressions, whatever characters they have."""
-    return [f"`{n.replace('`', '``')}`" for n in names]
+def any_names(operator: Callable) -> Callable:
+    """An operator whose first argument, and result, may have columns with dots or backticks in their names."""
 
+    @functools.wraps(operator)
+    def named(docs: DataFrame, *args, **options) -> DataFrame:
+        odd = {c: f"{P}named_{i}" for i, c in enumerate(docs.columns) if "." in c or "`" in c}
+        if not odd:
+            return operator(docs, *args, **options)
+        back = {safe: c for c, safe in odd.items()}
+        found = operator(docs.toDF(*[odd.get(c, c) for c in docs.columns]), *args, **options)
+        return found.toDF(*[back.get(c, c) for c in found.columns])
 
-def map_rows(rows: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
-    """mapInArrow for rows whose columns may have any name, dots included; `run` sees and gives the names as they are."""
-    names, places = rows.columns, [f"{P}{i}" for i in range(len(schema.fields))]
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = (pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
-        for batch in run(given):
-            yield pa.RecordBatch.from_arrays(batch.columns, places)
-
-    out = T.StructType([T.StructField(n, f.dataType) for n, f in zip(places, schema.fields, strict=True)])
-    return rows.toDF(*[f"{P}{i}" for i in range(len(names))]).mapInArrow(tidy(named), out).toDF(*schema.names)
+    return named
 
 
 def rebatch(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, ascii_lower, attach, key_filter, may_hold, stage
+from .common import P, any_names, ascii_lower, attach, key_filter, may_hold, stage
 
 #: Characters that the second step hashes.
 PREFIX = 128
@@ -27,6 +27,7 @@ def _shared(rows: DataFrame, keys: list[str], flag: str, among: DataFrame, name:
     return may_hold(rows, key_filter(stage(found, name)), F.xxhash64(*keys), flag)
 
 
+@any_names
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of docs with keep_id, group_size and kept.
 

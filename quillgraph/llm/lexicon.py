@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, map_rows, quoted, rebatch, stage, tidy, work_dir
+from .common import P, any_names, rebatch, stage, tidy, work_dir
 from .words import Merges, laid_out
 
 #: Words of a lexicon, at most, and bytes of the longest.
@@ -241,6 +241,7 @@ def _handed_out(spark: SparkSession, data: bytes) -> str:
     return name
 
 
+@any_names
 def encode_words(docs: DataFrame, tokenizer_file: str, text_col: str = "text", out: str = "ids", lexicon: str | None = None) -> DataFrame:
     """All columns of docs but the text, with `out`: the ids of the text (array of int), as the tokenizers library gives
     them without special tokens of its own; the file's added tokens are found in texts.
@@ -249,7 +250,7 @@ def encode_words(docs: DataFrame, tokenizer_file: str, text_col: str = "text", o
     named as `out` is replaced; repeated rows stay; an empty table gives an empty table. A text is encoded in one piece.
     """
     name = lexicon or build_lexicon(docs, tokenizer_file, text_col)
-    rest = quoted([c for c in docs.columns if c not in (text_col, out)])
+    rest = [c for c in docs.columns if c not in (text_col, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(tokenizer_file, name)
@@ -257,11 +258,12 @@ def encode_words(docs: DataFrame, tokenizer_file: str, text_col: str = "text", o
             for batch in rebatch([whole], f"{P}text", 4_000_000):
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], coder.encode(batch.column(batch.num_columns - 1))], [*batch.schema.names[:-1], f"{P}ids"])
 
-    rows = docs.select(*rest, F.col(quoted([text_col])[0]).alias(f"{P}text"))
+    rows = docs.select(*rest, F.col(text_col).alias(f"{P}text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(f"{P}ids", T.ArrayType(T.IntegerType()))])
-    return map_rows(rows, run, schema).withColumnRenamed(f"{P}ids", out)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed(f"{P}ids", out)
 
 
+@any_names
 def decode_words(tokens: DataFrame, tokenizer_file: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns of tokens with `out`: the tokens of the ids, joined by one space, as the library decodes with a file that
     names no decoder. Null ids give an empty text; ids that the file lacks give nothing. A column named as `out` is
@@ -283,7 +285,7 @@ def decode_words(tokens: DataFrame, tokenizer_file: str, ids_col: str = "ids", o
                 text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), named), " ")
                 yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, out])
 
-    return map_rows(rows, run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def _by_ids(whole: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_SHARE, P, attach, attach_copies, key_filter, may_hold, partitions, rebatch, stage, tidy
+from .common import HOT_SHARE, P, any_names, attach, attach_copies, key_filter, may_hold, partitions, rebatch, stage, tidy
 from .components import components
 from .simhash import CHUNK, segment, segment_bounds, shingle_hashes
 
@@ -388,6 +388,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(id_col, f"{P}text", F.col("best.id").alias("component_id"), kept.alias("kept"))
 
 
+@any_names
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
     """The rows of docs that near_copies keeps, with all their columns.
 

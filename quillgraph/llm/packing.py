@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, rebatch, stage, tidy
+from .common import P, any_names, rebatch, stage, tidy
 from .words import word_encoder
 
 #: Tails that are packed together: enough of them that best fit leaves little open, few enough for any task.
@@ -80,15 +80,17 @@ def tokenise_and_cut(docs: DataFrame, tokenizer_file: str, end_id: int, capacity
         coder, end = word_encoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for batch in rebatch([whole], text_col, 4_000_000):
+                found = coder.encode(batch.column(1))
+                ends, flat = found.offsets.to_numpy().tolist(), found.values.to_numpy()
                 rows, start, length, crc, total = [], [], [], [], []
-                for row, ids in enumerate(coder.ids([t or "" for t in batch.column(1).to_pylist()])):
-                    ids += end
-                    n = len(ids) // 4
+                for row, (since, until) in enumerate(zip(ends, ends[1:], strict=False)):
+                    n = until - since + 1
                     for at in range(0, n, capacity):
                         rows.append(row)
                         start.append(at)
                         length.append(min(capacity, n - at))
-                        crc.append(zlib.crc32(ids[4 * at : 4 * (at + capacity)]))
+                        ids = flat[since + at : min(since + at + capacity, until)].tobytes()
+                        crc.append(zlib.crc32(ids if at + capacity < n else ids + end))
                         total.append(n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names)
         coder.known.clear()  # workers outlive their tasks
@@ -98,6 +100,7 @@ def tokenise_and_cut(docs: DataFrame, tokenizer_file: str, end_id: int, capacity
     return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
+@any_names
 def pack(pieces: DataFrame, capacity: int, length_col: str = "length", shards: int | None = None) -> DataFrame:
     """All rows and columns of pieces with sequence_id and offset: no sequence holds over `capacity`, none has a gap.
 

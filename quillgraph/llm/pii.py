@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import rebatch, tidy
+from .common import any_names, rebatch, tidy
 from .crf import Crf, luhn, train
 
 #: Kinds, in the order in which spans of one start are listed. The field alone finds the last.
@@ -181,6 +181,7 @@ def train_field(labelled: DataFrame) -> Crf:
     return train([(list(r.words), list(r.tags)) for r in labelled.limit(MOST_ROWS).collect()])
 
 
+@any_names
 def find_spans(docs: DataFrame, field: Crf, text_col: str = "text") -> DataFrame:
     """All rows and columns of docs with base_spans and spans: (kind, start, end) in code points, end exclusive.
 
@@ -202,6 +203,7 @@ def find_spans(docs: DataFrame, field: Crf, text_col: str = "text") -> DataFrame
     return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, *T._parse_datatype_string(f"base_spans {SPAN}, spans {SPAN}").fields]))
 
 
+@any_names
 def redact(docs: DataFrame, field: Crf, text_col: str = "text") -> DataFrame:
     """docs with each found span replaced by its kind in brackets; overlapping spans become one, of the first's kind.
 

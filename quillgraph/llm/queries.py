@@ -85,7 +85,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = write_archives(plan_records(read(spark, sf_dir, "pages")))
-    return read_archives(archive_files(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    return read_archives(archive_files(spark, folder), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, attach, partitions, rebatch, stage, tidy
+from .common import P, any_names, attach, partitions, rebatch, stage, tidy
 from .components import components
 
 SEED = 42
@@ -185,6 +185,7 @@ def links(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(tidy(_match), "a0 long, b0 long").distinct()
 
 
+@any_names
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, f0, component_id) of every row; component_id is the least id that links reach.
 

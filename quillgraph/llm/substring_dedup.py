@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, rebatch, tidy
+from .common import any_names, partitions, rebatch, tidy
 
 #: A perfect difference cover: every difference modulo 21 is one of two of its members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -209,6 +209,7 @@ def _numbers(words: Words, places: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([words.first_word[i] + p for i, p in enumerate(places)]) if places else np.zeros(0, np.int64)
 
 
+@any_names
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, buckets: int | None = None) -> DataFrame:
     """(id, n_words, n_removed, kept) of every row; kept has the words left, joined by one space, as bytes.
 

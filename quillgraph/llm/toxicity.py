@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, stage, tidy
+from .common import P, any_names, stage, tidy
 
 #: Symbols of the model: 0 a word's end, 1-26 a-z, 27 any other letter.
 SYMBOLS = 28
@@ -40,8 +40,8 @@ LEAST_WEIGHT = 2.5
 TOP, CAP = 3, 4.0
 #: Tokens that a worker remembers, and units that it counts before it hands the counts on.
 REMEMBERED, COUNTED = 100_000, 60_000
-#: Runs of characters after which a decoder settles on the best path so far, which bounds its memory on long tokens.
-SETTLED = 1024
+#: Runs of characters after which a decoder looks for the beginning that all its paths share, which it need not hold.
+SHARED = 1024
 
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
 THRICE = re.compile(r"(.)\1\1", re.DOTALL)
@@ -98,11 +98,11 @@ class Restorer:
         return [*found, ("", min(n, 2) * (DIGIT if c.isdigit() else INSERT)), (" ", BREAK)]
 
     def restore(self, token: str) -> list[str]:
-        """The likeliest words behind a token. After SETTLED runs the best path so far is settled on."""
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        """The likeliest words behind a token. What all paths begin with is put aside every SHARED runs; it is certain."""
+        states: dict[tuple[int, int], tuple[float, list]] = {(0, 0): (0.0, ["", None])}
         done: list[str] = []
         for n, match in enumerate(RUN.finditer(token), 1):
-            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            after: dict[tuple[int, int], tuple[float, list]] = {}
             choices = self.options(match[0])
             for (a, b), (score, path) in states.items():
                 for text, cost in choices:
@@ -112,17 +112,26 @@ class Restorer:
                         total += self.logp[x][y][s]
                         x, y = y, s
                     if (x, y) not in after or after[x, y][0] < total:
-                        after[x, y] = (total, (text, path))
+                        after[x, y] = (total, [text, path])
             states = after
-            if n % SETTLED == 0:
-                best = max(states, key=lambda state: states[state][0])
-                done += self.spelled(states[best][1])
-                states = {best: (states[best][0], None)}
+            if n % SHARED == 0:
+                done.append(self.put_aside([path for _, path in states.values()]))
         best = max(states, key=lambda state: states[state][0] + self.logp[state[0]][state[1]][0])
         return "".join(done + self.spelled(states[best][1])).split()
 
+    @classmethod
+    def put_aside(cls, paths: list[list]) -> str:
+        """What all paths, of as many steps each, begin with; they go on without it. A step is [text, step before]."""
+        now = {id(p): p for p in paths}
+        while len(now) > 1:
+            now = {id(p[1]): p[1] for p in now.values()}
+        shared = next(iter(now.values()))
+        text = "".join(cls.spelled(shared))
+        shared[:] = ["", None]
+        return text
+
     @staticmethod
-    def spelled(path: tuple | None) -> list[str]:
+    def spelled(path: list | None) -> list[str]:
         parts = []
         while path is not None:
             text, path = path
@@ -276,6 +285,7 @@ def _logistic(x: np.ndarray, ones: np.ndarray, of: np.ndarray) -> tuple[float, f
     return float(w[0]), float(w[1])
 
 
+@any_names
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """All rows and columns of docs with `out`, from 0 to 1. Null and empty texts score as texts without evidence.
 

@@ -7,6 +7,7 @@ one value a file; what it puts behind each value is an empty skippable frame, wh
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, attach, stage, tidy, work_dir
+from .common import P, any_names, attach, stage, tidy, work_dir
 
 #: Fixed values of the formats: the skippable frame that holds a dictionary, and a date, as records carry one.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -29,8 +30,12 @@ REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 LEAST_REVISIT = 1000
 #: Raw bytes of an archive, bytes of its dictionary, and records that the dictionary is trained on.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLES = 16_000_000, 8_192, 64
-#: A frame that decodes to more bytes than this is an error, which bounds a reader's memory.
-MOST_FRAME = 1 << 30
+#: Bytes of a frame that are held at once, and of a record's headers. Payloads are read as streams, so they may be longer.
+MOST_FRAME, MOST_HEAD = 1 << 30, 1 << 20
+#: Records, and bytes of their payloads, that a reader hands on together.
+TOGETHER, TOGETHER_BYTES = 500, 16_000_000
+#: Bytes of a frame that are decoded at once.
+STEP = 1 << 13
 #: An empty skippable frame: its magic number 0x184D2A50 and the length 0.
 EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"
 
@@ -39,6 +44,7 @@ def payload(html: Column) -> Column:
     return F.coalesce(html, F.lit("")).cast("binary")
 
 
+@any_names
 def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
     """pages with payload_digest (SHA-1, hex), payload_bytes, record_type and refers_to.
 
@@ -123,8 +129,15 @@ def archive_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
 
 
-def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, decoded bytes) of each frame, under the dictionary of the leading skippable frame; ValueError if broken."""
+class Broken(ValueError):
+    """A frame that cannot be decoded to its end; where the next one begins is not known."""
+
+
+def streams(content: bytes) -> Iterator[tuple[int, Iterator[bytes]]]:
+    """(offset, decoded parts) of each frame, under the dictionary of the leading skippable frame; ValueError if broken.
+
+    Parts that are not taken are decoded and dropped when the next frame is asked for.
+    """
     view, at, opener = memoryview(content), 0, zstandard.ZstdDecompressor()
     while at < len(view):
         if len(view) - at < 8:
@@ -145,20 +158,38 @@ def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
             continue
         if magic != FRAME_MAGIC:
             raise ValueError("not a Zstandard frame")
-        start, parts, made, reader, step = at, [], 0, opener.decompressobj(), 1 << 13
-        while not reader.eof:
-            if at >= len(view):
-                raise ValueError("a frame is cut off")
-            try:
-                parts.append(reader.decompress(view[at : at + step]))
-            except zstandard.ZstdError as e:
-                raise ValueError(f"a frame does not decode: {e}") from e
-            made += len(parts[-1])
+        ends: list[int] = []
+        parts = _decoded(view, at, opener.decompressobj(), ends)
+        yield at, parts
+        for _ in parts:
+            pass
+        at = ends[0]
+
+
+def _decoded(view: memoryview, at: int, reader: zstandard.ZstdDecompressionObj, ends: list[int]) -> Iterator[bytes]:
+    """The parts of the frame at a place; where it ends is added to `ends`. Small steps keep parts small."""
+    while not reader.eof:
+        if at >= len(view):
+            raise Broken("a frame is cut off")
+        try:
+            part = reader.decompress(view[at : at + STEP])
+        except zstandard.ZstdError as e:
+            raise Broken(f"a frame does not decode: {e}") from e
+        at += min(STEP, len(view) - at) - len(reader.unused_data)
+        yield part
+    ends.append(at)
+
+
+def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, decoded bytes) of each frame; ValueError if broken or over MOST_FRAME."""
+    for start, parts in streams(content):
+        made, held = 0, []
+        for part in parts:
+            made += len(part)
             if made > MOST_FRAME:
                 raise ValueError(f"a frame decodes to more than {MOST_FRAME} bytes")
-            at += min(step, len(view) - at) - len(reader.unused_data)
-            step = min(2 * step, 1 << 22)
-        yield start, b"".join(parts)
+            held.append(part)
+        yield start, b"".join(held)
 
 
 def _headers(lines: list[bytes]) -> dict[str, str]:
@@ -173,31 +204,62 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
 
 def parse(raw: bytes) -> dict:
     """Fields of one record; ValueError if its headers or lengths are wrong."""
-    head, blank, rest = raw.partition(b"\r\n\r\n")
+    return parsed(iter([raw]))
+
+
+def parsed(parts: Iterator[bytes], keep: bool = True) -> dict:
+    """Fields of a record that comes in parts, without its payload if not asked to keep it; ValueError as in parse.
+
+    The payload passes through its digest and a count. One of more than MOST_FRAME bytes is not kept; `error` says so.
+    """
+    held = bytearray()
+    for part in parts:
+        held += part
+        if held.count(b"\r\n\r\n", 0, MOST_HEAD) > 1 or len(held) > MOST_HEAD:
+            break
+    head, blank, rest = bytes(held).partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not blank or lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
         raise ValueError("no WARC header")
     fields = _headers(lines[1:])
     if missing := [n for n in REQUIRED if n.lower() not in fields]:
         raise ValueError(f"no {missing[0]}")
-    if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
-        raise ValueError("Content-Length is not the block's length")
-    http, blank, body = rest[:-4].partition(b"\r\n\r\n")
+    http, blank, first = rest.partition(b"\r\n\r\n")
     size = _headers(http.split(b"\r\n")[1:]).get("content-length", "") if blank else ""
+    # what follows the HTTP header is the body and four bytes that end the record
+    sha, n, kept, last = hashlib.sha1(), 0, [], b""
+    for part in itertools.chain([first], parts) if blank else ():
+        last, part = (last + part)[-4:], (last + part)[:-4]
+        sha.update(part)
+        n += len(part)
+        if keep and n <= MOST_FRAME:
+            kept.append(part)
+        else:
+            kept.clear()
+    block = len(http) + len(blank) + n
+    if not blank:
+        block, last = len(rest) - 4, rest[-4:]
+    if not fields["content-length"].isdigit() or block != int(fields["content-length"]) or last != b"\r\n\r\n":
+        raise ValueError("Content-Length is not the block's length")
     if not size.isdigit():
         raise ValueError("no HTTP header with a length")
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
     kind = fields["warc-type"]
-    if kind == "response" and (len(body) != int(size) or hashlib.sha1(body).hexdigest() != digest):
+    if kind == "response" and (n != int(size) or sha.hexdigest() != digest):
         raise ValueError("the payload is not what the headers say")
-    if kind == "revisit" and (body or "warc-refers-to" not in fields):
+    if kind == "revisit" and (n or "warc-refers-to" not in fields):
         raise ValueError("a revisit has a payload or refers to nothing")
     ids = [number(fields["warc-record-id"]), number(fields.get("warc-refers-to"))]
     if kind == "revisit" and ids[1] is None:
         raise ValueError("a revisit refers to no page")
     if int(size) >> 63:
         raise ValueError("a length of more than 63 bits")
-    return {"page_id": ids[0], "url": fields.get("warc-target-uri"), "payload_bytes": int(size), "payload_digest": digest, "record_type": kind, "refers_to": ids[1], "payload": body if kind == "response" else None}
+    found = {"page_id": ids[0], "url": fields.get("warc-target-uri"), "payload_bytes": int(size), "payload_digest": digest, "record_type": kind, "refers_to": ids[1]}
+    if keep and kind == "response" and n > MOST_FRAME:
+        found["error"] = f"a payload of more than {MOST_FRAME} bytes is not given"
+    elif keep and kind == "response":
+        found["payload"] = b"".join(kept)
+    return found
 
 
 def number(urn: str | None) -> int | None:
@@ -212,34 +274,40 @@ def number(urn: str | None) -> int | None:
 RECORDS = T.StructType([T.StructField("path", T.StringType()), T.StructField("at", T.LongType()), T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("error", T.StringType())])
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of archives (path, content), RECORDS: fields, payload, and `error` for what is not valid.
 
     A record with wrong headers or lengths gives a row with its place and error; an archive whose frames break off
-    gives its records up to there and a row with the error. An empty table gives an empty table.
+    gives its records up to there and a row with the error. Payloads are validated as streams, of any length; one of more
+    than MOST_FRAME bytes is null, with its fields and an error, and all are null without `payloads`. An empty table gives
+    an empty table.
     """
     schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
 
     def rows(path: str, content: bytes) -> Iterator[dict]:
         at = 0
         try:
-            for at, raw in frames(content):
+            for at, parts in streams(content):
                 try:
-                    yield {"path": path, "at": at, **parse(raw)}
+                    found = parsed(parts, payloads)
+                except Broken:
+                    raise
                 except ValueError as e:
-                    yield {"path": path, "at": at, "error": str(e)}
+                    found = {"error": str(e)}
+                yield {"path": path, "at": at, **found}
         except ValueError as e:
             yield {"path": path, "at": at, "error": str(e)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                held = []
+                held, size = [], 0
                 for row in rows(path.as_py(), content.as_py() or b""):
                     held.append(row)
-                    if len(held) == 500:
+                    size += len(row.get("payload") or b"")
+                    if len(held) == TOGETHER or size > TOGETHER_BYTES:
                         yield pa.RecordBatch.from_pylist(held, schema)
-                        held = []
+                        held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -18,12 +18,23 @@ REMEMBERED = 200_000
 WHITE = byte_classes(b" \t\n\v\f\r")
 FURTHER = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 AS_WRITTEN = np.arange(256, dtype=np.uint8)
+#: Words that every Unicode version lower-cases and classes alike: ASCII and Latin letters up to U+024F.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Pre-tokens whose ids are remembered.
+KNOWN = 100_000
+
+
+def byte_characters() -> dict[int, int]:
+    """The printable character that byte-level BPE writes for each byte: itself, or the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 class Merges:
     """Ids of single words, found by the merges of a tokenizers file; what normalises and splits a word is the file's own."""
 
     def __init__(self, tokenizer_file: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         with open(tokenizer_file, encoding="utf-8") as file:
@@ -39,9 +50,10 @@ class Merges:
             raise ValueError(f"added tokens are not taken from the raw text as they stand: {tokens}")
         self.added = {t.content: i for i, t in tokens.items()}
         self.vocabulary: dict[str, int] = model["vocab"]
-        self.suffix = model["end_of_word_suffix"] or ""
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(self.vocabulary[a], self.vocabulary[b]): (rank, self.vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.model = self.tokenizer.model
+        self.pattern = regex.compile(said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.characters = byte_characters()
+        self.known: dict[str, list[int]] = {}
 
     def tokens(self) -> list[str | None]:
         """The token of each id."""
@@ -49,35 +61,26 @@ class Merges:
         return [named.get(i) for i in range(max(named) + 1)]
 
     def merged(self, piece: str) -> list[int]:
-        """Ids of a pre-token: the pair of least rank, of equal ones the first, is merged until none is left."""
-        if (whole := self.vocabulary.get(piece + self.suffix)) is not None and len(piece) == 1:
-            return [whole]
-        ids = [self.vocabulary[c] for c in piece[:-1]] + [self.vocabulary[piece[-1] + self.suffix]]
-        after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
-        found = [(*self.ranks[pair], i, pair) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if pair in self.ranks]
-        found = [(rank, i, new, pair) for rank, new, i, pair in found]
-        heapq.heapify(found)
-        while found:
-            _, i, new, (a, b) = heapq.heappop(found)
-            j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j] = new, -1
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for x in (before[i], i):
-                if x >= 0 and after[x] >= 0 and (pair := (ids[x], ids[after[x]])) in self.ranks:
-                    rank, made = self.ranks[pair]
-                    heapq.heappush(found, (rank, x, made, pair))
-        return [i for i in ids if i >= 0]
+        """Ids of a pre-token by the file's merges."""
+        if (found := self.known.get(piece)) is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            found = self.known[piece] = [t.id for t in self.model.tokenize(piece)]
+        return found
+
+    def pieces(self, word: str) -> list[str]:
+        """The pre-tokens of a word. Those of words in plain Latin letters are found here, others by the file's own steps."""
+        if not PLAIN.fullmatch(word):
+            return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))]
+        low = word.lower()
+        found = [low] if low.isalpha() else self.pattern.findall(low)
+        return found if low.isascii() else [p.encode().decode("latin-1").translate(self.characters) for p in found]
 
     def ids(self, word: str) -> list[int]:
         """Ids of what stands between two white spaces, which may be an added token."""
         if word in self.added:
             return [self.added[word]]
-        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))
-        return [i for piece, _ in pieces for i in self.merged(piece)]
+        return [i for piece in self.pieces(word) for i in self.merged(piece)]
 
     def split(self, texts: pa.Array) -> Words:
         """The words of texts as written. Added tokens are words of their own."""
@@ -103,9 +106,9 @@ class WordEncoder:
             self.merges.added = {}
         self.known: dict[bytes, bytes] = {}
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = self.merges.split(pa.array(texts, pa.string()))
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text; null counts as empty."""
+        split = self.merges.split(texts.fill_null(""))
         distinct, known = split.distinct.to_pylist(), self.known
         new = [w for w in distinct if w not in known]
         if len(known) + len(new) > REMEMBERED:
@@ -116,7 +119,11 @@ class WordEncoder:
         of_words = [known[w] for w in distinct]
         offsets = np.cumsum([0, *(len(x) // 4 for x in of_words)])
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(of_words), "<u4")))
-        out = laid_out(split, lists, len(texts))
+        return laid_out(split, lists, len(texts))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out = self.encode(pa.array(texts, pa.string()))
         ends, flat = out.offsets.to_numpy(), out.values.to_numpy()
         return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
 

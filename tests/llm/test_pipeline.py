@@ -84,3 +84,19 @@ def test_an_empty_corpus_passes_through(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_give_columns_of_any_name_back_untouched(spark, corpus):
+    """Columns named as operators name their own, with dots, and null in every row of some."""
+    folder, stay = corpus
+    names = ["kept", "group_size", "keep_id", "__toxicity", "score", "a.b", "c0", "`", "component_id", "ids", "spans"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.select("*", *[(docs.doc_id * 100 + i if i % 4 else docs.source).alias(n) for i, n in enumerate(names)])
+    want = {r.doc_id: r[5:] for r in docs.collect()}
+    columns, types = docs.columns, docs.dtypes
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        docs = function(spark, docs, folder)
+        assert docs.columns == columns and docs.dtypes == types
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert {r.doc_id: r[5:] for r in docs.collect()} == {i: want[i] for i in stay}
+    assert {r.doc_id for r in corpus_pipeline.pack_sequences(spark, docs, folder).collect()} == set(stay)

@@ -59,6 +59,18 @@ def test_long_tokens_are_settled_in_steps(model):
     assert toxicity.Restorer(model.counts).restore(token).count("idiot") > 2900
 
 
+def test_long_tokens_are_decoded_exactly(model, monkeypatch):
+    """Putting the shared beginning aside changes nothing, however often it is done."""
+    rng, restorer = random.Random(11), toxicity.Restorer(model.counts)
+    for _ in range(30):
+        token = "".join(rng.choice("abcdeiou0134579@$!|.x-") for _ in range(1400))
+        found = []
+        for steps in (1 << 30, 1024, 7):
+            monkeypatch.setattr(toxicity, "SHARED", steps)
+            found.append(restorer.restore(token))
+        assert found[0] == found[1] == found[2]
+
+
 def test_viterbi_finds_the_best_reading(model):
     """Against all readings of short tokens."""
     restorer = toxicity.Restorer(model.counts)
@@ -347,6 +359,30 @@ def test_records_that_are_not_valid_are_errors():
         list(warc.frames(struct.pack("<II", warc.DICTIONARY_MAGIC, len(packed)) + packed))
 
 
+def test_payloads_are_read_as_streams_of_any_length(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a", "long " * 200_000), (2, "http://b", "short"), (3, None, None)], "page_id long, url string, html string")
+    folder = warc.write_archives(warc.plan_records(pages))
+    files = warc.archive_files(spark, folder)
+    for r in warc.read_archives(files, payloads=False).collect():
+        html = {1: "long " * 200_000, 2: "short", 3: ""}[r.page_id]
+        assert (r.payload_bytes, r.payload_digest, r.payload, r.error) == (len(html), hashlib.sha1(html.encode()).hexdigest(), None, None)
+    monkeypatch.setattr(warc, "MOST_FRAME", 1000)
+    found = [warc.parsed(parts) for r in files.collect() for _, parts in warc.streams(bytes(r.content))]
+    kept = {r["page_id"]: r for r in found}
+    assert kept[1].get("payload") is None and "1000" in kept[1]["error"] and kept[1]["payload_bytes"] == 1_000_000 and kept[2]["payload"] == b"short" and "error" not in kept[2]
+
+
+@pytest.mark.parametrize("step", [1, 5, 1 << 13])
+def test_records_in_parts_are_parsed_as_wholes(step):
+    body = b"a\r\n\r\nb" * 30
+    raw = warc.record(7, "http://x", body, hashlib.sha1(body).hexdigest(), len(body), None)
+    assert warc.parsed(raw[i : i + step] for i in range(0, len(raw), step)) == warc.parse(raw)
+    assert warc.parse(raw)["payload"] == body and "payload" not in warc.parsed(iter([raw]), keep=False)
+    for broken in (raw[:-1], raw + b"x", raw.replace(b"a\r", b"A\r", 1), raw[:100], b""):
+        with pytest.raises(ValueError):
+            warc.parsed(iter([broken[i : i + step] for i in range(0, len(broken), step)]))
+
+
 def test_frames_are_bounded(monkeypatch):
     monkeypatch.setattr(warc, "MOST_FRAME", 1000)
     with pytest.raises(ValueError):
