@@ -2,7 +2,7 @@
 
 Each stage takes all that its predecessor kept, written as Parquet and read again. In all stages null texts count as
 empty, null ids are kept like others unless said otherwise, and an empty table gives an empty table; the columns of
-documents are given as they came, and further columns with them.
+documents are given as they came, and further columns with them, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,32 +26,45 @@ NEAR = {"shingle": 5, "similar": 0.8, "blocks": 6, "segments": 20}
 CAPACITY, END_ID = 4096, 2
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with its columns named c0, c1 and so on, as no operator names its own, and the names of doc_id and text."""
+    names = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), f"c{names.index('doc_id')}", f"c{names.index('text')}"
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under TOXIC; repeated rows score alike. Without labels of both kinds all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score(docs, train(docs, labels), out="__toxicity").where(F.col("__toxicity") < TOXIC).select(*docs.columns)
+    rows, _, text = _numbered(docs)
+    scored = score(rows, train(docs.select("doc_id", "text"), labels), text, out="score")
+    return scored.where(F.col("score") < TOXIC).select(*rows.columns).toDF(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; null ids are the smallest, and rows that repeat the largest stay
     together."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    rows, number, text = _numbered(docs)
+    return exact_dedup(rows, number, text).where("kept").select(*rows.columns).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least doc_id stays; null ids are the largest, and rows that repeat
     the document stay together. Rows that only share its id are documents of their own."""
-    return drop_near(docs, **NEAR)
+    rows, number, text = _numbered(docs)
+    return drop_near(rows, number, text, **NEAR).select(*rows.columns).toDF(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars follows the text. Null texts stay null."""
-    return redact(docs, train_field(labelled_table(spark))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rows, _, text = _numbered(docs)
+    n_chars = f"c{docs.columns.index('n_chars')}"
+    redacted = redact(rows, train_field(labelled_table(spark)), text)
+    return redacted.withColumn(n_chars, F.length(text).cast(rows.schema[n_chars].dataType)).select(*rows.columns).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, repeated ones too, in sequences of at most CAPACITY ids; an empty text is its end id alone."""
-    return pack(tokenise_and_cut(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, CAPACITY), CAPACITY)
+    return pack(tokenise_and_cut(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), END_ID, CAPACITY), CAPACITY)
 
 
 STAGES = [
