@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import math
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import P, any_names, rebatch, stage, tidy, work_dir
-from .words import Merges, laid_out
+from .words import Merges, laid_out, token_names
 
 #: Words of a lexicon, at most, and bytes of the longest.
 WORDS, LONGEST = 200_000, 48
-#: Distinct words whose counts a task holds.
-HELD = 300_000
+#: Distinct words whose counts a task holds, and bytes of texts that are looked at together.
+HELD, TOGETHER = 200_000, 2_000_000
 #: Arrays of a lexicon's file, in this order.
 PARTS = (("keys", np.int64), ("targets", np.int32), ("skips", np.int32), ("final", np.bool_), ("offsets", np.int32), ("ids", np.int32))
 
@@ -144,9 +145,9 @@ class Encoder:
         places = self.lexicon.places(distinct)
         have, lack = np.flatnonzero(places >= 0), np.flatnonzero(places < 0)
         ids, lengths = self.lexicon.lists(places[have])
-        merged = [self.merges.ids(w.decode()) for w in distinct.take(pa.array(lack)).to_pylist()]
-        lengths = np.concatenate([lengths, np.array([len(m) for m in merged], np.int64)])
-        flat = np.concatenate([ids, np.array([i for m in merged for i in m], np.int32)])
+        merged = [array("i", self.merges.ids(w.decode())).tobytes() for w in distinct.take(pa.array(lack)).to_pylist()]
+        lengths = np.concatenate([lengths, np.fromiter(map(len, merged), np.int64, len(merged)) // 4])
+        flat = np.concatenate([ids, np.frombuffer(b"".join(merged), np.int32)])
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(flat))
         order = np.empty(len(distinct), np.int64)
         order[np.concatenate([have, lack])] = np.arange(len(distinct))
@@ -170,7 +171,7 @@ def _merges(tokenizer_file: str) -> Merges:
 
 @lru_cache(maxsize=2)
 def _tokens(tokenizer_file: str) -> pa.Array:
-    return pa.array(Merges(tokenizer_file).tokens(), pa.string())
+    return pa.array(token_names(tokenizer_file), pa.string())
 
 
 def _count(tokenizer_file: str, longest: int):
@@ -183,7 +184,7 @@ def _count(tokenizer_file: str, longest: int):
             return pa.concat_tables(found).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
         for whole in batches:
-            for batch in rebatch([whole], whole.schema.names[0], 4_000_000):
+            for batch in rebatch([whole], whole.schema.names[0], TOGETHER):
                 split = merges.split(batch.column(0).fill_null(""))
                 table = pa.table({"word": split.distinct, "n": np.bincount(split.codes, minlength=len(split.distinct)).astype(np.int64)})
                 found.append(table.filter(pc.less_equal(pc.binary_length(table["word"]), longest)))
@@ -255,8 +256,9 @@ def encode_words(docs: DataFrame, tokenizer_file: str, text_col: str = "text", o
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(tokenizer_file, name)
         for whole in batches:
-            for batch in rebatch([whole], f"{P}text", 4_000_000):
+            for batch in rebatch([whole], f"{P}text", TOGETHER):
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], coder.encode(batch.column(batch.num_columns - 1))], [*batch.schema.names[:-1], f"{P}ids"])
+        coder.merges.known.clear()  # workers outlive their tasks
 
     rows = docs.select(*rest, F.col(text_col).alias(f"{P}text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(f"{P}ids", T.ArrayType(T.IntegerType()))])

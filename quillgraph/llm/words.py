@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ AS_WRITTEN = np.arange(256, dtype=np.uint8)
 #: Words that every Unicode version lower-cases and classes alike: ASCII and Latin letters up to U+024F.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Pre-tokens whose ids are remembered.
-KNOWN = 100_000
+KNOWN = 30_000
 
 
 def byte_characters() -> dict[int, int]:
@@ -30,6 +31,14 @@ def byte_characters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
+def token_names(tokenizer_file: str) -> list[str | None]:
+    """The token of each id of a tokenizers file."""
+    with open(tokenizer_file, encoding="utf-8") as file:
+        said = json.load(file)
+    named = {i: t for t, i in said["model"]["vocab"].items()} | {t["id"]: t["content"] for t in said["added_tokens"]}
+    return [named.get(i) for i in range(max(named) + 1)]
+
+
 class Merges:
     """Ids of single words, found by the merges of a tokenizers file; what normalises and splits a word is the file's own."""
 
@@ -49,17 +58,11 @@ class Merges:
         if any(t.single_word or t.lstrip or t.rstrip or t.normalized or t.content.split() != [t.content] for t in tokens.values()):
             raise ValueError(f"added tokens are not taken from the raw text as they stand: {tokens}")
         self.added = {t.content: i for i, t in tokens.items()}
-        self.vocabulary: dict[str, int] = model["vocab"]
         self.model = self.tokenizer.model
         self.pattern = regex.compile(said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.characters = byte_characters()
         self.known: dict[str, list[int]] = {}
 
-    def tokens(self) -> list[str | None]:
-        """The token of each id."""
-        named = {**{i: t for t, i in self.vocabulary.items()}, **{i: t for t, i in self.added.items()}}
-        return [named.get(i) for i in range(max(named) + 1)]
-
     def merged(self, piece: str) -> list[int]:
         """Ids of a pre-token by the file's merges."""
         if (found := self.known.get(piece)) is None:
@@ -78,9 +81,12 @@ class Merges:
 
     def ids(self, word: str) -> list[int]:
         """Ids of what stands between two white spaces, which may be an added token."""
+        if word.isalpha() and word.isascii():
+            return [t.id for t in self.model.tokenize(word.lower())]
         if word in self.added:
             return [self.added[word]]
-        return [i for piece in self.pieces(word) for i in self.merged(piece)]
+        pieces = self.pieces(word)
+        return [t.id for t in self.model.tokenize(pieces[0])] if len(pieces) == 1 else [i for piece in pieces for i in self.merged(piece)]
 
     def split(self, texts: pa.Array) -> Words:
         """The words of texts as written. Added tokens are words of their own."""
@@ -109,16 +115,16 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """Ids of each text; null counts as empty."""
         split = self.merges.split(texts.fill_null(""))
-        distinct, known = split.distinct.to_pylist(), self.known
-        new = [w for w in distinct if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = distinct
-        for word in new:
-            known[word] = np.array(self.merges.ids(word.decode()), "<u4").tobytes()
-        of_words = [known[w] for w in distinct]
-        offsets = np.cumsum([0, *(len(x) // 4 for x in of_words)])
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(of_words), "<u4")))
+        distinct = split.distinct.to_pylist()
+        of_words = [*map(self.known.get, distinct)]
+        new = [i for i, found in enumerate(of_words) if found is None]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+        ids = self.merges.ids
+        for i in new:
+            of_words[i] = self.known[distinct[i]] = array("I", ids(distinct[i].decode())).tobytes()
+        offsets = np.append(0, np.cumsum(np.fromiter(map(len, of_words), np.int64, len(of_words)))) // 4
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(of_words), "<u4")))
         return laid_out(split, lists, len(texts))
 
     def ids(self, texts: list[str]) -> list[bytes]:

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from quillgraph.llm import lexicon as L
 from quillgraph.llm.queries import QUERIES
-from quillgraph.llm.words import Merges
+from quillgraph.llm.words import Merges, token_names
 
 from . import brute
 
@@ -98,7 +98,7 @@ def test_documents_round_trip_with_nulls_repeated_rows_and_clashing_columns(spar
 
 def test_null_and_unknown_ids_decode_to_nothing(spark):
     rows = spark.createDataFrame([(1, None), (2, [320, -1, 99_999_999, 321]), (3, []), (4, [49407])], "k int, ids array<int>")
-    names = Merges(FILE).tokens()
+    names = token_names(FILE)
     assert {r.k: r.decoded for r in L.decode_words(rows, FILE).collect()} == {1: "", 2: f"{names[320]} {names[321]}", 3: "", 4: "<|endoftext|>"}
 
 
