@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spread import joined_in_blocks
 from .state import consolidated, context_difference, known_effect, known_values
 
 DIMENSIONS = ("species", "tissue", "stage")
@@ -26,7 +27,8 @@ def mechanism_paths(states: DataFrame) -> DataFrame:
     """(disease, mechanism, claim_ids, effect, states, assertions, species, tissue, stage) of all paths.
 
     A disease reaches a mechanism directly (INVOLVES) or over a variant (HAS_VARIANT, HAS_EFFECT); every assertion
-    counts, also those that are not supported. states are those of claim_states().
+    counts, also those that are not supported. states are those of claim_states(). The effect and the context are those of
+    the claim on the mechanism; a claim on a variant only links.
     """
     facts = F.struct("id", "state", "assertion_type", known_effect(F.col("effect")).alias("effect"), *DIMENSIONS).alias("fact")
     direct = states.where("predicate = 'INVOLVES'").select(F.col("subject").alias("disease"), F.col("object").alias("mechanism"), F.array(facts).alias("claims"), F.array(known_effect(F.col("effect"))).alias("effects"))
@@ -37,15 +39,18 @@ def mechanism_paths(states: DataFrame) -> DataFrame:
     pick = lambda field: F.transform("claims", lambda c: c[field])
     return every.select(
         "disease", "mechanism", pick("id").alias("claim_ids"), consolidated(F.col("effects")).alias("effect"),
-        pick("state").alias("states"), pick("assertion_type").alias("assertions"), *[known_values(pick(d)).alias(d) for d in DIMENSIONS],
+        pick("state").alias("states"), pick("assertion_type").alias("assertions"), *[known_values(F.array(F.element_at("claims", -1)[d])).alias(d) for d in DIMENSIONS],
     )
 
 
 def path_pairs(sources: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs of paths of two diseases over one mechanism, left from `sources`, right from `others`."""
+    """Pairs of paths of two diseases over one mechanism, left from `sources`, right from `others` (both written tables).
+
+    A mechanism that many paths reach is cut into blocks of paths.
+    """
     left = sources.select(*[F.col(c).alias(c if c == "mechanism" else f"left_{c}") for c in sources.columns])
     right = others.select(*[F.col(c).alias(c if c == "mechanism" else f"right_{c}") for c in others.columns])
-    return left.join(right, "mechanism").where("left_disease <> right_disease")
+    return joined_in_blocks(left, right, "mechanism", ("left_claim_ids", "right_claim_ids")).where("left_disease <> right_disease")
 
 
 def judge_pairs(pairs: DataFrame) -> DataFrame:

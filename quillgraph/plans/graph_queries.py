@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import explore as explore_operators
 from ..operators import export, paths, routes, search, state, validate
 from ..schema import REVIEW_STATUSES, STANCES
 from ..storage import written
 from .registry import query
-from .star_graph import ASKED_SQL, GRAPH_SQL, PATHS_SQL, asked, star_graph, view
+from .star_graph import ASKED_SQL, COVERAGE, GRAPH_SQL, PATHS_SQL, asked, star_coverage, star_graph, view
 
 
 def written_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +93,15 @@ pairs AS (
     a.effect = 'unknown' OR b.effect = 'unknown' AS unk, a.effect <> 'unknown' AND b.effect <> 'unknown' AND a.effect <> b.effect AS opp,
     (a.species IS NULL OR b.species IS NULL OR a.species <> b.species) OR (a.tissue IS NULL OR b.tissue IS NULL OR a.tissue <> b.tissue)
       OR (a.stage IS NULL OR b.stage IS NULL OR a.stage <> b.stage) AS diff,
+    [a.first_id, a.second_id, b.first_id, b.second_id] AS claim_ids,
+    list_filter([CASE WHEN a.species IS NULL OR b.species IS NULL THEN 'species:unknown' WHEN a.species <> b.species THEN 'species:mismatch' END,
+      CASE WHEN a.tissue IS NULL OR b.tissue IS NULL THEN 'tissue:unknown' WHEN a.tissue <> b.tissue THEN 'tissue:mismatch' END,
+      CASE WHEN a.stage IS NULL OR b.stage IS NULL THEN 'stage:unknown' WHEN a.stage <> b.stage THEN 'stage:mismatch' END], lambda x: x IS NOT NULL) AS differences,
     [a.s1, a.s2, b.s1, b.s2] AS st, a.assertion_type <> 'reported' OR b.assertion_type <> 'reported' AS inf
   FROM paths a JOIN paths b ON a.mechanism = b.mechanism AND a.disease <> b.disease WHERE a.disease IN {ASKED_SQL}
 ),
 judged AS (
-  SELECT disease, other, mechanism, CASE
+  SELECT disease, other, mechanism, claim_ids, differences, CASE
     WHEN opp OR list_contains(st, 'contradicted') OR list_contains(st, 'negated') OR inf OR list_contains(st, 'inferred_only') OR list_contains(st, 'unsupported') THEN 'rejected'
     WHEN unk OR diff OR list_contains(st, 'review_required') THEN 'needs_review' ELSE 'supported' END AS status,
     array_to_string(list_filter([
@@ -133,7 +138,7 @@ def judged_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     states = written_states(spark, sf_dir)
     every = paths.mechanism_paths(states)
     mine = written(every.join(asked(spark, sf_dir), "disease", "left_semi"), "mine")
-    reached = every.join(mine.select("mechanism").distinct(), "mechanism", "left_semi")
+    reached = written(every.join(mine.select("mechanism").distinct(), "mechanism", "left_semi"), "reached")
     return states, written(paths.judge_pairs(paths.path_pairs(mine, reached)), "judged")
 
 
@@ -197,6 +202,104 @@ def route_collaborators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.collaborators(states, open_routes, shared)
 
 
+EXPLORED_SQL = (
+    ROUTES_SQL
+    + f""",
+assessed AS (SELECT disease, other, mechanism, list_distinct(claim_ids) AS ids, claim_ids, differences, status, reasons FROM judged),
+shared AS (
+  SELECT a.subject AS disease, b.subject AS other, a.object AS phenotype, [a.id, b.id] AS claim_ids
+  FROM sup a JOIN sup b ON a.predicate = 'HAS_PHENOTYPE' AND b.predicate = 'HAS_PHENOTYPE' AND a.object = b.object AND a.subject <> b.subject
+  WHERE a.subject IN {ASKED_SQL}
+),
+by_path AS (
+  SELECT disease, other, count(*) AS n, bool_or(status = 'supported') AS lead, bool_or(status = 'needs_review') AS review,
+    list(DISTINCT mechanism) AS mechanisms, list_distinct(flatten(list(claim_ids))) AS claim_ids, list_distinct(flatten(list(differences))) AS differences,
+    coalesce(list_distinct(flatten(list(claim_ids) FILTER (status = 'supported'))), []) AS s_ids,
+    coalesce(list_distinct(flatten(list(claim_ids) FILTER (status = 'needs_review'))), []) AS r_ids,
+    coalesce(string_agg(reasons, '|') FILTER (status = 'rejected'), '') AS r_rejected, coalesce(string_agg(reasons, '|') FILTER (status = 'needs_review'), '') AS r_review,
+    string_agg(reasons, '|') AS r_all
+  FROM assessed GROUP BY ALL
+),
+by_shared AS (SELECT disease, other, list(phenotype) AS phenotypes, flatten(list(claim_ids)) AS claim_ids FROM shared GROUP BY ALL),
+explored AS (
+  SELECT coalesce(p.disease, s.disease) AS disease, coalesce(p.other, s.other) AS other,
+    CASE WHEN lead THEN 'supported_lead' WHEN review THEN 'needs_review' ELSE 'rejected' END AS status,
+    list_filter([
+      CASE WHEN lead THEN 'reported_mechanism_paths_have_supporting_evidence_and_matching_effect' WHEN p.n IS NULL THEN '{paths.PHENOTYPE_ONLY}' END,
+      {", ".join(f"CASE WHEN contains(CASE WHEN lead THEN r_rejected WHEN review THEN r_review ELSE r_all END, '{r}') THEN '{r}' END" for r in paths.REASONS.values())},
+      CASE WHEN s.disease IS NOT NULL THEN 'shared_phenotypes_are_context_only_and_do_not_establish_mechanism' END
+    ], lambda x: x IS NOT NULL) AS reasons,
+    coalesce(mechanisms, []) AS mechanisms, coalesce(phenotypes, []) AS phenotypes, coalesce(p.differences, []) AS differences, coalesce(n, 0) AS n_assessments,
+    list_distinct(list_concat(coalesce(p.claim_ids, []), coalesce(s.claim_ids, []))) AS claim_ids, coalesce(s_ids, []) AS s_ids, coalesce(r_ids, []) AS r_ids,
+    CAST(CASE WHEN lead THEN 100 WHEN review THEN 50 ELSE 0 END + least(20, 5 * len(coalesce(mechanisms, []))) + least(5, len(coalesce(phenotypes, []))) AS BIGINT) AS score
+  FROM by_path p FULL JOIN by_shared s ON p.disease = s.disease AND p.other = s.other
+)"""
+)
+#: Nested values as strings that Spark and DuckDB spell alike.
+LISTS = ("mechanisms", "phenotypes", "differences", "claim_ids", "supported_claim_ids", "review_claim_ids")
+
+
+def explored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """States, and the candidates of the asked diseases with all that they hold but the evidence."""
+    states, judged = judged_pairs(spark, sf_dir)
+    shared = explore_operators.shared_phenotype_claims(states, asked(spark, sf_dir))
+    return states, written(explore_operators.explored(judged, shared, star_graph(spark, sf_dir).nodes), "explored")
+
+
+@query("gr02_explore_range", f"""
+WITH {EXPLORED_SQL},
+ev AS (
+  SELECT disease, other, list_sort(list(DISTINCT concat_ws(' ', claim_id, source_id, stance, review_status))) AS evidence
+  FROM (SELECT disease, other, unnest(claim_ids) AS claim_id FROM explored) JOIN evidence USING (claim_id) GROUP BY ALL
+)
+SELECT e.disease, e.other, status, score, row_number() OVER (PARTITION BY e.disease ORDER BY CASE status WHEN 'supported_lead' THEN 0 WHEN 'needs_review' THEN 1 ELSE 2 END, score DESC, label, e.other) AS rank,
+  array_to_string(reasons, '|') AS reasons, n_assessments, array_to_string(list_sort(mechanisms), '|') AS mechanisms, array_to_string(list_sort(phenotypes), '|') AS phenotypes,
+  array_to_string(list_sort(differences), '|') AS differences, array_to_string(list_sort(claim_ids), '|') AS claim_ids,
+  array_to_string(list_sort(s_ids), '|') AS supported_claim_ids, array_to_string(list_sort(r_ids), '|') AS review_claim_ids,
+  coalesce(array_to_string(evidence, '|'), '') AS evidence
+FROM explored e JOIN nodes ON id = e.other LEFT JOIN ev ON ev.disease = e.disease AND ev.other = e.other""")
+def explore_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole results of all asked diseases: every candidate with reasons, claims, differences and evidence."""
+    _, found = explored(spark, sf_dir)
+    rows = explore_operators.with_evidence(found, star_graph(spark, sf_dir).evidence)
+    spelled = F.array_sort(F.transform("evidence", lambda e: F.concat_ws(" ", e.claim_id, e.source_id, e.stance, e.review_status)))
+    lists = [F.array_join(F.array_sort(c), "|").alias(c) for c in LISTS]
+    return rows.select("disease", "other", "status", "score", "rank", F.array_join("reasons", "|").alias("reasons"), F.size("assessments").alias("n_assessments"), *lists, F.array_join(spelled, "|").alias("evidence"))
+
+
+@query("gr02_assessments", f"""
+WITH {JUDGED_SQL}
+SELECT disease, other, mechanism, status, reasons, array_to_string(list_sort(list_distinct(claim_ids)), '|') AS claim_ids, array_to_string(differences, '|') AS differences FROM judged""")
+def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assessments of every path between asked diseases and their candidates, taken out of the nested results."""
+    _, found = explored(spark, sf_dir)
+    rows = found.select("disease", "other", F.explode("assessments").alias("a"))
+    return rows.select("disease", "other", "a.mechanism", "a.status", F.array_join("a.reasons", "|").alias("reasons"), F.array_join(F.array_sort("a.claim_ids"), "|").alias("claim_ids"), F.array_join("a.differences", "|").alias("differences"))
+
+
+@query("gr02_gaps", f"""
+WITH {EXPLORED_SQL}, coverage AS ({COVERAGE}),
+opp AS (
+  SELECT e.disease, CASE WHEN bad THEN 'rejected' WHEN e.status = 'supported_lead' THEN 'supported_route' ELSE 'needs_review' END AS status
+  FROM (SELECT explored.*, rel.asset, n_owners, EXISTS (FROM ci WHERE ci.asset = rel.asset AND ci.d IN (disease, explored.other)) AS bad
+        FROM explored JOIN rel ON rel.other = explored.other LEFT JOIN own ON own.asset = rel.asset WHERE explored.status <> 'rejected') e
+  WHERE bad OR n_owners IS NOT NULL
+),
+c AS (SELECT disease, count(*) AS n_candidates, bool_or(status = 'rejected') AS excluded FROM explored GROUP BY ALL),
+o AS (SELECT disease, count(*) AS n_opportunities, bool_or(status = 'supported_route') AS supported, bool_or(status = 'rejected') AS bad FROM opp GROUP BY ALL),
+v AS (SELECT entity_id AS disease, list_sort(list(DISTINCT concat('Source ', source_id, ' coverage is ', status, ' for ', scope, '.')) FILTER (status <> 'searched')) AS open FROM coverage GROUP BY ALL)
+SELECT d.disease, CASE WHEN supported THEN 'leads_found' ELSE 'no_supported_route' END AS status, coalesce(n_candidates, 0) AS n_candidates, coalesce(n_opportunities, 0) AS n_opportunities,
+  array_to_string(list_concat(coalesce(v.open, []), list_filter([CASE WHEN v.disease IS NULL THEN '{explore_operators.NO_COVERAGE}' END, CASE WHEN excluded THEN '{explore_operators.EXCLUDED}' END,
+    CASE WHEN n_opportunities IS NULL THEN '{explore_operators.NO_ROUTE}' END, CASE WHEN bad THEN '{explore_operators.REJECTED_ASSET}' END], lambda x: x IS NOT NULL)), '|') AS gaps
+FROM (SELECT concat('D:', c_custkey) AS disease FROM customer WHERE c_custkey % 100 = 0) d
+LEFT JOIN c ON c.disease = d.disease LEFT JOIN o ON o.disease = d.disease LEFT JOIN v ON v.disease = d.disease""")
+def explore_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states, found = explored(spark, sf_dir)
+    opportunities = routes.asset_routes(states, found.where("status <> 'rejected'").select("disease", "other", "status"))
+    rows = explore_operators.gaps(asked(spark, sf_dir), found, opportunities, star_coverage(spark, sf_dir))
+    return rows.withColumn("gaps", F.array_join("gaps", "|"))
+
+
 @query("jn09_contraindications", f"""
 WITH {GRAPH_SQL} SELECT r.subject AS asset, r.object AS disease,
   EXISTS (FROM states c WHERE c.predicate = 'CONTRAINDICATED_FOR' AND c.state = 'supported' AND c.subject = r.subject AND c.object = r.object) AS contraindicated

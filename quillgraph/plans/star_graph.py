@@ -65,6 +65,14 @@ UNION ALL SELECT concat('O:', n_nationkey), 'Organization', n_name FROM nation
 UNION ALL SELECT DISTINCT concat('A:', p_brand), 'Asset', p_brand FROM part
 UNION ALL SELECT concat('R:', s_suppkey), 'Person', s_name FROM supplier
 """
+#: What was searched for each customer; those divisible by 500 but not by 3 have no record.
+COVERAGE = """
+SELECT concat('D:', c_custkey) AS entity_id, concat('S:', 1 + c_custkey % 100) AS source_id, c_mktsegment AS scope,
+       CASE c_custkey % 4 WHEN 0 THEN 'searched' WHEN 1 THEN 'not_searched' WHEN 2 THEN 'failed' ELSE 'searched' END AS status
+FROM customer WHERE c_custkey % 500 <> 0
+UNION ALL
+SELECT concat('D:', c_custkey), concat('S:', 1 + c_custkey % 97), 'variants', 'not_searched' FROM customer WHERE c_custkey % 3 = 0
+"""
 TABLES = ("customer", "lineitem", "nation", "orders", "part", "supplier")
 
 #: The graph as common table expressions, for DuckDB; state follows the order of the claim states.
@@ -116,6 +124,10 @@ def star_graph(spark: SparkSession, sf_dir: str) -> EvidenceGraph:
     return EvidenceGraph(spark.sql(_named(NODES, tables), **tables), spark.sql(_named(SOURCES, tables), **tables), claims, spark.sql(_named(EVIDENCE, tables), **tables))
 
 
+def star_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_named(COVERAGE, t := {"customer": view(spark, sf_dir, "customer")}), **t)
+
+
 def _named(sql: str, tables: dict[str, DataFrame]) -> str:
     """SQL whose table names are replaced by references to DataFrames, which need no temporary views."""
     return re.sub(rf"\b(FROM|JOIN) ({'|'.join(tables)})\b", r"\1 {\2}", sql)
