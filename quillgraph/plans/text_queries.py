@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import ask, passages, scoring, search
-from ..sources import markup
+from ..sources import article, markup
 from .registry import query
 from .star_graph import view
 
@@ -301,9 +301,34 @@ def page_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.html_units(view(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query("sc18_page_links")
+@query("sf48_elements", r"""
+WITH t AS (
+  SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)([^>]*)>.*?</(script|style)>', '<\1\2></\1>', 'g') AS html FROM pages
+)
+SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM t) GROUP BY ALL""")
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return article.elements(view(spark, sf_dir, "pages"), "page_id", "html").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query("sf49_articles")
+def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each kind every page's article holds, and a digest of all that was found."""
+    found = article.articles(view(spark, sf_dir, "pages"), "page_id", "html", "url")
+    words = F.aggregate("units", F.lit(0), lambda n, u: n + F.size(F.split(u.text, " ")))
+    digest = F.sha2(F.to_json(F.struct("units", "tables", "images", "supplement_links", "repairs")), 256)
+    return article.counts(found, "page_id", words.alias("n_words"), digest.alias("digest"))
+
+
+@query("sc18_page_links", r"""
+WITH t AS (SELECT page_id, url, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM pages),
+n AS (SELECT page_id, url, 'nav' AS place, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>.*?</nav>'), '<a href="[^"]*">[^<]*</a>')) AS a FROM t),
+f AS (SELECT page_id, url, 'footer', unnest(regexp_extract_all(regexp_extract(html, '(?s)<footer>.*?</footer>'), '<a href="[^"]*">[^<]*</a>')) FROM t)
+SELECT page_id, place, concat(regexp_extract(url, '^https?://[^/?#]*'), regexp_extract(a, 'href="([^"]*)"', 1)) AS url, regexp_extract(a, '>([^<]*)<', 1) AS text, count(*) AS n
+FROM (SELECT * FROM n UNION ALL SELECT * FROM f) GROUP BY ALL""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.html_links(view(spark, sf_dir, "pages"), "page_id", "html", "url")
+    """The links of every page with where they stand: in its navigation, its footer or its text."""
+    links = markup.html_links(view(spark, sf_dir, "pages"), "page_id", "html", "url", everywhere=True)
+    return links.groupBy("page_id", F.coalesce("place", F.lit("text")).alias("place"), "url", "text").agg(F.count("*").alias("n"))
 
 
 @query("gr10_intents", r"""

@@ -77,22 +77,24 @@ def article_units(html: str) -> list[tuple[str, str, str]]:
 
 
 class _Links(HTMLParser):
+    """Links as [address, text, place], the place being the navigation or footer that they stand in, else None."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[list[str]] = []
+        self.found: list[list] = []
         self.open = False
-        self.skip = 0
+        self.places: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("nav", "footer"):
-            self.skip += 1
-        elif tag == "a" and not self.skip and (href := dict(attrs).get("href")):
-            self.found.append([href, ""])
+            self.places.append(tag)
+        elif tag == "a" and (href := dict(attrs).get("href")):
+            self.found.append([href, "", self.places[-1] if self.places else None])
             self.open = True
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("nav", "footer"):
-            self.skip = max(0, self.skip - 1)
+        if tag in ("nav", "footer") and self.places:
+            self.places.pop()
         elif tag == "a":
             self.open = False
 
@@ -175,16 +177,17 @@ def html_units(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return _flat(pages, id_col, [html_col], article_units, "kind string, section string, text string")
 
 
-def html_links(pages: DataFrame, id_col: str, html_col: str, url_col: str) -> DataFrame:
-    """(id, position, url, text): links outside navigation and footer, resolved against the page, http(s) only."""
+def html_links(pages: DataFrame, id_col: str, html_col: str, url_col: str, everywhere: bool = False) -> DataFrame:
+    """(id, position, url, text, place): links resolved against the page, http(s) only. place is the `nav` or `footer` that
+    a link stands in, else null; links of these two are left out unless asked for `everywhere`."""
 
-    def expand(html: str, base: str | None) -> list[tuple[str, str]]:
+    def expand(html: str, base: str | None) -> list[tuple[str, str, str | None]]:
         reader = _Links()
         reader.feed(html)
-        found = [(urljoin(base or "", href), " ".join(text.split())) for href, text in reader.found]
+        found = [(urljoin(base or "", href), " ".join(text.split()), place) for href, text, place in reader.found if everywhere or not place]
         return [x for x in found if urlsplit(x[0]).scheme in ("http", "https")]
 
-    return _flat(pages, id_col, [html_col, url_col], expand, "url string, text string")
+    return _flat(pages, id_col, [html_col, url_col], expand, "url string, text string, place string")
 
 
 def html_cells(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
