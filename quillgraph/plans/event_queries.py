@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import audit
+from ..operators import audit, passages
+from ..streaming import ingest
 from .registry import query
 from .star_graph import view
 
@@ -188,3 +189,32 @@ def median(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = rows.select("event_type", "value", F.row_number().over(order).alias("rn"), F.count("*").over(Window.partitionBy("event_type")).alias("n"))
     at = ranked.where(F.col("rn") == 1 + F.floor(0.9 * (F.col("n") - 1))).select("event_type", F.round("value", 6).alias("p90"))
     return rows.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median")).join(at, "event_type")
+
+
+@query("ss03_acknowledged", """
+WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber - 1 AS b FROM lineitem),
+n AS (SELECT l_orderkey, b + 1 AS b FROM a UNION SELECT DISTINCT l_orderkey, 0 FROM lineitem)
+SELECT l_orderkey, CAST(min(b) AS BIGINT) AS acknowledged FROM n WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.l_orderkey = n.l_orderkey AND a.b = n.b) GROUP BY l_orderkey""")
+def acknowledged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unbroken run of lines that each order begins with."""
+    acks = view(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("batch"))
+    return ingest.contiguous(acks, ["l_orderkey"], "batch")
+
+
+@query("sk10_export_batches", """
+WITH RECURSIVE s AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, strlen(coalesce(text, '')) AS size FROM documents
+),
+r AS (
+  SELECT i, doc_id, size AS held, 1 AS n, CAST(0 AS BIGINT) AS batch FROM s WHERE i = 1
+  UNION ALL
+  SELECT s.i, s.doc_id, CASE WHEN r.held + s.size > 200000 OR r.n = 100 THEN s.size ELSE r.held + s.size END,
+    CASE WHEN r.held + s.size > 200000 OR r.n = 100 THEN 1 ELSE r.n + 1 END, CASE WHEN r.held + s.size > 200000 OR r.n = 100 THEN r.batch + 1 ELSE r.batch END
+  FROM r JOIN s ON s.i = r.i + 1
+)
+SELECT batch, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM r GROUP BY batch""")
+def export_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in batches of at most 100 rows and 200,000 bytes of text, in order of their ids."""
+    rows = view(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"), F.lit(1).alias("all"))
+    found = passages.greedy_batches(rows, "all", "doc_id", "size", 200_000, 100)
+    return found.groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
