@@ -145,7 +145,7 @@ class Encoder:
         places = self.lexicon.places(distinct)
         have, lack = np.flatnonzero(places >= 0), np.flatnonzero(places < 0)
         ids, lengths = self.lexicon.lists(places[have])
-        merged = [array("i", self.merges.ids(w.decode())).tobytes() for w in distinct.take(pa.array(lack)).to_pylist()]
+        merged = [array("i", self.merges.ids(w)).tobytes() for w in distinct.take(pa.array(lack)).to_pylist()]
         lengths = np.concatenate([lengths, np.fromiter(map(len, merged), np.int64, len(merged)) // 4])
         flat = np.concatenate([ids, np.frombuffer(b"".join(merged), np.int32)])
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(flat))
@@ -220,7 +220,7 @@ def build_lexicon(docs: DataFrame, tokenizer_file: str, text_col: str = "text",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _merges(tokenizer_file)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([merges.ids(w.decode()) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([merges.ids(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
 
     frequent = counts.where(level >= F.lit(least)).select("word").mapInArrow(tidy(encode), "word binary, ids array<int>").toArrow() if least < math.inf else pa.table({"word": pa.array([], pa.binary()), "ids": pa.array([], pa.list_(pa.int32()))})
     return _handed_out(spark, compiled(list(zip(frequent["word"].to_pylist(), frequent["ids"].to_pylist(), strict=True))))

@@ -79,7 +79,7 @@ def tokenise_and_cut(docs: DataFrame, tokenizer_file: str, end_id: int, capacity
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = word_encoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for batch in rebatch([whole], text_col, 4_000_000):
+            for batch in rebatch([whole], text_col, 8_000_000):
                 found = coder.encode(batch.column(1))
                 ends, flat = found.offsets.to_numpy().tolist(), found.values.to_numpy()
                 rows, start, length, crc, total = [], [], [], [], []

@@ -37,7 +37,7 @@ def words(texts: pa.Array, classes: np.ndarray, written: np.ndarray = LOWER) ->
     """The words of texts in order, A-Z lower-cased or as `written` says. Null texts have none.
 
     Memory is some twenty times the texts'."""
-    texts = texts.fill_null("").cast(pa.large_binary())
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     empty = Words(np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if not len(texts) or ends[-1] == ends[0]:

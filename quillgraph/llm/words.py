@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .tokens import Words, byte_classes, words
+from .tokens import LOWER, Words, byte_classes, words
 
 #: Distinct words whose ids a worker remembers.
 REMEMBERED = 200_000
@@ -19,6 +19,8 @@ REMEMBERED = 200_000
 WHITE = byte_classes(b" \t\n\v\f\r")
 FURTHER = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 AS_WRITTEN = np.arange(256, dtype=np.uint8)
+#: A byte that no UTF-8 text has marks added tokens.
+ADDED = b"\xff"
 #: Words that every Unicode version lower-cases and classes alike: ASCII and Latin letters up to U+024F.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Pre-tokens whose ids are remembered.
@@ -79,20 +81,24 @@ class Merges:
         found = [low] if low.isalpha() else self.pattern.findall(low)
         return found if low.isascii() else [p.encode().decode("latin-1").translate(self.characters) for p in found]
 
-    def ids(self, word: str) -> list[int]:
-        """Ids of what stands between two white spaces, which may be an added token."""
-        if word.isalpha() and word.isascii():
-            return [t.id for t in self.model.tokenize(word.lower())]
-        if word in self.added:
-            return [self.added[word]]
+    def ids(self, raw: bytes) -> list[int]:
+        """Ids of a word of split()."""
+        if raw.isalpha():  # of ASCII letters alone
+            return [t.id for t in self.model.tokenize(raw.decode().lower())]
+        if raw.startswith(ADDED):
+            return [self.added[raw[len(ADDED) :].decode()]]
+        word = raw.decode()
         pieces = self.pieces(word)
         return [t.id for t in self.model.tokenize(pieces[0])] if len(pieces) == 1 else [i for piece in pieces for i in self.merged(piece)]
 
     def split(self, texts: pa.Array) -> Words:
-        """The words of texts as written. Added tokens are words of their own."""
+        """The words of texts; added tokens are words of their own, behind a byte that no text has. A-Z are lower-cased here
+        unless some text has combining marks, with which lower-casing and composing do not commute."""
+        texts = pc.replace_substring_regex(texts, FURTHER, " ").cast(pa.binary())
         for token in sorted(self.added, key=len, reverse=True):
-            texts = pc.replace_substring(texts, token, f" {token} ")
-        return words(pc.replace_substring_regex(texts, FURTHER, " "), WHITE, AS_WRITTEN)
+            texts = pc.replace_substring(texts, token, b" " + ADDED + token.encode() + b" ")
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        return words(texts, WHITE, AS_WRITTEN if ((data == 0xCC) | (data == 0xCD)).any() else LOWER)
 
 
 def laid_out(split: Words, lists: pa.ListArray, rows: int) -> pa.ListArray:
@@ -122,7 +128,7 @@ class WordEncoder:
             self.known.clear()
         ids = self.merges.ids
         for i in new:
-            of_words[i] = self.known[distinct[i]] = array("I", ids(distinct[i].decode())).tobytes()
+            of_words[i] = self.known[distinct[i]] = array("I", ids(distinct[i])).tobytes()
         offsets = np.append(0, np.cumsum(np.fromiter(map(len, of_words), np.int64, len(of_words)))) // 4
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(of_words), "<u4")))
         return laid_out(split, lists, len(texts))

@@ -72,10 +72,20 @@ def test_ids_are_the_librarys_on_random_texts_with_any_lexicon(theirs, tmp_path)
     want = [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
     merges = Merges(FILE)
     some = {w.encode() for t in texts[::7] for w in t.split()}
-    for entries in ([], [(w, merges.ids(w.decode())) for w in some]):
+    for entries in ([], [(w, merges.ids(w)) for w in some]):
         assert L.Encoder(FILE, in_file(tmp_path, entries)).encode(pa.array(texts)).to_pylist() == want
 
 
+@pytest.mark.parametrize("mark", ["", "x\u0331"])
+def test_case_and_combining_marks(theirs, tmp_path, mark):
+    """With marks in a batch nothing is lower-cased before it is composed."""
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choice("ABCHabch<|ENDOFTXendoftx>ÉİΣK" + mark) for _ in range(r.randrange(1, 9))) for _ in range(30)) for _ in range(300)]
+    texts += ["<|ENDOFTEXT|> <|EndOfText|><|endoftext|>\xff<|STARTOFTEXT|>", "H\u0331 h\u0331 ẖ" if mark else "H h"]
+    coder = L.Encoder(FILE, in_file(tmp_path, [(b"a", Merges(FILE).ids(b"a"))]))
+    assert coder.encode(pa.array(texts)).to_pylist() == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_words_are_split_as_the_library_splits_them(theirs):
     """Plain Latin words take a path of their own."""
     merges, r = Merges(FILE), random.Random(6)
