@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import audit, passages
+from ..sources import traverse
+from ..storage import written
 from ..streaming import ingest
 from .registry import query
 from .star_graph import view
@@ -218,3 +220,24 @@ def export_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"), F.lit(1).alias("all"))
     found = passages.greedy_batches(rows, "all", "doc_id", "size", 200_000, 100)
     return found.groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
+@query("sc24_date_partitions", """
+WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d FROM orders),
+y AS (SELECT date_trunc('year', d) AS y, count(*) AS n FROM o GROUP BY ALL),
+m AS (SELECT date_trunc('month', d) AS m, count(*) AS n FROM o WHERE date_trunc('year', d) IN (SELECT y FROM y WHERE n > 1000) GROUP BY ALL),
+s AS (SELECT d, count(*) AS n FROM o WHERE date_trunc('month', d) IN (SELECT m FROM m WHERE n > 1000) GROUP BY ALL)
+SELECT CAST(y AS DATE) AS first, CAST(y + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE) AS last, n, true AS complete FROM y WHERE n <= 1000
+UNION ALL SELECT CAST(m AS DATE), last_day(CAST(m AS DATE)), n, true FROM m WHERE n <= 1000 UNION ALL SELECT d, d, n, n <= 1000 FROM s""")
+def date_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The years of orders split into months and days until no part has over 1,000; days that still have are not complete."""
+    dates = view(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).groupBy("d").agg(F.count("*").alias("k"))
+    dates = written(dates, "days")  # a row for each day of the calendar
+    years = dates.select(F.year("d").alias("y")).distinct().select(F.make_date("y", F.lit(1), F.lit(1)).alias("first"), F.make_date("y", F.lit(12), F.lit(31)).alias("last"))
+
+    def counted(parts: DataFrame) -> DataFrame:
+        in_part = (F.col("d") >= F.col("first")) & (F.col("d") <= F.col("last"))
+        return parts.join(dates, in_part, "left").groupBy(*parts.columns).agg(F.coalesce(F.sum("k"), F.lit(0).cast("long")).alias("n"))
+
+    found = traverse.partitioned(years, counted, traverse.days, most=1000)
+    return found.leaves.withColumn("complete", F.lit(True)).unionByName(found.too_large.withColumn("complete", F.lit(False)))
