@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import annotations, ask, cluster, passages, scoring, validate
+from ..operators import annotations, ask, cluster, curated, passages, scoring, validate
 from ..schema import CLAIMS, COVERAGE, EVIDENCE, NODES, SOURCES, EvidenceGraph
-from ..storage import shared_folder
+from ..storage import shared_folder, written
 from .registry import query
 from .star_graph import GRAPH_SQL, star_graph, view
 
@@ -309,3 +309,40 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = ask.routed(questions, g.nodes, "c_custkey", "text")
     counts = ask.answer_claims(routes, g.claims, g.evidence).groupBy("id").agg(F.count("*").alias("n_claims"), F.min("claim_id").alias("first"))
     return routes.join(counts, "id", "left").select("id", "intent", "about", F.coalesce("n_claims", F.lit(0).cast("long")).alias("n_claims"), "first")
+
+
+@query("gr13_curated_evidence", """
+WITH f AS (
+  SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS k FROM lineitem
+),
+v AS (SELECT p_partkey AS p, p_size % 4 AS t FROM part WHERE p_partkey IN (SELECT l_partkey FROM f)),
+e AS (
+  SELECT 0 AS stream, p AS ord, s AS step, 1 AS claim, CASE s WHEN 1 THEN l_suppkey ELSE 1 END AS source, CASE WHEN s = 2 AND t IN (1, 3) THEN 'unreviewed' ELSE 'machine_checked' END AS review
+  FROM v JOIN f ON l_partkey = p AND k = 1, (VALUES (0), (1), (2)) x(s)
+  UNION ALL SELECT 0, p, 2 + k, 0, l_suppkey, CASE WHEN t = 1 THEN 'unreviewed' ELSE 'machine_checked' END FROM v JOIN f ON l_partkey = p
+  UNION ALL SELECT 1, n_nationkey, s, 1, NULL, 'machine_checked' FROM nation, (VALUES (0), (1), (2)) x(s) WHERE s < 2 OR n_nationkey % 3 > 0
+),
+n AS (SELECT *, row_number() OVER w AS no, sum(claim) OVER w AS c FROM e WINDOW w AS (ORDER BY stream, ord, step))
+SELECT format('evidence:{:03d}', no) AS id, format('claim:{:03d}', CAST(c AS BIGINT)) AS claim_id,
+  CASE WHEN stream = 0 THEN concat('paper:', source) ELSE concat('resource-source:', ord) END AS source_id, review AS review_status FROM n""")
+def curated_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as variants with a functional record for each of their lines, nations as resources: all evidence, numbered."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    key = F.col("p_partkey").cast("string")
+    papers = view(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_suppkey").cast("string").alias("source_id"), F.col("s_name").alias("title"), F.lit("https://example.org/").alias("url"))
+    measured = F.array(F.struct(F.lit("quantity").alias("name"), F.col("l_quantity").cast("string").alias("variant"), F.lit("pieces").alias("unit"), F.lit("1").alias("n"), F.lit("WT 1").alias("wt_control")))
+    one = F.struct("l_orderkey", "l_linenumber", "l_suppkey", measured.alias("m"))
+    lines = view(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.array_sort(F.collect_list(one)).alias("lines"))
+    functional = F.transform("lines", lambda x: F.struct(x.l_suppkey.cast("string").alias("source_id"), F.lit("line").alias("evidence_location"), F.lit("count").alias("assay"), F.lit("stock").alias("model"), x.m.alias("measured_parameters")))
+    tier = F.element_at(F.array(*[F.lit(t) for t in (curated.CORE, curated.PROVISIONAL, curated.OPPOSING, curated.UNRESOLVED)]), (F.col("p_size") % 4 + 1).cast("int"))
+    strong = F.col("p_size") % 4 == 0
+    variants = view(spark, sf_dir, "part").join(lines, "p_partkey").select(
+        F.col("p_partkey").alias("ord"), text("P", key).alias("variant_id"), text("G", (F.col("p_partkey") % 2 + 1).cast("string")).alias("gene"), text("p.Arg", key, "Lys").alias("reported_protein"), tier.alias("cohort_tier"), strong.alias("strict_inclusion"), F.lit("fine").alias("identity_status"),
+        F.struct(F.array(F.lit("1")).alias("source_ids"), F.lit("page 1").alias("evidence_location"), F.array("p_type").alias("reported_features")).alias("clinical"), functional.alias("functional"),
+        F.struct(F.when(strong, curated.STRONG).otherwise("other").alias("source_classification"), F.lit("1").alias("source_id"), F.lit("page 2").alias("evidence_location"), F.col("p_name").alias("why")).alias("integrated"),
+    )
+    n = F.col("n_nationkey")
+    genes = F.when(n % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(n % 2 == 0, "G1").otherwise("G2")))
+    resources = view(spark, sf_dir, "nation").select(n.alias("ord"), n.cast("string").alias("id"), F.col("n_name").alias("name"), F.lit("registry").alias("type"), *[F.lit("x").alias(c) for c in ("source_url", "contact_url", "published_at", "access", "summary", "reuse_question")], F.array(F.lit("few")).alias("limitations"), F.array("n_name", F.concat(F.lit("region "), F.col("n_regionkey").cast("string"))).alias("maintainers"), genes.alias("genes"), F.lit("page 3").alias("locator"))
+    graph = curated.from_curated(papers, written(variants, "variants"), resources, curated.Scope("mechanism:x", "x", ("G1", "G2"), "2024-01-01"))
+    return graph.evidence.select("id", "claim_id", "source_id", "review_status")
