@@ -86,7 +86,10 @@ class GraphApi:
         else:
             routes_ = self.spark.createDataFrame([(0, found["intent"], found["about"])], "id int, intent string, about string")
             answer = ask.answer_claims(routes_, self.graph.claims, self.graph.evidence).select("claim_id")
+            if found["intent"] == "conflict" and found["about"] is None:
+                answer = self.graph.evidence.where("stance = 'contradicts'").select("claim_id").distinct()
             rows = self.graph.evidence.join(answer, "claim_id", "left_semi")
             claims = [r.claim_id for r in answer.orderBy("claim_id").limit(MOST_ANSWERS).collect()]
         count = rows.agg(F.count_if(F.col("stance") == "supports").alias("supporting"), F.count_if(F.col("stance") == "contradicts").alias("conflicting"), F.count_distinct("source_id").alias("sources")).first()
-        return 200, found | {"claim_ids": list(claims), "evidence": count.asDict()}
+        total = len(claims) if found["intent"] == "claim_evidence" else answer.count()
+        return 200, found | {"claim_ids": list(claims), "n_claims": total, "evidence": count.asDict()}

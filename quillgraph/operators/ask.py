@@ -87,8 +87,8 @@ def answer_claims(routes: DataFrame, claims: DataFrame, evidence: DataFrame) ->
     """(id, claim_id): the claims that answer routed questions about a node.
 
     connections and describe: claims of the node; evidence: these and the effects of its variants; conflict: claims of the
-    node or its variants that some evidence contradicts, of all nodes if none is named. Comparisons and assets are answered
-    by paths.candidates and routes.asset_routes.
+    node or its variants that some evidence contradicts. Questions that name no node have no rows: what they all share,
+    and comparisons and assets, are in answers.scope_claims.
     """
     ends = claims.select(F.col("id").alias("claim_id"), "predicate", "subject", F.explode(F.array_distinct(F.array("subject", "object"))).alias("node"))
     variants = claims.where("predicate = 'HAS_VARIANT'").select(F.col("subject").alias("about"), F.col("object").alias("node")).distinct()
@@ -99,9 +99,7 @@ def answer_claims(routes: DataFrame, claims: DataFrame, evidence: DataFrame) ->
     near = named.where(F.col("intent").isin("evidence", "conflict")).join(variants, "about").join(ends, "node").where((F.col("intent") == "conflict") | ((F.col("predicate") == "HAS_EFFECT") & (F.col("subject") == F.col("node")))).select("id", "intent", "claim_id")
     both = own.union(near).distinct()
     plain, disputed = both.where("intent <> 'conflict'"), both.where("intent = 'conflict'").join(against, "claim_id", "left_semi")
-    # a question about no node gets all contradicted claims
-    every = asked.where("intent = 'conflict' AND about IS NULL").select("id").join(against)
-    return plain.select("id", "claim_id").union(disputed.select("id", "claim_id")).union(every.select("id", "claim_id"))
+    return plain.select("id", "claim_id").union(disputed.select("id", "claim_id"))
 
 
 def route(question: str, nodes: DataFrame, selected: str | None = None, claim_context: tuple[str, ...] = ()) -> dict[str, object]:

@@ -7,17 +7,17 @@ give without passing the rows through one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
 from ..schema import CLAIMS, COVERAGE, EVIDENCE, NODES, SOURCES, EvidenceGraph
 from ..storage import written
 from .bundle import _shaped
+from .ranks import numbered
 
 # Tiers of cohorts, effects that they stand for, and what is reviewed by hand only.
 CORE, PROVISIONAL, OPPOSING, UNRESOLVED = "core_likely_reduced", "provisional_possible_reduced", "opposing_control", "unresolved_control"
@@ -40,22 +40,6 @@ class Scope:
     date: str
 
 
-def numbered(rows: DataFrame, order: Sequence[str], **flags: Column) -> DataFrame:
-    """rows with a column for each flag: how many rows up to this one, in order, have it. `order` should be unique."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marked = rows.withColumns({f"__{n}": F.coalesce(c, F.lit(False)).cast("long") for n, c in flags.items()})
-    placed = written(marked.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "emitted")
-    sums, before = [], dict.fromkeys(flags, 0)
-    for r in placed.groupBy("__part").agg(*[F.sum(f"__{n}").alias(n) for n in flags]).orderBy("__part").collect():  # a row for each part
-        sums.append((r["__part"], *before.values()))
-        before = {n: before[n] + r[n] for n in flags}
-    offsets = spark.createDataFrame(sums, "__part int, " + ", ".join(f"__before_{n} long" for n in flags))
-    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = placed.join(F.broadcast(offsets), "__part")
-    return counted.select(*rows.columns, *[(F.col(f"__before_{n}") + F.sum(f"__{n}").over(own)).alias(n) for n in flags])
-
-
 def slug(text: Column) -> Column:
     """Lower-case letters and digits with single dashes between."""
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterable
 
 import pandas as pd
@@ -10,9 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
-
-#: At most so many clusters are resampled by one generator.
-MOST_CLUSTERS = 100_000
+from ..storage import written
+from .ranks import elements, index_rank, numbered
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -128,25 +126,25 @@ def match_documents(edges: DataFrame, document: str, prediction: str, reference:
 def bootstrap(clusters: DataFrame, draws: int = 2000, seed: int = 20261004) -> DataFrame:
     """(metric, low, high, n_undefined): 95 % intervals of precision, recall and F1 by resampling clusters.
 
-    clusters: (cluster, tp, fp, fn), at most MOST_CLUSTERS rows: sums for each cluster, not single observations. The
-    draws are those of one Mersenne Twister over the clusters in order, one stream that no two tasks can share. Percentiles are elements, not interpolated.
-    Fewer than two clusters give nulls.
+    clusters: (cluster, tp, fp, fn). Of k clusters in order of their names, draw d takes as its i-th the one at the first 15
+    hexadecimal digits of md5(seed:d:i) modulo k, so any task can tell any draw's clusters; draws are summed where they are
+    made, and only their three sums are gathered. Percentiles are elements, not interpolated. Draws for which a metric is
+    undefined are counted. Fewer than two clusters give nulls and no undefined draws.
     """
-    n = clusters.count()
-    if n > MOST_CLUSTERS:
-        raise ValueError(f"{n} clusters; at most {MOST_CLUSTERS} are resampled")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("cluster")[["tp", "fp", "fn"]].to_numpy().tolist()
-        rng, found, undefined = random.Random(seed), ([], [], []), [0, 0, 0]
-        for _ in range(draws if len(rows) > 1 else 0):
-            tp, fp, fn = (sum(x) for x in zip(*(rng.choice(rows) for _ in rows), strict=True))
-            for i, (a, b) in enumerate(((tp, tp + fp), (tp, tp + fn), (2 * tp, 2 * tp + fp + fn))):
-                if b:
-                    found[i].append(a / b)
-                else:
-                    undefined[i] += 1
-        at = lambda v, p: sorted(v)[int(p * (len(v) - 1))] if v else None
-        return pd.DataFrame({"metric": ["precision", "recall", "f1"], "low": [at(v, 0.025) for v in found], "high": [at(v, 0.975) for v in found], "n_undefined": undefined})
-
-    return clusters.select(F.col("cluster").cast("string"), "tp", "fp", "fn").withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, "metric string, low double, high double, n_undefined long")
+    spark = clusters.sparkSession
+    rows = written(numbered(clusters.select(F.col("cluster").cast("string"), "tp", "fp", "fn"), ["cluster", "tp", "fp", "fn"], no=F.lit(True)).withColumn("at", F.col("no") - 1), "clusters")
+    k = rows.count()
+    if k < 2:
+        none = F.lit(None).cast("double")
+        return spark.createDataFrame([("precision",), ("recall",), ("f1",)], "metric string").select("metric", none.alias("low"), none.alias("high"), F.lit(0).cast("long").alias("n_undefined"))
+    taken = spark.range(draws * k).select(F.floor(F.col("id") / k).alias("draw"), F.pmod("id", F.lit(k)).alias("i"))
+    digits = F.left(F.md5(F.concat_ws(":", F.lit(seed), "draw", "i").cast("binary")), F.lit(15))
+    taken = taken.select("draw", F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(k)).alias("at"))
+    times = taken.groupBy("draw", "at").agg(F.count("*").alias("times"))
+    total = lambda c: F.sum(F.col(c) * F.col("times")).alias(c)
+    sums = times.join(rows.select("at", "tp", "fp", "fn"), "at").groupBy("draw").agg(*map(total, ("tp", "fp", "fn")))
+    each = F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in zip(("precision", "recall", "f1"), prf(F.col("tp"), F.col("fp"), F.col("fn")), strict=True)])
+    values = written(sums.select(F.explode(each).alias("x")).select("x.*"), "draws")
+    found = elements(values, "metric", "value", low=index_rank(0.025), high=index_rank(0.975))
+    undefined = values.groupBy("metric").agg(F.count_if(F.col("value").isNull()).alias("n_undefined"))
+    return undefined.join(found, "metric", "left").select("metric", "low", "high", "n_undefined")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import annotations, ask, cluster, curated, passages, scoring, validate
+from ..operators import annotations, ask, cluster, curated, passages, ranks, scoring, validate
 from ..schema import CLAIMS, COVERAGE, EVIDENCE, NODES, SOURCES, EvidenceGraph
 from ..storage import shared_folder, written
 from .registry import query
@@ -62,8 +62,8 @@ def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT p_brand, list_sort(list(p_retailprice)) AS v FROM part GROUP BY p_brand)
 SELECT p_brand, v[1 + CAST(floor(0.025 * (len(v) - 1)) AS INT)] AS low, v[1 + CAST(floor(0.975 * (len(v) - 1)) AS INT)] AS high FROM s""")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list("p_retailprice").alias("v"))
-    return rows.select("p_brand", fn.index_percentile("v", 0.025).alias("low"), fn.index_percentile("v", 0.975).alias("high"))
+    found = ranks.elements(view(spark, sf_dir, "part"), "p_brand", "p_retailprice", low=ranks.index_rank(0.025), high=ranks.index_rank(0.975))
+    return found.select("p_brand", "low", "high")
 
 
 @query("sf39_span_covers", "SELECT l_orderkey, l_linenumber, count(*) FILTER (l_quantity >= 25 AND l_partkey % 2 = 0) AS n FROM lineitem GROUP BY ALL")

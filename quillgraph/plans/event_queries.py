@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import audit, passages
+from ..operators import audit, passages, ranks
 from ..sources import traverse
 from ..storage import written
 from ..streaming import ingest
@@ -185,12 +185,9 @@ def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sf33_median", "SELECT event_type, round(median(value), 6) AS median, round(list_sort(list(value))[1 + CAST(floor(0.9 * (count(*) - 1)) AS INT)], 6) AS p90 FROM events GROUP BY event_type")
 def median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact element at a rank, by a window over the group rather than by gathering its values."""
-    rows = events(spark, sf_dir)
-    order = Window.partitionBy("event_type").orderBy("value")
-    ranked = rows.select("event_type", "value", F.row_number().over(order).alias("rn"), F.count("*").over(Window.partitionBy("event_type")).alias("n"))
-    at = ranked.where(F.col("rn") == 1 + F.floor(0.9 * (F.col("n") - 1))).select("event_type", F.round("value", 6).alias("p90"))
-    return rows.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median")).join(at, "event_type")
+    """The exact elements at ranks, by a sort over all tasks."""
+    found = ranks.elements(events(spark, sf_dir), "event_type", "value", low=lambda n: F.floor((n + 1) / 2), high=lambda n: F.floor((n + 2) / 2), p90=ranks.index_rank(0.9))
+    return found.select("event_type", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), F.round("p90", 6).alias("p90"))
 
 
 @query("ss03_acknowledged", """

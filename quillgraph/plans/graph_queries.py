@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import explore as explore_operators
-from ..operators import export, paths, routes, search, state, validate
+from ..operators import answers, export, paths, routes, search, state, validate
 from ..schema import REVIEW_STATUSES, STANCES
 from ..storage import written
 from .registry import query
@@ -471,3 +471,75 @@ WITH {GRAPH_SQL} SELECT rule, count(*) AS n FROM (
 ) GROUP BY rule""")
 def evidence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.evidence_violations(star_graph(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("gr10_conversations", f"""
+WITH {EXPLORED_SQL},
+t AS (
+  SELECT conv_id, turn, (conv_id + turn) % 8 AS k, concat('D:', 100 * (1 + conv_id % 10)) AS c, concat('D:', 100 * (1 + (conv_id + 3) % 10)) AS c2 FROM conversations
+),
+m AS (SELECT *, CASE k WHEN 0 THEN c WHEN 5 THEN least(c, c2) END AS mention FROM t),
+x AS (SELECT *, last_value(mention IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ctx FROM m),
+rt AS (
+  SELECT conv_id, turn, k IN (1) AS asks,
+    CASE k WHEN 7 THEN 'clinical' WHEN 5 THEN 'compare' WHEN 0 THEN CASE WHEN ctx <> mention THEN 'compare' ELSE 'describe' END WHEN 2 THEN 'conflict' WHEN 4 THEN 'asset'
+      WHEN 1 THEN CASE WHEN ctx IS NULL THEN 'missing' ELSE 'evidence' END WHEN 3 THEN CASE WHEN ctx IS NULL THEN 'missing' ELSE 'connections' END ELSE CASE WHEN ctx IS NULL THEN 'overview' ELSE 'missing' END END AS intent,
+    CASE k WHEN 7 THEN NULL ELSE coalesce(mention, ctx) END AS about, CASE WHEN k = 5 THEN greatest(c, c2) WHEN k = 0 AND ctx <> mention THEN ctx END AS other
+  FROM x
+),
+s AS (SELECT DISTINCT intent, about, other FROM rt),
+hv AS (SELECT subject AS d, object AS v FROM claims WHERE predicate = 'HAS_VARIANT'),
+dis AS (SELECT DISTINCT claim_id FROM evidence WHERE stance = 'contradicts'),
+opp AS (
+  SELECT DISTINCT e.disease, e.other, rel.asset FROM explored e JOIN rel ON rel.other = e.other JOIN own ON own.asset = rel.asset
+  WHERE e.status = 'supported_lead' AND NOT EXISTS (FROM ci WHERE ci.asset = rel.asset AND ci.d IN (e.disease, e.other))
+),
+sc AS (
+  SELECT intent, about, other, id FROM s JOIN claims ON subject = about OR object = about WHERE intent IN ('describe', 'evidence') OR (intent = 'conflict' AND id IN (FROM dis))
+  UNION SELECT intent, about, other, id FROM s JOIN hv ON d = about JOIN claims ON subject = v AND predicate = 'HAS_EFFECT' WHERE intent = 'evidence'
+  UNION SELECT intent, about, other, id FROM s JOIN hv ON d = about JOIN claims ON subject = v OR object = v WHERE intent = 'conflict' AND id IN (FROM dis)
+  UNION SELECT intent, about, other, claim_id FROM s, dis WHERE intent = 'conflict' AND about IS NULL
+  UNION SELECT intent, about, s.other, unnest(claim_ids) FROM s JOIN explored e ON e.disease = about AND e.other = s.other WHERE intent = 'compare'
+  UNION SELECT intent, about, s.other, unnest(claim_ids) FROM s JOIN explored e ON e.disease = about WHERE intent = 'connections' AND status <> 'rejected'
+  UNION SELECT intent, about, s.other, unnest(e.s_ids) FROM s JOIN opp ON opp.disease = about JOIN explored e ON e.disease = about AND e.other = opp.other WHERE intent = 'asset'
+  UNION SELECT intent, about, s.other, id FROM s JOIN opp ON opp.disease = about JOIN sup ON subject = opp.asset AND object = opp.other AND predicate = 'RELEVANT_TO' WHERE intent = 'asset'
+  UNION SELECT intent, about, s.other, id FROM s JOIN opp ON opp.disease = about JOIN sup ON object = opp.asset AND predicate = 'MAINTAINS' WHERE intent = 'asset'
+  UNION SELECT intent, about, other, id FROM s, claims WHERE intent = 'asset' AND about IS NULL AND (subject IN (SELECT id FROM nodes WHERE type = 'Asset') OR object IN (SELECT id FROM nodes WHERE type = 'Asset'))
+),
+sn AS (
+  SELECT intent, about, other, unnest([about, other]) AS node FROM s WHERE about IS NOT NULL AND intent <> 'asset'
+  UNION SELECT intent, about, s.other, e.other FROM s JOIN explored e ON e.disease = about WHERE intent = 'connections' AND status <> 'rejected'
+  UNION SELECT intent, about, s.other, opp.asset FROM s JOIN opp ON opp.disease = about WHERE intent = 'asset'
+  UNION SELECT intent, about, other, about FROM s WHERE intent = 'asset' AND about IS NOT NULL AND about NOT IN (SELECT disease FROM opp)
+  UNION SELECT intent, about, other, id FROM s, nodes WHERE intent = 'asset' AND about IS NULL AND type = 'Asset'
+),
+n AS (SELECT intent, about, other, count(*) AS n_claims, min(id) AS first_claim FROM sc GROUP BY ALL),
+nn AS (SELECT intent, about, other, count(node) AS n_nodes FROM sn GROUP BY ALL),
+a AS (
+  SELECT rt.*, coalesce(n_claims, 0) AS n_claims, coalesce(n_nodes, 0) AS n_nodes, first_claim
+  FROM rt LEFT JOIN n ON n.intent = rt.intent AND n.about IS NOT DISTINCT FROM rt.about AND n.other IS NOT DISTINCT FROM rt.other
+  LEFT JOIN nn ON nn.intent = rt.intent AND nn.about IS NOT DISTINCT FROM rt.about AND nn.other IS NOT DISTINCT FROM rt.other
+),
+b AS (
+  SELECT *, last_value(CASE WHEN NOT asks AND n_claims > 0 THEN turn END IGNORE NULLS) OVER w AS t1, last_value(CASE WHEN asks AND n_claims > 0 THEN turn END IGNORE NULLS) OVER w AS t2
+  FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+f AS (SELECT b.*, CASE WHEN asks THEN coalesce(t1, t2) END AS src FROM b)
+SELECT f.conv_id, f.turn, CASE WHEN src IS NULL THEN f.intent ELSE 'claim_evidence' END AS intent, CASE WHEN src IS NULL THEN f.about END AS about, CASE WHEN src IS NULL THEN f.other END AS other,
+  CASE WHEN src IS NULL THEN f.n_claims ELSE g.n_claims END AS n_claims, CASE WHEN src IS NULL THEN f.n_nodes ELSE 0 END AS n_nodes, CASE WHEN src IS NULL THEN f.first_claim ELSE g.first_claim END AS first_claim,
+  src IS NULL AND (f.intent = 'missing' OR (f.n_claims = 0 AND (f.intent IN ('compare', 'evidence') OR (f.intent IN ('asset', 'connections') AND f.about IS NOT NULL)))) AS missing
+FROM f LEFT JOIN a g ON g.conv_id = f.conv_id AND g.turn = src""")
+def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation as a question: of eight kinds, some about a customer, others about the one named last."""
+    g = star_graph(spark, sf_dir)
+    name = lambda i: F.concat(F.lit("Customer#"), F.lpad((100 * (1 + F.pmod(i, F.lit(10)))).cast("string"), 9, "0"))
+    a, b = name(F.col("conv_id")), name(F.col("conv_id") + 3)
+    texts = [F.concat(F.lit("Tell me about "), a), F.lit("Which papers support this?"), F.lit("Is anything uncertain?"), F.lit("How is it connected?"), F.lit("Which resources exist?"), F.concat(F.lit("Compare "), a, F.lit(" and "), b), F.lit("An overview of the graph, please"), F.lit("Which treatment helps?")]
+    text = F.element_at(F.array(*texts), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(8)) + 1).cast("int"))
+    turns = view(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "conv_id", "turn", text.alias("text"))
+    states, found = explored(spark, sf_dir)
+    opportunities = routes.asset_routes(states, found.where("status = 'supported_lead'").select("disease", "other", "status"))
+    routed = written(answers.route_turns(turns, g.nodes, "id", "conv_id", "turn", "text"), "routes")
+    claims, nodes = answers.scope_claims(written(routed.select("scope", "intent", "about", "other").distinct(), "scopes"), g.nodes, g.claims, states, g.evidence, found, opportunities)
+    rows = answers.with_follow_ups(answers.answered(routed, claims, nodes))
+    return rows.select(F.col("conversation").alias("conv_id"), "turn", "intent", "about", "other", "n_claims", "n_nodes", "first_claim", "missing")

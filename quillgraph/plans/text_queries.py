@@ -248,9 +248,22 @@ def per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.per_label(confusion(spark, sf_dir), "truth", "predicted", LABELS))
 
 
-@query("ag15_bootstrap")
+@query("ag15_bootstrap", f"""
+WITH {JUDGED},
+c AS (
+  SELECT CAST(source AS VARCHAR) AS cluster, count(*) FILTER (truth AND predicted) AS tp, count(*) FILTER (NOT truth AND predicted) AS fp, count(*) FILTER (truth AND NOT coalesce(predicted, false)) AS fn FROM j GROUP BY source
+),
+n AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS at_, count(*) OVER () AS k FROM c),
+d AS (SELECT d, i, CAST(concat('0x', left(md5(concat(20261004, ':', d, ':', i)), 15)) AS BIGINT) % k AS at_ FROM generate_series(0, 499) x(d), (SELECT generate_series AS i, k FROM (SELECT DISTINCT k FROM n), generate_series(0, 999) WHERE generate_series < k)),
+s AS (SELECT d, CAST(sum(tp) AS DOUBLE) AS tp, CAST(sum(fp) AS DOUBLE) AS fp, CAST(sum(fn) AS DOUBLE) AS fn FROM d JOIN n USING (at_) GROUP BY d),
+v AS (
+  SELECT 'precision' AS metric, CASE WHEN tp + fp <> 0 THEN tp / (tp + fp) END AS value FROM s UNION ALL SELECT 'recall', CASE WHEN tp + fn <> 0 THEN tp / (tp + fn) END FROM s
+  UNION ALL SELECT 'f1', CASE WHEN 2 * tp + fp + fn <> 0 THEN 2 * tp / (2 * tp + fp + fn) END FROM s
+),
+l AS (SELECT metric, list_sort(list(value) FILTER (value IS NOT NULL)) AS v, count(*) - count(value) AS n_undefined FROM v GROUP BY metric)
+SELECT metric, round(v[1 + CAST(floor(0.025 * (len(v) - 1)) AS INT)], 9) AS low, round(v[1 + CAST(floor(0.975 * (len(v) - 1)) AS INT)], 9) AS high, n_undefined FROM l""")
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.bootstrap(scoring.counts(judged(spark, sf_dir), "truth", "predicted", ["source"]).withColumnRenamed("source", "cluster"), draws=500)
+    return scoring.bootstrap(scoring.counts(judged(spark, sf_dir), "truth", "predicted", ["source"]).withColumnRenamed("source", "cluster"), draws=500).select("metric", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "n_undefined")
 
 
 @query("ag16_accuracy", f"WITH {JUDGED} SELECT source, count(*) AS n, count(predicted) AS n_answered, round(avg(CASE WHEN predicted IS NOT NULL THEN CAST(predicted = truth AS INT) END), 6) AS accuracy FROM j GROUP BY source")

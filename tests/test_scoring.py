@@ -1,10 +1,12 @@
 """Scores, matching, bootstrap, audits and passages on small tables."""
 
+import hashlib
 import itertools
 import random
+import statistics
 
 from quillgraph.functions import text as fn
-from quillgraph.operators import audit, passages, scoring
+from quillgraph.operators import audit, passages, ranks, scoring
 from quillgraph.sources import markup
 from pyspark.sql import functions as F
 
@@ -37,15 +39,28 @@ def test_matching_by_document(spark):
 def test_bootstrap(spark):
     rows = [("s1", 7, 0, 0), ("s2", 0, 0, 7)]
     got = {r.metric: r for r in scoring.bootstrap(spark.createDataFrame(rows, "cluster string, tp long, fp long, fn long"), draws=400, seed=3).collect()}
-    rng, undefined = random.Random(3), 0
-    for _ in range(400):
-        draw = [rng.choice(sorted(rows)) for _ in rows]
+    undefined = 0
+    for d in range(400):
+        draw = [sorted(rows)[int(hashlib.md5(f"3:{d}:{i}".encode()).hexdigest()[:15], 16) % 2] for i in range(2)]
         undefined += not any(r[1] for r in draw)
     assert got["precision"].n_undefined == undefined > 0 and got["precision"].low == 1.0 and got["recall"].low == 0.0
     one = scoring.bootstrap(spark.createDataFrame(rows[:1], "cluster string, tp long, fp long, fn long")).collect()
     assert all(r.low is None or r.low != r.low for r in one)
 
 
+def test_elements_at_ranks(spark):
+    """One key has most rows, and most of its values are alike."""
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.8 else rng.choice(["a", "b", None]), rng.choice([1.5, 1.5, 1.5, rng.random() * 9, None])) for _ in range(3000)] + [("none", None)]
+    found = {r.k: r for r in ranks.elements(spark.createDataFrame(rows, "k string, v double").repartition(6), "k", "v", first=lambda n: F.lit(1), mid=ranks.index_rank(0.5), p90=ranks.index_rank(0.9), over=lambda n: n + 1).collect()}
+    assert set(found) == {"hot", "a", "b", None}
+    for k, r in found.items():
+        v = sorted(x for j, x in rows if j == k and x is not None)
+        assert (r.n, r.first, r.mid, r.p90, r.over) == (len(v), v[0], v[int(0.5 * (len(v) - 1))], v[int(0.9 * (len(v) - 1))], None)
+    middle = {r.k: r.median for r in ranks.medians(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert middle == {k: statistics.median(x for j, x in rows if j == k and x is not None) for k in found}
+
+
 def test_covering_spans(spark):
     df = spark.sql("""SELECT array(named_struct('unit_id', 'u', 'start', 0, 'end', 10)) AS p,
       array(array(named_struct('unit_id', 'v', 'start', 1, 'end', 2)), array(named_struct('unit_id', 'u', 'start', 0, 'end', 4), named_struct('unit_id', 'u', 'start', 5, 'end', 10))) AS g""")
