@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import written
 
 #: Parameters of keyword scores and of rank fusion.
 K1, B = 1.2, 0.75
 FUSION = 60
+#: Words of queries, and bytes of vectors, that go to all tasks at once, and cells of a block of scores in a task.
+PAIRS, BLOCK_BYTES, CELLS = 500_000, 32_000_000, 4_000_000
 
 
 def triples(claims: DataFrame, subject: str | None = None, predicate: str | None = None, object_: str | None = None) -> DataFrame:
@@ -48,21 +56,73 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def keyword_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_col: str = "query_id", query_text: str = "query") -> DataFrame:
-    """(query_id, id, score): BM25 of every document that has a word of the query.
+def keyword_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_col: str = "query_id", query_text: str = "query", k: int | None = None, block: int = PAIRS) -> DataFrame:
+    """(query_id, id, score): BM25 of every document that has a word of the query, or with `k` of those that may be among
+    the k best, from which best() takes them.
 
-    Only the words of the queries are counted in the documents; a word's documents are never gathered in one task.
+    Queries go to all tasks in blocks of about `block` words. Documents are read once a block and keep the words of its
+    queries, with their numbers; these rows are written, their sums taken, and scored where they lie, so neither a frequent
+    word nor a frequent query is gathered. Ids are unique; null texts have no words.
     """
-    wanted = queries.select(query_col, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    sized = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words")).withColumn("size", F.size("words"))
-    whole = sized.agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
-    counts = sized.select("id", "size", F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    counts = counts.groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
-    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
-    rows = counts.join(wanted.join(frequency, "term"), "term").join(F.broadcast(whole))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    return rows.groupBy(query_col, "id").agg(F.sum(idf * weight).alias("score"))
+    asked = written(queries.select(query_col, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")), "asked")
+    parts = max(1, -(-asked.count() // block))
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(text_col, F.lit(""))).alias("words"))
+    rows = None
+    for part in range(parts):
+        some = asked.where(F.pmod(F.xxhash64(query_col), F.lit(parts)) == part).toArrow()  # about `block` rows
+        found = _keyword_block(words, some, query_col, asked.schema[query_col].dataType, k)
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
+
+
+def _keyword_block(words: DataFrame, asked: pa.Table, query_col: str, kind: T.DataType, k: int | None) -> DataFrame:
+    term, query = (asked[c].combine_chunks().dictionary_encode() for c in ("term", query_col))
+    terms, names = term.dictionary, query.dictionary
+    by = np.argsort(term.indices.to_numpy(), kind="stable")
+    queries_of = np.split(query.indices.to_numpy()[by], np.cumsum(np.bincount(term.indices.to_numpy(), minlength=len(terms)))[:-1])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["words"]
+            size = lists.value_lengths().to_numpy()
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy()
+            pair = (np.repeat(np.arange(len(size)), size) * len(terms) + at)[at >= 0]
+            pair, tf = np.unique(pair, return_counts=True)
+            ends = np.searchsorted(pair, np.arange(len(size) + 1) * len(terms)).astype(np.int32)
+            hits = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32))) for v in (pair % max(1, len(terms)), tf)]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(size.astype(np.int32)), *hits], ["id", "size", "terms", "tf"])
+
+    hits = written(words.mapInArrow(find, T.StructType([words.schema["id"], *T.StructType.fromDDL("size int, terms array<int>, tf array<int>").fields])), "hits")
+    whole = hits.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+    df = np.zeros(len(terms))
+    for r in hits.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # a row for each word of the block
+        df[r.t] = r.df
+    idf, mean = np.log(1 + (whole.n - df + 0.5) / (df + 0.5)), whole.mean or 1.0
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, step := max(1, CELLS // max(1, len(names)))):
+                batch = whole_batch.slice(at, step)
+                doc = np.repeat(np.arange(batch.num_rows), batch["terms"].value_lengths().to_numpy())
+                t, tf = (batch[c].flatten().to_numpy().astype(np.int64) for c in ("terms", "tf"))
+                weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * batch["size"].to_numpy()[doc] / mean))
+                scores, order = np.zeros((batch.num_rows, len(names))), np.argsort(t, kind="stable")
+                for here in np.split(order, np.flatnonzero(np.diff(t[order])) + 1) if len(order) else ():
+                    scores[np.ix_(doc[here], queries_of[t[here[0]]])] += weight[here, None]
+                yield from _best_cells(scores, scores > 0, batch["id"], names, query_col, k)
+
+    return hits.mapInArrow(score, T.StructType([T.StructField(query_col, kind), words.schema["id"], T.StructField("score", T.DoubleType())]))
+
+
+def _best_cells(scores: np.ndarray, given: np.ndarray, ids: pa.Array, names: pa.Array, query_col: str, k: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows of the cells that are given; with `k`, of those that a column's k best may be among once they are rounded."""
+    if k is not None and len(scores) > k:
+        ranked = np.where(given, scores, -np.inf)
+        given = given & (scores >= np.partition(ranked, len(scores) - k, axis=0)[len(scores) - k] - 1e-5)
+    row, column = np.nonzero(given)
+    for at in range(0, len(row), 100_000):
+        r, c = row[at : at + 100_000], column[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(c)), ids.take(pa.array(r)), pa.array(scores[r, c])], [query_col, "id", "score"])
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -73,18 +133,53 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot, norm(a) * norm(b))
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, query_col: str = "query_id", query_vector: str = "vector", block: int = 10_000) -> DataFrame:
-    """(query_id, id, score) of every vector for each of a stated set of queries, which go to all tasks in blocks."""
-    parts = -(-queries.count() // block)
-    asked = written(queries.select(query_col, F.col(query_vector).alias("__query"), F.pmod(F.xxhash64(query_col), F.lit(max(1, parts))).alias("__part")), "queries")
+def vector_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, query_col: str = "query_id", query_vector: str = "vector", k: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, id, score): the cosine of every vector and each of a stated set of queries, or with `k` of those that may
+    be among the k best, from which best() takes them.
+
+    Queries go to all tasks in blocks of about block_bytes. Vectors that are null, of length 0 or of another number of
+    dimensions than a query have no score with it.
+    """
+    asked = written(queries.select(query_col, F.transform(query_vector, lambda x: x.cast("double")).alias("__query")).where("__query IS NOT NULL"), "queries")
+    size = asked.agg(F.sum(F.size("__query") * 8)).first()[0] or 0
+    parts = max(1, -(-size // block_bytes))
     rows = None
-    for part in range(max(1, parts)):
-        some = F.broadcast(asked.where(F.col("__part") == part).select(query_col, "__query"))
-        found = vectors.join(some).select(query_col, F.col(id_col).alias("id"), cosine(F.col(vector_col), F.col("__query")).alias("score"))
+    for part in range(parts):
+        some = asked.where(F.pmod(F.xxhash64(query_col), F.lit(parts)) == part).toArrow()  # about block_bytes
+        found = _vector_block(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")), some, query_col, asked.schema[query_col].dataType, k)
         rows = found if rows is None else rows.unionByName(found)
     return rows
 
 
+def _matrices(lists: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The rows of each number of dimensions, scaled to length 1, with their places; null and zero vectors are left out."""
+    sizes, flat = pc.fill_null(lists.value_lengths(), 0).to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    ends, out = np.cumsum(sizes), {}
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == n)
+        rows = flat[(ends[at] - n)[:, None] + np.arange(n)]
+        norm = np.sqrt((rows * rows).sum(axis=1))
+        good = norm > 0
+        out[n] = rows[good] / norm[good, None], at[good]
+    return out
+
+
+def _vector_block(vectors: DataFrame, asked: pa.Table, query_col: str, kind: T.DataType, k: int | None) -> DataFrame:
+    known, names = _matrices(asked["__query"].combine_chunks()), asked[query_col].combine_chunks()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, step := max(1, CELLS // max(1, len(names)))):
+                batch = whole.slice(at, step)
+                for n, (rows, place) in _matrices(batch["vector"]).items():
+                    if n in known and len(place):
+                        queries, of = known[n]
+                        scores = rows @ queries.T
+                        yield from _best_cells(scores, np.isfinite(scores), batch["id"].take(pa.array(place)), names.take(pa.array(of)), query_col, k)
+
+    return vectors.mapInArrow(score, T.StructType([T.StructField(query_col, kind), vectors.schema["id"], T.StructField("score", T.DoubleType())]))
+
+
 def best(scores: DataFrame, k: int, query_col: str = "query_id") -> DataFrame:
     """The k best of each query, ranked from 1; equal scores by id."""
     order = Window.partitionBy(query_col).orderBy(F.desc("score"), "id")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
-from ..storage import checkpointed
+from ..storage import checkpointed, written
+from .spread import attached, joined_in_blocks
 
 
 def native(rows: DataFrame, prefix: str = "_") -> DataFrame:
@@ -44,11 +45,26 @@ def eligible_terms(rows: DataFrame, preferred: str, aliases: str, id_col: str, s
     return names.unionByName(more).where(~blank("term")).groupBy("term").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def cross_references(left: DataFrame, right: DataFrame, left_id: str, left_refs: str, right_id: str, right_refs: str, sep: str = r"\s+") -> DataFrame:
-    """(left, right) of rows that share a reference in their lists, each pair once."""
-    a = left.select(F.col(left_id).alias("left"), F.explode(F.array_distinct(F.split(left_refs, sep))).alias("ref")).where("ref <> ''")
-    b = right.select(F.col(right_id).alias("right"), F.explode(F.array_distinct(F.split(right_refs, sep))).alias("ref")).where("ref <> ''")
-    return a.join(b, "ref").select("left", "right").distinct()
+def reference_classes(rows: DataFrame, id_col: str, refs: str, sep: str = r"\s+") -> DataFrame:
+    """(id, class, size): rows with the same set of references are one class, named by its least id. Rows without any
+    reference are left out."""
+    lists = F.array_sort(F.array_distinct(F.filter(F.split(refs, sep), lambda r: r != "")))
+    sets = written(rows.select(F.col(id_col).alias("id"), lists.alias("refs")).where(F.size("refs") > 0).withColumn("key", F.sha2(F.to_json("refs"), 256)), "sets")
+    groups = sets.groupBy("key").agg(F.min("id").alias("class"), F.count("*").alias("size"))
+    return attached(sets, groups, "key", "size", sets.count(), F.col("id")).select("id", "class", "size", "refs")
+
+
+def cross_references(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left, right, n_left, n_right): pairs of classes (of reference_classes) that share a reference, each once, with how
+    many rows each stands for; so the rows of a class are not paired one by one.
+
+    A reference that many classes have is cut into blocks.
+    """
+    sides = []
+    for side, rows in (("left", left), ("right", right)):
+        one = rows.where(F.col("id") == F.col("class")).select(F.col("class").alias(side), F.col("size").alias(f"n_{side}"), F.explode("refs").alias("ref"))
+        sides.append(written(one.distinct(), side))
+    return joined_in_blocks(*sides, "ref", ("left", "right")).select("left", "right", "n_left", "n_right").distinct()
 
 
 def overlaid(claims: DataFrame, evidence: DataFrame, reviewed: DataFrame, predicate: str, claim_key: str = "id", evidence_key: str = "claim_id") -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import answers, export, paths, routes, search, state, validate
 from ..schema import REVIEW_STATUSES, STANCES
 from ..storage import written
 from .registry import query
-from .star_graph import ASKED_SQL, COVERAGE, GRAPH_SQL, PATHS_SQL, asked, star_coverage, star_graph, view
+from .star_graph import ASKED_SQL, CLAIMS, COVERAGE, EVIDENCE, GRAPH_SQL, PATHS_SQL, asked, star_coverage, star_graph, view
 
 
 def written_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,14 +317,17 @@ def unknown_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("jn11_unbacked_claims", f"""
-WITH {GRAPH_SQL} SELECT id FROM claims WHERE assertion_type = 'reported'
-AND NOT EXISTS (SELECT 1 FROM evidence WHERE claim_id = id AND stance = 'supports')""")
+WITH claims AS MATERIALIZED ({CLAIMS}), evidence AS ({EVIDENCE}), backed AS (SELECT DISTINCT claim_id FROM evidence WHERE stance = 'supports')
+SELECT id FROM claims LEFT JOIN backed ON claim_id = id WHERE assertion_type = 'reported' AND claim_id IS NULL""")
 def unbacked_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.unbacked(star_graph(spark, sf_dir)).select("id")
 
 
 @query("gr04_evidence_closure", f"""
-WITH {PATHS_SQL}, ids AS (SELECT DISTINCT disease, unnest([first_id, second_id]) AS claim_id FROM paths WHERE disease IN {ASKED_SQL})
+WITH claims AS MATERIALIZED ({CLAIMS}), evidence AS ({EVIDENCE}),
+v AS (SELECT subject AS disease, id, object AS variant FROM claims WHERE predicate = 'HAS_VARIANT' AND subject IN {ASKED_SQL}),
+e AS (SELECT subject AS variant, id FROM claims WHERE predicate = 'HAS_EFFECT'),
+ids AS (SELECT disease, v.id AS claim_id FROM v WHERE variant IN (SELECT variant FROM e) UNION SELECT disease, e.id FROM v JOIN e USING (variant))
 SELECT disease, claim_id, source_id, stance, review_status FROM ids JOIN evidence USING (claim_id)""")
 def evidence_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = star_graph(spark, sf_dir)

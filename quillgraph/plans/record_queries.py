@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import scoring, select, state, validate
+from ..storage import written
 from .registry import query
 from .star_graph import GRAPH_SQL, star_graph, view
 
@@ -113,11 +114,21 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", name("p_size"), name("p_type", F.floor(F.col("p_partkey") / 7).cast("string"))).alias("names"))
 
 
+REFERENCES_SQL = f"w AS ({ALIASES_SQL}), s AS (SELECT p_partkey, list_sort(list(DISTINCT w)) AS refs FROM w GROUP BY p_partkey), c AS (SELECT refs, min(p_partkey) AS class, count(*) AS size FROM s GROUP BY refs)"
+
+
+@query("jn13_reference_classes", f"WITH {REFERENCES_SQL} SELECT p_partkey AS id, class, size FROM s JOIN c USING (refs)")
+def reference_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.reference_classes(aliases(spark, sf_dir), "p_partkey", "names", r"\|").select("id", "class", "size")
+
+
 @query("jn13_cross_references", f"""
-WITH w AS ({ALIASES_SQL}) SELECT DISTINCT a.p_partkey AS "left", b.p_partkey AS "right" FROM w a JOIN w b USING (w)""")
+WITH {REFERENCES_SQL}, u AS (SELECT class, size, unnest(refs) AS w FROM c)
+SELECT DISTINCT a.class AS "left", b.class AS "right", a.size AS n_left, b.size AS n_right FROM u a JOIN u b USING (w)""")
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = aliases(spark, sf_dir)
-    return select.cross_references(rows, rows, "p_partkey", "names", "p_partkey", "names", r"\|")
+    """Pairs of classes of parts; jn13_reference_classes has their members."""
+    classes = written(select.reference_classes(aliases(spark, sf_dir), "p_partkey", "names", r"\|"), "classes")
+    return select.cross_references(classes, classes)
 
 
 @query("jn14_name_containment", "SELECT a.p_partkey AS part, count(*) AS n FROM part a JOIN part b ON a.p_brand = b.p_brand AND contains(b.p_name, string_split(a.p_name, ' ')[2]) GROUP BY a.p_partkey")

@@ -136,7 +136,7 @@ kr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 def keyword_ranks(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     """The benchmark's items are the queries."""
     asked = view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    scores = search.keyword_scores(docs(spark, sf_dir), asked, "doc_id", "text").withColumn("score", F.round("score", 6))
+    scores = search.keyword_scores(docs(spark, sf_dir), asked, "doc_id", "text", k=k).withColumn("score", F.round("score", 6))
     return search.best(scores, k)
 
 
@@ -160,7 +160,7 @@ def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = view(spark, sf_dir, "embeddings")
     asked = view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
     known = vectors.join(docs(spark, sf_dir).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    near = search.best(search.vector_scores(known, asked, "vec_id", "embedding").withColumn("score", F.round("score", 6)), 50)
+    near = search.best(search.vector_scores(known, asked, "vec_id", "embedding", k=50).withColumn("score", F.round("score", 6)), 50)
     rows = search.fused([keyword_ranks(spark, sf_dir), near]).withColumn("score", F.round("score", 9))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return rows.select("query_id", "id", "n_channels", F.round("score", 6).alias("score"), F.row_number().over(order).alias("rank"))
@@ -180,7 +180,7 @@ def vector_ranks(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Vectors whose id is divisible by 100 are the stated queries, against all vectors but themselves."""
     every = view(spark, sf_dir, "embeddings")
     asked = every.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    scores = search.vector_scores(every, asked, "vec_id", "embedding").where("query_id <> id")
+    scores = search.vector_scores(every, asked, "vec_id", "embedding", k=k + 1).where("query_id <> id")
     return search.best(scores.withColumn("score", F.round("score", 6)), k)
 
 
