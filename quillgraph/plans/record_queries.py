@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import scoring, select, state, validate
+from ..operators import nested, rebuilt, scoring, select, state, validate
 from ..storage import written
 from .registry import query
 from .star_graph import GRAPH_SQL, star_graph, view
@@ -308,3 +308,51 @@ def measurement_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def submission_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.length(F.trim("text")).between(20, 200) & ~F.col("text").rlike(r"[\x00-\x08\x0B-\x1F]") & F.col("role").isin("user", "assistant")
     return view(spark, sf_dir, "conversations").select("conv_id", "turn", good.alias("accepted"))
+
+
+@query("sf44_leaves", """
+SELECT shape, kind, count(*) AS n, min(v) AS least FROM (
+  SELECT '$.key' AS shape, 'bigint' AS kind, CAST(o_orderkey AS VARCHAR) AS v FROM orders
+  UNION ALL SELECT '$.lines[*].part', 'bigint', CAST(l_partkey AS VARCHAR) FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  UNION ALL SELECT '$.lines[*].at.span.unit_id', 'string', concat('u', l_suppkey) FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  UNION ALL SELECT '$.lines[*].at.span.start', 'bigint', CAST(l_linenumber AS VARCHAR) FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  UNION ALL SELECT '$.lines[*].at.span.end', 'bigint', '4' FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  UNION ALL SELECT '$.lines[*].at.span.quote', 'string', l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+) GROUP BY ALL""")
+def nested_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scalars in the nested text of every order are, by place."""
+    found = nested.leaves(nested.walk(nested_orders(spark, sf_dir), "o_orderkey", "text"))
+    return found.groupBy("shape", "kind").agg(F.count("*").alias("n"), F.min("text").alias("least"))
+
+
+@query("sf43_span_counts", """
+SELECT o_orderkey AS id, count(l_orderkey) AS n, count(*) FILTER (l_linenumber < 4) AS n_shaped FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans at any depth in the nested text of every order, and those that are as spans should be."""
+    found = nested.spans(nested_orders(spark, sf_dir), "o_orderkey", "text")
+    return found.groupBy("id").agg(F.count("*").alias("n"), F.count_if("shaped").alias("n_shaped"))
+
+
+def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a JSON text with its lines, each with a span two levels down that ends at 4."""
+    span = F.struct(F.concat(F.lit("u"), F.col("l_suppkey").cast("string")).alias("unit_id"), F.col("l_linenumber").alias("start"), F.lit(4).alias("end"), F.col("l_returnflag").alias("quote"))
+    line = F.struct(F.col("l_partkey").alias("part"), F.struct(span.alias("span")).alias("at"))
+    lines = view(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))
+    orders = view(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
+    return orders.select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("key"), "lines")).alias("text"))
+
+
+@query("va19_rebuilt", """
+WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem),
+b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 997 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_returnflag FROM lineitem WHERE l_orderkey % 1009 <> 0
+      UNION ALL SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_orderkey % 1013 = 0)
+SELECT 'lines' AS name, (SELECT count(*) FROM a) AS n_committed, (SELECT count(*) FROM b) AS n_rebuilt,
+  (SELECT count(*) FROM (FROM a EXCEPT ALL FROM b)) AS n_removed, (SELECT count(*) FROM (FROM b EXCEPT ALL FROM a)) AS n_added, false AS equal
+UNION ALL SELECT 'parts', count(*), count(*), 0, 0, true FROM part""")
+def rebuilt_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of which some were changed, left out or repeated, and parts in another order."""
+    a = view(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    key = F.col("l_orderkey")
+    changed = a.where(key % 1009 != 0).withColumn("l_quantity", F.when(key % 997 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    parts = view(spark, sf_dir, "part")
+    return rebuilt.compared({"lines": a, "parts": parts}, {"lines": changed.unionByName(a.where(key % 1013 == 0)), "parts": parts.orderBy(F.desc("p_partkey"))})
