@@ -36,7 +36,7 @@ class Words:
 def words(texts: pa.Array, classes: np.ndarray, written: np.ndarray = LOWER) -> Words:
     """The words of texts in order, A-Z lower-cased or as `written` says. Null texts have none.
 
-    Memory is some twenty times the texts'."""
+    Memory is some ten times the texts'."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     empty = Words(np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -46,20 +46,24 @@ def words(texts: pa.Array, classes: np.ndarray, written: np.ndarray = LOWER) ->
     ends = ends - ends[0]
     kinds = classes[data]
     inside = kinds == WORD
-    after = np.empty(len(data), bool)  # a text starts here, or a byte of no word stands before
-    after[0] = True
-    np.logical_not(inside[:-1], out=after[1:])
-    firsts = ends[:-1][ends[:-1] < len(data)]
-    after[firsts] = True
-    starts = np.flatnonzero(inside & after)
+    breaks = np.flatnonzero(kinds == BREAK)
+    del kinds
+    begins = np.zeros(len(data) + 1, bool)  # a text begins here
+    begins[ends[:-1]] = begins[-1] = True
+    firsts = inside.copy()
+    firsts[1:] &= ~inside[:-1] | begins[1:-1]
+    starts = np.flatnonzero(firsts)
     if not len(starts):
         return empty
-    held = np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
-    offsets = np.append(held[starts] - 1, held[-1])
+    lasts = np.logical_not(inside[1:], out=firsts[:-1])
+    lasts |= begins[1:-1]
+    lasts &= inside[:-1]
+    firsts[-1] = inside[-1]
+    offsets = np.append(0, np.cumsum(np.flatnonzero(firsts) + 1 - starts))
     spelled = written[data[inside]]
+    del inside, firsts, lasts
     wide = len(spelled) >= 1 << 31
     kind, width = (pa.large_binary(), np.int64) if wide else (pa.binary(), np.int32)
     found = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(spelled)]).dictionary_encode()
     row = np.searchsorted(ends[1:], starts, side="right")
-    breaks = np.cumsum(kinds == BREAK, dtype=np.int64)[starts]
-    return Words(found.indices.to_numpy().astype(np.int64), found.dictionary.cast(pa.binary()), row, breaks + row)
+    return Words(found.indices.to_numpy().astype(np.int64), found.dictionary.cast(pa.binary()), row, np.searchsorted(breaks, starts) + row)
