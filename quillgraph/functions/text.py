@@ -54,6 +54,15 @@ def residue_code(name: ColumnOrName) -> Column:
     return F.coalesce(codes[F.initcap(_col(name))], _col(name))
 
 
+def short_residues(text: ColumnOrName) -> Column:
+    """The text with three-letter codes of residues, spelled with one capital, as one-letter codes, and without `p.` before
+    it. Other capitals with two small letters stay, and what follows one is not read with it."""
+    codes = F.create_map(*[F.lit(x) for pair in RESIDUES.items() for x in pair])
+    parts = F.regexp_extract_all(F.regexp_replace(_col(text), r"^p\.", ""), F.lit("(?s)[A-Z][a-z]{2}|."), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.coalesce(codes[x], x)), "")
+
+
+# The pattern's form and its one- and three-letter codes are fixed values, as texts write substitutions.
 def substitutions(text: ColumnOrName) -> Column:
     """Sorted distinct protein substitutions (X123Y) that a text writes with one-letter or three-letter codes, in any case."""
     three, one = "|".join(RESIDUES), "".join(RESIDUES.values())
@@ -107,6 +116,34 @@ def quoted_or(terms: ColumnOrName) -> Column:
     return F.array_join(F.transform(_col(terms), lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit("")), F.lit('"'))), " OR ")
 
 
+# Characters that queries of conditions do not take.
+UNTAKEN = r"[()\[\]{}\"\\]"
+
+
+def condition_query(terms: ColumnOrName) -> Column:
+    """A query that asks for any of an array's phrases, in quotes, with brackets, quotes and backslashes as spaces and single
+    spaces between words. Phrases of which nothing is left are left out."""
+    clean = F.transform(_col(terms), lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, UNTAKEN, " "), r"\s+", " ")))
+    return F.array_join(F.transform(F.filter(clean, lambda t: t != ""), lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR ")
+
+
+def required_section(text: ColumnOrName, start: str, *ends: str) -> Column:
+    """What stands between the first `start` and the nearest of the markers `ends` behind it, or the text's end if it has
+    none of them; a text without `start` is an error when the plan runs. Null stays null."""
+    t = _col(text)
+    at = F.locate(start, t)
+    rest = F.substring(t, at + len(start), F.length(t))
+    found = [F.when(F.locate(e, rest) > 0, F.locate(e, rest)) for e in ends]
+    until = F.array_min(F.array(*found)) if found else F.lit(None)
+    there = F.when(at > 0, F.lit(True)).otherwise(F.raise_error(F.lit(f"missing marker: {start}")).cast("boolean"))
+    return F.when(t.isNotNull() & there, F.coalesce(F.substring(rest, F.lit(1), until - 1), rest))
+
+
+def section_tokens(text: ColumnOrName, pattern: str, start: str, *ends: str) -> Column:
+    """The matches of a pattern in a required section, in order, each time it stands there."""
+    return F.regexp_extract_all(required_section(text, start, *ends), F.lit(pattern), F.lit(0))
+
+
 def between_markers(text: ColumnOrName, start: str, end: str) -> Column:
     """What stands between the first `start` and the next `end`, else null."""
     t = _col(text)
@@ -134,9 +171,13 @@ def host_within(url: ColumnOrName, domain: str) -> Column:
     return F.coalesce((host == domain) | host.endswith("." + domain), F.lit(False))
 
 
+# Parameters whose values are secret.
+SECRET = "api_key|apikey|key|token|access_token"
+
+
 def redacted_url(url: ColumnOrName) -> Column:
     """The address without fragment and with the values of secret parameters replaced."""
-    return F.regexp_replace(F.regexp_replace(_col(url), "#.*$", ""), "(?i)([?&](?:api_key|apikey|key|token|access_token)=)[^&#]*", "$1REDACTED")
+    return F.regexp_replace(F.regexp_replace(_col(url), "#.*$", ""), f"(?i)([?&](?:{SECRET})=)[^&#]*", "$1REDACTED")
 
 
 def without_credentials(url: ColumnOrName) -> Column:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,22 +31,25 @@ def strides(docs: DataFrame, id_col: str, text_col: str, size: int, overlap: int
 def split_words(text: str, most: int, overlap: int) -> Iterator[tuple[int, int]]:
     """(start, end) of chunks of at most `most` characters of a text with single spaces.
 
-    A chunk ends at the last space in its second half and the next one starts with the first word that begins in the
-    `overlap` characters before that end; where there is no such space, it is cut between characters.
+    A chunk takes whole words as long as they fit, if these reach into its second half; else, as with a word that is longer
+    than what is left, it takes `most` characters. The next chunk begins `overlap` characters before, or with the first
+    word that begins there or later, but not after the chunk's end.
     """
-    spaces, n = [m.start() for m in re.finditer(" ", text)], len(text)
-    at = end = 0
-    while end < n:
-        end = at + most
-        if end < n:
-            last = bisect_left(spaces, end) - 1
-            end = spaces[last] if last >= 0 and spaces[last] >= at + most // 2 and spaces[last] > at else end
-        end = min(end, n)
-        yield at, end
-        at = max(at + 1, end - overlap)
-        before = bisect_left(spaces, at - 1)
-        if before < len(spaces) and spaces[before] < end:
-            at = spaces[before] + 1
+    letters = np.frombuffer(text.encode("utf-32-le"), np.uint32) != ord(" ")
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], letters.view(np.int8), [0]))))
+    begins, ends = edges[::2], edges[1::2]
+    start, stop = 0, len(text)
+    while stop:
+        whole = ends[np.searchsorted(ends, start + most, "left") - 1 :][:1]  # the last word that ends before the limit
+        fits = len(whole) and whole[0] >= max(start + most // 2, start + 1) and whole[0] < start + most
+        end = stop if stop <= start + most else int(whole[0]) if fits else start + most
+        yield start, end
+        if end == stop:
+            return
+        start = max(start + 1, end - overlap)
+        word = begins[np.searchsorted(begins, start) :][:1]
+        if len(word) and word[0] <= end:
+            start = int(word[0])
 
 
 def word_chunks(docs: DataFrame, id_col: str, text_col: str, most: int = 3600, overlap: int = 400) -> DataFrame:

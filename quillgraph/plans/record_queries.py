@@ -356,3 +356,26 @@ def rebuilt_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = a.where(key % 1009 != 0).withColumn("l_quantity", F.when(key % 997 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
     parts = view(spark, sf_dir, "part")
     return rebuilt.compared({"lines": a, "parts": parts}, {"lines": changed.unionByName(a.where(key % 1013 == 0)), "parts": parts.orderBy(F.desc("p_partkey"))})
+
+
+@query("sf07_short_residues", """
+SELECT p_partkey, concat(['A', 'G', 'W', 'Xaa'][1 + p_partkey % 4], 10 + p_size, 'K in ', ['R', 'Abc'][1 + p_partkey % 2]) AS text FROM part""")
+def short_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-letter codes inside the text of every part."""
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("p_partkey") % len(x)).cast("int") + 1)
+    text = F.concat(F.lit("p."), pick("Ala", "Gly", "Trp", "Xaa"), (F.col("p_size") + 10).cast("string"), F.lit("Lys in "), pick("Arg", "Abc"))
+    return view(spark, sf_dir, "part").select("p_partkey", fn.short_residues(text).alias("text"))
+
+
+@query("sf10_condition_query", """
+SELECT n_nationkey, concat('"', n_name, ' x" OR "', r_name, '"') AS query FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def condition_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "nation").join(view(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select("n_nationkey", fn.condition_query(F.array(F.concat("n_name", F.lit(" (x)")), F.concat(F.lit('["'), "r_name", F.lit('"]')), F.lit("{}"))).alias("query"))
+
+
+@query("sf11_section_tokens", """
+SELECT page_id, array_to_string(regexp_extract_all(string_split(regexp_replace(html, '(?s)^.*?<nav>', ''), '</nav>')[1], 'href="[^"]*"'), ' ') AS links FROM pages""")
+def section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses in the first navigation of every page, which each must have."""
+    return view(spark, sf_dir, "pages").select("page_id", F.array_join(fn.section_tokens("html", 'href="[^"]*"', "<nav>", "</nav>", "</body>"), " ").alias("links"))

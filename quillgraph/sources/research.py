@@ -91,10 +91,14 @@ def article_pages(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return _flat(pages, id_col, [html_col], expand, "identity string, text string, paragraphs int")
 
 
+# What pages say that want a visitor to prove or name themselves.
+CHALLENGES = ("captcha", "verify you are human", "checking your browser", "access denied", "robot check", "sign in to continue", "log in to continue", "temporarily blocked")
+
+
 def page_verdict(expected: str, least_chars: int = 500, least_paragraphs: int = 3) -> Column:
     """The first rule that an article page breaks: challenge, other_article, too_short, too_few_paragraphs; else ok."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    challenge = low.rlike("captcha|verify you are human|access denied") & (F.col("paragraphs") < least_paragraphs)
+    challenge = low.rlike("|".join(CHALLENGES)) & (F.col("paragraphs") < least_paragraphs)
     other = ~pmcid("identity").eqNullSafe(pmcid(expected))
     return F.when(challenge, "challenge").when(other, "other_article").when(F.length("text") < least_chars, "too_short").when(F.col("paragraphs") < least_paragraphs, "too_few_paragraphs").otherwise("ok")
 

@@ -5,6 +5,8 @@ import itertools
 import random
 import statistics
 
+import pytest
+
 from quillgraph.functions import text as fn
 from quillgraph.operators import audit, passages, ranks, scoring
 from quillgraph.sources import markup
@@ -100,6 +102,38 @@ def test_word_chunks_cover_the_text(spark):
     assert all(i in covered or c.isspace() for i, c in enumerate(text)) and {r.id for r in got} == {1}
 
 
+def chunk_ends(text, most, overlap):
+    """Chunks by looking at every place on its own."""
+    start, out = 0, []
+    while text:
+        word_ends = [e for e in range(1, len(text)) if text[e] == " " and max(start + most // 2, start + 1) <= e < start + most]
+        end = len(text) if len(text) <= start + most else max(word_ends, default=start + most)
+        out.append((start, end))
+        if end == len(text):
+            break
+        start = max(start + 1, end - overlap)
+        start = next((i for i in range(start, end + 1) if text[i] != " " and text[i - 1] == " "), start)
+    return out
+
+
+def test_word_chunks_against_a_plain_version():
+    rng = random.Random(8)
+    for _ in range(400):
+        text = " ".join("w" * rng.choice([1, 2, 3, 5, 9, 40]) for _ in range(rng.randrange(0, 40)))
+        most = rng.randrange(2, 30)
+        overlap = rng.randrange(0, most)
+        assert list(passages.split_words(text, most, overlap)) == chunk_ends(text, most, overlap), (text, most, overlap)
+
+
+def test_sections_between_markers(spark):
+    df = spark.createDataFrame([(1, "x A: a1 a2 B: a3"), (2, "A: a4 C: a5 B: a6"), (3, "A: a7"), (4, None)], "id int, t string")
+    assert {r.id: r.v for r in df.select("id", fn.section_tokens("t", "a[0-9]", "A:", "B:", "C:").alias("v")).collect()} == {1: ["a1", "a2"], 2: ["a4"], 3: ["a7"], 4: None}
+    with pytest.raises(Exception, match="missing marker: Z:"):
+        df.select(fn.required_section("t", "Z:")).collect()
+    texts = spark.createDataFrame([("p.Glyly12Ala and Xyz Ser",), (None,)], "t string")
+    assert [r[0] for r in texts.select(fn.short_residues("t")).collect()] == ["Gly12A and Xyz S", None]
+
+
 def test_batches_start_where_a_row_does_not_fit(spark):
     rows = [("g", i, s) for i, s in enumerate([50, 60, 30, 10, 100, 1, 1, 1])] + [("h", 0, 5)]
     got = passages.greedy_batches(spark.createDataFrame(rows, "grp string, ord int, size int"), "grp", "ord", "size", 100, 3).orderBy("grp", "ord").collect()
