@@ -6,10 +6,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import functions as F
 
-from .operators import ask, paths, routes, search, state
-from .schema import EvidenceGraph
+from .operators import ask, explore, paths, routes, search, state
+from .schema import COVERAGE, EvidenceGraph
+from .storage import written
 
-MOST_NODES, MOST_CLAIMS, MOST_ANSWERS, LONGEST = 40, 100, 1000, 1000
+#: Bounds of a body: what is over them is counted, not given.
+MOST_NODES, MOST_CLAIMS, MOST_ANSWERS, MOST_CANDIDATES, LONGEST = 40, 100, 1000, 100, 1000
 
 
 class GraphApi:
@@ -22,7 +24,7 @@ class GraphApi:
     def request(self, method: str, path: str, query: Mapping[str, list[str]] | None = None) -> tuple[int, object]:
         if method != "GET":
             return 405, {"error": "method_not_allowed"}
-        handler = {"/api/search": self.search, "/api/explore": self.explore, "/api/claim": self.claim, "/api/stats": self.stats, "/api/ask": self.ask, "/api/health": self.health}.get(path)
+        handler = {"/api/search": self.search, "/api/explore": self.explore, "/api/claim": self.claim, "/api/stats": self.stats, "/api/ask": self.ask, "/api/health": self.health, "/api/graph": self.table}.get(path)
         return handler(query or {}) if handler else (404, {"error": "not_found"})
 
     @staticmethod
@@ -52,9 +54,22 @@ class GraphApi:
         found = self.states.where(F.col("id") == id_).first()
         if found is None:
             return 404, {"error": "claim_not_found"}
-        rows = state.evidence_with_sources(self.graph).where(F.col("claim_id") == id_).collect()
-        sources = list(dict.fromkeys(r.source_id for r in rows))
-        return 200, {"claim": found.asDict(), "support": [r.asDict() for r in rows if r.stance == "supports"], "contradictions": [r.asDict() for r in rows if r.stance == "contradicts"], "sources": sources}
+        every = state.evidence_with_sources(self.graph).where(F.col("claim_id") == id_)
+        total = {r.stance: r["count"] for r in every.groupBy("stance").count().collect()}
+        rows = every.orderBy("id").limit(MOST_ANSWERS).collect()
+        known = self.graph.sources.join(F.broadcast(every.select(F.col("source_id").alias("id")).limit(MOST_ANSWERS).distinct()), "id", "left_semi")
+        records = [r.asDict() for r in known.orderBy("id").limit(MOST_ANSWERS).collect()]
+        of = lambda stance: [r.asDict() for r in rows if r.stance == stance]
+        return 200, {"claim": found.asDict(), "support": of("supports"), "contradictions": of("contradicts"), "totals": total, "sources": list(dict.fromkeys(r.source_id for r in rows)), "source_records": records}
+
+    def table(self, query: Mapping) -> tuple[int, object]:
+        """A page of one table of the graph in order of ids, and the id to go on after: `next` is null on the last page."""
+        name, after = self._one(query, "table") or "nodes", self._one(query, "after")
+        rows = getattr(self.graph, name, None) if name in ("nodes", "sources", "claims", "evidence", "coverage") else None
+        if rows is None:
+            return 404, {"error": "table_not_found"}
+        page = (rows.where(F.col("id") > after) if after else rows).orderBy("id").limit(MOST_ANSWERS + 1).collect()
+        return 200, {"table": name, "total": rows.count(), "rows": [r.asDict(True) for r in page[:MOST_ANSWERS]], "next": page[MOST_ANSWERS - 1].id if len(page) > MOST_ANSWERS else None}
 
     def explore(self, query: Mapping) -> tuple[int, object]:
         if not (id_ := self._one(query, "disease")):
@@ -64,13 +79,16 @@ class GraphApi:
             return 404, {"error": "node_not_found"}
         if node.type != "Disease":
             return 400, {"error": "not_a_disease"}
-        every = paths.mechanism_paths(self.states)
-        judged = paths.judge_pairs(paths.path_pairs(every.where(F.col("disease") == id_), every))
+        every = written(paths.mechanism_paths(self.states), "paths")
         asked = self.spark.createDataFrame([(id_,)], "disease string")
-        found = paths.candidates(judged, paths.shared_phenotypes(self.states, asked))
-        open_routes = [r.asDict() for r in routes.asset_routes(self.states, found.select("disease", "other", "status")).collect()]
-        leads = any(r["status"] == "supported_route" for r in open_routes)
-        return 200, {"status": "leads_found" if leads else "no_supported_route", "candidates": [r.asDict() for r in found.orderBy("rank").collect()], "opportunities": open_routes}
+        judged = written(paths.judge_pairs(paths.path_pairs(every.where(F.col("disease") == id_), every)), "judged")
+        found = written(explore.explored(judged, explore.shared_phenotype_claims(self.states, asked), self.graph.nodes), "explored")
+        opportunities = written(routes.asset_routes(self.states, found.where("status <> 'rejected'").select("disease", "other", "status")), "opportunities")
+        coverage = self.graph.coverage if self.graph.coverage is not None else self.spark.createDataFrame([], COVERAGE)
+        known = explore.gaps(asked, found, opportunities, coverage).first()
+        best = explore.with_evidence(found.where(F.col("rank") <= MOST_CANDIDATES), self.graph.evidence).orderBy("rank").collect()
+        first = opportunities.orderBy("route_id").limit(MOST_ANSWERS).collect()
+        return 200, {"disease": node.asDict(True), "status": known.status, "n_candidates": known.n_candidates, "n_opportunities": known.n_opportunities, "candidates": [r.asDict(True) for r in best], "opportunities": [r.asDict() for r in first], "gaps": known.gaps}
 
     def ask(self, query: Mapping) -> tuple[int, object]:
         q, node, claims = self._one(query, "q"), self._one(query, "node"), query.get("claim", [])
@@ -80,6 +98,8 @@ class GraphApi:
             return 400, {"error": "invalid_claim_context"}
         if node and self._node(node) is None:
             return 404, {"error": "node_not_found"}
+        if claims and self.graph.claims.where(F.col("id").isin(claims)).select("id").distinct().count() < len(set(claims)):
+            return 400, {"error": "invalid_claim_context"}
         found = ask.route(q, self.graph.nodes, node, tuple(claims))
         if found["intent"] == "claim_evidence":
             rows = self.graph.evidence.where(F.col("claim_id").isin(claims))

@@ -28,7 +28,7 @@ MOST_COLUMNS = 100
 
 IMAGE = "array<struct<url:string,alt:string,path:string>>"
 UNIT = "array<struct<unit_id:string,kind:string,role:string,locator:string,text:string,section:string,source_element_id:string,images:array<struct<url:string,alt:string,path:string>>,table_id:string,row:int,column:int,rowspan:int,colspan:int,header:boolean>>"
-TABLE = "array<struct<table_id:string,number:int,path:string,section:string,wrapper_path:string,role:string,row_count:int,column_count:int,cell_count:int,empty_cells:int,image_cells:int>>"
+TABLE = "array<struct<table_id:string,number:int,path:string,section:string,wrapper_path:string,role:string,row_count:int,column_count:int,cell_count:int,empty_cells:int,image_cells:int,section_id:string,cells:array<struct<row:int,column:int,header:boolean,text:string,image_count:int,unit_id:string>>>>"
 LINK = "array<struct<url:string,text:string,path:string>>"
 REPAIR = "array<struct<closing_tag:string,unclosed_tags:array<string>,path:string>>"
 
@@ -180,26 +180,28 @@ def parse_article(html: str, document_id: str, base: str) -> dict:
     article, units, tables = articles[0], [], []
     inside = page.within(article)
 
-    def add(element: Element, kind: str, role: str | None, locator: str, **shape: object) -> bool:
+    def add(element: Element, kind: str, role: str | None, locator: str, **shape: object) -> str | None:
         if not (text := page.text(element)):
-            return False
+            return None
         none = dict.fromkeys(("table_id", "row", "column", "rowspan", "colspan", "header"))
         name = f"{document_id}:html:{sha256(element.path.encode()).hexdigest()[:20]}"
         units.append({"unit_id": name, "kind": kind, "role": role, "locator": locator, "text": text, "section": page.section(element), "source_element_id": element.attributes.get("id"), "images": page.images(element, base), **none, **shape})
-        return True
+        return name
 
     for number, table in enumerate((e for e in inside if e.tag == "table"), 1):
         around = list(page.above(table))
         if any(e.tag == "table" for e in around):
             raise Refused("nested tables")
         cells, rows, columns = grid(page, table)
-        table_id, empty = f"{document_id}:table:{number}", 0
+        table_id, placed = f"{document_id}:table:{number}", []
         for cell, row, column, height, width in cells:
             where = f"html:{cell.path}; table {number}; row {row}; column {column}; rowspan {height}; colspan {width}"
-            empty += not add(cell, "table_cell", None, where, table_id=table_id, row=row, column=column, rowspan=height, colspan=width, header=cell.tag == "th")
+            unit = add(cell, "table_cell", None, where, table_id=table_id, row=row, column=column, rowspan=height, colspan=width, header=cell.tag == "th")
+            placed.append({"row": row, "column": column, "header": cell.tag == "th", "text": page.text(cell), "image_count": len(page.images(cell, base)), "unit_id": unit})
+        named = next((e.attributes["id"] for e in around if e.tag == "section" and e.attributes.get("id")), None)
         wrapper = next((e for e in around if WRAPPERS.intersection(e.classes())), page.elements[table.parent])
         role = "equation" if "disp-formula" in (table.attributes.get("class") or "") else "table"
-        tables.append({"table_id": table_id, "number": number, "path": table.path, "section": page.section(table), "wrapper_path": wrapper.path, "role": role, "row_count": rows, "column_count": columns, "cell_count": len(cells), "empty_cells": empty, "image_cells": sum(bool(page.images(c[0], base)) for c in cells)})
+        tables.append({"table_id": table_id, "number": number, "path": table.path, "section": page.section(table), "wrapper_path": wrapper.path, "role": role, "row_count": rows, "column_count": columns, "cell_count": len(cells), "empty_cells": sum(c["unit_id"] is None for c in placed), "image_cells": sum(c["image_count"] > 0 for c in placed), "section_id": named, "cells": placed})
 
     after = 0  # inside a unit no other begins
     for e in inside:
@@ -254,6 +256,13 @@ def articles(pages: DataFrame, id_col: str, html_col: str, url_col: str) -> Data
     return parsed.select(F.col("__id").alias(id_col), F.from_json("found", FOUND).alias("found")).select(id_col, "found.*")
 
 
+def cells(found: DataFrame, id_col: str) -> DataFrame:
+    """(id, table_id, section, section_id, row, column, header, text, image_count, unit_id) of every cell that articles()
+    found, empty ones too; section_id is the name of the innermost section around the table that has one."""
+    tables = found.select(id_col, F.explode("tables").alias("t")).select(id_col, "t.table_id", "t.section", "t.section_id", F.explode("t.cells").alias("c"))
+    return tables.select(id_col, "table_id", "section", "section_id", "c.*")
+
+
 def elements(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(id, number, parent, tag, path) of every element of pages, in order; parent is 0 for the outermost. Null html has none."""
     rows = pages.select(F.col(id_col).alias("__id"), F.col(html_col).alias("__html"))

@@ -3,8 +3,10 @@
 import re
 
 import duckdb
+import pytest
 from conftest import DATA
 
+from quillgraph.operators import review
 from quillgraph.plans import QUERIES
 from quillgraph.sources import article
 from quillgraph.sources.article import Outline, parse_article
@@ -116,3 +118,23 @@ def test_pages_of_the_tables(spark):
         assert r.problem is None and 0 < r.units <= len(blocks) and r.units == r.paragraphs + r.methods + r.captions + r.footnotes + r.table_cells
         words = entities.unescape(re.sub(r"<br[^>]*>", " ", body))
         assert r.n_words <= len(re.sub(r"<[^>]*>", " ", words).split()) and r.headings == len(re.findall(r"<h[1-6]\b", body))
+
+
+QUEUE = """<article><section id="L"><h2>List</h2><table><tr><td>A1K</td><td>head</td></tr><tr><td> R12K </td><td>x</td></tr><tr><td>G3W</td><td>y</td></tr><tr><td>total</td><td>2</td></tr>
+<tr><td>W9A</td><td>z</td></tr><tr><td>Z5A</td><td>z</td></tr></table></section><section id="C"><section><table><tr><td>R12K</td><td>old</td></tr><tr><td>R12K</td><td>1</td><td>Likely</td></tr>
+<tr><td>G3W</td><td>1</td><td><img src="call.png"></td></tr></table></section></section></article>"""
+
+
+def test_a_review_queue_guesses_nothing(spark):
+    found = article.articles(spark.createDataFrame([(1, QUEUE, "https://h.org/"), (2, QUEUE.replace('id="C"', 'id="D"'), None)], "page_id long, html string, url string"), "page_id", "html", "url")
+    cells = article.cells(found, "page_id")
+    assert {r.section_id for r in cells.where("page_id = 1").collect()} == {"L", "C"} and cells.where("text = '' AND image_count = 1").count() == 2
+    known = spark.createDataFrame([(1, "p.Gly3Trp")], "page_id long, change string")
+    queue = review.review_queue(cells, "page_id", "L", "C", known)
+    got = {(r.page_id, r.label): (r.change, r.row, r.category, r.status, r.has_image, r.already_known) for r in queue.collect()}
+    assert {k[1] for k in got} == {"R12K", "G3W", "W9A", "Z5A"}
+    assert got[1, "R12K"] == ("p.Arg12Lys", 2, "Likely", review.AVAILABLE, False, False) and got[1, "G3W"] == ("p.Gly3Trp", 3, None, review.UNREADABLE, True, True)
+    assert got[1, "W9A"] == ("p.Trp9Ala", 5, None, review.UNREADABLE, False, False) and got[1, "Z5A"][0] is None and got[2, "R12K"][2:4] == (None, review.UNREADABLE)
+    assert review.expect(queue, "page_id", 4).count() == 8
+    with pytest.raises(Exception, match="expected 14 rows, found 4"):
+        review.expect(queue, "page_id", 14).collect()

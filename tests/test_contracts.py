@@ -107,10 +107,28 @@ def test_answers(spark):
     assert api.request("GET", "/api/explore", {"disease": ["zz"]})[0] == 404 and api.request("GET", "/api/explore", {"disease": ["variant-1"]})[0] == 400
     code, body = api.request("GET", "/api/explore", {"disease": ["disease-0"]})
     assert code == 200 and body["status"] == "no_supported_route" and body["candidates"]
+    lead = body["candidates"][0]
+    assert lead["rank"] == 1 and lead["assessments"][0]["claim_ids"] and lead["evidence"][0]["source_id"] == "generator" and body["gaps"] and body["n_candidates"] >= len(body["candidates"])
     code, body = api.request("GET", "/api/claim", {"id": ["v:0"]})
     assert code == 200 and len(body["support"]) == 1 and body["sources"] == ["generator"]
     assert api.request("GET", "/api/ask", {"q": ["x" * 1001]})[0] == 400 and api.request("GET", "/api/ask", {"q": ["what is disease-1?"]})[1]["about"] == "disease-1"
     assert api.request("GET", "/api/stats")[1]["sources"] == 1
+    assert api.request("GET", "/api/ask", {"q": ["which evidence?"], "claim": ["no such claim"]}) == (400, {"error": "invalid_claim_context"})
+    assert api.request("GET", "/api/ask", {"q": ["any conflict?"]})[1]["n_claims"] == 0
+
+
+def test_tables_come_in_pages(spark, monkeypatch):
+    api = GraphApi(bundle.synthetic(spark, 3, 6))
+    monkeypatch.setattr("quillgraph.api.MOST_ANSWERS", 7)
+    seen, after = [], None
+    while True:
+        code, body = api.request("GET", "/api/graph", {"table": ["claims"], **({"after": [after]} if after else {})})
+        seen += [r["id"] for r in body["rows"]]
+        assert code == 200 and len(body["rows"]) <= 7 and body["total"] == api.graph.claims.count()
+        if (after := body["next"]) is None:
+            break
+    assert seen == sorted(r.id for r in api.graph.claims.collect())
+    assert api.request("GET", "/api/graph", {"table": ["secrets"]})[0] == 404
 
 
 def test_more_text_functions(spark):
