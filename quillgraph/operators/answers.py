@@ -7,46 +7,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
 from . import ask
+from .ranks import carried
 from .routes import edges
 
 FOLLOW_UP = "claim_evidence"
 
 
-def carried(rows: DataFrame, key: str, order: str, **values: Column) -> DataFrame:
-    """rows with the last value that is not null among the rows of the key before this one, for each of `values`.
-
-    Rows are sorted by range over all tasks, so a key with a large share of all rows spans several; what a part hands on
-    are the last values of its first and last key. `order` is unique within a key; null keys are one key.
-    """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = rows.withColumns({f"__{n}": c for n, c in values.items()})
-    placed = written(named.repartitionByRange(parts, key, order).withColumn("__part", F.spark_partition_id()), "placed")
-    place = F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key"))
-    bounds = written(placed.groupBy("__part").agg(F.min(place).alias("__lo"), F.max(place).alias("__hi")), "bounds")
-    joined = placed.join(F.broadcast(bounds), "__part")  # a row for each part
-    last = [F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), F.col(order))).alias(n) for n in values]
-    ends = joined.where((place == F.col("__lo")) | (place == F.col("__hi"))).groupBy("__part", "__lo", "__hi", place.alias("at")).agg(*last)
-    given, now, before = [], None, dict.fromkeys(values)
-    held = {(r["__part"], r.at): r for r in ends.collect()}  # two rows for each part
-    for part, r in sorted((p, r) for (p, at), r in held.items() if at == r["__lo"]):
-        goes_on = now == r["__lo"]
-        given.append((part, *[before[n] if goes_on else None for n in values]))
-        end = held[part, r["__hi"]]
-        before = {n: before[n] if end[n] is None and goes_on and r["__lo"] == r["__hi"] else end[n] for n in values}
-        now = r["__hi"]
-    kinds = dict(placed.dtypes)
-    offsets = spark.createDataFrame(given, "__part int, " + ", ".join(f"__given_{n} {kinds[f'__{n}']}" for n in values))
-    own = Window.partitionBy("__part", key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    found = joined.join(F.broadcast(offsets), "__part")
-    return found.select(*rows.columns, *[F.coalesce(F.last(f"__{n}", ignorenulls=True).over(own), F.when(place == F.col("__lo"), F.col(f"__given_{n}"))).alias(n) for n in values])
-
-
 def with_scopes(routes: DataFrame) -> DataFrame:
     """routed questions with `scope`, what is asked of which nodes."""
     return routes.withColumn("scope", F.concat_ws("|", "intent", F.coalesce("about", F.lit("")), F.coalesce("other", F.lit(""))))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import checkpointed
+from ..storage import checkpointed, written
+from .ranks import carried
+from .spread import attached
 
 
 def membership_union(rows: DataFrame, key: str, order: str, payload: str, membership: str) -> DataFrame:
@@ -31,10 +33,11 @@ def pagination(rows: DataFrame, query: str, page: str, item: str, reported: Colu
 
 
 def cursor_chain(rows: DataFrame, query: str, order: str, request: str, following: str) -> DataFrame:
-    """rows with `chained`: whether the request is what the page before named as the next; true for the first page."""
-    before = F.lag(following).over(Window.partitionBy(query).orderBy(order))
-    first = F.row_number().over(Window.partitionBy(query).orderBy(order)) == 1
-    return rows.withColumn("chained", first | F.coalesce(before == F.col(request), F.lit(False)))
+    """rows with `chained`: whether the request is what the page before named as the next; true for the first page. `order` is
+    unique within a query; a query with very many pages spans several tasks."""
+    found = carried(rows, query, order, __before=F.struct(F.col(following).alias("following")))
+    same = F.coalesce(F.col("__before.following") == F.col(request), F.lit(False))
+    return found.withColumn("chained", F.col("__before").isNull() | same).drop("__before")
 
 
 def pair_audit(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -64,16 +67,20 @@ def coverage_difference(expected: DataFrame, found: DataFrame, key: str) -> Data
     return both.select(key, F.when(F.col("__b").isNull(), "missing").otherwise("unexpected").alias("side"))
 
 
-def first_rows(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the order."""
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__rn = 1").drop("__rn")
+def first_rows(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in ascending order, nulls first; of rows that tie one is taken."""
+    whole = F.struct(*rows.columns)
+    return rows.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.min_by(whole, F.struct(*order)).alias("__row")).select("__row.*")
 
 
 def submissions(rows: DataFrame, request: str, fingerprint: str, order: str) -> DataFrame:
-    """rows with `code`: 201 for the first of a request, 200 for repeats of the same content, 409 for other content."""
-    w = Window.partitionBy(request).orderBy(order)
-    first = F.first(fingerprint).over(w)
-    return rows.withColumn("code", F.when(F.row_number().over(w) == 1, 201).when(F.col(fingerprint).eqNullSafe(first), 200).otherwise(409))
+    """rows with `code`: 201 for the first of a request, 200 for repeats of the same content, 409 for other content. `order` is
+    unique; null requests are one request."""
+    keyed = rows.withColumn("__key", F.to_json(F.struct(F.col(request).alias("k"))))
+    first = written(keyed.groupBy("__key").agg(F.min_by(F.struct(F.col(order).alias("at"), F.col(fingerprint).alias("content")), order).alias("__first"), F.count("*").alias("__n")), "first")
+    found = attached(keyed, first, "__key", "__n", rows.count(), F.col(order))
+    code = F.when(F.col(order) == F.col("__first.at"), 201).when(F.col(fingerprint).eqNullSafe(F.col("__first.content")), 200).otherwise(409)
+    return found.withColumn("code", code).select(*rows.columns, "code")
 
 
 def trailing_counts(rows: DataFrame, ts: str, order: str, seconds: int, out: str = "recent") -> DataFrame:

@@ -65,7 +65,7 @@ def accept_proposals(graph: EvidenceGraph, proposals: DataFrame, units: DataFram
     there is rejected; one that is there already (same content) changes nothing.
     """
     checked = grounded(proposals, units)
-    good = first_rows(checked.where("exact").withColumn("id", F.concat(F.lit("evidence:"), content_id(F.concat_ws("|", "claim_id", "source_id", "unit_id", F.col("start").cast("string"), F.col("end").cast("string"), "quote"), 24))), ["id"], [F.col("claim_id").asc()])
+    good = first_rows(checked.where("exact").withColumn("id", F.concat(F.lit("evidence:"), content_id(F.concat_ws("|", "claim_id", "source_id", "unit_id", F.col("start").cast("string"), F.col("end").cast("string"), "quote"), 24))), ["id"], ["claim_id"])
     good = good.select("id", "claim_id", "source_id", F.concat_ws(":", "unit_id", F.col("start").cast("string"), F.col("end").cast("string")).alias("locator"), F.col("quote").alias("excerpt"), F.lit("supports").alias("stance"), F.lit("unreviewed").alias("review_status"))
     new = _shaped(good, EVIDENCE, ["id"]).join(graph.evidence.select("id"), "id", "left_anti")
     return EvidenceGraph(graph.nodes, graph.sources, graph.claims, graph.evidence.unionByName(new), graph.coverage), checked.where("NOT exact")

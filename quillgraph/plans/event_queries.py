@@ -91,7 +91,7 @@ def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wn06_first_seen", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.first_rows(events(spark, sf_dir), ["user_id", "event_type"], [F.col("event_id").asc()]).select("user_id", "event_type", "event_id")
+    return audit.first_rows(events(spark, sf_dir), ["user_id", "event_type"], ["event_id"]).select("user_id", "event_type", "event_id")
 
 
 @query("wn07_last_write", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(props, event_id) AS props FROM events GROUP BY user_id")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import answers
+from quillgraph.operators import answers, ranks
 
 
 def plain(rows):
@@ -20,12 +20,12 @@ def test_values_are_carried_within_keys_however_many_parts_they_span(spark):
     r = random.Random(3)
     for share in (0.0, 0.9, 1.0):
         rows = [("hot" if r.random() < share else r.choice(["a", "m", "z", None]), i, r.choice([None, None, None, f"v{i}"])) for i in range(500)]
-        found = answers.carried(spark.createDataFrame(rows, "k string, i int, v string").repartition(5), "k", "i", last=F.col("v")).collect()
+        found = ranks.carried(spark.createDataFrame(rows, "k string, i int, v string").repartition(5), "k", "i", last=F.col("v")).collect()
         assert {(x.k, x.i): x["last"] for x in found} == plain(rows) and len(found) == 500
     only = [("hot", i, "first" if i == 0 else None) for i in range(400)]
-    found = answers.carried(spark.createDataFrame(only, "k string, i int, v string").repartition(5), "k", "i", last=F.col("v"), twice=F.concat("v", "v")).collect()
+    found = ranks.carried(spark.createDataFrame(only, "k string, i int, v string").repartition(5), "k", "i", last=F.col("v"), twice=F.concat("v", "v")).collect()
     assert all((x["last"], x.twice) == ((None, None) if x.i == 0 else ("first", "firstfirst")) for x in found)
-    assert answers.carried(spark.createDataFrame([], "k string, i int, v string"), "k", "i", last=F.col("v")).collect() == []
+    assert ranks.carried(spark.createDataFrame([], "k string, i int, v string"), "k", "i", last=F.col("v")).collect() == []
 
 
 def test_follow_ups_are_about_the_last_answer_that_is_none(spark):
