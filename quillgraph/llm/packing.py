@@ -17,6 +17,8 @@ from .words import word_encoder
 
 #: Tails that are packed together: enough of them that best fit leaves little open, few enough for any task.
 SHARD_ROWS = 2_000
+#: Bytes of texts that a worker takes at once.
+TOGETHER = 8_000_000
 
 
 class OpenWindows:
@@ -69,17 +71,20 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return window, offset
 
 
-def tokenise_and_cut(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise_and_cut(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", together: int = TOGETHER) -> DataFrame:
     """Pieces (id, start, length, ids_crc32, doc_tokens) of at most `capacity` ids: full windows and a tail.
 
+    A worker takes `together` bytes of texts at once and remembers the ids of a word for every 40 of them; less of both
+    takes less memory and more time.
+
     A document is the ids of its text and end_id. Null text counts as empty: a document of end_id alone. Rows with a null
     or the same id are documents each; other columns play no part; an empty table gives no pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = word_encoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        coder, end = word_encoder(tokenizer_file, together // 40), np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for batch in rebatch([whole], text_col, 8_000_000):
+            for batch in rebatch([whole], text_col, together):
                 found = coder.encode(batch.column(1))
                 ends, flat = found.offsets.to_numpy().tolist(), found.values.to_numpy()
                 rows, start, length, crc, total = [], [], [], [], []

@@ -13,8 +13,6 @@ import pyarrow.compute as pc
 
 from .tokens import LOWER, Words, byte_classes, words
 
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 200_000
 #: White space of the pre-tokenizer: ASCII, and a pattern for the rest.
 WHITE = byte_classes(b" \t\n\v\f\r")
 FURTHER = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -110,9 +108,10 @@ def laid_out(split: Words, lists: pa.ListArray, rows: int) -> pa.ListArray:
 
 
 class WordEncoder:
-    """Ids of texts; remembers those of words. added: whether the file's added tokens are found in texts."""
+    """Ids of texts; remembers those of at most so many words. added: whether the file's added tokens are found in texts."""
 
-    def __init__(self, tokenizer_file: str, added: bool = False) -> None:
+    def __init__(self, tokenizer_file: str, added: bool = False, remembered: int = 200_000) -> None:
+        self.remembered = remembered
         self.merges = Merges(tokenizer_file)
         if not added:
             self.merges.added = {}
@@ -124,7 +123,7 @@ class WordEncoder:
         distinct = split.distinct.to_pylist()
         of_words = [*map(self.known.get, distinct)]
         new = [i for i, found in enumerate(of_words) if found is None]
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > self.remembered:
             self.known.clear()
         ids = self.merges.ids
         for i in new:
@@ -140,7 +139,7 @@ class WordEncoder:
         return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
 
 
-@lru_cache(maxsize=2)
-def word_encoder(tokenizer_file: str) -> WordEncoder:
+@lru_cache(maxsize=1)
+def word_encoder(tokenizer_file: str, remembered: int = 200_000) -> WordEncoder:
     """One for each worker process."""
-    return WordEncoder(tokenizer_file, added=True)
+    return WordEncoder(tokenizer_file, True, remembered)
