@@ -24,6 +24,8 @@ TOXIC = 0.3
 #: 64 bits in 20 segments (see quillgraph.llm.near for what these find).
 NEAR = {"shingle": 5, "similar": 0.8, "blocks": 6, "segments": 20}
 CAPACITY, END_ID = 4096, 2
+#: Bytes of texts that a worker tokenises at once: executors are fuller here than with packing alone.
+TOGETHER = 2_000_000
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
@@ -64,7 +66,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, repeated ones too, in sequences of at most CAPACITY ids; an empty text is its end id alone."""
-    return pack(tokenise_and_cut(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), END_ID, CAPACITY), CAPACITY)
+    return pack(tokenise_and_cut(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), END_ID, CAPACITY, together=TOGETHER), CAPACITY)
 
 
 STAGES = [
