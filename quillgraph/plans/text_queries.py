@@ -92,7 +92,19 @@ def fixed_strides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "chunk", "start", "end", F.md5("content").alias("digest"))
 
 
-@query("wn10_word_chunks")
+@query("wn10_word_chunks", r"""
+WITH RECURSIVE t AS (SELECT doc_id AS id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+n AS (SELECT id, t, length(t) AS n FROM t WHERE t <> ''),
+c AS (
+  SELECT id, t, n, CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS s, CASE WHEN n <= 3600 THEN n ELSE coalesce(nullif(CASE WHEN strpos(reverse(substring(t, 1, 3600)), ' ') BETWEEN 1 AND 1800 THEN 3600 - strpos(reverse(substring(t, 1, 3600)), ' ') END, 0), 3600) END AS e FROM n
+  UNION ALL
+  SELECT id, t, n, chunk + 1, s, CASE WHEN n <= s + 3600 THEN n WHEN strpos(reverse(substring(t, s + 1, 3600)), ' ') BETWEEN 1 AND 1800 THEN s + 3600 - strpos(reverse(substring(t, s + 1, 3600)), ' ') ELSE s + 3600 END
+  FROM (
+    SELECT id, t, n, chunk, CASE WHEN substring(t, w, 1) = ' ' THEN w WHEN strpos(substring(t, w + 1, e - w), ' ') > 0 THEN w + strpos(substring(t, w + 1, e - w), ' ') ELSE w END AS s
+    FROM (SELECT *, greatest(s + 1, e - 400) AS w FROM c WHERE e < n)
+  )
+)
+SELECT id, CAST(chunk AS INT) AS chunk, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", substring(t, s + 1, e - s) AS content FROM c""")
 def word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.word_chunks(docs(spark, sf_dir), "doc_id", "text")
 
