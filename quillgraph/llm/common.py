@@ -63,7 +63,8 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     """Left join rows with groups, which has one row for each key and the number of its rows in `size`.
 
     Hot keys (see HOT_SHARE) are broadcast, so what groups hold should be small; their rows and rows with a null key are
-    then dealt by `spread` instead of the key, so no task of the shuffled join gets a hot group.
+    then dealt by `spread` instead of the key, so no task of the shuffled join gets a hot group. Rows whose key is null or
+    has no group get nulls; repeated rows stay; columns of rows that groups have too are replaced; empty sides are fine.
     """
     # the cold side's salt is 0 but no literal: a literal would drop out of the join's keys, and hot rows meet again
     values = [c for c in groups.columns if c != key]
@@ -79,7 +80,8 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
 def attach_copies(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column) -> DataFrame:
     """Inner join of rows with groups as in attach, without `size`, for groups that hold much: nothing of them is broadcast.
 
-    A group goes out in a copy for each COPY_ROWS of its rows, which are dealt to the copies by `spread`.
+    A group goes out in a copy for each COPY_ROWS of its rows, which are dealt to the copies by `spread`. Rows whose key is
+    null or has no group are left out; repeated rows stay; empty sides give an empty table.
     """
     copies, salt = F.ceil(F.col(size) / COPY_ROWS).cast("int"), f"{P}copy"
     counted = attach(rows, groups.select(key, size), key, size, rows.count(), spread)
@@ -91,7 +93,8 @@ def key_filter(keys: DataFrame) -> tuple[DataFrame, int]:
     """Bitmaps of a table of 64-bit hashes `h`, and their number of bits, for may_hold.
 
     They take KEY_BITS bits a key and at most MOST_BITS, whatever the number of keys; with very many keys more rows that
-    are none of them pass, but never fewer that are.
+    are none of them pass, but never fewer that are. Repeated hashes count once, a null hash is none; without keys nothing
+    passes.
     """
     bits = BITMAP
     while bits < min(keys.count() * KEY_BITS, MOST_BITS):

@@ -60,7 +60,11 @@ def fingerprint(text: str | None, shingle: int, blocks: int) -> tuple[list[int],
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, blocks: int) -> DataFrame:
-    """(id, __qg_text, f0.., __qg_set) of all rows; __qg_text is a hash of the text, which with the id names a row."""
+    """(id, __qg_text, f0.., __qg_set) of all rows; __qg_text is a hash of the text, which with the id names a row.
+
+    Null texts count as empty, whose fingerprint is 0 and whose set is empty; null ids and repeated rows stay; other columns
+    play no part; an empty table gives an empty table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -392,7 +396,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
     """The rows of docs that near_copies keeps, with all their columns.
 
-    Only rows that a filter over the dropped ones points at take part in the join; the others do not move.
+    Only rows that a filter over the dropped ones points at take part in the join; the others do not move. Null texts count
+    as empty and come back null, null ids are the greatest, repeated rows are dropped or kept together; columns may have any
+    names; an empty table gives an empty table.
     """
     gone = stage(near_copies(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col).alias(f"{P}id"), F.col(f"{P}text").alias(f"{P}gone")).distinct(), "gone")
     name = F.xxhash64(F.col(id_col), F.xxhash64(text_col))

@@ -177,7 +177,8 @@ def labelled_rows(n: int = 300, seed: int = 7) -> list[tuple[list[str], list[str
 
 def train_field(labelled: DataFrame) -> Crf:
     """A field from a small labelled table (words, tags) of at most MOST_ROWS rows; an empty one gives a field that finds
-    nothing. Rows without words are left out, repeated ones count each; null words or tags are not allowed."""
+    nothing. Rows without words are left out, repeated ones count each; null words or tags are not allowed. Of a larger
+    table Spark takes the rows that it comes to first."""
     return train([(list(r.words), list(r.tags)) for r in labelled.limit(MOST_ROWS).collect()])
 
 

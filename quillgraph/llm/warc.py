@@ -125,7 +125,8 @@ def write_archives(records: DataFrame, path: str | None = None, id_col: str = "p
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of all archives of a folder."""
+    """(path, content) of all archives of a folder; files without bytes, as Spark writes for empty tasks, are left out. A
+    folder without archives gives an empty table, one that is not there is an error."""
     return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
 
 
