@@ -263,6 +263,17 @@ def cells(found: DataFrame, id_col: str) -> DataFrame:
     return tables.select(id_col, "table_id", "section", "section_id", "c.*")
 
 
+def table_rows(found: DataFrame, id_col: str, *sources: str) -> DataFrame:
+    """(id, the columns `sources`, table_id, row, cells, has_images) of every row of tables, with where it comes from; cells
+    are the texts in order of columns. A page without tables is an error when the plan runs."""
+    some = F.when(F.size("tables") > 0, F.col("tables")).otherwise(F.raise_error(F.concat(F.lit("no tables: "), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).cast(found.schema["tables"].dataType))
+    tables = found.select(id_col, *sources, F.explode(some).alias("t"))
+    rows = F.array_sort(F.array_distinct(F.transform("t.cells", lambda c: c.row)))
+    rows = tables.select(id_col, *sources, "t.table_id", "t.cells", F.explode(rows).alias("row"))
+    mine = F.array_sort(F.transform(F.filter("cells", lambda c: c.row == F.col("row")), lambda c: F.struct(c.column.alias("column"), c.text.alias("text"), c.image_count.alias("images"))))
+    return rows.select(id_col, *sources, "table_id", "row", F.transform(mine, lambda c: c.text).alias("cells"), F.exists(mine, lambda c: c.images > 0).alias("has_images"))
+
+
 def elements(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(id, number, parent, tag, path) of every element of pages, in order; parent is 0 for the outermost. Null html has none."""
     rows = pages.select(F.col(id_col).alias("__id"), F.col(html_col).alias("__html"))

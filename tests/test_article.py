@@ -5,10 +5,11 @@ import re
 import duckdb
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from quillgraph.operators import review
 from quillgraph.plans import QUERIES
-from quillgraph.sources import article
+from quillgraph.sources import article, markup, research
 from quillgraph.sources.article import Outline, parse_article
 
 PAGE = """<html><body><p>before</p><article id=main><h1>The <i>title</i></h1>
@@ -138,3 +139,23 @@ def test_a_review_queue_guesses_nothing(spark):
     assert review.expect(queue, "page_id", 4).count() == 8
     with pytest.raises(Exception, match="expected 14 rows, found 4"):
         review.expect(queue, "page_id", 14).collect()
+
+
+def test_rows_of_tables_with_their_source(spark):
+    found = article.articles(spark.createDataFrame([(1, QUEUE, "https://h.org/")], "page_id long, html string, url string"), "page_id", "html", "url").withColumn("source", F.lit("paper 7"))
+    rows = article.table_rows(found, "page_id", "source").collect()
+    assert len(rows) == 9 and {r.source for r in rows} == {"paper 7"}
+    assert [(r.row, r.cells, r.has_images) for r in rows if r.table_id == "1:table:2"] == [(1, ["R12K", "old"], False), (2, ["R12K", "1", "Likely"], False), (3, ["G3W", "1", ""], True)]
+    none = article.articles(spark.createDataFrame([(5, "<article><p>x</p></article>", "u")], "page_id long, html string, url string"), "page_id", "html", "url")
+    with pytest.raises(Exception, match="no tables: 5"):
+        article.table_rows(none, "page_id").collect()
+
+
+def test_pages_of_extracted_text_and_rights(spark):
+    texts = spark.createDataFrame([(1, "one\ftwo\f"), (2, ""), (3, None)], "id long, text string")
+    assert [(r.id, r.page, r.text) for r in markup.pages_of_pdf_text(texts, "id", "text").orderBy("id", "page").collect()] == [(1, 1, "one"), (1, 2, "two"), (1, 3, ""), (2, 1, "")]
+    rights = spark.createDataFrame([("open", True), ("restricted", True), ("unknown", True), ("open", False), (None, True)], "s string, b boolean")
+    assert [r[0] for r in rights.select(research.rights_queue(F.col("s"), F.col("b"))).collect()] == ["ready", "abstract_only", "review", "failed", "review"]
+    pages = spark.createDataFrame([("Checking your browser before you go on", 0), ("an article " * 300, 9)], "text string, paragraphs int").withColumns({"identity": F.lit("PMC12"), "expected": F.lit("PMC12")})
+    verdict = research.page_verdict("expected")
+    assert [r[0] for r in pages.select(verdict).collect()] == ["challenge", "ok"]
