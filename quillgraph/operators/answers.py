@@ -38,10 +38,15 @@ def route_turns(turns: DataFrame, nodes: DataFrame, id_col: str, conv: str, turn
     return with_scopes(before.select("id", "conversation", "turn", asks.alias("asks")).join(found, "id"))
 
 
+def explored_diseases(scopes: DataFrame) -> DataFrame:
+    """(disease): the nodes whose candidates scope_claims() looks at."""
+    return scopes.where("about IS NOT NULL AND intent IN ('compare', 'connections', 'asset')").select(F.col("about").alias("disease")).distinct()
+
+
 def scope_claims(scopes: DataFrame, nodes: DataFrame, claims: DataFrame, states: DataFrame, evidence: DataFrame, explored: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((scope, claim_id), (scope, node)) of distinct scopes (scope, intent, about, other).
 
-    explored: candidates of all diseases asked about (disease, other, status, claim_ids, supported_claim_ids); routes:
+    explored: candidates of all explored_diseases() (disease, other, status, claim_ids, supported_claim_ids); routes:
     asset_routes() of these. Comparisons have the claims of the candidate; connections of a disease those of its leads and
     of those that need review; assets of a disease those of its supported routes, and assets of nothing in particular all
     claims on assets; conflicts what some evidence contradicts; evidence, connections and descriptions the node's claims,
