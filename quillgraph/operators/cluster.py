@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import decimal, ratio, substitutions
+from .spread import dealt
 
 # Categories of classifications, endpoints that are compared with the wild type, and the potencies among
 # them, whose ratio is turned round.
@@ -81,13 +82,14 @@ def asked_variants(questions: DataFrame, members: DataFrame, id_col: str, text_c
     return asked.join(short, "variant", "left").select("id", "variant", F.coalesce("hit", F.lit(False)).alias("known"))
 
 
-def members(claims: DataFrame, observations: DataFrame, issues: DataFrame) -> DataFrame:
+def members(claims: DataFrame, observations: DataFrame, issues: DataFrame, parts: int | None = None) -> DataFrame:
     """The members of a cluster: (gene, protein, tier, n_ratios, n_observations, n_estimates, n_papers, n_issues).
 
     claims as in member_tiers with document_id; observations as in measured_ratio with gene, protein, document_id;
-    issues: gene, protein, document_id, description.
+    issues: gene, protein, document_id, description. parts: how many parts variants are dealt into (see spread.dealt).
     """
     key = ["gene", "protein"]
+    claims, observations = dealt(claims, parts, *key), dealt(observations, parts, *key)
     papers = claims.select(*key, "document_id").union(observations.select(*key, "document_id")).groupBy(*key).agg(F.count_distinct("document_id").alias("n_papers"))
     seen = observations.groupBy(*key).agg(F.count("*").alias("n_observations"), F.count("measurement.estimate").alias("n_estimates"))
     open_ = scoped_issues(issues, claims.select(*key, "document_id").union(observations.select(*key, "document_id"))).groupBy(*key).agg(F.count("*").alias("n_issues"))

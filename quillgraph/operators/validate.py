@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.text import blank, decimal_text, host_within, iso_date, public_url
 from ..schema import EvidenceGraph, predicate_rules
+from .spread import dealt
 
 
 class InvalidGraph(ValueError):
@@ -179,13 +180,15 @@ def observation_violations(rows: DataFrame, key: str = "id") -> DataFrame:
     return _broken(rows, "observations", rules, key)
 
 
-def cell_violations(observations: DataFrame, documents: DataFrame, coverage: DataFrame, scope: DataFrame) -> DataFrame:
+def cell_violations(observations: DataFrame, documents: DataFrame, coverage: DataFrame, scope: DataFrame, parts: int | None = None) -> DataFrame:
     """Rules of annotated cells: known documents, variants in scope, one observation for a cell and variant, table
     coordinates if and only if there is a table, each document covered once.
 
     observations: id, document_id, gene, protein, endpoint, table_id, row, column; scope: gene, protein.
+    parts: how many parts observations are dealt into (see spread.dealt).
     """
-    rows = observations.join(documents.select("document_id", F.lit(True).alias("__document")), "document_id", "left").join(scope.select("gene", "protein", F.lit(True).alias("__scope")), ["gene", "protein"], "left")
+    observations = dealt(observations, parts, "document_id")
+    rows = dealt(observations.join(documents.select("document_id", F.lit(True).alias("__document")), "document_id", "left"), parts, "gene", "protein").join(scope.select("gene", "protein", F.lit(True).alias("__scope")), ["gene", "protein"], "left")
     placed = F.coalesce((F.col("row") > 0) & (F.col("column") > 0), F.lit(False))
     rules = {
         "document": F.col("__document").isNotNull(),
