@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import audit, passages, ranks
+from ..operators.spread import parts_of
 from ..sources import traverse
 from ..storage import written
 from ..streaming import ingest
@@ -197,7 +198,7 @@ SELECT l_orderkey, CAST(min(b) AS BIGINT) AS acknowledged FROM n WHERE NOT EXIST
 def acknowledged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unbroken run of lines that each order begins with."""
     acks = view(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("batch"))
-    return ingest.contiguous(acks, ["l_orderkey"], "batch")
+    return ingest.contiguous(acks, ["l_orderkey"], "batch", parts_of(acks))
 
 
 @query("sk10_export_batches", """

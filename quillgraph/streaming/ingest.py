@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.passages import greedy_batches
 from ..operators.select import differences
+from ..operators.spread import dealt
 from ..storage import written
 
 #: Takes the rows of a batch, in order, and returns the receiver's token for it; what it raises fails the batch.
@@ -38,17 +39,20 @@ def in_batches(rows: DataFrame, order: str, most_row: int = MOST_ROW, most_bytes
     return greedy_batches(sized, "__one", order, "__size", most_bytes, most_rows).drop("__size", "__one")
 
 
-def contiguous(acks: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
+def contiguous(acks: DataFrame, keys: Sequence[str], batch: str, parts: int | None = None) -> DataFrame:
     """(keys, acknowledged): how many batches from number 0 on are acknowledged without a gap, for each of the keys.
 
     The first that lacks is the least successor (or 0) that is no batch itself, so no group is sorted in one task.
-    Repeated acknowledgements count once, null batches do not.
+    Repeated acknowledgements count once, null batches do not. parts: how many parts numbers are dealt into (see
+    spread.dealt).
     """
-    done = acks.where(F.col(batch).isNotNull()).select(*keys, F.col(batch).cast("long").alias("acknowledged")).distinct()
-    after = done.select(*keys, (F.col("acknowledged") + 1).alias("acknowledged")).union(acks.select(*keys).distinct().withColumn("acknowledged", F.lit(0).cast("long")))
-    same = [after[c].eqNullSafe(done[c]) for c in (*keys, "acknowledged")]
-    open_ends = after.join(done, same, "left_anti").where("acknowledged >= 0")
-    return open_ends.groupBy(*keys).agg(F.min("acknowledged").alias("acknowledged"))
+    number = F.col(batch).cast("long")
+    both = F.array(F.struct(number.alias("__number"), F.lit(True).alias("__done")), F.struct((number + 1).alias("__number"), F.lit(False).alias("__done")))
+    numbers = dealt(acks.select(*keys, F.explode(both).alias("__n")).select(*keys, "__n.*"), parts, *keys, "__number")
+    each = numbers.groupBy(*keys, "__number").agg(F.bool_or("__done").alias("__done"))
+    ends = F.min(F.when(~F.col("__done") & (F.col("__number") >= 0), F.col("__number")))
+    begun = F.bool_or(F.col("__done") & (F.col("__number") == 0))
+    return each.groupBy(*keys).agg(F.when(begun, ends).otherwise(0).alias("acknowledged"))
 
 
 def digest(export: DataFrame) -> str:
