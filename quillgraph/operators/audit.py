@@ -87,14 +87,18 @@ def trailing_counts(rows: DataFrame, ts: str, order: str, seconds: int, out: str
     """rows with the number of rows in the `seconds` up to theirs; one exactly `seconds` older does not count.
 
     Time is cut into stretches of that length and each row also goes to the next stretch, so the stretches are counted
-    independently, in parallel. Rows of the same time count each other. A null time has a null count.
+    independently, in parallel: a row has all rows of the stretch before and those of its own up to it, less those that
+    have become too old, which one running sum gives. Rows of the same time count each other. A null time has a null count.
     """
     width = seconds * 1_000_000
     now = F.unix_micros(F.col(ts).cast("timestamp"))
     timed = rows.where(F.col(ts).isNotNull()).withColumn("__t", now).withColumn("__own", F.floor(F.col("__t") / width))
-    both = timed.withColumn("__stretch", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
-    w = Window.partitionBy("__stretch").orderBy("__t").rangeBetween(-(width - 1), 0)
-    counted = both.withColumn(out, F.count("*").over(w)).where("__stretch = __own").drop("__t", "__own", "__stretch")
+    both = timed.withColumn("__late", F.explode(F.array(F.lit(0), F.lit(1))))
+    both = both.withColumns({"__stretch": F.col("__own") + F.col("__late"), "__at": F.col("__t") + F.col("__late") * F.lit(width)})
+    whole = Window.partitionBy("__stretch").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = Window.partitionBy("__stretch").orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
+    late = F.col("__late").cast("long")
+    counted = both.withColumn(out, F.sum(late).over(whole) + F.sum(1 - 2 * late).over(so_far)).where("__late = 0").drop("__t", "__own", "__late", "__stretch", "__at")
     return counted.unionByName(rows.where(F.col(ts).isNull()).withColumn(out, F.lit(None).cast("long")))
 
 
