@@ -123,12 +123,11 @@ def reference_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("jn13_cross_references", f"""
-WITH {REFERENCES_SQL}, u AS (SELECT class, size, unnest(refs) AS w FROM c)
-SELECT DISTINCT a.class AS "left", b.class AS "right", a.size AS n_left, b.size AS n_right FROM u a JOIN u b USING (w)""")
+WITH w AS ({ALIASES_SQL}) SELECT DISTINCT a.p_partkey AS "left", b.p_partkey AS "right" FROM w a JOIN w b USING (w)""")
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of classes of parts; jn13_reference_classes has their members."""
+    """All pairs of parts that share an alias, from the pairs of their classes."""
     classes = written(select.reference_classes(aliases(spark, sf_dir), "p_partkey", "names", r"\|"), "classes")
-    return select.cross_references(classes, classes)
+    return select.expanded_references(select.cross_references(classes, classes), classes)
 
 
 @query("jn14_name_containment", "SELECT a.p_partkey AS part, count(*) AS n FROM part a JOIN part b ON a.p_brand = b.p_brand AND contains(b.p_name, string_split(a.p_name, ' ')[2]) GROUP BY a.p_partkey")
