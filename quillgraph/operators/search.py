@@ -17,7 +17,9 @@ from ..storage import written
 K1, B = 1.2, 0.75
 FUSION = 60
 #: Words of queries, and bytes of vectors, that go to all tasks at once, and cells of a block of scores in a task.
-PAIRS, BLOCK_BYTES, CELLS = 500_000, 32_000_000, 4_000_000
+PAIRS, BLOCK_BYTES, CELLS = 500_000, 32_000_000, 1_000_000
+#: Words of documents that a task looks up at once.
+WORDS = 250_000
 
 
 def triples(claims: DataFrame, subject: str | None = None, predicate: str | None = None, object_: str | None = None) -> DataFrame:
@@ -75,6 +77,16 @@ def keyword_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: s
     return rows
 
 
+def _by_words(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about WORDS words; a longer document is a part of its own."""
+    ends = np.cumsum(batch["words"].value_lengths().to_numpy())
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + WORDS, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _keyword_block(words: DataFrame, asked: pa.Table, query_col: str, kind: T.DataType, k: int | None) -> DataFrame:
     term, query = (asked[c].combine_chunks().dictionary_encode() for c in ("term", query_col))
     terms, names = term.dictionary, query.dictionary
@@ -82,7 +94,7 @@ def _keyword_block(words: DataFrame, asked: pa.Table, query_col: str, kind: T.Da
     queries_of = np.split(query.indices.to_numpy()[by], np.cumsum(np.bincount(term.indices.to_numpy(), minlength=len(terms)))[:-1])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in _by_words(whole_batch)):
             lists = batch["words"]
             size = lists.value_lengths().to_numpy()
             at = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy()
@@ -100,6 +112,7 @@ def _keyword_block(words: DataFrame, asked: pa.Table, query_col: str, kind: T.Da
     idf, mean = np.log(1 + (whole.n - df + 0.5) / (df + 0.5)), whole.mean or 1.0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full(len(names), -np.inf)
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, step := max(1, CELLS // max(1, len(names)))):
                 batch = whole_batch.slice(at, step)
@@ -109,16 +122,23 @@ def _keyword_block(words: DataFrame, asked: pa.Table, query_col: str, kind: T.Da
                 scores, order = np.zeros((batch.num_rows, len(names))), np.argsort(t, kind="stable")
                 for here in np.split(order, np.flatnonzero(np.diff(t[order])) + 1) if len(order) else ():
                     scores[np.ix_(doc[here], queries_of[t[here[0]]])] += weight[here, None]
-                yield from _best_cells(scores, scores > 0, batch["id"], names, query_col, k)
+                yield from _best_cells(scores, scores > 0, batch["id"], names, query_col, k, least)
 
     return hits.mapInArrow(score, T.StructType([T.StructField(query_col, kind), words.schema["id"], T.StructField("score", T.DoubleType())]))
 
 
-def _best_cells(scores: np.ndarray, given: np.ndarray, ids: pa.Array, names: pa.Array, query_col: str, k: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows of the cells that are given; with `k`, of those that a column's k best may be among once they are rounded."""
-    if k is not None and len(scores) > k:
-        ranked = np.where(given, scores, -np.inf)
-        given = given & (scores >= np.partition(ranked, len(scores) - k, axis=0)[len(scores) - k] - 1e-5)
+def _best_cells(scores: np.ndarray, given: np.ndarray, ids: pa.Array, names: pa.Array, query_col: str, k: int | None, least: np.ndarray, of: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of the cells that are given; with `k`, of those that a column's k best may be among once they are rounded.
+
+    least: the k-th best score so far of each query of the task, which is raised here; of: the queries of the columns.
+    """
+    if k is not None:
+        of = np.arange(scores.shape[1]) if of is None else of
+        if len(scores) > k:
+            ranked = np.where(given, scores, -np.inf)
+            ranked.partition(len(scores) - k, axis=0)
+            least[of] = np.maximum(least[of], ranked[len(scores) - k])
+        given = given & (scores >= least[of] - 1e-5)
     row, column = np.nonzero(given)
     for at in range(0, len(row), 100_000):
         r, c = row[at : at + 100_000], column[at : at + 100_000]
@@ -168,6 +188,7 @@ def _vector_block(vectors: DataFrame, asked: pa.Table, query_col: str, kind: T.D
     known, names = _matrices(asked["__query"].combine_chunks()), asked[query_col].combine_chunks()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full(len(names), -np.inf)
         for whole in batches:
             for at in range(0, whole.num_rows, step := max(1, CELLS // max(1, len(names)))):
                 batch = whole.slice(at, step)
@@ -175,7 +196,7 @@ def _vector_block(vectors: DataFrame, asked: pa.Table, query_col: str, kind: T.D
                     if n in known and len(place):
                         queries, of = known[n]
                         scores = rows @ queries.T
-                        yield from _best_cells(scores, np.isfinite(scores), batch["id"].take(pa.array(place)), names.take(pa.array(of)), query_col, k)
+                        yield from _best_cells(scores, np.isfinite(scores), batch["id"].take(pa.array(place)), names.take(pa.array(of)), query_col, k, least, of)
 
     return vectors.mapInArrow(score, T.StructType([T.StructField(query_col, kind), vectors.schema["id"], T.StructField("score", T.DoubleType())]))
 
