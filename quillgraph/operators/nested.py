@@ -122,9 +122,11 @@ def leaf_shapes(rows: DataFrame, json_col: str) -> DataFrame:
 def spans(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(id, path, unit_id, start, end, quote, shaped) of every span in JSON texts, at any depth; nothing inside one is
     looked at. shaped: strings and whole numbers where they should be, the start not negative and before the end."""
-    found = walk(rows, id_col, json_col, has_fields(F.col("value"), *SPAN))
-    inside = found.where((F.col("kind") == "object") & has_fields(F.col("value"), *SPAN))
     get = lambda name, kind: F.try_variant_get("value", f"$.{name}", kind)
     of = lambda name: kind_of(F.try_variant_get("value", f"$.{name}", "variant"))
-    shaped = (of("unit_id") == "string") & (of("quote") == "string") & (of("start") == "bigint") & (of("end") == "bigint") & (get("start", "long") >= 0) & (get("end", "long") > get("start", "long"))
-    return inside.select("id", "path", get("unit_id", "string").alias("unit_id"), get("start", "long").alias("start"), get("end", "long").alias("end"), get("quote", "string").alias("quote"), F.coalesce(shaped, F.lit(False)).alias("shaped"))
+    typed = (of("unit_id") == "string") & (of("quote") == "string") & (of("start") == "bigint") & (of("end") == "bigint")
+    fields = {"unit_id": get("unit_id", "string"), "start": get("start", "long"), "end": get("end", "long"), "quote": get("quote", "string")}
+    # only what is no span is opened, so what stays is spans
+    found = _found(rows, id_col, json_col, lambda fresh: fresh & ~F.coalesce(has_fields(F.col("value"), *SPAN), F.lit(False)), typed=typed, **fields)
+    shaped = F.col("typed") & (F.col("start") >= 0) & (F.col("end") > F.col("start"))
+    return found.select("id", "path", *fields, F.coalesce(shaped, F.lit(False)).alias("shaped"))
